@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import functools
+import sys
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +17,11 @@ WORD_GAP = r"[\x20\x09-\x0D]+"
 LOCAL_CHECKPOINTS = "/tmp/checkpoints"
 
 
+def by_value(module: str) -> None:
+    """Send a module's functions to the executors as code, so that these need no copy of the library."""
+    cloudpickle.register_pickle_by_value(sys.modules[module])
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Materialise df in the shared checkpoint folder, so lost executors cost no recomputation."""
     spark = df.sparkSession
@@ -23,6 +30,11 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def plan_bytes(df: DataFrame) -> int:
+    """Spark's own estimate of a plan's size."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -106,3 +118,6 @@ def components(nodes: DataFrame, edges: DataFrame, node: str = "doc_id", out: st
         if not changed:
             break
     return nodes.join(labels, nodes[node] == labels.n, "left").select(nodes["*"], F.coalesce("l", nodes[node]).alias(out))
+
+
+by_value(__name__)

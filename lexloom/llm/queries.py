@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lexloom.llm.common import table
 from lexloom.llm.line_dedup import line_dedup
 from lexloom.llm.sharding import stratified_shards
+from lexloom.llm.substring_dedup import substring_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -24,7 +25,11 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_line_dedup, op4_sharding)}
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(table(spark, sf_dir, "documents"), width=13, digest=True)
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_line_dedup, op4_sharding, op8_substring_dedup)}
 
 _UPPER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ'"
 _BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -42,4 +47,18 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, count(*) AS n_lines, count(*) FILTER (lost) AS n_dropped,
                sha256(coalesce(string_agg(l, chr(10) ORDER BY p) FILTER (NOT lost), '')) AS kept_sha256
         FROM marked GROUP BY doc_id""",
+    "op8_substring_dedup": r"""
+        WITH split AS (
+            SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+        starts AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM split WHERE len(ws) >= 13),
+        win AS (SELECT doc_id, i, array_to_string(ws[i:i + 12], ' ') AS k FROM starts),
+        firsts AS (SELECT k, min(doc_id) AS d FROM win GROUP BY k),
+        gone AS (
+            SELECT DISTINCT win.doc_id, unnest(range(win.i, win.i + 13)) AS p
+            FROM win JOIN firsts USING (k) WHERE firsts.d < win.doc_id),
+        placed AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS p FROM split)
+        SELECT split.doc_id, len(split.ws) AS n_words, count(gone.p) AS n_removed,
+               sha256(coalesce(string_agg(placed.w, ' ' ORDER BY placed.p) FILTER (gone.p IS NULL), '')) AS kept_sha256
+        FROM split LEFT JOIN placed USING (doc_id) LEFT JOIN gone ON gone.doc_id = placed.doc_id AND gone.p = placed.p
+        GROUP BY split.doc_id, split.ws""",
 }
