@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import sys
+import types
 
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -22,6 +23,11 @@ def by_value(module: str) -> None:
     cloudpickle.register_pickle_by_value(sys.modules[module])
 
 
+def worker_cache() -> dict:
+    """A dict that lives as long as a Python worker, for models that are slow to load."""
+    return sys.modules.setdefault("_lexloom_worker", types.ModuleType("_lexloom_worker")).__dict__
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Materialise df in the shared checkpoint folder, so lost executors cost no recomputation."""
     spark = df.sparkSession

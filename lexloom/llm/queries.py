@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lexloom.llm.common import table
 from lexloom.llm.line_dedup import line_dedup
+from lexloom.llm.packing import best_fit_packing, tokenizer
 from lexloom.llm.sharding import stratified_shards
 from lexloom.llm.substring_dedup import substring_dedup
 
@@ -25,11 +26,21 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
+def public_tokenizer() -> dict:
+    import public_tokenizers as public
+
+    return tokenizer(public.path("byte_bpe_50k.json"), public.path("byte_bpe_50k.tiktoken"), public.PATTERN)
+
+
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit_packing(table(spark, sf_dir, "documents"), public_tokenizer(), capacity=2048, end=0)
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents"), width=13, digest=True)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_line_dedup, op4_sharding, op8_substring_dedup)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_line_dedup, op4_sharding, op6_best_fit_packing, op8_substring_dedup)}
 
 _UPPER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ'"
 _BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
