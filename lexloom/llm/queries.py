@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lexloom.llm.common import table
 from lexloom.llm.line_dedup import line_dedup
 from lexloom.llm.packing import best_fit_packing, tokenizer
+from lexloom.llm.quality import quality_rules
 from lexloom.llm.sharding import stratified_shards
 from lexloom.llm.substring_dedup import substring_dedup
 
@@ -26,6 +27,11 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return done.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
+
+
 def public_tokenizer() -> dict:
     import public_tokenizers as public
 
@@ -40,7 +46,7 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents"), width=13, digest=True)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_line_dedup, op4_sharding, op6_best_fit_packing, op8_substring_dedup)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_line_dedup, op4_sharding, op5_quality_rules, op6_best_fit_packing, op8_substring_dedup)}
 
 _UPPER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ'"
 _BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
