@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexloom.llm.common import table
+from lexloom.llm.jaccard_join import jaccard_join
 from lexloom.llm.line_dedup import line_dedup
 from lexloom.llm.packing import best_fit_packing, tokenizer
 from lexloom.llm.quality import quality_rules
@@ -46,7 +47,11 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents"), width=13, digest=True)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_line_dedup, op4_sharding, op5_quality_rules, op6_best_fit_packing, op8_substring_dedup)}
+def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join(table(spark, sf_dir, "documents"), width=5, similarity=0.8, recall=0.999)
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_line_dedup, op4_sharding, op5_quality_rules, op6_best_fit_packing, op8_substring_dedup, op9_ngram_jaccard_join)}
 
 _UPPER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ'"
 _BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
