@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexloom.llm.common import table
+from lexloom.llm.html_extract import html_extract
 from lexloom.llm.jaccard_join import jaccard_join
 from lexloom.llm.license_scan import license_scan
 from lexloom.llm.line_dedup import line_dedup
@@ -28,6 +29,10 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op3_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract(table(spark, sf_dir, "pages"))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = stratified_shards(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     return done.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
@@ -56,7 +61,7 @@ def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(table(spark, sf_dir, "documents"), width=5, similarity=0.8, recall=0.999)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_line_dedup, op2_license_scan, op4_sharding, op5_quality_rules, op6_best_fit_packing, op8_substring_dedup, op9_ngram_jaccard_join)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_line_dedup, op2_license_scan, op3_html_extract, op4_sharding, op5_quality_rules, op6_best_fit_packing, op8_substring_dedup, op9_ngram_jaccard_join)}
 
 _UPPER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ'"
 _BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
