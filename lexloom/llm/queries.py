@@ -12,6 +12,7 @@ from lexloom.llm.html_extract import html_extract
 from lexloom.llm.jaccard_join import jaccard_join
 from lexloom.llm.license_scan import license_scan
 from lexloom.llm.line_dedup import line_dedup
+from lexloom.llm.mixing import mix_to_targets
 from lexloom.llm.packing import best_fit_packing, tokenizer
 from lexloom.llm.quality import quality_rules
 from lexloom.llm.sharding import stratified_shards
@@ -61,7 +62,11 @@ def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(table(spark, sf_dir, "documents"), width=5, similarity=0.8, recall=0.999)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_line_dedup, op2_license_scan, op3_html_extract, op4_sharding, op5_quality_rules, op6_best_fit_packing, op8_substring_dedup, op9_ngram_jaccard_join)}
+def op10_mix_to_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_to_targets(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_line_dedup, op2_license_scan, op3_html_extract, op4_sharding, op5_quality_rules, op6_best_fit_packing, op8_substring_dedup, op9_ngram_jaccard_join, op10_mix_to_targets)}
 
 _UPPER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ'"
 _BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
