@@ -101,29 +101,47 @@ def union_find(n: int):
     return find, join
 
 
+def apart(c: str | Column) -> Column:
+    """A join key that no earlier shuffle was dealt by.
+
+    Spark then deals both sides of the join out anew, which lets it split what
+    one hot key brings to it; with a side that an aggregate left in place it
+    could not.
+    """
+    return F.bitwise_not(F.col(c) if isinstance(c, str) else c)
+
+
 def components(nodes: DataFrame, edges: DataFrame, node: str = "doc_id", out: str = "label") -> DataFrame:
     """Smallest reachable node id of every node; edges(a, b) are undirected.
 
-    Min-label propagation with pointer jumping: each round takes the smallest
-    label next door, then the label of that label.  Labels stay in the cluster;
-    the driver sees one count a round, and each round is checkpointed.  A hot
-    node's edges only meet one label row, so a skewed join splits them, and the
-    minimum is combined before the shuffle.
+    Every round points each node at its least neighbour, follows these pointers
+    one step further, and contracts the edges to what they point at, so that
+    the graph shrinks geometrically until no edge is left.  Labels and edges
+    stay in the cluster; the driver sees one emptiness test a round, and each
+    round is checkpointed.  A hot node's edges meet one row of pointers, so a
+    skewed join splits them, and minima are combined before the shuffle.
     """
-    both = checkpoint(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
-    first = both.groupBy("a").agg(F.min("b").alias("m"))
-    labels = checkpoint(first.select(F.col("a").alias("n"), F.least("a", "m").alias("l")))
-    while True:
-        near = both.join(labels, both.b == labels.n).groupBy("a").agg(F.min("l").alias("m"))
-        step = labels.join(near, labels.n == near.a).select("n", F.col("l").alias("was"), F.least("l", "m").alias("l"))
-        jump = labels.select(F.col("n").alias("p"), F.col("l").alias("q"))
-        new = step.join(jump, step.l == jump.p, "left").select("n", "was", F.least("l", F.coalesce("q", "l")).alias("l"))
-        new = checkpoint(new)
-        changed = new.where("l <> was").limit(1).count()
-        labels = new.select("n", "l")
-        if not changed:
-            break
-    return nodes.join(labels, nodes[node] == labels.n, "left").select(nodes["*"], F.coalesce("l", nodes[node]).alias(out))
+    left = checkpoint(edges.select("a", "b").where("a <> b").distinct())
+    labels = None
+    while not left.isEmpty():
+        both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("p"))
+        least = checkpoint(least)
+        step = least.select(F.col("a").alias("q"), F.col("p").alias("r"))
+        point = checkpoint(least.join(step, apart("p") == apart("q")).select(F.col("a").alias("n"), F.col("r").alias("p")))
+        other = point.select(F.col("n").alias("o"), F.col("p").alias("s"))
+        ends = left.join(point, apart("a") == apart("n")).select("b", F.col("p").alias("a"))
+        moved = ends.join(other, apart("b") == apart("o")).select("a", F.col("s").alias("b"))
+        kept = point.join(other, apart("p") == apart("o")).select(F.col("p").alias("a"), F.col("s").alias("b"))
+        pairs = moved.unionByName(kept).where("a <> b")
+        left = checkpoint(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        if labels is None:
+            labels = point.select("n", F.col("p").alias("l"))
+        else:
+            labels = checkpoint(labels.join(other, apart("l") == apart("o"), "left").select("n", F.coalesce("s", "l").alias("l")))
+    if labels is None:
+        return nodes.withColumn(out, F.col(node))
+    return nodes.join(labels, apart(nodes[node]) == apart(labels.n), "left").select(nodes["*"], F.coalesce("l", nodes[node]).alias(out))
 
 
 by_value(__name__)

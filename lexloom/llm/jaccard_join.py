@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import by_value, checkpoint, components, union_find
+from lexloom.llm.common import apart, by_value, checkpoint, components, union_find
 from lexloom.llm.hashing import U, chunks, mix, spans, windows, words
 
 #: Documents of one candidate group that meet in a task at once; larger groups meet block by block.
@@ -157,22 +157,21 @@ def jaccard_join(docs: DataFrame, width: int = 5, similarity: float = 0.8, recal
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     bands, rows_each = banding(similarity, recall)
     signs = checkpoint(docs.where("doc_id is not null").mapInArrow(_signatures(width, bands, rows_each), "doc_id long, f1 long, f2 long, bands array<long>"))
-    # A changed key makes Spark deal both sides out anew, so that it can split what one hot set brings to a join.
     sets = signs.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
-    sets = sets.select(F.col("f1").bitwiseXOR(F.lit(1)).alias("s1"), F.col("f2").alias("s2"), "rep", "copies")
-    member = signs.select("doc_id", F.col("f1").bitwiseXOR(F.lit(1)).alias("m1"), F.col("f2").alias("m2"), "bands")
+    sets = sets.select(apart("f1").alias("s1"), F.col("f2").alias("s2"), "rep", "copies")
+    member = signs.select("doc_id", apart("f1").alias("m1"), F.col("f2").alias("m2"), "bands")
     member = member.join(sets, (F.col("m1") == F.col("s1")) & (F.col("m2") == F.col("s2")))
     owned = checkpoint(member.select("doc_id", "rep", "copies", F.when(F.col("doc_id") == F.col("rep"), F.col("bands")).alias("bands")))
     reps = owned.where("doc_id = rep").dropDuplicates(["doc_id"]).select("doc_id", "copies", "bands")
     keys = reps.select("doc_id", F.explode("bands").alias("key"))
     stars = keys.groupBy("key").agg(F.min("doc_id").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    stars = stars.select(F.col("key").bitwiseXOR(F.lit(1)).alias("star"), "hub")
-    edges = keys.select("doc_id", F.col("key").bitwiseXOR(F.lit(1)).alias("k")).join(stars, F.col("k") == F.col("star")).where("doc_id <> hub").select(F.col("doc_id").alias("a"), F.col("hub").alias("b")).distinct()
+    stars = stars.select(apart("key").alias("star"), "hub")
+    edges = keys.select("doc_id", apart("key").alias("k")).join(stars, F.col("k") == F.col("star")).where("doc_id <> hub").select(F.col("doc_id").alias("a"), F.col("hub").alias("b")).distinct()
     edges = checkpoint(edges)
     ends = edges.select(F.col("a").alias("doc")).unionByName(edges.select(F.col("b").alias("doc"))).distinct()
     near = checkpoint(components(ends, edges, "doc", "label"))
-    sizes = near.groupBy("label").agg(F.count(F.lit(1)).alias("n")).select(F.col("label").bitwiseXOR(F.lit(1)).alias("l"), F.ceil(F.col("n") / BLOCK).cast("int").alias("m"))
-    near = near.join(sizes, F.col("label").bitwiseXOR(F.lit(1)) == F.col("l")).select("doc", "label", "m", F.pmod(F.xxhash64("doc"), F.col("m")).cast("int").alias("b"))
+    sizes = near.groupBy("label").agg(F.count(F.lit(1)).alias("n")).select(apart("label").alias("l"), F.ceil(F.col("n") / BLOCK).cast("int").alias("m"))
+    near = near.join(sizes, apart("label") == F.col("l")).select("doc", "label", "m", F.pmod(F.xxhash64("doc"), F.col("m")).cast("int").alias("b"))
     near = near.join(reps, F.col("doc") == F.col("doc_id")).select("doc", "label", "m", "b", "copies", "bands")
     texts = docs.select(F.col("doc_id").alias("_id"), "text")
     rows = near.join(texts, F.col("doc") == F.col("_id")).dropDuplicates(["doc"])
@@ -182,7 +181,7 @@ def jaccard_join(docs: DataFrame, width: int = 5, similarity: float = 0.8, recal
     found = checkpoint(found)
     links = found.groupBy(F.col("doc").alias("_n")).agg(F.sum("links").alias("links"))
     classes = components(links, found.select(F.col("doc").alias("a"), F.col("root").alias("b")), "_n", "label").select("_n", "links", "label")
-    known = owned.join(classes, F.col("rep") == F.col("_n"), "left").select("doc_id", F.coalesce("label", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    known = owned.join(classes, apart("rep") == apart("_n"), "left").select("doc_id", F.coalesce("label", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     bare = docs.select(F.col("doc_id"), F.coalesce("text", F.lit("")).alias("t")).where("doc_id is null or not t rlike '[^\\\\x20\\\\x09-\\\\x0D]'")
     return known.unionByName(bare.select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links")))
 
