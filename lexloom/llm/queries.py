@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexloom.llm.common import table
+from lexloom.llm.hamming import hamming_top_k
 from lexloom.llm.html_extract import html_extract
 from lexloom.llm.jaccard_join import jaccard_join
 from lexloom.llm.license_scan import license_scan
@@ -54,6 +55,11 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing(table(spark, sf_dir, "documents"), public_tokenizer(), capacity=2048, end=0)
 
 
+def op7_hamming_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return hamming_top_k(vectors, vectors.where("vec_id % 100 = 0"), k=10, segments=4)
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents"), width=13, digest=True)
 
@@ -66,7 +72,7 @@ def op10_mix_to_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_to_targets(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_line_dedup, op2_license_scan, op3_html_extract, op4_sharding, op5_quality_rules, op6_best_fit_packing, op8_substring_dedup, op9_ngram_jaccard_join, op10_mix_to_targets)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_line_dedup, op2_license_scan, op3_html_extract, op4_sharding, op5_quality_rules, op6_best_fit_packing, op7_hamming_top_k, op8_substring_dedup, op9_ngram_jaccard_join, op10_mix_to_targets)}
 
 _UPPER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ'"
 _BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -98,4 +104,13 @@ ORACLE_SQL: dict[str, str] = {
                sha256(coalesce(string_agg(placed.w, ' ' ORDER BY placed.p) FILTER (gone.p IS NULL), '')) AS kept_sha256
         FROM split LEFT JOIN placed USING (doc_id) LEFT JOIN gone ON gone.doc_id = placed.doc_id AND gone.p = placed.p
         GROUP BY split.doc_id, split.ws""",
+    "op7_hamming_top_k": """
+        WITH codes AS (
+            SELECT vec_id, array_to_string(list_transform(embedding, lambda x: CASE WHEN x > 0 THEN '1' ELSE '0' END), '')::BIT AS code
+            FROM embeddings WHERE len(embedding) = 64),
+        pairs AS (
+            SELECT q.vec_id AS query_id, c.vec_id, CAST(bit_count(xor(q.code, c.code)) AS INTEGER) AS distance
+            FROM codes q, codes c WHERE q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id)
+        SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS INTEGER) AS rank, vec_id, distance
+        FROM pairs QUALIFY rank <= 10""",
 }
