@@ -69,7 +69,7 @@ def fit(docs: DataFrame, labels: DataFrame, domains: int = len(DOMAINS), max_lab
     totals = {r["domain"]: r["n"] for r in seen.groupBy("domain").agg(F.count(F.lit(1)).alias("n")).collect()}
     size = [totals.get(k, 0) for k in range(domains)]
     every = sum(size)
-    priors = [math.log((n + 1) / (every + domains)) for n in size]
+    priors = [math.log(n / every) if n else -1e9 for n in size]
     if sum(n > 0 for n in size) < 2:
         return priors, {}
     counts = seen.select("domain", F.explode("_e").alias("w")).groupBy("w").agg(*(F.sum(F.when(F.col("domain") == k, 1).otherwise(0)).alias(f"c{k}") for k in range(domains)))
@@ -107,7 +107,9 @@ def posteriors(docs: DataFrame, model: tuple[list[float], dict[str, list[float]]
     top = F.greatest(*(F.col(f"_s{k}") for k in range(len(priors))))
     rows = rows.select(*carry, "n_tokens", *(F.exp(F.col(f"_s{k}") - top).alias(f"_e{k}") for k in range(len(priors))))
     whole = sum((F.col(f"_e{k}") for k in range(1, len(priors))), F.col("_e0"))
-    return rows.select(*carry, "n_tokens", *((F.col(f"_e{k}") / whole).alias(f"p_{n}") for k, n in enumerate(names)))
+    # One exploded struct, so that what later filters or folds over the posteriors doesn't compute them again.
+    parts = F.struct("n_tokens", *((F.col(f"_e{k}") / whole).alias(f"p_{n}") for k, n in enumerate(names)))
+    return rows.select(*carry, F.inline(F.array(parts)))
 
 
 def _rate(history: list[list[float]], names: tuple[str, ...]) -> Column:
@@ -163,14 +165,17 @@ def mix_to_targets(docs: DataFrame, labels: DataFrame, targets: Mapping[str, flo
     columns of docs named like results are replaced.
 
     One pass over the texts makes a checkpointed table of numbers; each step of
-    the fit is an aggregate of it.
+    the fit is an aggregate of it.  If texts are carried, a second pass gives
+    each row its rate, so that no text is checkpointed or joined.
     """
     made = ("n_tokens", "rate", *(f"p_{n}" for n in DOMAINS))
     model = fit(docs, labels)
-    scored = checkpoint(posteriors(docs, model, [c for c in carry if c not in made]))
+    carried = [c for c in carry if c not in made]
+    scored = checkpoint(posteriors(docs, model, [] if "text" in carried else carried))
     goal, budget = dict(targets), None
     if relative:
         own = scored.agg(*(F.coalesce(F.sum(F.col("n_tokens") * F.col(f"p_{n}")), F.lit(0.0)).alias(n) for n in DOMAINS)).first()
         goal, budget = {n: targets.get(n, 1.0) * own[n] for n in DOMAINS}, 1.0
     history, _ = fit_rates(scored, goal, budget=budget)
-    return scored.withColumn("rate", _rate(history, DOMAINS))
+    rows = posteriors(docs, model, carried) if "text" in carried else scored
+    return rows.withColumn("rate", _rate(history, DOMAINS))
