@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import BLANKS, ascii_lower, text_of
+from lexloom.llm.common import BLANKS, apart, ascii_lower, text_of
 
 
 def _key(line: Column) -> Column:
@@ -36,8 +36,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     keys = lines.select("_d", "_t", "_p", _key(F.col("_l")).alias("_k")).where(F.length("_k") >= min_chars)
     keys = keys.select("_d", "_t", "_p", F.xxhash64("_k").alias("_a"), F.xxhash64(F.lit(1), "_k").alias("_b"))
     repeated = keys.groupBy("_a", "_b").agg(F.count_distinct("_d").alias("_n"), F.max("_d").alias("_keep")).where(F.col("_n") >= min_docs)
-    repeated = repeated.select(F.col("_a").alias("_ra"), F.col("_b").alias("_rb"), "_keep")
-    lost = keys.join(repeated, (F.col("_a") == F.col("_ra")) & (F.col("_b") == F.col("_rb"))).where(~F.col("_d").eqNullSafe(F.col("_keep")))
+    repeated = repeated.select(apart("_a").alias("_ra"), F.col("_b").alias("_rb"), "_keep")
+    lost = keys.join(repeated, (apart("_a") == F.col("_ra")) & (F.col("_b") == F.col("_rb"))).where(~F.col("_d").eqNullSafe(F.col("_keep")))
     lost = lost.groupBy(F.col("_d").alias("_ld"), F.col("_t").alias("_lt")).agg(F.collect_list("_p").alias("_lost"))
     # The lines are made below the join, so that the lambda reads a stored array and splits nothing again.
     whole = docs.select("*", row.alias("_t"), F.split(text_of(text_col), "\n", -1).alias("_lines"))
