@@ -57,7 +57,11 @@ def hamming_top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, segments:
     open_ = checkpoint(asked)
     best = None
     done = None
-    for r in range(width + 1):
+    few = codes.limit(k + 2).count() <= k + 1
+    if few:  # every code is within every query's reach: at most k + 1 rows to broadcast
+        each = F.broadcast(codes.select("code", F.size("ids").alias("n"), F.array_min("ids").alias("least")))
+        done = checkpoint(open_.join(each, F.lit(True)).select("query_id", "q", "code", "n", "least", F.bit_count(F.col("q").bitwiseXOR(F.col("code"))).alias("distance")))
+    for r in range(0 if few else width + 1):
         flips = F.explode(F.array(*(F.lit(m).cast("long") for m in _flips(width, r))))
         parts = F.posexplode(F.array(*(_segment(F.col("q"), j, width) for j in range(segments)))).alias("s", "v")
         probes = open_.select("query_id", "q", parts).select("query_id", "q", "s", "v", flips.alias("f"))
