@@ -168,13 +168,13 @@ def pretty_id(c: Column) -> Column:
 
 def split_pipe(c: Column) -> Column:
     """Pipe-packed cell to trimmed, non-empty parts; null gives none."""
-    return F.coalesce(F.filter(F.transform(F.split(c, r"\|"), F.trim), lambda x: x != ""), F.array().cast("array<string>"))
+    return F.coalesce(F.filter(F.transform(F.split(c, r"\|"), lambda x: F.trim(x)), lambda x: x != ""), F.array().cast("array<string>"))
 
 
 def source_header(text: Column) -> Column:
     """struct(header, act, title) of a passage's first bracketed header."""
     header = F.nullif(F.regexp_extract(text, r"\[([^\]]*)\]", 1), F.lit(""))
-    parts = F.transform(F.split(header, ","), F.trim)
+    parts = F.transform(F.split(header, ","), lambda x: F.trim(x))
     return F.struct(header.alias("header"), F.try_element_at(parts, F.lit(1)).alias("act"), F.try_element_at(parts, F.lit(-1)).alias("title"))
 
 

@@ -18,7 +18,7 @@ def tokens(text: Column) -> Column:
 
 
 def sentences(text: Column) -> Column:
-    return F.filter(F.transform(F.split(text, SENTENCE_END), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(text, SENTENCE_END), lambda x: F.trim(x)), lambda s: s != "")
 
 
 def chunks(paragraphs: DataFrame, id_col: str, text_col: str, skip_first: bool = True) -> DataFrame:

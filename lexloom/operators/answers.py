@@ -53,8 +53,9 @@ def curate(docs: DataFrame, judged: DataFrame) -> DataFrame:
 def fenced_json(text: Column, schema: str) -> Column:
     """A model's JSON: fences off, and once more with stray backslashes doubled; null if it is none."""
     bare = F.regexp_replace(F.regexp_replace(F.trim(text), r"^```[a-zA-Z]*\s*", ""), r"\s*```$", "")
-    fixed = F.regexp_replace(bare, r'\\(?!["\\/bfnrtu])', r"\\\\\\\\")
-    return F.coalesce(F.from_json(bare, schema), F.from_json(fixed, schema))
+    fixed = F.regexp_replace(bare, r'\\(?!["\\/bfnrtu])', r"\\\\")
+    sound = lambda c: F.get_json_object(c, "$").isNotNull()
+    return F.when(sound(bare), F.from_json(bare, schema)).when(sound(fixed), F.from_json(fixed, schema))
 
 
 def prompt_problems(prompts: DataFrame) -> DataFrame:

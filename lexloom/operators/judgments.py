@@ -48,7 +48,7 @@ def split_topics(index_text: Column) -> Column:
     bare = F.regexp_replace(F.trim(index_text), r"^\(|\)$", "")
     quoted = bare.rlike("^[‛‘“„«\"']")
     bare = F.when(quoted, F.regexp_replace(F.regexp_replace(bare, "^[‛‘“„«\"']+", ""), "[’‘”»\"']+$", "")).otherwise(bare)
-    parts = F.transform(F.split(bare, r"\s+[-–—]\s*(?=[A-Z‘’'\"])"), F.trim)
+    parts = F.transform(F.split(bare, r"\s+[-–—]\s*(?=[A-Z‘’'\"])"), lambda x: F.trim(x))
     return F.array_distinct(F.filter(parts, lambda t: t != ""))
 
 

@@ -355,7 +355,7 @@ def term_freq(spark, d):
     k AS (SELECT doc_id, CASE WHEN len(ss) > 1 THEN ss[2:] ELSE ss END AS ks FROM s)
     SELECT doc_id AS paragraph_id, CAST(generate_subscripts(ks, 1) - 1 AS INTEGER) AS chunk_index, unnest(ks) AS text FROM k""")
 def sentence_chunks(spark, d):
-    rows = t(spark, d, "documents").select("doc_id", F.explode(F.array(F.filter(F.transform(F.split("text", r"\. "), F.trim), lambda x: x != ""))).alias("_s"))
+    rows = t(spark, d, "documents").select("doc_id", F.explode(F.array(F.filter(F.transform(F.split("text", r"\. "), lambda x: F.trim(x)), lambda x: x != ""))).alias("_s"))
     kept = F.when(F.size("_s") > 1, F.slice("_s", 2, F.greatest(F.size("_s"), F.lit(1)))).otherwise(F.col("_s"))
     return rows.select(F.col("doc_id").alias("paragraph_id"), F.posexplode(kept).alias("chunk_index", "text"))
 
