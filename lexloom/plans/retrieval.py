@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexloom.operators.retrieval import bm25_scores, bm25_stats, dense_top_k, fuse, gate, pseudo_scores, top_k
+from lexloom.operators.topics import match_topics
 from lexloom.providers import Score, score_pairs
 
 
@@ -58,7 +59,21 @@ def hybrid(docs: DataFrame, vectors: DataFrame, queries: DataFrame, config: Hybr
     return gate(pseudo_scores(fused).drop("rank"), config.rerank_threshold, config.top_k_final).select("query_id", "rank", "doc", "score")
 
 
-METHODS: dict[str, tuple[Callable[..., DataFrame], type]] = {"hybrid": (hybrid, HybridConfig)}
+def by_topics(topic_vectors: DataFrame, tagged: DataFrame, paragraphs: DataFrame, queries: DataFrame, config: TopicsConfig = TopicsConfig()) -> DataFrame:
+    """query_id, rank, doc, score: paragraphs of a query's nearest topics, ranked by BM25 among themselves.
+
+    topic_vectors: label, embedding; tagged: paragraph_id, label; paragraphs:
+    doc, text; queries: query_id, text, query_vector.  `top_k` are given back
+    even if no query term matches (score 0).
+    """
+    near = match_topics(topic_vectors, queries.select("query_id", "query_vector"), config.topic_threshold, config.max_topics)
+    pool = near.join(tagged, "label").select(F.col("query_id").alias("pool"), F.col("paragraph_id").alias("doc")).distinct().join(paragraphs, "doc")
+    scores = bm25_scores(bm25_stats(pool, "doc", "text", ["pool"]), queries, "text", "query_id", ["pool"]).where(F.col("pool") == F.col("query_id"))
+    every = pool.select(F.col("pool").alias("query_id"), "doc").join(scores.select("query_id", "doc", "score"), ["query_id", "doc"], "left")
+    return top_k(every.withColumn("score", F.coalesce("score", F.lit(0.0))), config.top_k).select("query_id", "rank", "doc", "score")
+
+
+METHODS: dict[str, tuple[Callable[..., DataFrame], type]] = {"hybrid": (hybrid, HybridConfig), "topics": (by_topics, TopicsConfig)}
 
 
 def methods() -> list[str]:
