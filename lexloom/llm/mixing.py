@@ -18,8 +18,8 @@ from lexloom.llm.common import WORD_GAP, checkpoint, text_of
 DOMAINS = ("clean", "junk", "toxic")
 #: Labelled rows of each domain that the classifier is fitted on, and words it keeps.
 MAX_LABELLED, MAX_WORDS = 10_000, 256
-#: A word must lift one domain's share by this many nats, and tell this many in all about the labelled
-#: texts it stands in: far beyond what the best of a million chance words tells.
+#: A word's share in its domain must be this many nats above that in any other, and it must tell this many in
+#: all about the labelled texts it stands in: far beyond what the best of a million chance words tells.
 LEAST_LIFT, LEAST_GAIN = 1.0, 15.0
 TARGETS: Mapping[str, float] = {"clean": 0.96, "junk": 0.02, "toxic": 0.02}
 STEPS = 60
@@ -80,7 +80,10 @@ def fit(docs: DataFrame, labels: DataFrame, domains: int = len(DOMAINS), max_lab
     for k in range(domains):
         if size[k]:
             gain = gain + F.col(f"c{k}") * lift[k]
-    rows = counts.where(F.greatest(*lift) >= LEAST_LIFT).withColumn("g", gain).where(F.col("g") >= LEAST_GAIN).orderBy(F.desc("g"), "w").limit(max_words).collect()
+    # Evidence for a domain is what it has far more often than any other domain with labels.
+    there = [F.log((F.col(f"c{k}") + 0.5) / (size[k] + 1)) for k in range(domains) if size[k]]
+    second = F.get(F.reverse(F.array_sort(F.array(*there))), F.lit(1))
+    rows = counts.where(F.greatest(*there) - second >= LEAST_LIFT).withColumn("g", gain).where(F.col("g") >= LEAST_GAIN).orderBy(F.desc("g"), "w").limit(max_words).collect()
     share = {r["w"]: [(r[f"c{k}"] + 0.5) / (size[k] + 1) for k in range(domains)] for r in rows}
     without = [priors[k] + sum(math.log1p(-min(p[k], 1 - 1e-6)) for p in share.values()) for k in range(domains)]
     return without, {w: [math.log(min(x, 1 - 1e-6)) - math.log1p(-min(x, 1 - 1e-6)) for x in p] for w, p in share.items()}
