@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import itertools
 
 from pyspark.sql import Column, DataFrame, Window
@@ -10,6 +11,8 @@ from pyspark.sql import functions as F
 from lexloom.llm.common import apart, checkpoint
 
 BITS = 64
+#: Radii up to this one are searched at once: they are so few values that a round of its own costs more.
+FIRST = 2
 
 
 def sign_code(vector: str) -> Column:
@@ -31,8 +34,8 @@ def hamming_top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, segments:
     """query_id, rank, vec_id and distance: the k nearest other rows of each query, ties by id.
 
     Codes are the vectors' signs.  Every code is indexed by each of its
-    segments.  Round r probes, for every open query, the segment values just r
-    bits away; a code at distance d has a segment within d / segments bits, so
+    segments.  A round probes, for every open query, the segment values just r
+    bits away (0 to 2 in the first, then one r a round); a code at distance d has a segment within d / segments bits, so
     after round r everything up to segments x (r + 1) - 1 is known, and a query
     is closed once its k-th neighbour lies within that.  A code is counted
     in the one round and segment that finds it first, so nothing is met twice.
@@ -54,24 +57,24 @@ def hamming_top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, segments:
     index = codes.select("code", F.size("ids").alias("n"), F.array_min("ids").alias("least"), F.posexplode(F.array(*(_segment(F.col("code"), j, width) for j in range(segments)))).alias("seg", "value"))
     index = checkpoint(index.select("code", "n", "least", (F.col("seg") * (1 << width) + F.col("value")).alias("key")))
     asked = queries.select(F.col(id_col).cast("long").alias("query_id"), sign_code(vector_col).alias("q")).where("query_id is not null and q is not null").distinct()
-    open_ = checkpoint(asked)
+    open_ = checkpoint(asked.withColumn("bound", F.lit(BITS)))
     best = None
-    done = None
+    done: list[DataFrame] = []
     few = codes.limit(k + 2).count() <= k + 1
     if few:  # every code is within every query's reach: at most k + 1 rows to broadcast
         each = F.broadcast(codes.select("code", F.size("ids").alias("n"), F.array_min("ids").alias("least")))
-        done = checkpoint(open_.join(each, F.lit(True)).select("query_id", "q", "code", "n", "least", F.bit_count(F.col("q").bitwiseXOR(F.col("code"))).alias("distance")))
-    for r in range(0 if few else width + 1):
-        flips = F.explode(F.array(*(F.lit(m).cast("long") for m in _flips(width, r))))
+        done.append(open_.join(each, F.lit(True)).select("query_id", "q", "code", "n", "least", F.bit_count(F.col("q").bitwiseXOR(F.col("code"))).alias("distance")))
+    for radii in [] if few else [range(FIRST + 1), *([r] for r in range(FIRST + 1, width + 1))]:
+        flips = F.explode(F.expr(f"array({', '.join(f'{m}L' for r in radii for m in _flips(width, r))})"))
         parts = F.posexplode(F.array(*(_segment(F.col("q"), j, width) for j in range(segments)))).alias("s", "v")
-        probes = open_.select("query_id", "q", parts).select("query_id", "q", "s", "v", flips.alias("f"))
-        probes = probes.select("query_id", "q", "s", (F.col("s") * (1 << width) + F.col("v").bitwiseXOR(F.col("f"))).alias("probe"))
+        probes = open_.select("query_id", "q", "bound", parts).select("query_id", "q", "bound", "s", "v", flips.alias("f"))
+        probes = probes.select("query_id", "q", "bound", "s", F.bit_count("f").alias("r"), (F.col("s") * (1 << width) + F.col("v").bitwiseXOR(F.col("f"))).alias("probe"))
         met = probes.join(index, apart("probe") == apart("key")).withColumn("x", F.col("q").bitwiseXOR(F.col("code")))
         # Met first here: no segment is closer than r bits, and no earlier one just as close.
         near = [F.bit_count(_segment(F.col("x"), j, width)) for j in range(segments)]
-        first = F.lit(True)
+        first = F.bit_count("x") <= F.col("bound")  # nothing beyond the k-th neighbour so far can matter
         for j in range(segments):
-            first = first & F.when(F.lit(j) < F.col("s"), near[j] > r).when(F.lit(j) > F.col("s"), near[j] >= r).otherwise(True)
+            first = first & F.when(F.lit(j) < F.col("s"), near[j] > F.col("r")).when(F.lit(j) > F.col("s"), near[j] >= F.col("r")).otherwise(True)
         found = met.where(first).select("query_id", "q", "code", "n", "least", F.bit_count("x").alias("distance"))
         if best is not None:
             found = found.unionByName(best)
@@ -80,17 +83,15 @@ def hamming_top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, segments:
         kept = found.withColumn("_d", F.row_number().over(order)).where(F.col("_d") <= k + 1)
         best = checkpoint(kept.drop("_d"))
         ahead = best.withColumn("_n", F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-        covered = segments * (r + 1) - 1
-        closed = ahead.where((F.col("_n") >= k + 1) & (F.col("distance") <= covered)).select("query_id", "q").distinct()
-        if r == width:
-            closed = open_
-        shut = best.join(closed, ["query_id", "q"], "left_semi")
-        done = checkpoint(shut) if done is None else checkpoint(done.unionByName(shut))
-        open_ = checkpoint(open_.join(closed, ["query_id", "q"], "left_anti"))
+        covered = segments * (radii[-1] + 1) - 1
+        reach = ahead.where(F.col("_n") >= k + 1).groupBy("query_id", "q").agg(F.min("distance").alias("d"))
+        state = checkpoint(open_.join(reach, ["query_id", "q"], "left").select("query_id", "q", F.coalesce("d", F.lit(BITS)).alias("bound"), (F.col("d").isNotNull() & (F.col("d") <= covered) | F.lit(radii[-1] == width)).alias("shut")))
+        done.append(best.join(state.where("shut"), ["query_id", "q"], "left_semi"))
+        open_ = state.where(~F.col("shut")).drop("shut")
         best = best.join(open_, ["query_id", "q"], "left_semi")
         if open_.isEmpty():
             break
-    named = done.join(codes.select(F.col("code").alias("_c"), "ids"), apart("code") == apart("_c"))
+    named = functools.reduce(DataFrame.unionByName, done).join(codes.select(F.col("code").alias("_c"), "ids"), apart("code") == apart("_c"))
     pairs = named.select("query_id", "distance", F.explode("ids").alias("vec_id")).where("vec_id <> query_id")
     ranked = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "vec_id"))).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", F.col("distance").cast("int").alias("distance"))
