@@ -6,7 +6,6 @@ import functools
 import sys
 import types
 
-from py4j.protocol import Py4JError
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -39,10 +38,8 @@ def checkpoint(df: DataFrame) -> DataFrame:
 
 def plan_bytes(df: DataFrame) -> int:
     """Spark's own estimate of a plan's size; where a plan gives none, 4 kB a counted row."""
-    try:
-        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except Py4JError:
-        return df.count() * 4096
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 2**62 else df.count() * 4096  # beyond that it is unknown
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
