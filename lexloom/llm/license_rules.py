@@ -1,8 +1,9 @@
 """The signature rules of the licence scan, over texts of lower-case words joined by one space.
 
-A family has a label, names (regexes), and a keyword that any text with such a
-name contains; FORMS say in which surroundings a name counts, with what
-priority (1 comes first) and confidence.  NOTICES are sentences of licences.
+A family has a label, names (regexes), and a keyword that any text with one of
+the names contains; FORMS say in which surroundings a name counts, with what
+priority (1 comes first) and confidence.  NOTICES are sentences of licences,
+each with its own keyword.
 """
 
 from __future__ import annotations
@@ -26,7 +27,8 @@ FAMILIES: dict[str, tuple[str, tuple[str, ...], bool]] = {
     "agpl-3.0": ("affero", ("(?:gnu )?affero general public licen[cs]e(?: v(?:ersion)? ?3(?: 0)?| v3)?",), True),
     "agpl": ("agpl", ("agpl(?: ?v?3(?: 0)?)?", "agplv3"), True),
     "apache-1.1": ("apache", ("apache (?:software )?licen[cs]e(?: version| v)? ?1 1",), True),
-    "apache-2.0": ("apache", ("apache(?: software)? licen[cs]e(?: version| v)? ?2(?: 0)?", "apache 2(?: 0)?(?: licen[cs]e)?", "asl ?2(?: 0)?"), True),
+    "apache-2.0": ("apache", ("apache(?: software)? licen[cs]e(?: version| v)? ?2(?: 0)?", "apache 2(?: 0)?(?: licen[cs]e)?"), True),
+    "apache-short-2.0": ("asl", ("asl ?2(?: 0)?",), True),
     "artistic-2.0": ("artistic", ("(?:perl )?artistic licen[cs]e(?: version)?(?: 2(?: 0)?)?",), True),
     "bsd-2-clause": ("bsd", ("(?:simplified|freebsd|2 clause|two clause) bsd(?: licen[cs]e)?", "bsd (?:2|two) clause(?: licen[cs]e)?"), True),
     "bsd-3-clause": ("bsd", ("(?:new|revised|modified|3 clause|three clause) bsd(?: licen[cs]e)?", "bsd (?:3|three) clause(?: licen[cs]e)?"), True),
@@ -72,7 +74,7 @@ FAMILIES: dict[str, tuple[str, tuple[str, ...], bool]] = {
     "lgpl": ("lgpl", ("(?:gnu )?lgpl(?: ?v?[23](?: [01])?)?",), True),
     "lgpl-library": ("library general public", ("(?:gnu )?library general public licen[cs]e(?: version| v)?(?: ?2(?: 0)?)?",), True),
     "lppl-1.3": ("latex project public", ("latex project public licen[cs]e(?: version)?(?: 1 [0-3][abc]?)?",), True),
-    "mit": ("mit licen", ("mit(?: x11)? licen[cs]e",), True),
+    "mit": (" mit ", ("mit(?: x11)? licen[cs]e",), True),
     "mit-expat": ("expat", ("expat licen[cs]e",), True),
     "mpl-1.1": ("mozilla public", ("mozilla public licen[cs]e(?: version| v)? ?1(?: [01])?",), True),
     "mpl-2.0": ("mozilla public", ("mozilla public licen[cs]e(?: version| v)?(?: ?2(?: 0)?)?",), True),
@@ -105,25 +107,25 @@ FORMS: tuple[tuple[str, int, float], ...] = (
     ("(?:{N})", 4, 0.7),
 )
 
-# Sentences that stand in licences and notices, label: (keyword, regexes).
-NOTICES: dict[str, tuple[str, tuple[str, ...]]] = {
-    "all-rights-reserved": ("rights reserved", ("all rights reserved", "copyright [^ ]+(?: [^ ]+){0,6} all rights reserved", "no rights reserved")),
-    "apache-2.0": ("compliance with the license", ("you may not use this file except in compliance with the licen[cs]e", "unless required by applicable law or agreed to in writing")),
-    "bsd": ("redistribution", ("redistribution and use in source and binary forms with or without modification are permitted", "redistributions of source code must retain the above copyright notice", "redistributions in binary form must reproduce the above copyright notice", "neither the name of (?:[^ ]+ ){1,12}may be used to endorse or promote products")),
-    "bsl-1.0": ("permission is hereby granted", ("permission is hereby granted free of charge to any person or organization obtaining a copy of the software",)),
-    "commercial": ("commercial", ("for non ?commercial use only", "commercial use (?:is )?(?:prohibited|not permitted|forbidden)", "a commercial licen[cs]e is required")),
-    "confidential": ("confidential", ("proprietary and confidential", "confidential and proprietary", "unauthorized copying of this file via any medium is strictly prohibited")),
-    "copyright": ("copyright", ("copyright (?:c )?(?:19|20)[0-9][0-9]", "copyright holders?", "copyright by [^ ]+")),
-    "gpl": ("free software", ("this program is free software you can redistribute it and or modify it", "you should have received a copy of the gnu (?:lesser |affero )?general public licen[cs]e", "either version [123] of the licen[cs]e or at your option any later version", "published by the free software foundation")),
-    "isc": ("permission to use copy", ("permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted",)),
-    "mit": ("permission is hereby granted", ("permission is hereby granted free of charge to any person obtaining a copy of this software", "the above copyright notice and this permission notice shall be included in all copies")),
-    "mpl-2.0": ("source code form", ("this source code form is subject to the terms of the mozilla public licen[cs]e",)),
-    "no-warranty": ("warrant", ("the software is provided as is without warranty of any kind", "without any warranty without even the implied warranty", "provided as is and without warrant(?:y|ies)")),
-    "public-domain": ("public domain", ("public domain", "dedicated to the public domain", "released into the public domain", "placed in the public domain")),
-    "reproduction-reserved": ("reproduc", ("no part of this (?:publication|book|document|work) may be reproduced", "reproduction (?:in whole or in part )?(?:is )?(?:prohibited|forbidden)", "may not be reproduced without (?:prior )?(?:written )?permission")),
-    "unlicense": ("unencumbered", ("this is free and unencumbered software released into the public domain",)),
-    "used-with-permission": ("with permission", ("used with permission", "reprinted with permission", "reproduced with permission")),
-    "zlib": ("warrant", ("this software is provided as is without any express or implied warranty", "this notice may not be removed or altered from any source distribution")),
+# Sentences that stand in licences and notices, label: (keyword, regex) of each.
+NOTICES: dict[str, tuple[tuple[str, str], ...]] = {
+    "all-rights-reserved": (("rights reserved", "all rights reserved"), ("rights reserved", "copyright [^ ]+(?: [^ ]+){0,6} all rights reserved"), ("rights reserved", "no rights reserved")),
+    "apache-2.0": (("compliance with the licen", "you may not use this file except in compliance with the licen[cs]e"), ("required by applicable law", "unless required by applicable law or agreed to in writing")),
+    "bsd": (("redistribution", "redistribution and use in source and binary forms with or without modification are permitted"), ("redistribution", "redistributions of source code must retain the above copyright notice"), ("redistribution", "redistributions in binary form must reproduce the above copyright notice"), ("endorse or promote products", "neither the name of (?:[^ ]+ ){1,12}may be used to endorse or promote products")),
+    "bsl-1.0": (("permission is hereby granted", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software"),),
+    "commercial": (("commercial", "for non ?commercial use only"), ("commercial", "commercial use (?:is )?(?:prohibited|not permitted|forbidden)"), ("commercial", "a commercial licen[cs]e is required")),
+    "confidential": (("confidential", "proprietary and confidential"), ("confidential", "confidential and proprietary"), ("unauthorized copying", "unauthorized copying of this file via any medium is strictly prohibited")),
+    "copyright": (("copyright", "copyright (?:c )?(?:19|20)[0-9][0-9]"), ("copyright", "copyright holders?"), ("copyright", "copyright by [^ ]+")),
+    "gpl": (("free software", "this program is free software you can redistribute it and or modify it"), ("received a copy of the gnu", "you should have received a copy of the gnu (?:lesser |affero )?general public licen[cs]e"), ("at your option any later version", "either version [123] of the licen[cs]e or at your option any later version"), ("free software", "published by the free software foundation")),
+    "isc": (("permission to use copy", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),),
+    "mit": (("permission is hereby granted", "permission is hereby granted free of charge to any person obtaining a copy of this software"), ("this permission notice shall be included", "the above copyright notice and this permission notice shall be included in all copies")),
+    "mpl-2.0": (("source code form", "this source code form is subject to the terms of the mozilla public licen[cs]e"),),
+    "no-warranty": (("warrant", "the software is provided as is without warranty of any kind"), ("warrant", "without any warranty without even the implied warranty"), ("warrant", "provided as is and without warrant(?:y|ies)")),
+    "public-domain": (("public domain", "public domain"), ("public domain", "dedicated to the public domain"), ("public domain", "released into the public domain"), ("public domain", "placed in the public domain")),
+    "reproduction-reserved": (("reproduc", "no part of this (?:publication|book|document|work) may be reproduced"), ("reproduc", "reproduction (?:in whole or in part )?(?:is )?(?:prohibited|forbidden)"), ("reproduc", "may not be reproduced without (?:prior )?(?:written )?permission")),
+    "unlicense": (("unencumbered", "this is free and unencumbered software released into the public domain"),),
+    "used-with-permission": (("with permission", "used with permission"), ("with permission", "reprinted with permission"), ("with permission", "reproduced with permission")),
+    "zlib": (("warrant", "this software is provided as is without any express or implied warranty"), ("removed or altered from any source", "this notice may not be removed or altered from any source distribution")),
 }
 
 
@@ -134,7 +136,7 @@ def rules() -> list[Rule]:
         for label, (keyword, names, alone) in FAMILIES.items():
             if alone or priority < 4:
                 out.append(Rule(len(out), label.replace("-short", ""), keyword, "(?<= )" + form.replace("{N}", "|".join(names)) + "(?= )", priority, confidence))
-    for label, (keyword, sentences) in NOTICES.items():
-        for sentence in sentences:
+    for label, sentences in NOTICES.items():
+        for keyword, sentence in sentences:
             out.append(Rule(len(out), label, keyword, f"(?<= ){sentence}(?= )", 2, 0.9))
     return out

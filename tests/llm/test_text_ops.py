@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 from collections import Counter, defaultdict
+from re import _constants, _parser
 
 import pytest
 from pyspark.sql import functions as F
@@ -75,6 +76,45 @@ def test_license_scan(spark):
     assert license_scan(docs.limit(0)).count() == 0
 
 
+def matching(rng, items):
+    """A text that a parsed regex matches; optional and alternative parts are drawn."""
+    out = ""
+    for op, arg in items:
+        if op is _constants.LITERAL:
+            out += chr(arg)
+        elif op is _constants.IN:
+            kind, value = rng.choice(arg)
+            out += "q" if kind is _constants.NEGATE else chr(value if kind is _constants.LITERAL else rng.randint(*value))
+        elif op is _constants.NOT_LITERAL:
+            out += "q"
+        elif op is _constants.BRANCH:
+            out += matching(rng, rng.choice(arg[1]))
+        elif op is _constants.SUBPATTERN:
+            out += matching(rng, arg[3])
+        elif op is _constants.MAX_REPEAT:
+            out += "".join(matching(rng, arg[2]) for _ in range(rng.randint(arg[0], min(arg[1], arg[0] + 3))))
+        else:
+            assert op is _constants.ASSERT
+    return out
+
+
+def test_license_gate():
+    rng = random.Random(5)
+    for r in rules():
+        tree = _parser.parse(r.pattern)
+        for _ in range(100):
+            text = f" {matching(rng, tree)} "
+            assert re.search(r.pattern, text), (r.pattern, text)
+            assert r.keyword in text, (r.keyword, text)
+
+
+def test_license_scan_gate(spark):
+    texts = ["MIT/X11 License", "ASL 2.0", "unless required by applicable law or agreed to in writing", "except in compliance: you may not use this file except in compliance with the licence", "Neither the name of the X may be used to endorse or promote products", "the above copyright notice and this permission notice shall be included in all copies", "this notice may not be removed or altered from any source distribution", "unauthorized copying of this file, via any medium, is strictly prohibited", "either version 2 of the License, or (at your option) any later version"]
+    got = {r.doc_id: (r.labels, r.score) for r in license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {i: licences(x)[5:] for i, x in enumerate(texts)}
+    assert all(label for label, _ in got.values())
+
+
 @pytest.mark.parametrize("width,buckets", [(13, None), (3, 5)])
 def test_substring_dedup(spark, width, buckets):
     docs = odd_docs(spark)
