@@ -21,6 +21,8 @@ MAX_LABELLED, MAX_WORDS = 10_000, 256
 #: A word's share in its domain must be this many nats above that in any other, and it must tell this many in
 #: all about the labelled texts it stands in: far beyond what the best of a million chance words tells.
 LEAST_LIFT, LEAST_GAIN = 1.0, 15.0
+#: Labelled rows' worth of the overall share that stand in for a domain's own share where shares are compared.
+SHRINK = 30
 TARGETS: Mapping[str, float] = {"clean": 0.96, "junk": 0.02, "toxic": 0.02}
 STEPS = 60
 
@@ -55,10 +57,11 @@ def fit(docs: DataFrame, labels: DataFrame, domains: int = len(DOMAINS), max_lab
     """Log scores of a text without any kept word, and what each kept word adds to them: Bernoulli naive Bayes.
 
     Fitted on at most `max_labelled` labelled texts of each domain, the first
-    by a hash of their id; the words kept are the `max_words` that tell the
+    by a hash of their id among those that docs still has; the words kept are the `max_words` that tell the
     domains apart best.  Both are bounded, so both may meet on the driver.
     """
     known = labelled_domains(labels) if "domain" not in labels.columns else labels
+    known = checkpoint(known.join(docs.select(F.col("doc_id").alias("_d")), F.col("label_id") == F.col("_d"), "left_semi"))
     order = [F.xxhash64("label_id"), F.col("label_id")]
     parts = [known.where(F.col("domain") == k).orderBy(*order).limit(max_labelled) for k in range(domains)]
     sample = parts[0]
@@ -80,8 +83,10 @@ def fit(docs: DataFrame, labels: DataFrame, domains: int = len(DOMAINS), max_lab
     for k in range(domains):
         if size[k]:
             gain = gain + F.col(f"c{k}") * lift[k]
-    # Evidence for a domain is what it has far more often than any other domain with labels.
-    there = [F.log((F.col(f"c{k}") + 0.5) / (size[k] + 1)) for k in range(domains) if size[k]]
+    # Evidence for a domain is what it has far more often than any other domain with labels.  A domain of few
+    # labels has about the overall share until its own rows say otherwise.
+    overall = (total + 0.5) / (every + 1)
+    there = [F.log((F.col(f"c{k}") + SHRINK * overall) / (size[k] + SHRINK)) for k in range(domains) if size[k]]
     second = F.get(F.reverse(F.array_sort(F.array(*there))), F.lit(1))
     rows = counts.where(F.greatest(*there) - second >= LEAST_LIFT).withColumn("g", gain).where(F.col("g") >= LEAST_GAIN).orderBy(F.desc("g"), "w").limit(max_words).collect()
     share = {r["w"]: [(r[f"c{k}"] + 0.5) / (size[k] + 1) for k in range(domains)] for r in rows}

@@ -237,6 +237,27 @@ def test_mixing(spark, labelled):
     assert np.allclose(x, [r.rate for r in out], atol=1e-3)
 
 
+@pytest.mark.parametrize("n_junk", [0, 1, 2, 3])
+def test_mixing_few_labels_of_a_domain(spark, n_junk):
+    rng = random.Random(n_junk)
+    bad = [f"bad{k}" for k in range(10)]
+    plain = lambda n: [rng.choice("abcdefghij") + str(rng.randint(0, 99)) for _ in range(n)]
+    kinds = [0] * 900 + [2] * 110 + [1] * n_junk
+    texts = [" ".join(plain(60) + ([w for w in bad if rng.random() < 0.31] or bad[:1] if k == 2 else [])) for k in kinds]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(k != 1), int(k == 2)) for i, k in enumerate(kinds)], "doc_id long, quality int, toxic int")
+    _, words = mixing.fit(docs, labels)
+    assert set(bad) <= set(words)
+    out = mixing.mix_to_targets(docs, labels, {"clean": 1.0, "junk": 0.02, "toxic": 0.02}, relative=True).collect()
+    assert all((r.rate < 0.5) == (kinds[r.doc_id] == 2) for r in out if kinds[r.doc_id] != 1)
+
+
+def test_mixing_samples_present_labels(spark, labelled):
+    docs, labels = labelled
+    gone = spark.range(10_000, 13_000).select(F.col("id").alias("doc_id"), F.lit(0).alias("quality"), F.lit(0).alias("toxic"))
+    assert mixing.fit(docs, labels.unionByName(gone.select(*labels.columns)), max_labelled=60) == mixing.fit(docs, labels, max_labelled=60)
+
+
 def test_mixing_odd_rows(spark, labelled):
     docs, labels = labelled
     odd = docs.limit(20).unionByName(spark.createDataFrame([(None, "x y"), (700, None), (701, ""), (1, "again")], docs.schema)).withColumn("rate", F.lit("z"))
