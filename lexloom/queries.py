@@ -373,7 +373,7 @@ def aske_generation(spark, d):
     ensure_checkpoints(spark)
     chunks = chunk_vectors(spark, d)
     seeds = concepts(spark, d).select(F.concat(F.lit("topic "), "label").alias("label"), "embedding")
-    terms = t(spark, d, "embeddings").where("vec_id % 10 = 0").select(F.format_string("term %d", "vec_id").alias("term"), F.lit("").alias("definition"), "embedding")
+    terms = t(spark, d, "embeddings").select(F.format_string("term %d", "vec_id").alias("term"), F.lit("").alias("definition"), "embedding")
     found, _ = topics.run_cycle(spark, chunks, seeds, terms, generations=2, alpha=0.1)
     return topics.paragraph_topics(found).select("paragraph_id", "label", F.round("score", 6).alias("score"), "chunk_count", "rank")
 

@@ -186,3 +186,14 @@ def test_files_and_methods(spark, tmp_path):
     assert methods() and default_config("hybrid")["top_k_final"] == 5
     with pytest.raises(ValueError):
         configure("hybrid", nope=1)
+
+
+def test_aske_generation_offers_every_vector(spark, tmp_path, monkeypatch):
+    from lexloom import queries
+
+    rows = [(i, i % 3, [float(i % 3 == k) + 0.01 * (i % 7) for k in range(3)]) for i in range(40)]
+    spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    offered, cycle = [], topics.run_cycle
+    monkeypatch.setattr(topics, "run_cycle", lambda s, chunks, seeds, terms, **more: offered.extend(r.term for r in terms.collect()) or cycle(s, chunks, seeds, terms, **more))
+    assert queries.QUERIES["aske_generation"](spark, str(tmp_path)).count() > 0
+    assert sorted(offered) == sorted(f"term {i}" for i in range(40))
