@@ -11,10 +11,10 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lexloom.llm import mixing
-from lexloom.llm.common import components, union_find
+from lexloom.llm.common import components, table, union_find
 from lexloom.llm.hamming import hamming_top_k
 from lexloom.llm.html_extract import html_extract, parse, style_tree
-from lexloom.llm.jaccard_join import banding, jaccard_join
+from lexloom.llm.jaccard_join import banding, jaccard_join, shared
 from lexloom.llm.packing import best_fit_packing, encoder, reduce_and_fit
 from lexloom.llm.queries import public_tokenizer
 from lexloom.llm.sharding import stratified_shards
@@ -156,19 +156,52 @@ def test_jaccard_join(spark):
     assert jaccard_join(docs.limit(0)).count() == 0
 
 
-def test_jaccard_blocks(spark, monkeypatch):
+@pytest.mark.parametrize("block,columns", [(7, 4096), (512, 16)])
+def test_jaccard_blocks(spark, monkeypatch, block, columns):
     import lexloom.llm.jaccard_join as j
 
-    monkeypatch.setattr(j, "BLOCK", 7)
+    monkeypatch.setattr(j, "BLOCK", block)
+    monkeypatch.setattr(j, "COLUMNS", columns)
     base = [f"w{i}" for i in range(120)]
     texts = {k: " ".join([*base[:k], f"z{k}", *base[k:]]) for k in range(60)}
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     assert {r.doc_id: (r.class_id, r.n_links) for r in jaccard_join(docs).collect()} == brute_join(texts)
 
 
+def test_jaccard_repeated_ids(spark):
+    base, other = [f"w{i}" for i in range(90)], [f"v{i}" for i in range(90)]
+    near = lambda w, k: " ".join([*w[:k], "new", *w[k + 1 :]])
+    rows = [(1, " ".join(base)), (1, " ".join(other)), (2, near(base, 0)), (3, near(other, 0)), (4, " ".join(base)), (4, " ".join(base)), (5, "alone with no other like it"), (6, near(other, 89)), (6, None)]
+    out = Counter((r.doc_id, r.class_id, r.n_links) for r in jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    # Every other row whose set is alike is a link; rows 1, 1 tie the two families together.
+    want = [(1, 1, 3), (1, 1, 2), (2, 1, 3), (3, 1, 2), (4, 1, 3), (4, 1, 3), (5, 5, 0), (6, 1, 2), (6, 6, 0)]
+    assert out == Counter(want)
+
+
+def test_jaccard_recall(spark):
+    docs = spark.createDataFrame(table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text").collect(), "doc_id long, text string")
+    want = brute_join({r.doc_id: r.text for r in docs.collect()})
+    got = {r.doc_id: (r.class_id, r.n_links) for r in jaccard_join(docs).collect()}
+    assert sum(n for _, n in got.values()) >= 0.99 * sum(n for _, n in want.values()) > 0
+    assert all(got[d][1] <= want[d][1] for d in want)
+    assert sum(got[d][0] == want[d][0] for d in want) >= 0.99 * len(want)
+
+
+def test_shared_sizes():
+    rng = np.random.default_rng(1)
+    sets = [np.unique(rng.integers(0, 300, 120)).astype("<u8") for _ in range(30)]
+    left, right = np.arange(20), np.arange(10, 30)
+    for near in (np.ones((20, 20), bool), np.eye(20, dtype=bool)):
+        got = shared(sets, left, right, near)
+        assert all(got[a, b] == len(np.intersect1d(sets[a], sets[10 + b])) for a, b in zip(*np.nonzero(near)))
+
+
 def test_banding():
-    bands, rows = banding(0.8, 0.999)
-    assert 1 - (1 - 0.8**rows) ** bands >= 0.999 > 1 - (1 - 0.8**rows) ** (bands - 1)
+    for recall in (0.9, 0.999):
+        bands, rows = banding(0.8, recall)
+        assert 1 - (1 - 0.8**rows) ** bands >= recall > 1 - (1 - 0.8**rows) ** (bands - 1)
+        assert bands * rows <= 100
+    assert banding(0.8, 0.999) == (18, 5) and banding(0.5, 0.9)[1] < banding(0.9, 0.9)[1]
 
 
 def test_components(spark):
