@@ -1,6 +1,7 @@
 """Sharding, packing, extraction, joins, search, mixing and the pipeline."""
 
 import random
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -13,7 +14,8 @@ from pyspark.sql import functions as F
 from lexloom.llm import mixing
 from lexloom.llm.common import components, table, union_find
 from lexloom.llm.hamming import hamming_top_k
-from lexloom.llm.html_extract import html_extract, parse, style_tree
+from lexloom.llm import html_extract as extraction
+from lexloom.llm.html_extract import above, article, hash_text, html_extract, parse, style_tree
 from lexloom.llm.jaccard_join import banding, jaccard_join, shared
 from lexloom.llm.packing import best_fit_packing, encoder, reduce_and_fit
 from lexloom.llm.queries import public_tokenizer
@@ -113,12 +115,97 @@ def test_html_extract(spark):
     assert {out[10 + i][0] for i in range(12)} == {f"{i} is new." for i in range(12)}
     assert out[90] == ("", 0) and out[91] == ("", 0) and out[92][0] == "no end" and out[93][0] == "a < b &"
     assert html_extract(pages).count() == len(rows) and html_extract(pages.limit(0)).count() == 0
-    assert style_tree(pages.select(F.lit(1).cast("long").alias("host"), "html").limit(0)).count() == 0
-
-
-def test_parser_is_linear_on_broken_markup():
-    blocks, _ = parse('<p title="' + "x<p" * 20_000, {})
-    assert blocks
+    nodes, texts = style_tree(pages.select(F.lit(1).cast("long").alias("host"), "html").limit(0))
+    assert nodes.count() == 0 and texts.count() == 0
+
+
+def opaque_pages(n):
+    """Pages whose menu, teaser and footer have names that say nothing; a notice stands among paragraphs like any."""
+    rng = random.Random(n)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    out = []
+    for i in range(n):
+        body = "".join(f"<p>{' '.join(word() for _ in range(12))}</p>" for _ in range(rng.randint(2, 6)))
+        out.append(f"<body><div class='x1'><ul><li>Home</li><li>News</li><li>Shop</li></ul></div><div class='x2'>{body}<p>Write to us today.</p></div><div class='x3'><div>Imprint</div><div>All prices in euro</div></div></body>")
+    return out
+
+
+@pytest.mark.parametrize("n", [3, 12])
+def test_style_tree_decides(spark, monkeypatch, n):
+    pages = spark.createDataFrame([(i, "http://o.example/x", h) for i, h in enumerate(opaque_pages(n))], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_extract(pages).collect()}
+    for i, h in enumerate(opaque_pages(n)):
+        blocks, _ = parse(h, {})
+        assert got[i].split("\n") == [b.text for b in blocks if " " in b.text and b.text not in ("Write to us today.", "All prices in euro")]
+    # Without the tree's verdicts, every text stays.
+    bare = spark.createDataFrame([], "host long, low array<long>, kept array<long>, texts array<struct<path:bigint,feature:bigint>>")
+    monkeypatch.setattr(extraction, "verdicts", lambda *args: bare)
+    assert all("Home\nNews\nShop" in r.text and "Imprint" in r.text for r in html_extract(pages).collect())
+
+
+def test_prior_yields_to_the_tree(spark):
+    """A branch named like a notice stays if layout and texts vary as an article's do; one that is always alike goes."""
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(7))
+    part = lambda k: "".join(rng.choice(["<p>{}</p>", "<h2>{}</h2>", "<blockquote>{}</blockquote>"]).format(" ".join(word() for _ in range(9))) for _ in range(k))
+    rows = [(i, "http://n.example/", f"<div class='notice'>{part(rng.randint(3, 9))}</div><div class='ad'>{word()} {word()}</div>") for i in range(40)]
+    got = html_extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    for r in got:
+        blocks, _ = parse(rows[r.page_id][2], {})
+        assert r.text == "\n".join(b.text for b in blocks[:-1])
+
+
+def test_style_tree_against_brute_force(spark):
+    pages = opaque_pages(7) + [PAGE.format(f"Body {i}") for i in range(5)] + ["<div>a<div>b <i>c</i></div></div>", ""]
+    pages += pages[:2]
+    parsed, seen = [], set()
+    for h in pages:
+        blocks, children = parse(h, {})
+        key = tuple(sorted({hash_text(b.text) for b in blocks if b.prior == 1 and not b.node.named}))
+        if key not in seen:
+            seen.add(key)
+            parsed.append((blocks, children))
+    entropy = lambda ns, m: -sum(n / sum(ns) * np.log(n / sum(ns)) for n in ns) / np.log(max(m, 2))
+    leaves, layouts, below = defaultdict(Counter), defaultdict(list), defaultdict(set)
+    for k, (blocks, children) in enumerate(parsed):
+        inline, nodes = defaultdict(list), set()
+        for b in blocks:
+            leaves[b.leaf][hash_text(b.text), k] += 1
+            inline[b.leaf] += b.inline
+            below[b.leaf].add(b.leaf)
+            nodes |= {b.leaf, *(n.path for n in above(b.node))}
+            for n in above(b.node):
+                below[n.path].add(b.leaf)
+        for p in nodes:
+            layouts[p].append((tuple(children.get(p, ())), tuple(inline.get(p, ()))))
+    want, text_want = {}, {}
+    for p, seen_layouts in layouts.items():
+        scores = []
+        for leaf in below[p]:
+            m, by = len(layouts[leaf]), defaultdict(list)
+            for (f, _), n in leaves[leaf].items():
+                by[f].append(n)
+            for f, ns in by.items():
+                scores.append(1 - len(ns) / m * entropy(ns, m))
+                if len(ns) > 1:
+                    text_want[leaf, f] = scores[-1]
+        m = len(seen_layouts)
+        layout = min(1, entropy(list(Counter(seen_layouts).values()), max(m, extraction.LEAST_BASE)))
+        want[p] = (1 - extraction.GAMMA) * layout + extraction.GAMMA * np.mean(scores)
+    nodes, texts = style_tree(spark.createDataFrame([(1, h) for h in pages], "host long, html string"))
+    got = {r.path: r.measured for r in nodes.collect()}
+    assert set(got) == set(want) and all(abs(got[p] - want[p]) < 1e-9 for p in want)
+    text_got = {(r.path, r.feature): r.importance for r in texts.collect()}
+    assert set(text_got) == set(text_want) and all(abs(text_got[k] - text_want[k]) < 1e-9 for k in text_want)
+
+
+@pytest.mark.parametrize("page", ["<div>" * 50_000 + "x", "<div>a" * 30_000, "<b>" * 20_000 + "x" + "</i>" * 20_000, "<p><b>" * 20_000 + "x", "<p><table><tr><td>" + "<div>" * 30_000 + "</p>" * 3_000 + "x", "<ul><li>" * 20_000 + "x", '<p title="' + "x<p" * 20_000])
+def test_parser_is_linear(page):
+    began, small = time.time(), len(parse(page[: len(page) // 50], {})[0])
+    blocks, _ = parse(page, {})
+    extraction.tree_rows(page, {})
+    assert blocks and small >= 0 and time.time() - began < 5
+    assert article(blocks, set(), set(), set()) == blocks
 
 
 def brute_join(texts, width=5, similarity=0.8):
