@@ -6,9 +6,13 @@ import re
 from collections import Counter, defaultdict
 from re import _constants, _parser
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from lexloom.llm import substring_dedup as substrings
+from lexloom.llm.hashing import raw
 from lexloom.llm.license_rules import rules
 from lexloom.llm.license_scan import BASE, license_scan
 from lexloom.llm.line_dedup import line_dedup
@@ -115,11 +119,9 @@ def test_license_scan_gate(spark):
     assert all(label for label, _ in got.values())
 
 
-@pytest.mark.parametrize("width,buckets", [(13, None), (3, 5)])
-def test_substring_dedup(spark, width, buckets):
-    docs = odd_docs(spark)
-    rows = [(r.doc_id, re.findall(r"[^\x20\x09-\x0D]+", r.text or "")) for r in docs.collect()]
+def brute_substrings(rows, width):
     rank = lambda d: float("inf") if d is None else d
+    rows = [(d, re.findall(r"[^\x20\x09-\x0D]+", t or "")) for d, t in rows]
     first = {}
     for d, w in rows:
         for k in range(len(w) - width + 1):
@@ -132,13 +134,43 @@ def test_substring_dedup(spark, width, buckets):
             if first[tuple(w[k : k + width])] < rank(d):
                 gone[k : k + width] = [True] * width
         want[d, len(w), sum(gone), " ".join(x for x, g in zip(w, gone) if not g)] += 1
+    return want
+
+
+@pytest.mark.parametrize("width,buckets,lot", [(13, None, None), (3, 5, None), (13, 3, 40), (3, 2, 25)])
+def test_substring_dedup(spark, monkeypatch, width, buckets, lot):
+    if lot:  # many lots, few remembered windows
+        monkeypatch.setattr(substrings, "LOT", lot)
+        monkeypatch.setattr(substrings, "REMEMBERED", 30)
+    docs = odd_docs(spark, "kept_text")
+    more = [(None, docs.where("doc_id = 103").first().text), (None, "only here " * 9), (None, "only here " * 9), (7000, "only here " * 9)]
+    docs = docs.unionByName(spark.createDataFrame([(d, t, "x") for d, t in more], docs.schema))
+    want = brute_substrings([(r.doc_id, r.text) for r in docs.collect()], width)
     out = substring_dedup(docs, width, buckets)
     assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in out.collect()) == want
-    sums = {r.doc_id: r.kept_sha256 for r in substring_dedup(docs, width, buckets, digest=True).collect()}
-    assert sums == {d: hashlib.sha256(k.encode()).hexdigest() for d, _, _, k in want}
+    sums = Counter((r.doc_id, r.kept_sha256) for r in substring_dedup(docs, width, buckets, digest=True).collect())
+    assert sums == sum((Counter({(d, hashlib.sha256(k.encode()).hexdigest()): n}) for (d, _, _, k), n in want.items()), Counter())
     assert substring_dedup(docs.limit(0)).count() == 0
 
 
+def test_substring_dedup_hot_window(spark, monkeypatch):
+    """A passage that every document has is one entry a task in its bucket."""
+    monkeypatch.setattr(substrings, "LOT", 500)
+    passage = " ".join(f"p{k}" for k in range(20))
+    rows = [(k, f"own {k} {passage} tail {k}") for k in range(2000, 0, -1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in substring_dedup(docs, 13, 4).collect()) == brute_substrings(rows, 13)
+    packed = docs.selectExpr("doc_id k", "false n", "text").sortWithinPartitions("k").mapInArrow(substrings._scan(13, 4), "bucket int, kind int, hashes binary, docs binary")
+    one = substrings.hashes(*raw(pa.array([passage])), 13)[0]
+    entries = [int((substrings._unpack(r.hashes, r.docs)[0] == one[0]).sum()) for r in packed.where("kind = 0").collect()]
+    assert sum(entries) <= 4
+
+
+def test_window_membership():
+    one, two = np.array([5, 5, 7, 9], "<u8"), np.array([1, 2, 3, 4], "<u8")
+    assert substrings.member(one, two, np.array([5, 5, 9], "<u8"), np.array([2, 3, 4], "<u8")).tolist() == [False, True, False, True]
+
+
 def base(text):
     text = text or ""
     w = re.findall(r"[^\x20\x09-\x0D]+", text)
