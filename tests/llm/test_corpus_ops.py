@@ -1,5 +1,6 @@
 """Sharding, packing, extraction, joins, search, mixing and the pipeline."""
 
+import hashlib
 import random
 import time
 import zlib
@@ -44,6 +45,49 @@ def test_sharding(spark):
     assert stratified_shards(docs.limit(1)).count() == 1
 
 
+def brute_shards(rows, shards=8, seed="lexloom"):
+    """{(doc_id, crc, source): [(shard, slot)]} of (doc_id, text, source)."""
+    rank = lambda x: (x is not None, x)
+    md5 = lambda x: hashlib.md5(f"{seed}:{'null' if x is None else x}".encode()).hexdigest()
+    by = defaultdict(list)
+    for d, t, s in rows:
+        raw = (t or "").encode()
+        by[s].append((md5(d), rank(d), zlib.crc32(raw), len(raw) + 1))
+    placed = []
+    for s, own in by.items():
+        u = (int(md5(s)[:8], 16) + 0.5) / 2.0**32
+        placed += [((r - u) / len(own), rank(s), d, crc, n) for r, (_, d, crc, n) in enumerate(sorted(own), 1)]
+    out = defaultdict(list)
+    for pos, (_, s, d, crc, n) in enumerate(sorted(placed)):
+        shard = pos * shards // len(placed)
+        out[d[1], crc, s[1]].append((shard, pos - (shard * len(placed) + shards - 1) // shards))
+    return {k: sorted(v) for k, v in out.items()}
+
+
+@pytest.mark.parametrize("sources", [1, 5, 400])
+def test_sharding_order(spark, sources):
+    rng = random.Random(sources)
+    rows = [(i, None if i % 9 == 0 else "t" * rng.randrange(4), None if i % 13 == 0 else f"s{i % sources}") for i in range(400)] + [(None, "x", None), (7, "again", "s1"), (7, "again", "s1"), (900, "long " * 200_000, "s0")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for buckets in (1, 16):
+        got = defaultdict(list)
+        for r in stratified_shards(docs, buckets=buckets).collect():
+            got[r.doc_id, r.text_crc32, r.source].append((r.shard, r.slot))
+        assert {k: sorted(v) for k, v in got.items()} == brute_shards(rows)
+
+
+def test_sharding_many_small_sources(spark, monkeypatch):
+    """One row a source: no bucket of either rank holds many rows."""
+    docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"), F.col("id").cast("string").alias("source"))
+    seen = []
+    from lexloom.llm import sharding
+
+    ranked = sharding.distributed_rank
+    monkeypatch.setattr(sharding, "distributed_rank", lambda df, group, bucket, *rest: seen.append(df.groupBy(*group, bucket).count().agg(F.max("count")).first()[0]) or ranked(df, group, bucket, *rest))
+    assert stratified_shards(docs).groupBy("shard").count().where("count = 2500").count() == 8
+    assert max(seen) < 300
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.integers(3, 60).flatmap(lambda c: st.tuples(st.just(c), st.lists(st.integers(1, c), max_size=40))))
 def test_plan_keeps_items(case):
