@@ -8,8 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import text_of
-from lexloom.llm.license_rules import Rule, rules
+from lexloom.llm.common import ascii_lower, checkpoint, text_of
+from lexloom.llm.license_rules import Rule, rules, stems
 
 #: Phrase words and label of the base.
 BASE: tuple[tuple[str, str], ...] = (("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit"))
@@ -18,7 +18,7 @@ _GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 def _normal(text: Column) -> Column:
     """Words joined by, and standing between, single spaces."""
-    return F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(text), _GAP, " ")), F.lit(" "))
+    return F.concat(F.lit(" "), F.trim(F.regexp_replace(ascii_lower(text), _GAP, " ")), F.lit(" "))
 
 
 def _spaces(c: Column) -> Column:
@@ -35,68 +35,72 @@ def _base(norm: Column, n_words: Column) -> list[Column]:
     return [functools.reduce(lambda a, b: a + b, count).alias("n_base"), F.least(*first).alias("first_word"), F.greatest(*last).alias("last_word"), F.array_sort(F.array_distinct(found)).alias("_base")]
 
 
-def _intervals(norm: str, pattern: str) -> Column:
-    """Start and end of every match, in order, from the matches and the texts between them."""
-    sql = f"""aggregate(
-        zip_with(slice(split({norm}, {pattern}, -1), 1, size(_found)), _found, (a, b) -> named_struct('gap', length(a), 'len', length(b))),
-        named_struct('at', 0, 'out', cast(array() AS array<struct<s:int,e:int>>)),
-        (acc, x) -> named_struct('at', acc.at + x.gap + x.len, 'out', concat(acc.out, array(named_struct('s', acc.at + x.gap, 'e', acc.at + x.gap + x.len)))),
-        acc -> acc.out)"""
-    return F.expr(sql)
+def _found(found_rules: Sequence[Rule]) -> Column:
+    """array<struct<rule, spans array<struct<gap, len>>>>: each rule's matches in _norm, as gaps from the last one and lengths.
+
+    Only rules whose keyword a text contains are tried on it.
+    """
+    norm = F.col("_norm")
+    gate = functools.reduce(lambda a, b: a | b, (F.contains(norm, F.lit(s)) for s in stems(list(found_rules))))
+    table = F.array(*(F.struct(F.lit(r.order).alias("rule"), F.lit(r.keyword).alias("keyword"), F.lit(r.pattern).alias("pattern")) for r in found_rules))
+    tried = F.filter(F.filter(table, lambda r: F.contains(norm, r["keyword"])), lambda r: F.rlike(norm, r["pattern"]))
+
+    def spans(r: Column) -> Column:
+        matches = F.regexp_extract_all(norm, r["pattern"], F.lit(0))
+        return F.zip_with(F.slice(F.split(norm, r["pattern"], -1), 1, F.size(matches)), matches, lambda a, b: F.struct(F.length(a).alias("gap"), F.length(b).alias("len")))
+
+    return F.when(gate, F.transform(tried, lambda r: F.struct(r["rule"].alias("rule"), spans(r).alias("spans"))))
 
 
-def detections(texts: DataFrame, key: Sequence[str], found_rules: Sequence[Rule]) -> DataFrame:
-    """key, label, priority, confidence, s, e: every detection that none suppresses, from a column _norm.
+def detections(found: DataFrame, key: str, found_rules: Sequence[Rule]) -> DataFrame:
+    """key, label, confidence, s, e: every detection that none suppresses, from the column _found.
 
-    Only rules whose keyword a text contains are tried on it.  A detection is
-    suppressed if one of a higher priority, or an equal one that is longer or
-    of an earlier rule, contains its interval.
+    A detection is suppressed if one of a higher priority, or an equal one
+    that is longer or of an earlier rule, contains its interval.  Starts are
+    running sums of a rule's gaps, so a text with very many matches is sorted,
+    never compared pair by pair.
     """
-    spark = texts.sparkSession
-    keywords = sorted({r.keyword for r in found_rules})
-    stems = [k for k in keywords if not any(o != k and o in k for o in keywords)]
-    quoted = lambda x: "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
-    values = ", ".join(f"({r.order}, {quoted(r.label)}, {quoted(r.keyword)}, {quoted(r.pattern)}, {r.priority}, {r.confidence}D)" for r in found_rules)
-    table = spark.sql(f"SELECT * FROM VALUES {values} AS t(rule, label, keyword, pattern, priority, confidence)")
-    gate = functools.reduce(lambda a, b: a | b, (F.contains("_norm", F.lit(s)) for s in stems))
-    words = F.filter(F.array(*(F.lit(k) for k in keywords)), lambda k: F.contains(F.col("_norm"), k))
-    tried = texts.where(gate).select(*key, "_norm", F.explode(words).alias("_kw"))
+    spark = found.sparkSession
     # The rules are this module's own table, the same at every size.
-    tried = tried.join(F.broadcast(table), F.col("_kw") == F.col("keyword")).where("_norm rlike pattern")
-    tried = tried.withColumn("_found", F.explode(F.array(F.expr("regexp_extract_all(_norm, pattern, 0)"))))
-    spans = tried.select(*key, "rule", "label", "priority", "confidence", F.inline(_intervals("_norm", "pattern")))
-    order = Window.partitionBy(*key).orderBy(F.asc("s"), F.desc("e"), F.asc("priority"), F.asc("rule")).rowsBetween(Window.unboundedPreceding, -1)
+    table = F.broadcast(spark.createDataFrame([(r.order, r.label, r.priority, r.confidence) for r in found_rules], "rule int, label string, priority int, confidence double"))
+    rows = found.where(F.size("_found") > 0).select(key, F.inline("_found")).select(key, "rule", F.posexplode("spans").alias("pos", "x")).repartition(key)
+    end = F.sum(F.col("x.gap") + F.col("x.len")).over(Window.partitionBy(key, "rule").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
+    spans = rows.withColumn("e", end).withColumn("s", F.col("e") - F.col("x.len")).join(table, "rule").select(key, "rule", "label", "priority", "confidence", "s", "e")
+    order = Window.partitionBy(key).orderBy(F.asc("s"), F.desc("e"), F.asc("priority"), F.asc("rule")).rowsBetween(Window.unboundedPreceding, -1)
     levels = sorted({r.priority for r in found_rules})
     for p in levels:
         spans = spans.withColumn(f"_m{p}", F.max(F.when(F.col("priority") <= p, F.col("e"))).over(order))
     reach = functools.reduce(lambda c, p: c.when(F.col("priority") == p, F.col(f"_m{p}")), levels[1:], F.when(F.col("priority") == levels[0], F.col(f"_m{levels[0]}")))
-    return spans.where(F.coalesce(reach, F.lit(-1)) < F.col("e")).drop(*(f"_m{p}" for p in levels))
+    return spans.where(F.coalesce(reach, F.lit(-1)) < F.col("e")).select(key, "label", "confidence", "s", "e")
 
 
 def license_scan(docs: DataFrame, found_rules: Sequence[Rule] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     r"""docs without the text, with n_words, n_base, first_word, last_word, base_labels, labels and score.
 
-    Words are [^\x00-\x2F\x3A-\x60\x7B-\x7F]+ of the lower-cased text.  The base
-    columns tell where the BASE phrases stand; labels adds those of the
-    detections left after suppression, and score is the highest confidence
+    Words are [^\x00-\x2F\x3A-\x60\x7B-\x7F]+ of the text with A-Z lower-cased.
+    The base columns tell where the BASE phrases stand; labels adds those of
+    the detections left after suppression, and score is the highest confidence
     among these (0 without any).
 
-    A null text has no words, no labels and score 0.  Repeated rows each get
-    the same result, a null id its own; an empty table gives an empty one, and
-    columns of docs named like results are replaced.
+    A null or empty text has no words, no labels and score 0; a very long one is
+    scanned whole.  Repeated rows each get the same result, a null id its own;
+    an empty table gives an empty one, and columns of docs named like results
+    are replaced.
 
-    Texts are never shuffled: detections (short rows) are, by document, to find
-    those that others contain, and their labels meet the documents' counts.
+    One pass over the texts makes the base columns and the matches of each
+    rule, both short, which are checkpointed; texts are never shuffled.  The
+    matches are, by row, to find those that others contain, and their labels
+    meet the row again.
     """
     found_rules = rules() if found_rules is None else found_rules
     made = ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
     rest = [c for c in docs.columns if c not in (*made, text_col) or c == id_col]
     # An exploded one-element array keeps the text from being normalised again in every expression that uses it.
-    normal = docs.select(*rest, F.xxhash64(text_of(text_col)).alias("_t"), F.explode(F.array(_normal(text_of(text_col)))).alias("_norm"))
+    normal = docs.select(*rest, F.explode(F.array(_normal(text_of(text_col)))).alias("_norm"))
     n_words = F.when(F.col("_norm") == "  ", F.lit(0)).otherwise(_spaces(F.col("_norm")) - 1).cast("long")
-    counted = normal.select(*rest, "_t", n_words.alias("n_words"), *_base(F.col("_norm"), n_words))
-    keyed = normal.select(F.col(id_col).alias("_k"), "_t", "_norm")
-    kept = detections(keyed, ["_k", "_t"], found_rules).groupBy("_k", F.col("_t").alias("_kt")).agg(F.collect_set("label").alias("_labels"), F.max("confidence").alias("_score"))
-    joined = counted.join(kept, counted[id_col].eqNullSafe(F.col("_k")) & (F.col("_t") == F.col("_kt")), "left")
+    scanned = checkpoint(normal.select(*rest, n_words.alias("n_words"), *_base(F.col("_norm"), n_words), _found(found_rules).alias("_found"), F.monotonically_increasing_id().alias("_i")))
+    named = F.col("label") != ""
+    kept = detections(scanned, "_i", found_rules).where(named).groupBy(F.col("_i").alias("_k")).agg(F.collect_set("label").alias("_labels"), F.max("confidence").alias("_score"))
+    joined = scanned.join(kept, F.col("_i") == F.col("_k"), "left")
     labels = F.array_sort(F.array_union("_base", F.coalesce("_labels", F.array().cast("array<string>"))))
     return joined.select(*rest, "n_words", "n_base", "first_word", "last_word", F.array_join("_base", ",").alias("base_labels"), F.array_join(labels, ",").alias("labels"), F.coalesce("_score", F.lit(0.0)).alias("score"))
