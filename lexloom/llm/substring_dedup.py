@@ -16,7 +16,7 @@ from lexloom.llm.hashing import U, chunks, covered, mix, planes, spans, unplanes
 #: Bytes of text whose windows one bucket holds, about a million of them.
 BUCKET_BYTES = 4 << 20
 #: Windows that a task combines before it sends them, and repeated ones it remembers of earlier lots.
-LOT, REMEMBERED = 1 << 21, 1 << 20
+LOT, REMEMBERED = 1 << 19, 1 << 18
 #: Bytes that travel of each of a window's two hashes; the bucket's number holds other bits of the second.
 WIDE, CHECK = 8, 2
 _CHECK = U((1 << (8 * CHECK)) - 1)
