@@ -13,13 +13,13 @@ from pyspark.sql import functions as F
 from lexloom.llm.common import by_value
 from lexloom.llm.hashing import U, chunks, covered, mix, planes, spans, unplanes, windows, words
 
-#: Bytes of text whose windows one bucket holds, about a million of them.
-BUCKET_BYTES = 4 << 20
+#: Bytes of text whose windows one bucket holds, about 1.3 million of them, and the fewest buckets.
+BUCKET_BYTES, LEAST_BUCKETS = 8 << 20, 64
 #: Windows that a task combines before it sends them, and repeated ones it remembers of earlier lots.
 LOT, REMEMBERED = 1 << 19, 1 << 18
 #: Bytes that travel of each of a window's two hashes; the bucket's number holds other bits of the second.
-WIDE, CHECK = 8, 2
-_CHECK = U((1 << (8 * CHECK)) - 1)
+WIDE, CHECK = 6, 2
+_WIDE, _CHECK = U((1 << (8 * WIDE)) - 1), U((1 << (8 * CHECK)) - 1)
 #: Lots: windows of documents, windows of rows of null id, windows known to be late.
 _ENTRY, _NULL, _LATE = 0, 1, 2
 
@@ -48,7 +48,7 @@ def _runs(one: np.ndarray, two: np.ndarray) -> np.ndarray:
 
 
 def _pack(one: np.ndarray, two: np.ndarray, docs: np.ndarray) -> tuple[bytes, bytes]:
-    return planes(one, WIDE) + planes(two & _CHECK, CHECK), planes(np.diff(docs, prepend=np.int64(0)).view(U), 8)
+    return planes(one & _WIDE, WIDE) + planes(two & _CHECK, CHECK), planes(np.diff(docs, prepend=np.int64(0)).view(U), 8)
 
 
 def _unpack(blob: bytes, docs: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -153,7 +153,7 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             return
         order = np.argsort(docs, kind="stable")
         one, two, docs = one[order], two[order], docs[order]
-        flat = np.concatenate([one.astype("<u8").view(np.uint8).reshape(-1, 8), two.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :CHECK]], 1).tobytes()
+        flat = np.concatenate([one.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :WIDE], two.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :CHECK]], 1).tobytes()
         at = np.flatnonzero(np.concatenate(([True], docs[1:] != docs[:-1])))
         each = WIDE + CHECK
         for lo in range(0, len(at), 20_000):  # a batch of rows at a time
@@ -219,7 +219,7 @@ def _cut(width: int):
             ids, gone = batch.column(0), batch.column(2)
             for i, j, data, offsets in chunks(batch.column(1)):
                 one, two, first, rows = hashes(data, offsets, width)
-                two = two & _CHECK
+                one, two = one & _WIDE, two & _CHECK
                 at = np.searchsorted(rows, np.arange(j - i + 1))
                 own = np.searchsorted(first, at)  # where a row's windows begin
                 n_removed, kept = [], []
@@ -230,11 +230,10 @@ def _cut(width: int):
                     removed = 0
                     if found and own[r + 1] > own[r]:
                         raw = np.frombuffer(b"".join(found), np.uint8).reshape(-1, each)
-                        known = np.ascontiguousarray(raw[:, :WIDE]).view("<u8").ravel()
-                        check = np.zeros((len(raw), 8), np.uint8)
-                        check[:, :CHECK] = raw[:, WIDE:]
+                        known, check = np.zeros((len(raw), 8), np.uint8), np.zeros((len(raw), 8), np.uint8)
+                        known[:, :WIDE], check[:, :CHECK] = raw[:, :WIDE], raw[:, WIDE:]
                         a, b = own[r], own[r + 1]
-                        hit = member(one[a:b], two[a:b], known, check.view("<u8").ravel())
+                        hit = member(one[a:b], two[a:b], known.view("<u8").ravel(), check.view("<u8").ravel())
                         out = covered(first[a:b][hit] - lo, width, int(hi - lo))
                         removed = int(out.sum())
                         if removed:
@@ -266,9 +265,10 @@ def substring_dedup(docs: DataFrame, width: int = 13, buckets: int | None = None
     Very long texts are windows like any others.  An empty table gives an empty
     one; other columns of docs, whatever their names, are ignored.
 
-    Windows are known by two independent rolling hashes: 80 bits travel and the
-    bucket's number adds its own, so that of N windows about N x 4e-19 are ever
-    taken for another one.  They are counted by bucket, packed in byte planes,
+    Windows are known by two independent rolling hashes: 64 bits travel and the
+    bucket's number adds its own.  A window meets the million or so others of
+    its bucket, so of N windows about N x 7e-14 are ever taken for another one.
+    They are counted by bucket, packed in byte planes,
     not a row a window; a bucket holds the windows of BUCKET_BYTES of text
     (their number comes from the summed length of all texts), and a task holds
     one bucket at a time.  Each task first combines its windows, lot by lot, to
@@ -279,7 +279,7 @@ def substring_dedup(docs: DataFrame, width: int = 13, buckets: int | None = None
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     if buckets is None:
         size = docs.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
-        buckets = max(16, -(-size // BUCKET_BYTES))
+        buckets = max(LEAST_BUCKETS, -(-size // BUCKET_BYTES))
     null = F.col("doc_id").isNull()
     key = F.coalesce("doc_id", F.xxhash64("text"))
     packed = docs.select(key.alias("k"), null.alias("n"), "text").mapInArrow(_scan(width, buckets), "bucket int, kind int, hashes binary, docs binary")
