@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import sys
+import tempfile
 import types
 
 from pyspark import cloudpickle
@@ -14,8 +15,6 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: White space of every contract here: [\x20\x09-\x0D].
 BLANKS = " \t\n\x0b\x0c\r"
 WORD_GAP = r"[\x20\x09-\x0D]+"
-#: Used only where the session has no spark.checkpoint.dir (tests, local runs).
-LOCAL_CHECKPOINTS = "/tmp/checkpoints"
 
 
 def by_value(module: str) -> None:
@@ -28,20 +27,26 @@ def worker_cache() -> dict:
     return sys.modules.setdefault("_lexloom_worker", types.ModuleType("_lexloom_worker")).__dict__
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named in spark.checkpoint.dir; without one, a temporary folder of its own, on a local master only."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all nodes share")
+    folder = tempfile.mkdtemp(prefix="lexloom-")
+    spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Materialise df in the shared checkpoint folder, so lost executors cost no recomputation."""
-    spark = df.sparkSession
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or LOCAL_CHECKPOINTS)
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
-def plan_bytes(df: DataFrame) -> int:
-    """Spark's own estimate of a plan's size; where a plan gives none, 4 kB a counted row."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return size if size < 2**62 else df.count() * 4096  # beyond that it is unknown
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

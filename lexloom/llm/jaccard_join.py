@@ -77,7 +77,7 @@ def _signatures(width: int, bands: int, rows_each: int):
                 one, two = _fingerprint(keys, at)
                 size = np.diff(np.append(at, len(keys)))
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(len(has) + 1) * bands, pa.int32()), pa.array(sign.T.reshape(-1).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i).take(pa.array(has)), pa.array(one), pa.array(two), pa.array(size, pa.int64()), flat], ["doc_id", "f1", "f2", "size", "bands"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i).take(pa.array(has)), pa.array(one), pa.array(two), pa.array(size, pa.int64()), batch.column(2).slice(i, j - i).take(pa.array(has)), flat], ["doc_id", "f1", "f2", "size", "text_hash", "bands"])
 
     return run
 
@@ -199,8 +199,8 @@ def _verify(similarity: float):
     return run
 
 
-def jaccard_join(docs: DataFrame, width: int = 5, similarity: float = 0.8, recall: float = 0.999) -> DataFrame:
-    r"""One row a document: doc_id, class_id and n_links.
+def jaccard_join(docs: DataFrame, width: int = 5, similarity: float = 0.8, recall: float = 0.999, by_row: bool = False) -> DataFrame:
+    r"""One row a document: doc_id, class_id and n_links; with by_row, text_hash (xxhash64 of the text) too.
 
     Words are [^\x20\x09-\x0D]+, n-grams `width` consecutive ones (a shorter
     text is one n-gram of all its words).  n_links is the number of other
@@ -211,7 +211,8 @@ def jaccard_join(docs: DataFrame, width: int = 5, similarity: float = 0.8, recal
     class.  Rows that repeat an id, with the same text or another one, are one
     document for classes and are each counted as a link's end; a row of null
     id has a null class and no links.  Very long texts are one set like any
-    other.  An empty table gives an empty one; other columns of docs, whatever
+    other.  With by_row every row is a document of its own: equal ids tie
+    nothing.  An empty table gives an empty one; other columns of docs, whatever
     their names, are ignored.
 
     Band and row counts are chosen so that a pair of just that similarity
@@ -226,9 +227,10 @@ def jaccard_join(docs: DataFrame, width: int = 5, similarity: float = 0.8, recal
     spanning forest.  No pairs are ever rows, and only sets in a bucket with
     others are read and shipped.
     """
-    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"))
+    out = ["doc_id", *(["text_hash"] if by_row else []), "class_id", "n_links"]
     bands, rows_each = banding(similarity, recall)
-    signs = checkpoint(docs.where("doc_id is not null").mapInArrow(_signatures(width, bands, rows_each), "doc_id long, f1 long, f2 long, size long, bands array<long>"))
+    signs = checkpoint(docs.where("doc_id is not null").mapInArrow(_signatures(width, bands, rows_each), "doc_id long, f1 long, f2 long, size long, text_hash long, bands array<long>"))
     sets = signs.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.max("size").alias("size"), F.any_value("bands").alias("bands"))
     sets = checkpoint(sets.withColumn("e", F.monotonically_increasing_id()))
     keys = sets.select("e", "size", F.posexplode("bands").alias("band", "key"))
@@ -251,22 +253,24 @@ def jaccard_join(docs: DataFrame, width: int = 5, similarity: float = 0.8, recal
     met = placed.select("key", "low", "high", "block", "band", "e", "copies", "bands", "grams").repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
     found = checkpoint(met.mapInArrow(_verify(similarity), "e long, links long, root long"))
     links = found.groupBy(F.col("e").alias("_n")).agg(F.sum("links").alias("links"))
-    # An id with several texts ties their sets.
-    tied = signs.groupBy("doc_id").agg(F.min(F.struct("f1", "f2")).alias("a"), F.max(F.struct("f1", "f2")).alias("b")).where("a <> b").select(F.col("doc_id").alias("_d"))
-    tied = signs.join(tied, F.col("doc_id") == F.col("_d")).select("doc_id", F.col("f1").alias("g1"), F.col("f2").alias("g2")).distinct()
-    tied = tied.join(sets, (F.col("g1") == F.col("f1")) & (F.col("g2") == F.col("f2"))).select("doc_id", "e")
-    hubs = tied.groupBy(F.col("doc_id").alias("_d")).agg(F.min("e").alias("root"))
-    tied = tied.join(hubs, F.col("doc_id") == F.col("_d")).select(F.col("e").alias("a"), F.col("root").alias("b"))
-    edges = checkpoint(found.select(F.col("e").alias("a"), F.col("root").alias("b")).unionByName(tied).where("a <> b").distinct())
+    edges = found.select(F.col("e").alias("a"), F.col("root").alias("b"))
+    if not by_row:  # an id with several texts ties their sets
+        tied = signs.groupBy("doc_id").agg(F.min(F.struct("f1", "f2")).alias("a"), F.max(F.struct("f1", "f2")).alias("b")).where("a <> b").select(F.col("doc_id").alias("_d"))
+        tied = signs.join(tied, F.col("doc_id") == F.col("_d")).select("doc_id", F.col("f1").alias("g1"), F.col("f2").alias("g2")).distinct()
+        tied = tied.join(sets, (F.col("g1") == F.col("f1")) & (F.col("g2") == F.col("f2"))).select("doc_id", "e")
+        hubs = tied.groupBy(F.col("doc_id").alias("_d")).agg(F.min("e").alias("root"))
+        edges = edges.unionByName(tied.join(hubs, F.col("doc_id") == F.col("_d")).select(F.col("e").alias("a"), F.col("root").alias("b")))
+    edges = checkpoint(edges.where("a <> b").distinct())
     ends = edges.select(F.col("a").alias("e")).unionByName(edges.select(F.col("b").alias("e"))).distinct()
     groups = components(ends, edges, "e", "label").select(F.col("e").alias("_g"), "label")
     least = groups.join(sets, F.col("_g") == F.col("e")).groupBy(F.col("label").alias("_l")).agg(F.min("rep").alias("class"))
     groups = checkpoint(groups.join(least, apart("label") == apart("_l")).select("_g", "class"))
     done = sets.join(groups, F.col("e") == F.col("_g"), "left").join(links, F.col("e") == F.col("_n"), "left")
     done = done.select(apart("f1").alias("s1"), F.col("f2").alias("s2"), F.coalesce("class", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    known = signs.join(done, (apart("f1") == F.col("s1")) & (F.col("f2") == F.col("s2"))).select("doc_id", "class_id", "n_links")
-    bare = docs.select(F.col("doc_id"), F.coalesce("text", F.lit("")).alias("t")).where("doc_id is null or not t rlike '[^\\\\x20\\\\x09-\\\\x0D]'")
-    return known.unionByName(bare.select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links")))
+    known = signs.join(done, (apart("f1") == F.col("s1")) & (F.col("f2") == F.col("s2"))).select(*out)
+    bare = docs.select("doc_id", "text_hash", F.coalesce("text", F.lit("")).alias("t")).where("doc_id is null or not t rlike '[^\\\\x20\\\\x09-\\\\x0D]'")
+    bare = bare.withColumns({"class_id": F.col("doc_id"), "n_links": F.lit(0).cast("long")})
+    return known.unionByName(bare.select(*out))
 
 
 by_value(__name__)
