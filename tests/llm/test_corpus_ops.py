@@ -500,3 +500,49 @@ def test_pipeline(spark, labelled, tmp_path):
     for name, stage in p.STAGES[:-1]:
         assert stage(spark, full, str(tmp_path)).columns == full.columns, name
         assert stage(spark, full.limit(0), str(tmp_path)).count() == 0, name
+
+
+@pytest.fixture(scope="module")
+def odd_table(spark, labelled, tmp_path_factory):
+    """Documents with nulls, empty and very long texts, repeated rows and ids, and columns named like results."""
+    docs, labels = labelled
+    folder = tmp_path_factory.mktemp("odd")
+    labels.write.parquet(str(folder / "labels.parquet"))
+    text = docs.where("doc_id = 0").first().text
+    other = docs.where("doc_id = 3").first().text
+    odd = [(None, text), (None, None), (900, None), (901, ""), (902, " \n\n "), (903, (other + "\n") * 3000), (0, text), (0, other + " more"), (904, text), (904, "quite another text that nothing else is like in this table of documents " * 2)]
+    full = docs.where("doc_id < 120").unionByName(spark.createDataFrame(odd, docs.schema))
+    names = ("kept", "score", "n_lines", "kept_text", "class_id", "rate", "n_tokens", "p_clean")
+    return full.withColumns({"lang": F.lit("en"), "source": F.lit(None).cast("string"), "n_chars": F.length("text").cast("long"), **{n: F.lit("own") for n in names}}), str(folder)
+
+
+def test_pipeline_odd_rows(spark, odd_table):
+    import corpus_pipeline as p
+
+    full, folder = odd_table
+    for name, stage in p.STAGES[:-1]:
+        out = stage(spark, full, folder)
+        assert out.columns == full.columns and out.where("kept <> 'own' or rate <> 'own' or class_id <> 'own'").count() == 0, name
+    texts = lambda df: Counter((r.doc_id, r.text) for r in df.collect())
+    every = texts(full)
+    kept = texts(p.quality(spark, full, folder))
+    assert not kept - every and not any(t is None or len(t.split()) < 50 for _, t in kept)
+    assert sum(texts(p.lines(spark, full, folder)).values()) == sum(every.values())
+    left = texts(p.near_copies(spark, full, folder))
+    assert not left - every
+    gone = every - left  # copies of either text of document 0 under other ids, but no row that only shares an id with one
+    assert sorted(d for d, _ in gone.elements()) == [3, 903, 904]
+    packed = p.packing(spark, full, folder).collect()
+    assert len({(r.doc_id, r.piece) for r in packed}) > 0 and sum(r.piece == 0 for r in packed) == sum(every.values())
+
+
+def test_pipeline_rounding_keeps_totals(spark, monkeypatch):
+    import corpus_pipeline as p
+
+    docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.col("id")).alias("text"))
+    rate = F.when(F.col("doc_id") % 4 == 0, 0.02).when(F.col("doc_id") % 4 == 1, 0.3).when(F.col("doc_id") % 4 == 2, 1.0).otherwise(2.6)
+    monkeypatch.setattr(p, "table", lambda *args: None)
+    monkeypatch.setattr(p, "mix_to_targets", lambda docs, *args, **more: docs.withColumn("rate", rate))
+    got = {r.k: r["count"] for r in p.mixing(spark, docs, "").groupBy((F.col("doc_id") % 4).alias("k")).count().collect()}
+    assert got[2] == 5000 and abs(got[0] - 100) < 50 and abs(got[1] - 1500) < 150 and abs(got[3] - 13_000) < 200
+    assert p.mixing(spark, docs, "").select("doc_id").exceptAll(p.mixing(spark, docs, "").select("doc_id")).count() == 0
