@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import WORD_GAP, checkpoint, text_of
+from lexloom.llm.common import checkpoint, text_of
 
 #: Domains of the labelled table, from its quality and toxic columns.
 DOMAINS = ("clean", "junk", "toxic")
@@ -32,7 +32,8 @@ TARGETS: Mapping[str, float] = {"clean": 0.96, "junk": 0.02, "toxic": 0.02}
 #: Steps after which an unfinished fit of the rates is reported.
 STEPS = 300
 _NO_WORD = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: Positive classes of single bytes alone: Java tests these by one lookup a character, others by trying range after range.
+_LETTERS = r"[0-9A-Za-z]+"
 
 
 class Model(NamedTuple):
@@ -53,31 +54,28 @@ def _bucket(feature: Column) -> Column:
     return F.pmod(F.xxhash64(feature), F.lit(BUCKETS)).cast("int")
 
 
-def _tokens(text: Column, gap: str) -> Column:
-    return F.filter(F.split(text, gap, -1), lambda w: w != "")
-
-
 def _features(docs: DataFrame, carry: list[str], known: Column | None = None) -> DataFrame:
     """carry, n_tokens and _f, the distinct buckets of each text's features (those at which `known` is positive).
 
-    Features are its lower-case words, what stands in its words beside letters
-    and digits, the share of words that have such marks, and the orders of
-    magnitude of its length and of how often it repeats its words.
+    Features are its lower-case words, what stands between ASCII letters and
+    digits (marks, gaps, other letters), and the orders of magnitude of its
+    length and of how often it repeats its words; n_tokens are its words.
     """
     text = text_of("text")
-    parts = docs.select(*carry, F.inline(F.array(F.struct(_tokens(F.lower(text), _NO_WORD).alias("_w"), _tokens(F.regexp_replace(text, _WORD, ""), WORD_GAP).alias("_m"), F.size(_tokens(text, WORD_GAP)).alias("_n")))))
-    words, marks, n = F.transform("_w", _bucket), F.transform("_m", lambda m: _bucket(F.concat(F.lit("\x01"), m))), F.col("_n")
-    hashed = parts.select(*carry, "_n", F.size("_m").alias("_k"), F.size("_w").alias("_s"), F.inline(F.array(F.struct(F.array_distinct(words).alias("_w"), F.array_distinct(marks).alias("_m")))))
+    words, gaps = F.split(F.lower(text), _NO_WORD, -1), F.split(text, _LETTERS, -1)
+    parts = docs.select(*carry, F.inline(F.array(F.struct(F.transform(words, _bucket).alias("_w"), F.transform(gaps, lambda m: _bucket(F.concat(F.lit("\x01"), m))).alias("_m")))))
+    # Before the first word and after the last one the split has an empty string each if a gap stands there.
+    empty = _bucket(F.lit(""))
+    edge = lambda c: (c == empty).cast("int")
+    n = F.size("_w")
+    count = n - edge(F.get("_w", F.lit(0))) - F.when(n > 1, edge(F.get("_w", n - 1))).otherwise(0)
+    hashed = parts.select(*carry, count.alias("_n"), "_m", F.inline(F.array(F.struct(F.array_distinct("_w").alias("_w")))))
     scale = lambda x: F.floor(2 * F.log2(x + 1)).cast("string")
-    more = (
-        F.concat(F.lit("\x02"), scale(n.cast("double"))),
-        F.concat(F.lit("\x03"), scale((F.col("_s") + 1) / (F.size("_w") + 1))),
-        F.concat(F.lit("\x04"), F.floor(8 * F.col("_k") / F.greatest(n, F.lit(1))).cast("string")),
-    )
+    more = (F.concat(F.lit("\x02"), scale(F.col("_n").cast("double"))), F.concat(F.lit("\x03"), scale((F.col("_n") + 1) / (F.size("_w") + 1))))
     every = F.concat("_w", "_m", F.array(*(_bucket(x) for x in more)))
     if known is not None:
         every = F.filter(every, lambda f: F.get(known, f) > 0)
-    return hashed.select(*carry, n.cast("long").alias("n_tokens"), F.array_distinct(every).alias("_f"))
+    return hashed.select(*carry, F.col("_n").cast("long").alias("n_tokens"), F.array_distinct(every).alias("_f"))
 
 
 def logistic(rows: np.ndarray, columns: np.ndarray, domain: np.ndarray, width: int, domains: int) -> tuple[np.ndarray, np.ndarray]:
@@ -160,7 +158,7 @@ def posteriors(docs: DataFrame, model: Model, carry: list[str], names: tuple[str
         total = lambda b, table: F.aggregate("_f", F.lit(float(b)), lambda acc, f: acc + F.get(table, F.get(places, f)))
         scores = [total(b, table) for b, table in zip(model.intercepts, tables)]
     else:
-        rows = docs.select(*carry, F.size(_tokens(text_of("text"), WORD_GAP)).cast("long").alias("n_tokens"))
+        rows = _features(docs, carry).select(*carry, "n_tokens")
         scores = [F.lit(float(b)) for b in model.intercepts]
     rows = rows.select(*carry, "n_tokens", F.inline(F.array(F.struct(*(s.alias(f"_s{k}") for k, s in enumerate(scores))))))
     top = F.greatest(*(F.col(f"_s{k}") for k in range(len(names))))

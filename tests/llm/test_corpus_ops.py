@@ -418,12 +418,11 @@ def test_mixing_features(spark):
     want = {}
     for i, t in enumerate(texts):
         t = t or ""
-        tokens = re.findall(r"[^\x20\x09-\x0D]+", t)
-        words = re.findall(mixing._WORD, t.lower())
-        marks = re.findall(r"[^\x20\x09-\x0D]+", re.sub(mixing._WORD, "", t))
+        words, gaps = re.split(mixing._NO_WORD, t.lower()), re.split(mixing._LETTERS, t)
+        n = sum(w != "" for w in words)
         size = lambda x: math.floor(2 * math.log2(x + 1))
-        names = {*words, *(f"\x01{m}" for m in marks), f"\x02{size(len(tokens))}", f"\x03{size((len(words) + 1) / (len(set(words)) + 1))}", f"\x04{8 * len(marks) // max(1, len(tokens))}"}
-        assert rows[i].n_tokens == len(tokens)
+        names = {*words, *(f"\x01{g}" for g in gaps), f"\x02{size(n)}", f"\x03{size((n + 1) / (len(set(words)) + 1))}"}
+        assert rows[i].n_tokens == n
         assert len(rows[i]["_f"]) == len(set(rows[i]["_f"])) and set(rows[i]["_f"]) == hashed(names), t[:40]
         want[i] = hashed(names)
     kept = sorted(set.union(*want.values()))[::2]
@@ -437,14 +436,14 @@ def test_mixing_features(spark):
 
 
 def test_mixing_held_out_accuracy(spark):
-    """Fitted on half of the labels of sf0.01, judged on the other half."""
-    docs, labels = (table(spark, "/root/testdata/sf0.01", n) for n in ("documents", "labels"))
+    """Fitted on half of the labels of sf0.1, judged on the other half."""
+    docs, labels = (table(spark, "/root/testdata/sf0.1", n) for n in ("documents", "labels"))
     known = mixing.labelled_domains(labels)
     model = mixing.fit(docs, known.where("label_id % 2 = 0"))
     rows = mixing.posteriors(docs, model, ["doc_id"]).join(known.where("label_id % 2 = 1"), F.col("doc_id") == F.col("label_id")).collect()
     hits = Counter((r.domain, int(np.argmax([r.p_clean, r.p_junk, r.p_toxic]))) for r in rows)
     n = Counter(r.domain for r in rows)
-    assert hits[0, 0] >= 0.97 * n[0] and hits[1, 1] >= 0.6 * n[1] and hits[2, 2] >= 0.6 * n[2], hits
+    assert hits[0, 0] >= 0.98 * n[0] and hits[1, 1] >= 0.95 * n[1] and hits[2, 2] >= 0.8 * n[2], hits
 
 
 def test_mixing_reports(spark):
