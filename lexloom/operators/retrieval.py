@@ -8,58 +8,80 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexloom.functions.text import tokens
-from lexloom.functions.vectors import dot
+from lexloom.operators.blocks import bm25_top, similar
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
-#: A side is broadcast on purpose only if it has at most this many rows by count.
-BROADCAST_ROWS = 100_000
 
 
-def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it is counted to be small, else as it is."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def _idf(df: DataFrame, totals: DataFrame, group: Sequence[str]) -> DataFrame:
+    """group..., term, avgdl, idf, from document frequencies: where that is negative, EPSILON times the mean of all terms."""
+    meet = lambda x, y: x.join(y, list(group)) if group else x.join(y, F.lit(True))  # one row a group, or just one
+    terms = meet(df, totals).withColumn("raw", F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
+    terms = meet(terms, terms.groupBy(*group).agg(F.avg("raw").alias("mean_idf")))
+    return terms.select(*group, "term", "avgdl", F.when(F.col("raw") < 0, EPSILON * F.col("mean_idf")).otherwise(F.col("raw")).alias("idf"))
+
+
+def _totals(rows: DataFrame, group: Sequence[str]) -> DataFrame:
+    return rows.groupBy(*group).agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
 
 
 def bm25_stats(docs: DataFrame, id_col: str, text_col: str, group: Sequence[str] = ()) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(postings, lengths, terms) of BM25 Okapi: case-sensitive white-space tokens.
 
     idf is log((n - df + .5) / (df + .5)); where that is negative, EPSILON times
-    the mean idf of all terms.  All three are aggregates combined map-side, and
-    can be stored and reused.
+    the mean idf of all terms.  Document frequencies come from the distinct
+    terms of each row, combined map-side; all three can be stored and reused.
     """
-    rows = docs.select(*group, F.col(id_col).alias("doc"), tokens(F.coalesce(text_col, F.lit(""))).alias("_t"))
+    rows = docs.select(*group, F.col(id_col).alias("doc"), F.explode(F.array(tokens(F.coalesce(text_col, F.lit(""))))).alias("_t"))
     lengths = rows.select(*group, "doc", F.size("_t").alias("dl"))
     postings = rows.select(*group, "doc", F.explode("_t").alias("term")).groupBy(*group, "doc", "term").agg(F.count(F.lit(1)).alias("tf"))
-    totals = lengths.groupBy(*group).agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
-    df = postings.groupBy(*group, "term").agg(F.count(F.lit(1)).alias("df"))
-    df = df.join(F.broadcast(totals), list(group)) if group else df.crossJoin(F.broadcast(totals))
-    raw = F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    terms = df.withColumn("raw", raw)
-    mean = terms.groupBy(*group).agg(F.avg("raw").alias("mean_idf"))
-    terms = terms.join(F.broadcast(mean), list(group)) if group else terms.crossJoin(F.broadcast(mean))
-    terms = terms.select(*group, "term", "avgdl", F.when(F.col("raw") < 0, EPSILON * F.col("mean_idf")).otherwise(F.col("raw")).alias("idf"))
-    return postings, lengths, terms
-
-
-def bm25_scores(stats: tuple[DataFrame, DataFrame, DataFrame], query: DataFrame, query_text: str, query_id: str, group: Sequence[str] = ()) -> DataFrame:
-    """query_id, doc and score of every document that has a query term; a repeated term counts as often."""
+    df = rows.select(*group, F.explode(F.array_distinct("_t")).alias("term")).groupBy(*group, "term").agg(F.count(F.lit(1)).alias("df"))
+    return postings, lengths, _idf(df, _totals(lengths, group), group)
+
+
+def bm25_scores(stats: tuple[DataFrame, DataFrame, DataFrame], query: DataFrame, query_text: str, query_id: str, group: Sequence[str] = (), own_group: bool = False) -> DataFrame:
+    """query_id, doc and score of every document that has a query term; a repeated term counts as often.
+
+    With own_group the queries have the group columns too, and meet their own
+    group's documents only.
+    """
     postings, lengths, terms = stats
-    asked = query.select(F.col(query_id).alias("query_id"), F.explode(tokens(F.col(query_text))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qf"))
-    hits = postings.join(bounded(asked), "term").join(terms, [*group, "term"]).join(lengths, [*group, "doc"])
+    on = [*(group if own_group else ()), "term"]
+    asked = query.select(F.col(query_id).alias("query_id"), *(group if own_group else ()), F.explode(tokens(F.col(query_text))).alias("term")).groupBy("query_id", *on).agg(F.count(F.lit(1)).alias("qf"))
+    hits = postings.join(asked, on).join(terms, [*group, "term"]).join(lengths, [*group, "doc"])
     weight = F.col("qf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     return hits.groupBy("query_id", *group, "doc").agg(F.sum(weight).alias("score"))
 
 
+def bm25_top_k(docs: DataFrame, queries: DataFrame, k: int, id_col: str = "doc", text_col: str = "text", query_id: str = "query_id", query_text: str = "text", group: Sequence[str] = ()) -> DataFrame:
+    """query_id, group..., doc, score (6 places) and rank: the k best documents of every query (and group) by BM25.
+
+    Queries that have the group's columns are asked of their own group only.
+
+    One pass counts the documents that have each term, another scores every
+    document against a block of queries and keeps k of a batch: what is
+    shuffled is the vocabulary and the candidates.
+    """
+    own = docs.select(*group, F.col(id_col).alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    asked = queries.select(F.col(query_id).alias("query_id"), F.col(query_text).alias("text"), *(group if set(group) <= set(queries.columns) else ()))
+    rows = own.select(*group, F.explode(F.array(tokens(F.col("text")))).alias("_t"))
+    totals = _totals(rows.select(*group, F.size("_t").alias("dl")), group)
+    df = rows.select(*group, F.explode(F.array_distinct("_t")).alias("term")).groupBy(*group, "term").agg(F.count(F.lit(1)).alias("df"))
+    terms = _idf(df, totals, group).drop("avgdl").persist()
+    found = bm25_top(own, asked, k, terms, totals, group, K1, B)
+    terms.unpersist()
+    return top_k(found, k, ("query_id", *group))
+
+
 def top_k(scores: DataFrame, k: int, by: Sequence[str] = ("query_id",), score: str = "score", tie: str = "doc") -> DataFrame:
     """rank 1..k within each group, ties by id; tasks keep k rows before the shuffle."""
     return scores.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(score), tie))).where(F.col("rank") <= k)
 
 
 def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector: str = "embedding", query_id: str = "query_id", query_vector: str = "query_vector") -> DataFrame:
-    """The k nearest vectors of each query by dot product, over all rows in one pass of blocks."""
-    pairs = vectors.select(F.col(id_col).alias("doc"), F.col(vector).alias("_v")).join(bounded(queries.select(F.col(query_id).alias("query_id"), F.col(query_vector).alias("_q"))), F.lit(True))
-    scored = pairs.select("query_id", "doc", F.round(dot(F.col("_v"), F.col("_q")), 9).alias("score"))
-    return top_k(scored, k)
+    """The k nearest vectors of each query by dot product: all rows against blocks of queries, k kept of each batch."""
+    rows, asked = vectors.select(F.col(id_col).alias("doc"), vector), queries.select(F.col(query_id).alias("query_id"), query_vector)
+    return top_k(similar(rows, ["doc"], vector, asked, ["query_id"], query_vector, k=k, cosine=False), k).select("query_id", "doc", "score", "rank")
 
 
 def fuse(lists: Sequence[DataFrame], k: int = 60, by: Sequence[str] = ("query_id",)) -> DataFrame:

@@ -45,18 +45,23 @@ def extractive_model(prompts: list[str]) -> list[str]:
     return [next((x for x in reversed((p or "").splitlines()) if x.strip()), "") for p in prompts]
 
 
-def embed_missing(nodes: DataFrame, embed: Embed, text: str = "text", column: str = "embedding", batch: int = 32) -> DataFrame:
-    """Fill null embeddings, `batch` texts a call; rows that have one aren't sent to the model."""
+def embed_texts(text: Column, embed: Embed, batch: int = 32) -> Column:
+    """The vector of each text, `batch` texts a call."""
 
     def run(frames: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in frames:
             made: list[list[float]] = []
             for lo in range(0, len(s), batch):
                 made += embed([x or "" for x in s.iloc[lo : lo + batch]])
-            yield pd.Series(made)
+            yield pd.Series(made, dtype=object)
+
+    return F.pandas_udf(run, "array<float>")(text)
+
+
+def embed_missing(nodes: DataFrame, embed: Embed, text: str = "text", column: str = "embedding", batch: int = 32) -> DataFrame:
+    """Fill null embeddings, `batch` texts a call; rows that have one aren't sent to the model."""
 
-    udf = F.pandas_udf(run, "array<float>")
-    todo = nodes.where(F.col(column).isNull()).withColumn(column, udf(F.col(text)))
+    todo = nodes.where(F.col(column).isNull()).withColumn(column, embed_texts(F.col(text), embed, batch))
     return nodes.where(F.col(column).isNotNull()).unionByName(todo)
 
 
