@@ -6,10 +6,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Words of statutes that name no topic.
-LEGAL_STOPWORDS = frozenset(
-    "article paragraph section chapter regulation directive pursuant thereof herein whereas shall referred subparagraph annex recital provision point imposed processed implementing apply establish allow designate provided used approved issued empowered laid specified notified registered certain relevant available sufficiently proper balanced capable effective week month year period later delay urgent while periodic receipt forum journal code activity document order rule level format amount process subject right relation standard regard purpose information country union market cost price staff power".split()
-)
-SENTENCE_END = r"(?<=[.;])\s+(?=[A-Z(\"'])"
+LEGAL_STOPWORDS = frozenset((
+    "article", "paragraph", "section", "chapter", "regulation", "directive", "pursuant", "thereof", "herein", "whereas", "shall", "referred",
+    "subparagraph", "annex", "recital", "provision", "point", "imposed", "processed", "implementing", "apply", "establish", "allow", "designate",
+    "provided", "used", "approved", "issued", "empowered", "laid", "specified", "notified", "registered", "certain", "relevant", "available",
+    "sufficiently", "proper", "balanced", "capable", "effective", "week", "month", "year", "period", "later", "delay", "urgent", "while", "periodic",
+    "receipt", "forum", "journal", "code", "activity", "document", "order", "rule", "level", "format", "amount", "process", "subject", "right",
+    "relation", "standard", "regard", "purpose", "information", "country", "union", "market", "cost", "price", "staff", "power",
+))
+#: Marks that end a sentence, and what the next one may begin with: a capital, a bracket or a quote.
+ENDS, BEGINS = ".;", "\\p{Lu}(\"'“‘"
+SENTENCE_END = rf"(?<=[{ENDS}])\s+(?=[{BEGINS}])"
 
 
 def tokens(text: Column) -> Column:

@@ -8,12 +8,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# Classes of the published judgments' headings, keyword block and notes, and what opens their rulings.
 HEADING = r"^(?:coj-)?(?:sum-title-1|title-grseq-\d)$"
 INDEX = r"^(?:coj-)?index$"
 NOTE = r"^(?:coj-)?note$"
-PREAMBLE = ("Reports of Cases", "Topics", "General Information")
 OPERATIVE = r"(?i)hereby (?:rules|orders|declares)"
-SIGNATURE = r"(?i)^\[?\s*signatures?\s*\]?\.?$"
+# Headings of what stands before a judgment's body.
+PREAMBLE = ("Reports of Cases", "Topics", "General Information")
 
 
 def heading_class(css: Column) -> Column:
@@ -24,6 +25,11 @@ def squeeze(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"\s+", " "))
 
 
+def is_signature(text: Column) -> Column:
+    """The line that stands for the judges' signatures, whatever brackets and stops are around it."""
+    return F.lower(F.trim(F.translate(text, "[].", ""))).isin("signature", "signatures")
+
+
 def heading_rank(css: Column) -> Column:
     """Order of heading classes: title first, then the numbered levels."""
     return F.when(css.rlike("sum-title-1"), F.lit(0)).otherwise(F.regexp_extract(css, r"(\d)$", 1).try_cast("int"))
@@ -64,7 +70,7 @@ def sections(rows: DataFrame, depths: DataFrame) -> DataFrame:
 def section_tree(depths: DataFrame) -> DataFrame:
     """celex, seq, heading, depth, path, parent_seq of each section.
 
-    path counts siblings at each level (a skipped level is 0); the parent is
+    path counts siblings at each level from 0 (a skipped level is 0); the parent is
     the nearest earlier section that is shallower.  One fold over a document's
     headings, of which there are few.
     """
@@ -73,11 +79,11 @@ def section_tree(depths: DataFrame) -> DataFrame:
         named_struct('stack', cast(array() AS array<struct<n:int,seq:bigint>>), 'out', cast(array() AS array<struct<seq:bigint,heading:string,depth:int,path:string,parent_seq:bigint>>)),
         (acc, x) -> struct(
             concat(slice(transform(sequence(0, x.depth), i -> coalesce(get(acc.stack, i), named_struct('n', 0, 'seq', cast(NULL AS bigint)))), 1, x.depth),
-                   array(named_struct('n', coalesce(get(acc.stack, x.depth).n, 0) + 1, 'seq', cast(x.seq AS bigint)))) AS stack,
+                   array(named_struct('n', coalesce(get(acc.stack, x.depth).n, -1) + 1, 'seq', cast(x.seq AS bigint)))) AS stack,
             array_append(acc.out, named_struct('seq', cast(x.seq AS bigint), 'heading', x.heading, 'depth', x.depth,
                 'path', array_join(concat(transform(slice(transform(sequence(0, x.depth), i -> coalesce(get(acc.stack, i).n, 0)), 1, x.depth), n -> cast(n AS string)),
-                                          array(cast(coalesce(get(acc.stack, x.depth).n, 0) + 1 AS string))), '.'),
-                'parent_seq', element_at(filter(concat(array(cast(NULL AS bigint)), transform(slice(acc.stack, 1, x.depth), s -> s.seq)), s -> true), -1))) AS out),
+                                          array(cast(coalesce(get(acc.stack, x.depth).n, -1) + 1 AS string))), '.'),
+                'parent_seq', element_at(concat(array(cast(NULL AS bigint)), filter(transform(slice(acc.stack, 1, x.depth), s -> s.seq), s -> s IS NOT NULL)), -1))) AS out),
         acc -> acc.out)"""
     return depths.groupBy("celex").agg(heads.alias("_h")).select("celex", F.inline(F.expr(fold)))
 
@@ -93,7 +99,7 @@ def paragraphs(body: DataFrame) -> DataFrame:
     part = Window.partitionBy("celex", "section_seq").orderBy("seq")
     past = part.rowsBetween(Window.unboundedPreceding, 0)
     anchor = F.col("text").rlike(OPERATIVE)
-    rows = body.where(~F.col("text").rlike(SIGNATURE)).withColumn("_a", anchor).withColumn("is_operative", F.coalesce(F.max(F.col("_a").cast("int")).over(past), F.lit(0)) == 1)
+    rows = body.where(~is_signature(F.col("text"))).withColumn("_a", anchor).withColumn("is_operative", F.coalesce(F.max(F.col("_a").cast("int")).over(past), F.lit(0)) == 1)
     rows = rows.where(~F.col("_a"))
     own = F.nullif(F.regexp_extract(F.col("text"), r"^(\d+)[.)]?\s+", 1), F.lit(""))
     starts = F.when(F.col("is_operative"), F.col("text").rlike(r"^\d+[.)]\s+")).otherwise(F.col("text").rlike(r"^\d+\s+"))
@@ -108,3 +114,11 @@ def paragraphs(body: DataFrame) -> DataFrame:
 def totals(parts: DataFrame) -> DataFrame:
     """Sections, paragraphs and rulings of each judgment."""
     return parts.groupBy("celex").agg(F.count_distinct("section_seq").alias("sections"), F.count(F.lit(1)).alias("paragraphs"), F.sum(F.col("is_operative").cast("int")).alias("operative"))
+
+
+def graph_totals(sections: DataFrame, paragraphs: DataFrame) -> DataFrame:
+    """celex, sections, paragraphs, operative: what a judgment's graph holds."""
+    parts = paragraphs.groupBy(F.col("celex").alias("_c")).agg(F.count(F.lit(1)).alias("paragraphs"), F.sum(F.col("is_operative").cast("int")).alias("operative"))
+    heads = sections.groupBy("celex").agg(F.count(F.lit(1)).alias("sections"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    return heads.join(parts, F.col("celex") == F.col("_c"), "left").select("celex", "sections", zero("paragraphs"), zero("operative"))

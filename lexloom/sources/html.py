@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 MIN_HTML = 1000
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-HEADING = re.compile(r"^(?:coj-)?(?:sum-title-1|title-grseq-\d)$")
+# Fixed value: class of the notes of published judgments.
 NOTE = re.compile(r"^(?:coj-)?note$")
 
 
@@ -42,17 +42,21 @@ class Element:
         return self.attrs.get("class", "").split()
 
     def walk(self) -> Iterator[Element]:
-        for c in self.children:
-            if isinstance(c, Element):
-                yield c
-                yield from c.walk()
+        """Elements below this one in the order of the page, however deep."""
+        open_ = [c for c in reversed(self.children) if isinstance(c, Element)]
+        while open_:
+            e = open_.pop()
+            yield e
+            open_ += [c for c in reversed(e.children) if isinstance(c, Element)]
 
     def strings(self, skip: frozenset[str] = frozenset()) -> Iterator[str]:
-        for c in self.children:
+        open_ = list(reversed(self.children))
+        while open_:
+            c = open_.pop()
             if isinstance(c, str):
                 yield c
             elif c.tag not in skip:
-                yield from c.strings(skip)
+                open_ += reversed(c.children)
 
     def text(self, skip: frozenset[str] = frozenset()) -> str:
         return " ".join(" ".join(self.strings(skip)).split())
@@ -155,19 +159,19 @@ def judgment_rows(celex: str, root: Element) -> Iterator[tuple]:
     """(celex, seq, css, text) of a judgment in reading order; two-cell rows are one line, notes are left out."""
     seq = 0
 
-    def lines(e: Element) -> Iterator[tuple[str, str]]:
-        for c in e.children:
+    def lines(top: Element) -> Iterator[tuple[str, str]]:
+        open_: list[Element | str] = [top]
+        while open_:
+            c = open_.pop()
             if not isinstance(c, Element) or any(NOTE.match(x) for x in c.classes):
                 continue
-            if c.tag == "tr":
-                cells = [d for d in c.children if isinstance(d, Element) and d.tag in ("td", "th")]
-                if len(cells) == 2:
-                    yield "", f"{cells[0].text()} {cells[1].text(frozenset(('table',)))}".strip()
-                    continue
-            if c.tag == "p":
+            cells = [d for d in c.children if isinstance(d, Element) and d.tag in ("td", "th")] if c.tag == "tr" else []
+            if len(cells) == 2:
+                yield "", f"{cells[0].text()} {cells[1].text(frozenset(('table',)))}".strip()
+            elif c.tag == "p":
                 yield " ".join(c.classes), c.text()
             else:
-                yield from lines(c)
+                open_ += reversed(c.children)
 
     for css, text in lines(root):
         if text:
@@ -175,12 +179,20 @@ def judgment_rows(celex: str, root: Element) -> Iterator[tuple]:
             seq += 1
 
 
+def page_rows(key: str, root: Element) -> Iterator[tuple]:
+    """(celex, title, links, paragraphs) of any page: its title, and how many links and paragraphs it has."""
+    title = root.find("title")
+    tags = [e.tag for e in root.walk() if e.tag in ("a", "p") and (e.tag == "p" or "href" in e.attrs)]
+    yield key, "".join(title.strings()) if title else "", tags.count("a"), tags.count("p")
+
+
 SCHEMAS = {
     "act": "celex string, kind string, id string, parent string, number string, title string, text string, error string",
     "metadata": "celex string, case_celex string, reference string, error string",
     "judgment": "celex string, seq int, css string, text string, error string",
+    "page": "celex string, title string, links int, paragraphs int, error string",
 }
-_ROWS = {"act": act_rows, "metadata": metadata_rows, "judgment": judgment_rows}
+_ROWS = {"act": act_rows, "metadata": metadata_rows, "judgment": judgment_rows, "page": page_rows}
 
 
 def parse_pages(pages: DataFrame, kind: str, id_col: str = "celex", html: str = "html") -> DataFrame:
