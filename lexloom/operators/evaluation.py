@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexloom.functions.vectors import cosine
+from lexloom.prompts import CATALOGUE, Registry, fill
+from lexloom.providers import Embed, Generate, Score, embed_texts, generate, score_pairs
+
 OVERALL = "(all)"
 
 
@@ -54,3 +58,73 @@ def act_accuracy(rows: DataFrame) -> DataFrame:
     """detected, exact and abstained rates by expected act and over all, from (expected, predicted[])."""
     own = rows.withColumn("detected", F.array_contains("predicted", F.col("expected")).cast("double")).withColumn("exact", (F.col("predicted") == F.array("expected")).cast("double")).withColumn("abstained", (F.size("predicted") == 0).cast("double"))
     return averages(own, ["detected", "exact", "abstained"], "expected")
+
+
+def claims(texts: DataFrame, key: str, text: str, model: Generate, prompts: Registry = CATALOGUE) -> DataFrame:
+    """key, pos, claim: the claims a model finds in each text, one a line of its reply."""
+    reply = generate(fill(prompts.active("claim_extraction"), text=F.col(text)), model)
+    lines = F.filter(F.transform(F.split(F.coalesce("_r", F.lit("")), "\n"), lambda x: F.trim(F.regexp_replace(x, r"^\s*[-*]\s+", ""))), lambda x: x != "")
+    return texts.select(key, reply.alias("_r")).select(key, F.posexplode(lines).alias("pos", "claim"))
+
+
+def verify(pairs: DataFrame, score: Score, least: float = 0.5) -> DataFrame:
+    """pairs (claim, passage, ...) with verdict: 1 if the scorer gives the passage at least `least` for the claim."""
+    return pairs.withColumn("verdict", (score_pairs(F.col("claim"), F.col("passage"), score) >= least).cast("int"))
+
+
+def answer_scores(rows: DataFrame, model: Generate, score: Score, embed: Embed | None = None, prompts: Registry = CATALOGUE) -> DataFrame:
+    """answer, tp, fp, fn, precision, recall, f1, faithfulness, and the retrieval and relevancy metrics.
+
+    rows: answer (a key), question, response, ground_truth, contexts[].  A
+    claim of the response that the reference supports is a true positive, else
+    a false one; one of the reference that the response lacks is a false
+    negative (factual_precision and factual_recall are these shares).
+    faithfulness is the share of the response's claims that any context
+    supports; context_recall that of the reference's claims; context_precision
+    the mean precision at the ranks of contexts that support any claim of the
+    reference; answer_relevancy the likeness of question and response.
+    """
+    response = claims(rows, "answer", "response", model, prompts).withColumn("side", F.lit("response"))
+    reference = claims(rows, "answer", "ground_truth", model, prompts).withColumn("side", F.lit("reference"))
+    texts = rows.select("answer", "question", "response", "ground_truth", "contexts")
+    every = response.unionByName(reference).join(texts, "answer")
+    facts = verify(every.withColumn("passage", F.when(F.col("side") == "response", F.col("ground_truth")).otherwise(F.col("response"))), score)
+    counts = facts.groupBy("answer").agg(
+        F.count_if((F.col("side") == "response") & (F.col("verdict") == 1)).alias("tp"),
+        F.count_if((F.col("side") == "response") & (F.col("verdict") == 0)).alias("fp"),
+        F.count_if((F.col("side") == "reference") & (F.col("verdict") == 0)).alias("fn"),
+        F.avg(F.when(F.col("side") == "reference", F.col("verdict"))).alias("factual_recall"),
+    )
+    found = verify(every.select("answer", "side", "pos", "claim", F.posexplode("contexts").alias("rank", "passage")), score)
+    support = found.groupBy("answer", "side", "pos").agg(F.max("verdict").alias("v"))
+    shares = support.groupBy("answer").agg(F.avg(F.when(F.col("side") == "response", F.col("v"))).alias("faithfulness"), F.avg(F.when(F.col("side") == "reference", F.col("v"))).alias("context_recall"))
+    useful = found.where("side = 'reference'").groupBy("answer", "rank").agg(F.max("verdict").alias("v"))
+    seen = Window.partitionBy("answer").orderBy("rank")
+    at = useful.withColumn("p", F.sum("v").over(seen) / F.row_number().over(seen))
+    precision = at.groupBy("answer").agg(F.coalesce(F.try_divide(F.sum(F.col("v") * F.col("p")), F.sum("v")), F.lit(0.0)).alias("context_precision"))
+    if embed is not None:
+        like = cosine(embed_texts(F.col("question"), embed), embed_texts(F.col("response"), embed))
+    else:
+        like = score_pairs(F.col("question"), F.col("response"), score)
+    m = precision_recall_f1(F.col("tp"), F.col("fp"), F.col("fn"))
+    out = texts.select("answer", like.alias("answer_relevancy")).join(counts, "answer", "left").join(shares, "answer", "left").join(precision, "answer", "left")
+    zero = {c: F.coalesce(c, F.lit(0)) for c in ("tp", "fp", "fn")}
+    return out.withColumns(zero).withColumn("_m", m).select("answer", "tp", "fp", "fn", "_m.precision", "_m.recall", "_m.f1", "faithfulness", F.col("_m.precision").alias("factual_precision"), "factual_recall", "context_precision", "context_recall", "answer_relevancy")
+
+
+def experiment(questions: DataFrame, run: Callable[[DataFrame], DataFrame], key: str = "query_id") -> tuple[DataFrame, DataFrame]:
+    """(report, failed) of a run over questions: what the run gives back by key, and the questions it left out.
+
+    A question without a result fails alone; the others' rows stand.
+    """
+    done = run(questions)
+    report = questions.join(done, key)
+    return report, questions.join(done.select(key), key, "left_anti")
+
+
+def act_classification(rows: DataFrame, acts: DataFrame, model: Generate, least: float = 0.4) -> DataFrame:
+    """act_accuracy of the classifier on (query_id, text, expected): the graph's acts and a model are all it needs."""
+    from lexloom.plans.answering import classify
+
+    found = classify(rows, acts, model, least)
+    return act_accuracy(found.select("expected", F.col("acts").alias("predicted")))

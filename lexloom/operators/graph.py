@@ -33,9 +33,12 @@ def within(paths: DataFrame, low: int, high: int) -> DataFrame:
 
 
 def upsert_nodes(old: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:
-    """Merge new properties into nodes: a given value wins, a null one keeps what was there."""
+    """Merge new properties into nodes: a given value wins, a null one keeps what was there.
+
+    Of several new rows of one key each property's largest value is taken.
+    """
     extra = [c for c in new.columns if c not in old.columns]
-    a, b = old.alias("a"), new.dropDuplicates([key]).alias("b")
+    a, b = old.alias("a"), new.groupBy(key).agg(*(F.max(c).alias(c) for c in new.columns if c != key)).alias("b")
     cols = [F.coalesce(F.col(f"b.{c}"), F.col(f"a.{c}")).alias(c) if c in new.columns else F.col(f"a.{c}").alias(c) for c in old.columns]
     return a.join(b, F.col(f"a.{key}") == F.col(f"b.{key}"), "full_outer").select(*cols, *(F.col(f"b.{c}").alias(c) for c in extra))
 
@@ -51,8 +54,8 @@ def upsert_edges(old: DataFrame, new: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def update_by_key(old: DataFrame, new: DataFrame, keys: Sequence[str], column: str) -> DataFrame:
-    """Set one column where the key matches; rows of other keys are not added."""
-    values = new.select(*(F.col(k).alias(f"_{k}") for k in keys), F.col(column).alias("_v")).dropDuplicates([f"_{k}" for k in keys])
+    """Set one column where the key matches, to the largest value given; rows of other keys are not added."""
+    values = new.groupBy(*(F.col(k).alias(f"_{k}") for k in keys)).agg(F.max(column).alias("_v"))
     on = functools.reduce(lambda x, y: x & y, (F.col(k) == F.col(f"_{k}") for k in keys))
     return old.join(values, on, "left").select(*(F.coalesce("_v", c).alias(c) if c == column else F.col(c) for c in old.columns))
 

@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
-
-#: Used only where the session names no shared folder.
-LOCAL_CHECKPOINTS = "/tmp/checkpoints"
+import tempfile
 
+from pyspark.sql import SparkSession
 
 def session(name: str = "lexloom", master: str | None = None, **conf: str) -> SparkSession:
     builder = SparkSession.builder.appName(name).config("spark.sql.session.timeZone", "UTC").config("spark.sql.adaptive.enabled", "true")
@@ -18,5 +16,10 @@ def session(name: str = "lexloom", master: str | None = None, **conf: str) -> Sp
 
 
 def ensure_checkpoints(spark: SparkSession) -> None:
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or LOCAL_CHECKPOINTS)
+    """Checkpoints go to the folder named in spark.checkpoint.dir; without one, to a temporary one, on a local master only."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all nodes share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="lexloom-"))
