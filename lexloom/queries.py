@@ -15,10 +15,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexloom.functions import legal
-from lexloom.functions.text import candidate_terms, tokens
-from lexloom.functions.vectors import cosine, mean_vector
+from lexloom.functions.text import candidate_terms
+from lexloom.functions.vectors import dot, mean_vector
 from lexloom.operators import answers, evaluation, graph, judgments, retrieval, topics
-from lexloom.plans.retrieval import HybridConfig, hybrid
+from lexloom.plans.retrieval import HybridConfig, fused_search
 from lexloom.streaming import windows
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -122,24 +122,28 @@ def edge_upsert(spark, d):
     return graph.upsert_edges(new.limit(0), new, nodes)
 
 
-@query("SELECT o_orderkey, o_orderstatus, o_orderpriority FROM orders WHERE o_orderpriority NOT IN ('1-URGENT', '2-HIGH')")
+@query("""WITH n AS (SELECT 'node' AS kind, o_orderpriority AS label, CAST(o_orderkey AS VARCHAR) AS id, NULL AS other FROM orders WHERE o_orderpriority NOT IN ('1-URGENT', '2-HIGH')),
+    e AS (SELECT 'edge', a.o_orderpriority, CAST(a.o_orderkey AS VARCHAR), CAST(b.o_orderkey AS VARCHAR) FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey AND a.o_orderkey < b.o_orderkey
+        WHERE a.o_orderpriority NOT IN ('1-URGENT', '2-HIGH') AND b.o_orderpriority NOT IN ('1-URGENT', '2-HIGH'))
+    SELECT * FROM n UNION ALL SELECT * FROM e""")
 def delete_labels(spark, d):
-    nodes = t(spark, d, "orders").select("o_orderkey", "o_orderstatus", F.col("o_orderpriority").alias("label"))
-    edges = nodes.select(F.col("label").alias("src_label"), F.col("label").alias("dst_label"))
-    kept, _ = graph.delete_labels(nodes, edges, ["1-URGENT", "2-HIGH"])
-    return kept.withColumnRenamed("label", "o_orderpriority")
+    o = t(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("label"), "o_custkey")
+    a, b = o.select(F.col("id").alias("src"), F.col("label").alias("src_label"), "o_custkey"), o.select(F.col("id").alias("dst"), F.col("label").alias("dst_label"), "o_custkey")
+    nodes, edges = graph.delete_labels(o, a.join(b, "o_custkey").where("src < dst"), ["1-URGENT", "2-HIGH"])
+    kept = nodes.select(F.lit("node").alias("kind"), "label", F.col("id").cast("string").alias("id"), F.lit(None).cast("string").alias("other"))
+    return kept.unionByName(edges.select(F.lit("edge").alias("kind"), F.col("src_label").alias("label"), F.col("src").cast("string").alias("id"), F.col("dst").cast("string").alias("other")))
 
 
 # --- ranking -----------------------------------------------------------------
 
 
 def questions(spark: SparkSession, d: str) -> DataFrame:
-    """Each benchmark item's first eight words as a question."""
-    return t(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(tokens(F.col("text")), 1, 8), " ").alias("text"))
+    """Each benchmark item's whole text as a question."""
+    return t(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
 _TOKENS = "list_filter(string_split_regex(coalesce({0}, ''), '\\s+'), lambda x: x <> '')"
-_BM25 = f"""q AS (SELECT item_id AS query_id, unnest(({_TOKENS.format('text')})[1:8]) AS term FROM benchmark),
+_BM25 = f"""q AS (SELECT item_id AS query_id, unnest({_TOKENS.format('text')}) AS term FROM benchmark),
     qt AS (SELECT query_id, term, count(*) AS qf FROM q GROUP BY ALL),
     docs AS (SELECT doc_id AS doc, source, {_TOKENS.format('text')} AS ts FROM documents)"""
 _BM25_ALL = f"""{_BM25},
@@ -157,9 +161,7 @@ def _rounded(scores: DataFrame) -> DataFrame:
 
 
 def sparse(spark: SparkSession, d: str, k: int = 10) -> DataFrame:
-    docs = t(spark, d, "documents").select("doc_id", "text")
-    scores = retrieval.bm25_scores(retrieval.bm25_stats(docs, "doc_id", "text"), questions(spark, d), "text", "query_id")
-    return retrieval.top_k(_rounded(scores), k).select("query_id", "doc", "score", "rank")
+    return retrieval.bm25_top_k(t(spark, d, "documents"), questions(spark, d), k, id_col="doc_id").select("query_id", "doc", "score", "rank")
 
 
 @query(f"WITH {_BM25_ALL} SELECT query_id, doc, score, rank FROM sparse")
@@ -177,10 +179,8 @@ def bm25_topk(spark, d):
         FROM qt JOIN post USING (term) JOIN idf USING (source, term) JOIN docs USING (source, doc) JOIN n USING (source) GROUP BY ALL)
     SELECT query_id, source, doc, round(s, 6) AS score, row_number() OVER (PARTITION BY query_id, source ORDER BY round(s, 6) DESC, doc) AS rank FROM bm QUALIFY rank <= 3""")
 def bm25_per_source(spark, d):
-    docs = t(spark, d, "documents").select("source", "doc_id", "text")
-    stats = retrieval.bm25_stats(docs, "doc_id", "text", ["source"])
-    scores = retrieval.bm25_scores(stats, questions(spark, d), "text", "query_id", ["source"])
-    return retrieval.top_k(_rounded(scores), 3, ("query_id", "source")).select("query_id", "source", "doc", "score", "rank")
+    found = retrieval.bm25_top_k(t(spark, d, "documents"), questions(spark, d), 3, id_col="doc_id", group=("source",))
+    return found.select("query_id", "source", "doc", "score", "rank")
 
 
 def dense(spark: SparkSession, d: str, k: int = 10) -> DataFrame:
@@ -224,10 +224,8 @@ _CENTROIDS = """cent AS (SELECT label, list(m ORDER BY i) AS c FROM (
 def hyde_mean_search(spark, d):
     v = t(spark, d, "embeddings")
     means = mean_vector(v, ["label"], "embedding").select(F.col("label").alias("query_id"), "centroid")
-    pairs = v.join(retrieval.bounded(means), F.col("label") == F.col("query_id"))
-    from lexloom.functions.vectors import dot
-
-    scored = pairs.select("query_id", F.col("vec_id").alias("doc"), F.round(dot(F.col("embedding"), F.col("centroid")), 9).alias("score"))
+    pairs = v.join(means.withColumnRenamed("centroid", "_c"), F.col("label") == F.col("query_id"))
+    scored = pairs.select("query_id", F.col("vec_id").alias("doc"), F.round(dot(F.col("embedding"), F.col("_c")), 9).alias("score"))
     return _rounded(retrieval.top_k(scored, 5)).select("query_id", "doc", "score", "rank")
 
 
@@ -247,15 +245,15 @@ def hybrid_retrieve(spark, d):
     docs = t(spark, d, "documents").select(F.col("doc_id").alias("doc"), "text")
     vectors = t(spark, d, "embeddings").select(F.col("vec_id").alias("doc"), "embedding")
     asked = questions(spark, d).join(vectors.select(F.col("doc").alias("_d"), F.col("embedding").alias("query_vector")), F.col("query_id") == F.col("_d"), "left").drop("_d")
-    return hybrid(docs, vectors, asked, HybridConfig(top_k_final=5))
+    return fused_search(docs, vectors, asked, HybridConfig(top_k_final=5))
 
 
-@query("""WITH seeds AS (SELECT conv_id, turn FROM conversations WHERE text LIKE '%the%' AND turn % 3 = 0)
+@query("""WITH seeds AS (SELECT conv_id, turn FROM conversations WHERE text LIKE '%the%')
     SELECT DISTINCT c.conv_id, c.turn FROM conversations c JOIN seeds s ON c.conv_id = s.conv_id AND c.turn BETWEEN s.turn - 1 AND s.turn + 2
     WHERE NOT EXISTS (SELECT 1 FROM seeds x WHERE x.conv_id = c.conv_id AND x.turn = c.turn)""")
 def neighbour_expand(spark, d):
     turns = t(spark, d, "conversations").select("conv_id", "turn", "text")
-    seeds = turns.where(F.contains("text", F.lit("the")) & (F.col("turn") % 3 == 0)).select("conv_id", "turn")
+    seeds = turns.where(F.contains("text", F.lit("the"))).select("conv_id", "turn")
     return retrieval.neighbours(seeds, turns.select("conv_id", "turn").distinct(), 2, "conv_id", "turn")
 
 
@@ -333,37 +331,31 @@ def pair_merge_candidates(spark, d):
     return _rounded(topics.merge_candidates(concepts(spark, d), 0.0))
 
 
-@query(f"""WITH {_CENTROIDS}, v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id < 100),
+@query(f"""WITH {_CENTROIDS}, v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
     s AS (SELECT vec_id, max(round(list_cosine_similarity(e, c), 9)) AS best FROM v, cent GROUP BY vec_id)
     SELECT 'two ' || vec_id AS label FROM s WHERE best >= 0.2 UNION ALL SELECT CAST(label AS VARCHAR) FROM cent""")
 def seed_validate(spark, d):
     seeds = concepts(spark, d).select("label", "embedding")
-    other = t(spark, d, "embeddings").where("vec_id < 100").select(F.concat(F.when(F.col("vec_id") % 1 == 0, F.lit("two ")), F.col("vec_id").cast("string")).alias("label"), F.transform("embedding", lambda x: x.cast("double")).alias("embedding"))
+    other = t(spark, d, "embeddings").select(F.concat(F.lit("two "), F.col("vec_id").cast("string")).alias("label"), F.transform("embedding", lambda x: x.cast("double")).alias("embedding"))
     return topics.validate(seeds.unionByName(other), seeds, 0.2).select("label")
 
 
-@query(r"""WITH w AS (SELECT doc_id, unnest(string_split_regex(text, '\s+')) AS tok, generate_subscripts(string_split_regex(text, '\s+'), 1) AS p FROM documents WHERE lang = 'en'),
-    ok AS (SELECT lower(tok) AS term, CAST(doc_id AS BIGINT) * 1000000 + p - 1 AS pos FROM w WHERE regexp_full_match(tok, '[A-Za-z]+') AND length(tok) > 3)
+@query(r"""WITH w AS (SELECT doc_id, unnest(string_split_regex(text, '\s+')) AS tok, generate_subscripts(string_split_regex(text, '\s+'), 1) AS p FROM documents),
+    ok AS (SELECT lower(tok) AS term, CAST(doc_id AS BIGINT) * 1000000 + p - 1 AS pos FROM w WHERE regexp_full_match(tok, '[\p{L}]+') AND length(tok) > 3)
     SELECT term, count(*) AS n, min(pos) AS first FROM ok WHERE term NOT IN ('that', 'with') GROUP BY term ORDER BY n DESC, first, term LIMIT 200""")
 def term_freq(spark, d):
-    rows = t(spark, d, "documents").where("lang = 'en'").select("doc_id", F.posexplode(F.split("text", r"\s+")).alias("p", "tok"))
-    rows = rows.where(F.col("tok").rlike("^[A-Za-z]+$")).select("tok", (F.col("doc_id") * 1000000 + F.col("p")).alias("pos"))
+    rows = t(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", r"\s+")).alias("p", "tok"))
+    rows = rows.select("tok", (F.col("doc_id") * 1000000 + F.col("p")).alias("pos"))
     return candidate_terms(rows, "tok", "pos", values(spark, "('that'), ('with')", "term"), 200)
 
 
-@query(r"""WITH s AS (SELECT doc_id, list_filter(list_transform(string_split(text, '. '), lambda x: trim(x)), lambda x: x <> '') AS ss FROM documents),
-    k AS (SELECT doc_id, CASE WHEN len(ss) > 1 THEN ss[2:] ELSE ss END AS ks FROM s)
-    SELECT doc_id AS paragraph_id, CAST(generate_subscripts(ks, 1) - 1 AS INTEGER) AS chunk_index, unnest(ks) AS text FROM k""")
-def sentence_chunks(spark, d):
-    rows = t(spark, d, "documents").select("doc_id", F.explode(F.array(F.filter(F.transform(F.split("text", r"\. "), lambda x: F.trim(x)), lambda x: x != ""))).alias("_s"))
-    kept = F.when(F.size("_s") > 1, F.slice("_s", 2, F.greatest(F.size("_s"), F.lit(1)))).otherwise(F.col("_s"))
-    return rows.select(F.col("doc_id").alias("paragraph_id"), F.posexplode(kept).alias("chunk_index", "text"))
-
-
 @query()
 def affinity_cluster(spark, d):
-    rows = t(spark, d, "embeddings").where("vec_id < 300").select(F.col("label").cast("string").alias("label"), F.format_string("term %d", "vec_id").alias("term"), F.transform("embedding", lambda x: x.cast("double")).alias("embedding"))
-    return topics.derive(rows).select("parent", "label", F.size("terms").alias("n_terms"))
+    """Every vector is offered as a term; each concept's 40 best are clustered."""
+    own = concepts(spark, d)
+    terms = t(spark, d, "embeddings").select(F.format_string("term %d", "vec_id").alias("term"), F.lit("").alias("definition"), F.transform("embedding", lambda x: x.cast("double")).alias("embedding"))
+    kept = topics.enrich(terms, own, own.select("label", F.col("embedding").alias("centroid")), 0.0, 40)
+    return topics.derive(kept.select("label", "term", "embedding")).select("parent", "label", F.size("terms").alias("n_terms"))
 
 
 @query()
@@ -423,9 +415,9 @@ _CITE_RE = r"(?i)\bArticles?\s+((?:\d+(?:\([^)]{1,16}\))*)(?:\s*(?:,|and)\s*\d+(
     SELECT txt AS text, list_transform(ns, lambda x: '32016R0679art_' || CAST(CAST(x AS INT) AS VARCHAR)) AS cited FROM n""".replace("\\\\", "\\"))
 def citation_extract(spark, d):
     rows = values(spark, _CITES, "text").withColumn("celex", F.lit("32016R0679"))
-    pattern = spark.range(1).select(F.lit("32016R0679").alias("celex"), F.lit(legal.citation_pattern("32016R0679")).alias("pattern"))
-    joined = rows.join(F.broadcast(pattern), "celex")  # one row an act of the catalogue
-    return joined.select("text", legal.cited_articles(F.col("text"), F.col("celex"), F.col("pattern")).alias("cited"))
+    forms = spark.createDataFrame([("32016R0679", legal.surface_forms("32016R0679"))], "celex string, forms array<string>")
+    joined = rows.join(F.broadcast(forms), "celex")  # one row an act of the catalogue
+    return joined.select("text", legal.cited_articles(F.col("text"), F.col("celex"), F.col("forms")).alias("cited"))
 
 
 _REFS = "('See Article 5 and article 7, Articles 12 to 15 and Art. 3'),('Articles 5 and 6'),('Articles 9 to 8, Article 9'),('none')"
@@ -456,9 +448,15 @@ def case_number(spark, d):
     return values(spark, "('62019CJ0645'),('62018CJ0311'),('62012TJ0007'),('32016R0679')", "celex").select("celex", legal.case_number(F.col("celex")).alias("case_number"))
 
 
-@query("SELECT * FROM (VALUES ('A01', NULL, 'art_1', NULL), ('A02P1', NULL, 'art_2', '002.001'), ('A04PT11', NULL, 'art_4', '004.011'), ('CH8', 'CH8', NULL, NULL)) t(ref, chapter, article, paragraph)")
+@query("""WITH t AS (SELECT unnest(['A' || lpad(CAST(n_nationkey AS VARCHAR), 2, '0'), 'A' || lpad(CAST(n_nationkey AS VARCHAR), 2, '0') || 'P' || n_regionkey, 'A' || n_nationkey || 'PT' || (n_nationkey * 7), 'CH' || n_regionkey, lower(n_name)]) AS ref FROM nation),
+    p AS (SELECT ref, TRY_CAST(regexp_extract(ref, '^A([0-9]+)', 1) AS INT) AS a, coalesce(TRY_CAST(regexp_extract(ref, 'PT([0-9]+)$', 1) AS INT), TRY_CAST(regexp_extract(ref, 'P([0-9]+)$', 1) AS INT)) AS n FROM t)
+    SELECT ref, CASE WHEN starts_with(ref, 'CH') THEN ref END AS chapter, CASE WHEN a > 0 THEN 'art_' || a END AS article,
+        CASE WHEN n IS NOT NULL AND a IS NOT NULL THEN printf('%03d', a) || '.' || printf('%03d', n) END AS paragraph FROM p""")
 def ref_normalise(spark, d):
-    rows = values(spark, "('A01'),('A02P1'),('A04PT11'),('CH8')", "ref").withColumn("p", legal.normalise_reference(F.col("ref")))
+    key, region = F.col("n_nationkey").cast("string"), F.col("n_regionkey").cast("string")
+    two = F.concat(F.lit("A"), F.lpad(key, 2, "0"))
+    refs = F.array(two, F.concat(two, F.lit("P"), region), F.concat(F.lit("A"), key, F.lit("PT"), (F.col("n_nationkey") * 7).cast("string")), F.concat(F.lit("CH"), region), F.lower("n_name"))
+    rows = t(spark, d, "nation").select(F.explode(refs).alias("ref")).withColumn("p", legal.normalise_reference(F.col("ref")))
     return rows.select("ref", "p.*")
 
 
@@ -474,24 +472,30 @@ def act_keywords(spark, d):
     return values(spark, _ASKED, "id, text").select("id", F.when(F.size(acts) > 0, acts).alias("acts"), legal.act_of(F.col("text")).alias("first_act"))
 
 
-@query("SELECT * FROM (VALUES (1, ['32016R0679', '32023R2854', '32022R0868']), (2, ['32022R0868']), (3, CAST([] AS VARCHAR[]))) t(id, acts)")
+@query(f"""WITH k(o, word, celex) AS (VALUES {_KEYWORDS}),
+    q AS (SELECT conv_id AS id, turn, coalesce(text, '') || CASE turn % 4 WHEN 0 THEN ' of the Data Act' WHEN 1 THEN ' GDPR' ELSE '' END AS txt FROM conversations),
+    s AS (SELECT id, turn, celex, ((id * m + turn * 11) % 10) / 10.0::DOUBLE AS score FROM q, (VALUES ('32016R0679', 7), ('32022R0868', 5), ('32023R2854', 3), ('32024R1689', 2)) c(celex, m)),
+    named AS (SELECT id, turn, celex, 1000 + min(o) AS o FROM q JOIN k ON contains(lower(txt), word) GROUP BY ALL),
+    every AS (SELECT id, turn, celex, row_number() OVER (PARTITION BY id, turn ORDER BY score DESC, celex) AS o FROM s WHERE score >= 0.4 UNION ALL SELECT * FROM named),
+    once AS (SELECT id, turn, celex, min(o) AS o FROM every GROUP BY ALL)
+    SELECT q.id, q.turn, coalesce((list(celex ORDER BY o) FILTER (celex IS NOT NULL))[1:3], []) AS acts FROM q LEFT JOIN once USING (id, turn) GROUP BY q.id, q.turn""")
 def act_select(spark, d):
-    rows = spark.sql("""SELECT * FROM VALUES
-        (1, 'What of the Data Governance Act?', array(named_struct('celex', '32016R0679', 'score', 0.9D), named_struct('celex', '32023R2854', 'score', 0.5D), named_struct('celex', '32024R1689', 'score', 0.1D))),
-        (2, 'governance', array(named_struct('celex', '32016R0679', 'score', 0.9D), named_struct('celex', '32016R0679', 'score', 0.2D))),
-        (3, 'nothing', array()) AS t(id, text, scores)""")
-    return rows.select("id", legal.select_acts(F.col("scores"), F.col("text")).alias("acts"))
+    more = F.when(F.col("turn") % 4 == 0, " of the Data Act").when(F.col("turn") % 4 == 1, " GDPR").otherwise("")
+    score = lambda m: ((F.col("conv_id") * m + F.col("turn") * 11) % 10) / F.lit(10.0)
+    scores = F.array(*(F.struct(F.lit(c).alias("celex"), score(m).alias("score")) for c, m in (("32016R0679", 7), ("32022R0868", 5), ("32023R2854", 3), ("32024R1689", 2))))
+    return t(spark, d, "conversations").select(F.col("conv_id").alias("id"), "turn", legal.select_acts(scores, F.concat(F.coalesce("text", F.lit("")), more)).alias("acts"))
 
 
-@query("SELECT * FROM (VALUES ('32022R0868art_1', 'Data Governance Act, Article 1'), ('32016R0679_005.001', 'GDPR, Article 5(1)'), ('32016R0679_004.0', 'GDPR, Article 4'), ('32022R0868rct_46', 'Data Governance Act, Recital 46'), ('62019CJ0645_par_3', '62019CJ0645_par_3')) t(id, shown)")
+@query("""WITH n(celex, name) AS (VALUES ('32022R0868', 'Data Governance Act'), ('32023R2854', 'Data Act'), ('32024R1689', 'AI Act'), ('32016R0679', 'GDPR'), ('32000L0031', '32000L0031')),
+    i AS (SELECT celex, name, c_custkey AS k, c_nationkey AS m FROM customer JOIN n ON true),
+    s AS (SELECT celex || 'art_' || k AS id, name || ', Article ' || k AS shown FROM i UNION ALL SELECT celex || 'rct_' || k, name || ', Recital ' || k FROM i
+        UNION ALL SELECT celex || '_' || lpad(CAST(k % 1000 AS VARCHAR), 3, '0') || '.' || m, name || ', Article ' || (k % 1000) || CASE WHEN m = 0 THEN '' ELSE '(' || m || ')' END FROM i
+        UNION ALL SELECT '62019CJ0645_par_' || k, '62019CJ0645_par_' || k FROM i) SELECT DISTINCT id, shown FROM s""")
 def id_display(spark, d):
-    ids = values(spark, "('32022R0868art_1'),('32016R0679_005.001'),('32016R0679_004.0'),('32022R0868rct_46'),('62019CJ0645_par_3')", "id")
-    return ids.select("id", legal.pretty_id(F.col("id")).alias("shown"))
-
-
-@query("SELECT page_id, regexp_extract(html, '<title>([^<]*)', 1) AS title, len(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1)) AS links, length(html) >= 1000 AS valid FROM pages")
-def html_title_links(spark, d):
-    return t(spark, d, "pages").select("page_id", F.regexp_extract("html", "<title>([^<]*)", 1).alias("title"), F.size(F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), F.lit(1))).cast("long").alias("links"), (F.length("html") >= 1000).alias("valid"))
+    rows = t(spark, d, "customer").select(F.explode(F.array(*(F.lit(c) for c in (*legal.ACT_NAMES, "32000L0031")))).alias("c"), F.col("c_custkey").alias("k"), F.col("c_nationkey").cast("string").alias("m"))
+    k = F.col("k").cast("string")
+    ids = F.array(F.concat("c", F.lit("art_"), k), F.concat("c", F.lit("rct_"), k), F.concat("c", F.lit("_"), F.lpad((F.col("k") % 1000).cast("string"), 3, "0"), F.lit("."), "m"), F.concat(F.lit("62019CJ0645_par_"), k))
+    return rows.select(F.explode(ids).alias("id")).distinct().select("id", legal.pretty_id(F.col("id")).alias("shown"))
 
 
 # --- answers and evaluation ----------------------------------------------------------
@@ -503,12 +507,12 @@ def _ranked(spark: SparkSession, d: str) -> DataFrame:
     place = F.row_number().over(Window.partitionBy("source").orderBy(F.desc("n_chars"), "doc_id"))
     top = rows.withColumn("r", place)
     sources = F.transform(F.array_sort(F.collect_list(F.when(F.col("r") <= 10, F.struct("r", "doc_id")))), lambda x: x["doc_id"])
-    expected = F.array_sort(F.collect_list(F.when((F.col("quality") == 1) & (F.col("doc_id") % 3 == 0), F.col("doc_id"))))
+    expected = F.array_sort(F.collect_list(F.when(F.col("quality") == 1, F.col("doc_id"))))
     return top.groupBy("source").agg(sources.alias("sources"), expected.alias("expected"))
 
 
 _RANKED = """r AS (SELECT source, doc_id, quality, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS r FROM documents JOIN labels USING (doc_id)),
-    lists AS (SELECT source, coalesce(list(doc_id ORDER BY r) FILTER (r <= 10), []) AS s, coalesce(list(doc_id) FILTER (quality = 1 AND doc_id % 3 = 0), []) AS e FROM r GROUP BY source),
+    lists AS (SELECT source, coalesce(list(doc_id ORDER BY r) FILTER (r <= 10), []) AS s, coalesce(list(doc_id) FILTER (quality = 1), []) AS e FROM r GROUP BY source),
     ir AS (SELECT source, CASE WHEN list_contains(e, s[1]) THEN 1.0 ELSE 0.0 END AS top1_anchor,
         CASE WHEN len(e) = 0 THEN 0.0 ELSE len(list_intersect(s, e)) / len(e)::DOUBLE END AS recall_at_k,
         coalesce(1.0 / list_min(list_filter(list_transform(s, lambda x, i: CASE WHEN list_contains(e, x) THEN i END), lambda i: i IS NOT NULL)), 0.0) AS mrr FROM lists)"""
@@ -564,10 +568,11 @@ def source_numbering(spark, d):
     return answers.number_sources(rows).select("answer", F.col("pos").alias("id"), "marker")
 
 
-@query("SELECT * FROM (VALUES ('curate', 'active', 2), ('route', 'active', 0), ('curate', 'duplicate v1', 2)) t(name, problem, n)")
+@query("""WITH p AS (SELECT p_brand AS name, p_type AS version, p_size > 45 AS active FROM part)
+    SELECT name, 'active' AS problem, count(*) FILTER (active) AS n FROM p GROUP BY name HAVING count(*) FILTER (active) <> 1
+    UNION ALL SELECT name, 'duplicate ' || version, count(*) FROM p GROUP BY name, version HAVING count(*) > 1""")
 def prompt_active_check(spark, d):
-    rows = values(spark, "('answer','v1',false),('answer','v2',true),('curate','v1',true),('curate','v1',true),('route','v1',false)", "name, version, active")
-    return answers.prompt_problems(rows)
+    return answers.prompt_problems(t(spark, d, "part").select(F.col("p_brand").alias("name"), F.col("p_type").alias("version"), (F.col("p_size") > 45).alias("active")))
 
 
 # --- events --------------------------------------------------------------------------

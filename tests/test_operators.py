@@ -1,5 +1,9 @@
 """Operators on small inline tables, traps of their semantics included."""
 
+import os
+import random
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -112,7 +116,7 @@ def test_judgment(spark):
     got = {(r.number, r.text, r.is_operative) for r in judgments.paragraphs(judgments.sections(rows, depths)).collect()}
     assert got == {(1, "First\nmore", False), (2, "Second", False), (1, "Article 5 stays.", True)}
     tree = {r.heading: (r.path, r.parent_seq) for r in judgments.section_tree(depths).collect()}
-    assert tree["Context"][0] == "1.1" and tree["Costs"][0] == "1.2"
+    assert tree["Judgment"][0] == "0" and tree["Context"][0] == "0.0" and tree["Costs"][0] == "0.1"
     assert "->" in sinks.dot_lines(judgments.section_tree(depths)).first()["dot"]
 
 
@@ -197,3 +201,153 @@ def test_aske_generation_offers_every_vector(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(topics, "run_cycle", lambda s, chunks, seeds, terms, **more: offered.extend(r.term for r in terms.collect()) or cycle(s, chunks, seeds, terms, **more))
     assert queries.QUERIES["aske_generation"](spark, str(tmp_path)).count() > 0
     assert sorted(offered) == sorted(f"term {i}" for i in range(40))
+
+
+def brute_sections(heads):
+    """(path, parent seq) of (seq, depth) headings: counters a level, and the nearest open shallower section."""
+    out, counters, open_ = {}, [], {}
+    for seq, depth in heads:
+        if depth < len(counters):
+            counters = counters[: depth + 1]
+            counters[depth] += 1
+        else:
+            counters += [0] * (depth + 1 - len(counters))
+        parents = [open_[d] for d in sorted(open_) if d < depth]
+        out[seq] = (".".join(map(str, counters)), parents[-1] if parents else None)
+        open_ = {d: s for d, s in open_.items() if d < depth} | {depth: seq}
+    return out
+
+
+def test_section_tree_against_brute_force(spark):
+    rng = random.Random(8)
+    docs = {f"d{k}": [(s, rng.randrange(4)) for s in range(rng.randint(1, 25))] for k in range(40)}
+    rows = [(c, s, d, f"h{s}") for c, heads in docs.items() for s, d in heads]
+    got = {(r.celex, r.seq): (r.path, r.parent_seq) for r in judgments.section_tree(spark.createDataFrame(rows, "celex string, seq int, depth int, text string")).collect()}
+    assert got == {(c, s): v for c, heads in docs.items() for s, v in brute_sections(heads).items()}
+
+
+CITES = {
+    "Article 1 of the Privacy Shield Decision and Article 45(1) of the GDPR": ["45"],
+    "Articles 7, 8 and 47 of the Charter, Article 5 of Directive 95/46": [],
+    "Articles 44 to 50 of the GDPR": [],
+    "Articles 56 and 60 of Regulation (EU) 2016/679 and Article 61(8) of that regulation": ["56", "60", "61"],
+    "ARTICLE 5(1)(a) and (b) of the GDPR; Article 6 of Regulation No 2016/679": ["6"],
+    "Article 9 of  the\nRegulation (EU) No 2016/679, read with article 9(2) of the gdpr": ["9"],
+    "the article of the GDPR, Articles of Regulation 2016/679, Article 3 of GDPR": [],
+    "": [],
+}
+
+
+def test_citations(spark):
+    rows = [(t, "32016R0679", legal.surface_forms("32016R0679")) for t in CITES]
+    df = spark.createDataFrame(rows, "text string, celex string, forms array<string>")
+    got = {r.text: r.c for r in df.select("text", legal.cited_articles(F.col("text"), F.col("celex"), F.col("forms")).alias("c")).collect()}
+    assert got == {t: [f"32016R0679art_{n}" for n in ns] for t, ns in CITES.items()}
+    assert "that regulation" not in legal.surface_forms("32016R0679", False) and legal.surface_forms("62019CJ0645") == []
+    assert "directive 95/46" in legal.surface_forms("31995L0046")
+
+
+def test_upsert_takes_the_largest_of_several(spark):
+    old = spark.createDataFrame([("a", "x")], "id string, title string")
+    new = spark.createDataFrame([("a", "y"), ("a", "z"), ("b", None), ("b", "w")], "id string, title string")
+    assert {tuple(r) for r in graph.upsert_nodes(old, new).collect()} == {("a", "z"), ("b", "w")}
+    assert {tuple(r) for r in graph.update_by_key(old, new, ["id"], "title").collect()} == {("a", "z")}
+
+
+def test_graph_helpers(spark):
+    paragraphs = spark.createDataFrame([("p1",), ("p2",)], "id string")
+    topics = spark.createDataFrame([("p1", ["a", "b", None]), ("p3", ["a"])], "paragraph_id string, topics array<string>")
+    assert {tuple(r) for r in graph.link_topics(topics, paragraphs).collect()} == {("p1", "a"), ("p1", "b")}
+    nodes = spark.createDataFrame([("Act", "X", None), ("Act", "Y", [1.0])], "label string, id string, embedding array<float>")
+    assert graph.exists(nodes, "Act", "X") and not graph.exists(nodes, "Act", "Z") and [r.id for r in graph.missing(nodes).collect()] == ["X"]
+
+
+def test_blockwise_products(spark, monkeypatch):
+    from lexloom.operators import blocks
+
+    monkeypatch.setattr(blocks, "BLOCK_BYTES", 700)
+    monkeypatch.setattr(blocks, "SLICE", 2)
+    rng = np.random.default_rng(2)
+    rows = [(i, rng.standard_normal(5).round(1).tolist()) for i in range(60)] + [(100, None), (101, [1.0]), (102, [0.0] * 5), (103, [None] * 5)]
+    side = [(f"q{i}", rng.standard_normal(5).round(1).tolist()) for i in range(9)] + [("none", None), ("short", [2.0])]
+    a, b = spark.createDataFrame(rows, "doc int, v array<double>"), spark.createDataFrame(side, "q string, w array<double>")
+    good = lambda v, n: v is not None and len(v) == n and None not in v
+    want = {}
+    for i, v in rows:
+        for q, w in side:
+            if w is not None and good(v, len(w)) and np.linalg.norm(v) and np.linalg.norm(w):
+                want[i, q] = float(np.dot(v, w) / np.linalg.norm(v) / np.linalg.norm(w))
+    got = {(r.doc, r.q): r.score for r in blocks.similar(a, ["doc"], "v", b, ["q"], "w", 0.2).collect()}
+    assert got == pytest.approx({k: x for k, x in want.items() if x >= 0.2}, abs=1e-8)
+    top = retrieval.dense_top_k(a, b, 3, "doc", "v", "q", "w").collect()
+    for q, w in side[:9]:
+        dots = sorted(((-round(float(np.dot(v, w)), 9), i) for i, v in rows if good(v, 5)))[:3]
+        assert sorted((r["rank"], r.doc) for r in top if r.query_id == q) == [(k, i) for k, (_, i) in enumerate(dots, 1)]
+
+
+def test_bm25_top_k_equals_all_scores(spark, monkeypatch):
+    from lexloom.operators import blocks
+
+    monkeypatch.setattr(blocks, "BLOCK_BYTES", 400)
+    rng = random.Random(3)
+    word = lambda: rng.choice("a b c d e f g h A B \u00e9 rare".split())
+    docs = spark.createDataFrame([(i, f"s{i % 2}", " ".join(word() for _ in range(rng.randint(0, 30)))) for i in range(80)] + [(90, "s0", None), (91, "s1", "a\ta\n b")], "doc int, source string, text string")
+    asked = spark.createDataFrame([(i, f"s{i % 2}", " ".join(word() for _ in range(5))) for i in range(12)] + [(50, "s0", ""), (51, "s1", None)], "query_id int, source string, text string")
+    for group, own in (((), False), (("source",), False), (("source",), True)):
+        q = asked if own else asked.drop("source")
+        scores = retrieval.bm25_scores(retrieval.bm25_stats(docs, "doc", "text", group), q, "text", "query_id", group, own)
+        want = retrieval.top_k(scores.withColumn("score", F.round("score", 6)), 4, ("query_id", *group))
+        got = retrieval.bm25_top_k(docs, q, 4, group=group)
+        key = lambda df: sorted((r.query_id, *(r[c] for c in group), r["rank"], r.doc, round(r.score, 5)) for r in df.collect())
+        assert key(got) == key(want) and key(got)
+
+
+def test_classify_ties_and_validate(spark):
+    seeds = spark.createDataFrame([("data law", [1.0, 0.0])], "label string, embedding array<double>")
+    rows = spark.createDataFrame([("data law", [1.0, 0.0]), ("oneword", [1.0, 0.0]), ("two words", [0.9, 0.1]), ("far off", [0.0, 1.0])], "label string, embedding array<double>")
+    assert {r.label for r in topics.validate(rows, seeds).collect()} == {"data law", "two words"}
+
+
+def test_sinks_and_logs(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a")], "k int, v string")
+    sinks.write_tables({"t": df}, str(tmp_path / "g"), {"t": ["k"]})
+    assert spark.read.parquet(str(tmp_path / "g/t")).count() == 1
+    sinks.clear({"t": df}, str(tmp_path / "h"))
+    assert spark.read.parquet(str(tmp_path / "h/t")).count() == 0
+    pages = spark.createDataFrame([("X", "x" * 1200, "u"), ("Y", "short", "v")], "celex string, html string, url string")
+    assert [r.celex for r in sinks.land_pages(pages, str(tmp_path / "l")).collect()] == ["X"]
+    log = sinks.run_log(str(tmp_path / "run.log"), "lexloom-test")
+    sinks.run_log(str(tmp_path / "run.log"), "lexloom-test").info("once")
+    assert (tmp_path / "run.log").read_text().count("once") == 1 and len(log.handlers) == 1
+    sinks.write_json(df, str(tmp_path / "j"))
+    assert spark.read.json(str(tmp_path / "j")).first().v == "a"
+    report = spark.createDataFrame([("b", ["y", "x", "x"], True), ("a", ["z"], True), ("c", ["q"], False)], "label string, terms array<string>, active boolean")
+    assert [(r.label, r.terms) for r in sinks.concept_report(report).collect()] == [("a", ["z"]), ("b", ["x", "y"])]
+
+
+def test_files(spark, tmp_path):
+    from lexloom.sources import files
+
+    (tmp_path / "q.json").write_text('[{"act": "A", "question": "Q", "ground_truth": "G"}]')
+    assert files.read_questions(spark, str(tmp_path / "q.json")).first().question == "Q"
+    (tmp_path / "32016R0679.html").write_text("<p>x</p>")
+    assert tuple(files.read_pages(spark, str(tmp_path / "32016R0679.html")).first()) == ("32016R0679", "<p>x</p>")
+    for k, name in enumerate(("old", "new", "other")):
+        (tmp_path / f"{name}.csv").write_text("question,ground_truth,answer\na,b,c\n" if name != "other" else "x\n1\n")
+        os.utime(tmp_path / f"{name}.csv", (1000 + k, 1000 + k))
+    paths = [str(tmp_path / f"{n}.csv") for n in ("old", "new", "other")]
+    assert files.results(spark, paths) == [paths[1], paths[0]]
+    known = spark.createDataFrame([("B",), ("A",), ("A",)], "celex string")
+    assert [r.celex for r in files.celex_list(spark, ["x1"], known).collect()] == ["X1"]
+    assert [r.celex for r in files.celex_list(spark, None, known, 1).collect()] == ["A"]
+
+
+def test_metadata_parser(spark):
+    html = "<div id='PPLinked_Contents'><dl><dt>x</dt><dd><ul><li class='defaultUnderlined'>A02P1 Interpreted by <a data-celex='62019CJ0645'>c</a></li><li class='defaultUnderlined'>A03 Amended by <a data-celex='Z'>z</a></li></ul></dd></dl></div>"
+    rows = parse_pages(spark.createDataFrame([("X", html)], "celex string, html string"), "metadata").collect()
+    assert [(r.case_celex, r.reference) for r in rows] == [("62019CJ0645", "A02P1")]
+
+
+def test_parser_survives_deep_pages(spark):
+    deep = "<div>" * 20_000 + "<p>x</p>"
+    assert parse_pages(spark.createDataFrame([("X", deep)], "celex string, html string"), "judgment").first().text == "x"
