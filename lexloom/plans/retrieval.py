@@ -133,15 +133,16 @@ def case_law(passages: DataFrame, questions: DataFrame, config: HybridConfig, sc
     dense = dense_top_k(own.dropDuplicates(["doc"]), asked.where("query_vector is not null"), config.top_k_dense, id_col="doc").join(inside, ["query_id", "doc"], "left_semi")
     dense = dense.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("rank")))
     sparse = bm25_top_k(own, asked, config.top_k_sparse, group=("scope",))
-    pool = top_k(fuse([dense, sparse], config.rrf_k), config.max_case_law * 3)
-    scored = _judged(_with_text(pool, own, asked), config, score)
+    # A few rows a question, met several times below.
+    pool = top_k(fuse([dense, sparse], config.rrf_k), config.max_case_law * 3).persist()
+    scored = _judged(_with_text(pool, own, asked), config, score).persist()
     seeds = top_k(scored, config.max_case_law).where(F.col("score") >= config.case_law_threshold)
     near = seeds.select("query_id", F.explode(legal.neighbour_ids(F.col("doc"), config.neighbour_window)).alias("doc")).distinct()
     near = near.join(inside, ["query_id", "doc"], "left_semi").join(scored.select("query_id", "doc"), ["query_id", "doc"], "left_anti")
     near = near.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("doc")))
-    every = scored.unionByName(_judged(_with_text(near, own, asked), config, score))
+    every = scored.unionByName(_judged(_with_text(near, own, asked), config, score)).persist()
     about = own.select("doc", "celex", "is_operative").dropDuplicates(["doc"])
-    kept = gate(every, config.case_law_threshold, config.max_case_law).join(about, "doc").select("query_id", "doc", "score", "rank", "is_operative", "celex")
+    kept = gate(every, config.case_law_threshold, config.max_case_law).join(about, "doc").select("query_id", "doc", "score", "rank", "is_operative", "celex").persist()
     if not config.guarantee_operative:
         return kept.drop("rank")
     first = kept.where("rank = 1").select("query_id", F.col("celex").alias("_c"))
@@ -213,7 +214,7 @@ def hybrid(store: Store, questions: DataFrame, config: HybridConfig = HybridConf
 
 def _slot(ranked: DataFrame, texts: DataFrame, slot: str, header: Column, body: Column | None = None) -> DataFrame:
     rows = ranked.select("query_id", "rank", "doc", "score").join(texts.drop("embedding", "score", "rank").dropDuplicates(["doc"]), "doc")
-    return rows.select("query_id", F.lit(slot).alias("slot"), "rank", "doc", "score", F.concat(header, F.lit("\n"), F.col("text") if body is None else body).alias("text"))
+    return rows.select("query_id", F.lit(slot).alias("slot"), "rank", "doc", "score", F.concat(header, F.lit("\n"), F.coalesce(F.col("text") if body is None else body, F.lit(""))).alias("text"))
 
 
 def _act_name(act: Column) -> Column:

@@ -43,9 +43,9 @@ class Limiter(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
         kept = list(zip(*self.state.get())) if self.state.exists() else []
-        requests = pd.concat(list(rows)).sort_values(["_us", "request"])
+        requests = pd.concat(list(rows)).sort_values(["asked_us", "request"])
         out = []
-        for request, asked, tokens in zip(requests["request"], requests["_us"], requests["tokens"]):
+        for request, asked, tokens in zip(requests["request"], requests["asked_us"], requests["tokens"]):
             now = max(int(asked), kept[-1][0] if kept else int(asked))
             kept = [(t, n) for t, n in kept if now - t < self.micros]
             while kept and sum(n for _, n in kept) + tokens > self.limit:
@@ -62,7 +62,7 @@ class Limiter(StatefulProcessor):
 
 def limited(stream: DataFrame, key: str, request: str, ts: str, tokens: str, limit: float, micros: int = MINUTE, pause: int = 100_000) -> DataFrame:
     """key, request, asked_us, granted_us of every request of a stream: the stateful token limiter."""
-    rows = stream.select(F.col(key).cast("string").alias("key"), F.col(request).cast("string").alias("request"), F.unix_micros(event_time(F.col(ts))).alias("_us"), F.col(tokens).cast("double").alias("tokens"))
+    rows = stream.select(F.col(key).cast("string").alias("key"), F.col(request).cast("string").alias("request"), F.unix_micros(event_time(F.col(ts))).alias("asked_us"), F.col(tokens).cast("double").alias("tokens"))
     return rows.groupBy("key").transformWithStateInPandas(Limiter(limit, micros, pause), "key string, request string, asked_us long, granted_us long", "append", "none")
 
 
