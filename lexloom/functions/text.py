@@ -36,9 +36,18 @@ def chunks(paragraphs: DataFrame, id_col: str, text_col: str, skip_first: bool =
     return rows.select("paragraph_id", F.posexplode(kept).alias("chunk_index", "text")).withColumn("text", F.lower("text"))
 
 
-def candidate_terms(token_rows: DataFrame, token: str, pos: str, known: DataFrame | None = None, most: int = 200) -> DataFrame:
-    """term, n: alphabetic tokens of over three letters that no stopword list or known term has, by count, then first place."""
+# Tags of nouns.
+NOUNS = frozenset(("NN", "NNS", "NNP", "NNPS"))
+
+
+def candidate_terms(token_rows: DataFrame, token: str, pos: str, known: DataFrame | None = None, most: int = 200, tag: str | None = None) -> DataFrame:
+    """term, n: alphabetic tokens of over three letters that no stopword list or known term has, by count, then first place.
+
+    With a column of part-of-speech tags, nouns only.
+    """
     low = F.lower(token)
+    if tag is not None:
+        token_rows = token_rows.where(F.col(tag).isin(*sorted(NOUNS)))
     rows = token_rows.where(F.col(token).rlike(r"^\p{L}+$") & (F.length(token) > 3) & ~low.isin(*sorted(LEGAL_STOPWORDS)))
     terms = rows.groupBy(low.alias("term")).agg(F.count(F.lit(1)).alias("n"), F.min(pos).alias("first"))
     if known is not None:

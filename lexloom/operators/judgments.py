@@ -122,3 +122,10 @@ def graph_totals(sections: DataFrame, paragraphs: DataFrame) -> DataFrame:
     heads = sections.groupBy("celex").agg(F.count(F.lit(1)).alias("sections"))
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
     return heads.join(parts, F.col("celex") == F.col("_c"), "left").select("celex", "sections", zero("paragraphs"), zero("operative"))
+
+
+def tree_metrics(depths: DataFrame, body: DataFrame) -> DataFrame:
+    """celex, sections, lines, max_depth of a judgment's section tree."""
+    heads = depths.groupBy("celex").agg(F.count(F.lit(1)).alias("sections"), F.max("depth").alias("max_depth"))
+    own = body.groupBy(F.col("celex").alias("_c")).agg(F.count(F.lit(1)).alias("lines"))
+    return heads.join(own, F.col("celex") == F.col("_c"), "left").select("celex", "sections", F.coalesce("lines", F.lit(0)).alias("lines"), "max_depth")

@@ -9,6 +9,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexloom.functions.vectors import normalised
+
 
 def write_csv(df: DataFrame, path: str, single: bool = True) -> None:
     """Header CSV; arrays are packed with a pipe, structs as JSON.
@@ -55,6 +57,18 @@ def clear(tables: dict[str, DataFrame], base: str) -> None:
     write_tables({name: df.limit(0) for name, df in tables.items()}, base)
 
 
+def create_vector_index(nodes: DataFrame, base: str, dim: int, id_col: str = "id", column: str = "embedding") -> DataFrame:
+    """id, embedding of unit length, written anew to `base` and read back: what dense search scans.
+
+    Cosine likeness is then the dot product.  Vectors of another length than
+    `dim`, or of no length, are left out.  The search stays exact, so there is
+    no more to an index than that.
+    """
+    rows = nodes.where(F.size(column) == dim).select(F.col(id_col).alias("id"), normalised(F.col(column)).alias("embedding"))
+    rows.where(~F.exists("embedding", lambda x: x.isNull())).write.mode("overwrite").parquet(base)
+    return nodes.sparkSession.read.parquet(base)
+
+
 def land_pages(pages: DataFrame, base: str) -> DataFrame:
     """celex, html_file, eurolex_url, document_info_url of fetched pages (celex, html, url), written as one Parquet table.
 

@@ -17,6 +17,7 @@ from lexloom.functions import legal
 from lexloom.operators.retrieval import bm25_scores, bm25_stats, bm25_top_k, bridge, dedup_queries, dense_top_k, fuse, gate, operative_slot, pseudo_scores, top_k
 from lexloom.operators.topics import match_topics
 from lexloom.providers import Embed, Generate, Score, embed_texts, generate, score_pairs
+from lexloom.session import cut
 
 
 @dataclass(frozen=True)
@@ -134,15 +135,16 @@ def case_law(passages: DataFrame, questions: DataFrame, config: HybridConfig, sc
     dense = dense.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("rank")))
     sparse = bm25_top_k(own, asked, config.top_k_sparse, group=("scope",))
     # A few rows a question, met several times below.
-    pool = top_k(fuse([dense, sparse], config.rrf_k), config.max_case_law * 3).persist()
-    scored = _judged(_with_text(pool, own, asked), config, score).persist()
+    pool = cut(top_k(fuse([dense, sparse], config.rrf_k), config.max_case_law * 3))
+    scored = cut(_judged(_with_text(pool, own, asked), config, score))
     seeds = top_k(scored, config.max_case_law).where(F.col("score") >= config.case_law_threshold)
     near = seeds.select("query_id", F.explode(legal.neighbour_ids(F.col("doc"), config.neighbour_window)).alias("doc")).distinct()
     near = near.join(inside, ["query_id", "doc"], "left_semi").join(scored.select("query_id", "doc"), ["query_id", "doc"], "left_anti")
     near = near.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("doc")))
-    every = scored.unionByName(_judged(_with_text(near, own, asked), config, score)).persist()
+    every = cut(scored.unionByName(_judged(_with_text(near, own, asked), config, score)))
     about = own.select("doc", "celex", "is_operative").dropDuplicates(["doc"])
-    kept = gate(every, config.case_law_threshold, config.max_case_law).join(about, "doc").select("query_id", "doc", "score", "rank", "is_operative", "celex").persist()
+    kept = gate(every, config.case_law_threshold, config.max_case_law).join(about, "doc").select("query_id", "doc", "score", "rank", "is_operative", "celex")
+    kept = cut(kept)
     if not config.guarantee_operative:
         return kept.drop("rank")
     first = kept.where("rank = 1").select("query_id", F.col("celex").alias("_c"))
@@ -181,7 +183,7 @@ def hybrid(store: Store, questions: DataFrame, config: HybridConfig = HybridConf
     with articles.  text is headed by what it is.
     """
     asked = questions.where(F.size("acts") > 0)
-    searches = search_queries(asked, config, embed, model).persist()
+    searches = cut(search_queries(asked, config, embed, model))
     asked = asked.withColumn("scope", scope_of(F.col("acts")))
     scopes = asked.select("scope", F.explode("acts").alias("act")).distinct()
     articles, recitals, passages = store.scoped(scopes)
@@ -196,10 +198,11 @@ def hybrid(store: Store, questions: DataFrame, config: HybridConfig = HybridConf
     lists = [dense, sparse]
     kept = None
     if config.use_case_law:
-        kept = case_law(passages, asked.where("intent = 'INTERPRETIVE'"), config, score).persist()
+        kept = cut(case_law(passages, asked.where("intent = 'INTERPRETIVE'"), config, score))
         lists.insert(1, citation_bridge(kept, passages, articles, asked, config.max_bridge))
     sizes = searches.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
     fused = fuse(lists, config.rrf_k).join(sizes, "query_id").withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc"))).where(F.col("rank") <= pool)
+    fused = cut(fused)
     best = top_k(_judged(_with_text(fused, store.articles, asked), config, score), config.top_k_final)
     out = _slot(best, store.articles, "article", article_header())
     if config.use_recitals:

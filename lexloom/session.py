@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 def session(name: str = "lexloom", master: str | None = None, **conf: str) -> SparkSession:
     builder = SparkSession.builder.appName(name).config("spark.sql.session.timeZone", "UTC").config("spark.sql.adaptive.enabled", "true")
@@ -23,3 +23,9 @@ def ensure_checkpoints(spark: SparkSession) -> None:
         if not folder and not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all nodes share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="lexloom-"))
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df, materialised in the checkpoint folder, with a plan of its own: for small tables that a plan meets many times."""
+    ensure_checkpoints(df.sparkSession)
+    return df.checkpoint()

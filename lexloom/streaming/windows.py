@@ -20,10 +20,17 @@ def event_time(ts: Column) -> Column:
 
 
 def trailing_sum(events: DataFrame, keys: list[str], ts: str, amount: str, micros: int = MINUTE, out: str = "in_window") -> DataFrame:
-    """What the last `micros` before and at each event sum to; an event just that old counts no more."""
+    """What the last `micros` before and at each event sum to; an event just that old counts no more.
+
+    Events are dealt by key and span of time, each also to the span after its
+    own, where it is only looked back at: a task holds two spans of a key, not
+    all that a busy key ever did.
+    """
     rows = events.withColumn("_us", F.unix_micros(event_time(F.col(ts))))
-    span = Window.partitionBy(*keys).orderBy("_us").rangeBetween(-(micros - 1), 0)
-    return rows.withColumn(out, F.sum(amount).over(span)).drop("_us")
+    own = F.floor(F.col("_us") / micros)
+    dealt = rows.withColumn("_own", own).withColumn("_span", F.explode(F.array(F.col("_own"), F.col("_own") + 1)))
+    span = Window.partitionBy(*keys, "_span").orderBy("_us").rangeBetween(-(micros - 1), 0)
+    return dealt.withColumn(out, F.sum(amount).over(span)).where("_span = _own").drop("_us", "_own", "_span")
 
 
 class Limiter(StatefulProcessor):

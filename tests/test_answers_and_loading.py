@@ -264,3 +264,65 @@ def test_limiter_stream(spark, tmp_path):
 def test_source_headers(spark):
     row = spark.createDataFrame([("[GDPR, Article 5]\nbody",), ("no header",)], "t string").select(legal.source_header(F.col("t")).alias("h"), legal.document_id(F.lit(None).cast("string"), F.col("t")).alias("i")).collect()
     assert (row[0].h.header, row[0].h.act, row[0].h.title) == ("GDPR, Article 5", "GDPR", "Article 5") and row[1].h.header is None and row[1].i == "no header"
+
+
+def test_engine(spark, store):
+    from lexloom.engine import Engine
+
+    acts = spark.createDataFrame([("32016R0679", "GDPR")], "id string, title string")
+    nothing = Store(store.articles.withColumn("embedding", F.lit(None).cast("array<double>")), store.recitals, store.passages.withColumn("embedding", F.lit(None).cast("array<double>")), store.interprets)
+    e = Engine(spark, nothing, acts, synthesis=lambda prompts: ["consent word2 data"] * len(prompts))
+    q = spark.createDataFrame([(1, "what does the gdpr say of consent word2"), (2, "nothing named")], "query_id int, text string")
+    answers, segments, sources = e.answer(q, top_k_final=2)
+    assert {r.query_id: r.answer for r in answers.collect()} == {1: "consent word2 data", 2: answering.NOTHING_FOUND}
+    assert "32016R0679art_2" in {r.id for r in sources.collect()} and segments.count() == 2
+    assert set(e.methods()) == {"hybrid", "topics"}
+    with pytest.raises(ValueError):
+        e.retrieve(q, "nope")
+
+
+def test_fetch_and_convert(spark, tmp_path):
+    from lexloom.sources import files
+
+    def fetch(url):
+        if url == "bad":
+            raise OSError("404")
+        return "x" * (2000 if url == "good" else 5)
+
+    urls = spark.createDataFrame([("A", "good"), ("B", "bad"), ("C", "short")], "celex string, url string")
+    got = {r.celex: (r.html is not None, r.error) for r in files.fetched(urls, fetch).collect()}
+    assert got == {"A": (True, None), "B": (False, "OSError: 404"), "C": (False, "too short")}
+    import zlib
+
+    (tmp_path / "a.html").write_text("<html><head><title>t</title></head><body><p>One  two</p><script>x</script><p>three</p></body></html>")
+    (tmp_path / "b.pdf").write_bytes(b"%PDF-1.4\n1 0 obj <<>> stream\n" + zlib.compress(b"BT (Hello \\(x\\)) Tj [(W) -20 (orld)] TJ ET") + b"\nendstream endobj")
+    (tmp_path / "c.odd").write_text("?")
+    rows = {r.path.rsplit("/", 1)[-1]: (r.text, r.error) for r in files.convert(spark, str(tmp_path)).collect()}
+    assert rows["a.html"][0] == "One two\nthree" and rows["b.pdf"][0] == "Hello (x)\nWorld" and rows["c.odd"] == (None, "KeyError: 'odd'")
+
+
+def test_vector_index_and_terms(spark, tmp_path):
+    from lexloom.functions.text import candidate_terms
+    from lexloom.operators import judgments, sinks, topics
+
+    nodes = spark.createDataFrame([("a", [3.0, 4.0]), ("b", [0.0, 0.0]), ("c", [1.0]), ("d", None)], "id string, embedding array<double>")
+    assert [(r.id, r.embedding) for r in sinks.create_vector_index(nodes, str(tmp_path / "i"), 2).collect()] == [("a", [0.6, 0.8])]
+    tokens = spark.createDataFrame([("Consent", "NN", 0), ("freely", "RB", 1), ("consent", "NNP", 2), ("article", "NN", 3)], "tok string, tag string, pos int")
+    assert [(r.term, r.n) for r in candidate_terms(tokens, "tok", "pos", tag="tag").collect()] == [("consent", 2)]
+    classified = spark.createDataFrame([(2, "l"), (1, "l"), (2, "m")], "chunk int, label string")
+    assert {r.label: r.chunks for r in topics.chunk_index(classified).collect()} == {"l": [1, 2], "m": [2]}
+    depths = spark.createDataFrame([("C", 0, 0), ("C", 3, 2)], "celex string, seq int, depth int")
+    body = spark.createDataFrame([("C", 1), ("C", 2)], "celex string, seq int")
+    assert tuple(judgments.tree_metrics(depths, body).first()) == ("C", 2, 2, 2)
+
+
+def test_trailing_sum_against_brute_force(spark):
+    import random
+
+    from lexloom.streaming.windows import trailing_sum
+
+    rng = random.Random(1)
+    rows = [(k, rng.choice("ab"), rng.randrange(0, 400_000_000), float(rng.randrange(9))) for k in range(400)] + [(900, "a", 60_000_000, 1.0), (901, "a", 120_000_000, 1.0), (902, "a", 120_000_000, 2.0)]
+    df = spark.createDataFrame(rows, "id int, k string, us long, v double").withColumn("ts", F.timestamp_micros("us"))
+    got = {r.id: r.in_window for r in trailing_sum(df, ["k"], "ts", "v").collect()}
+    assert got == {i: sum(x for _, k2, u2, x in rows if k2 == k and u - 60_000_000 < u2 <= u) for i, k, u, _ in rows}
