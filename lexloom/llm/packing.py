@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import hashlib
 import zlib
 from collections.abc import Iterator
 
@@ -22,11 +23,13 @@ SPECIAL = "<|endoftext|>"
 def tokenizer(json_path: str, ranks_path: str | None = None, pattern: str | None = None) -> dict:
     """What executors need to tokenise: the files' bytes, read once on the driver."""
     with open(json_path, encoding="utf-8") as f:
-        model = {"json": f.read(), "key": json_path}
+        model = {"json": f.read()}
     if ranks_path and pattern:
         with open(ranks_path, "rb") as f:
             model |= {"ranks": f.read(), "pattern": pattern}
-    return model
+    # Workers keep what they loaded by its content: a path may hold another file tomorrow.
+    key = hashlib.sha256(model["json"].encode() + model.get("ranks", b"") + model.get("pattern", "").encode())
+    return model | {"key": key.hexdigest()}
 
 
 def encoder(model: dict):

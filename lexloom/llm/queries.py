@@ -72,7 +72,25 @@ def op10_mix_to_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_to_targets(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_line_dedup, op2_license_scan, op3_html_extract, op4_sharding, op5_quality_rules, op6_best_fit_packing, op7_hamming_top_k, op8_substring_dedup, op9_ngram_jaccard_join, op10_mix_to_targets)}
+def license_scan_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can express of op2: its base columns."""
+    return op2_license_scan(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
+def quality_rules_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can express of op5: its base columns."""
+    return op5_quality_rules(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+def sharding_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can express of op4: all but the checksum."""
+    return op4_sharding(spark, sf_dir).drop("text_crc32")
+
+
+QUERIES: dict[str, Query] = {
+    f.__name__: f
+    for f in (op1_line_dedup, op2_license_scan, op3_html_extract, op4_sharding, op5_quality_rules, op6_best_fit_packing, op7_hamming_top_k, op8_substring_dedup, op9_ngram_jaccard_join, op10_mix_to_targets, license_scan_base, quality_rules_base, sharding_places)
+}
 
 _UPPER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ'"
 _BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -113,4 +131,33 @@ ORACLE_SQL: dict[str, str] = {
             FROM codes q, codes c WHERE q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id)
         SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS INTEGER) AS rank, vec_id, distance
         FROM pairs QUALIFY rank <= 10""",
+    "license_scan_base": rf"""
+        WITH w AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {_UPPER}, lower({_UPPER})), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+        p(words, label) AS (VALUES (['gnu', 'general', 'public', 'license'], 'gpl'), (['apache', 'license'], 'apache'), (['cc', 'by'], 'cc-by'), (['mit', 'license'], 'mit')),
+        starts AS (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM w),
+        hits AS (SELECT doc_id, i - 1 AS place, label FROM starts JOIN p ON ws[i] = words[1] AND ws[i:i + len(words) - 1] = words)
+        SELECT w.doc_id, any_value(len(w.ws)) AS n_words, count(hits.place) AS n_base, min(hits.place) AS first_word, max(hits.place) AS last_word,
+               coalesce(string_agg(DISTINCT hits.label, ',' ORDER BY hits.label), '') AS base_labels
+        FROM w LEFT JOIN hits ON w.doc_id = hits.doc_id GROUP BY w.doc_id""",
+    "quality_rules_base": r"""
+        WITH w AS (
+            SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+        win AS (SELECT doc_id, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM w WHERE len(ws) >= 3)),
+        twice AS (SELECT doc_id, i FROM win QUALIFY count(*) OVER (PARTITION BY doc_id, k) > 1),
+        words AS (SELECT doc_id, count(*) AS n FROM (SELECT DISTINCT doc_id, unnest([i, i + 1, i + 2]) AS p FROM twice) GROUP BY doc_id),
+        lines AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS l FROM w),
+        dups AS (SELECT doc_id, count(*) - count(DISTINCT l) AS n FROM lines WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY doc_id)
+        SELECT doc_id, len(ws) AS n_words, CAST(coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) AS BIGINT) AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols,
+               coalesce(dups.n, 0) AS n_dup_lines, coalesce(words.n, 0) AS n_repeat_words, len(ws) < 50 OR 100 * coalesce(words.n, 0) > 50 * len(ws) AS base_failed
+        FROM w LEFT JOIN dups USING (doc_id) LEFT JOIN words USING (doc_id)""",
+    "sharding_places": """
+        WITH d AS (
+            SELECT doc_id, source, strlen(coalesce(text, '')) + 1 AS size, md5('lexloom:' || doc_id) AS h,
+                   (('0x' || md5('lexloom:' || coalesce(source, 'null'))[1:8])::BIGINT + 0.5::DOUBLE) / 4294967296.0::DOUBLE AS u FROM documents),
+        f AS (
+            SELECT *, (row_number() OVER (PARTITION BY source ORDER BY h, doc_id, size) - u) / count(*) OVER (PARTITION BY source) AS f FROM d),
+        p AS (SELECT *, row_number() OVER (ORDER BY f, source NULLS FIRST, doc_id, size) - 1 AS pos, count(*) OVER () AS n FROM f),
+        s AS (SELECT *, pos * 8 // n AS shard FROM p)
+        SELECT doc_id, size, 'rows' AS law, CAST(shard AS INTEGER) AS shard, pos - (shard * n + 7) // 8 AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM s""",
 }

@@ -117,7 +117,9 @@ def test_tokenizers_agree():
     for _ in range(300):
         text = "".join(chr(rng.choice([rng.randrange(1, 0x250), 32, 10, 39, 115])) for _ in range(rng.randrange(60)))
         assert list(fast(text)) == list(slow(text))
-    for text in ("<|endoftext|>", "한글 🤣", "a <|endoftext|> b"):
+    other = "".join(chr(rng.choice([rng.randrange(0x250, 0xD800), rng.randrange(0xE000, 0x1F9FF), 32, 10, 97])) for _ in range(4000))
+    plain = "".join(chr(rng.choice([rng.randrange(1, 0x250), 32, 32, 10, 101, 116, 97])) for _ in range(60_000))
+    for text in ("<|endoftext|>", "한글 🤣", "a <|endoftext|> b", other, plain, "word " * 20_000, "a" * 3000, "Привет, мир! " * 300, "日本語のテキスト" * 300, plain[:500] + "語"):
         assert list(fast(text)) == list(slow(text))
 
 

@@ -219,6 +219,38 @@ def test_quality_separates(spark):
     assert kept == {i for i in range(300) if i % 3}
 
 
+def test_quality_scores_against_brute_force(spark):
+    """Scores from plainly counted 4-grams, and the verdicts that follow from them."""
+    import math
+
+    from lexloom.llm import quality
+
+    rng = random.Random(4)
+    rows = [(i, " ".join(rng.choice(["the", "rain", "sun", "ab", "x"]) + ("#" * rng.randint(0, 2) if i % 4 == 0 else "") + str(rng.randrange(40)) for _ in range(70))) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 != 0), 0) for i in range(0, 120, 2)], "doc_id long, quality int, toxic int")
+    half = {r._l: r.h for r in labels.select(F.col("doc_id").alias("_l"), F.pmod(F.xxhash64(F.lit("half"), F.col("doc_id")), F.lit(2)).alias("h")).collect()}
+
+    def grams(text):
+        data = text.encode()
+        return quality.grams(np.frombuffer(data, np.uint8), np.array([0, len(data)]))[0].tolist()
+
+    raw_counts, good = Counter(), Counter()
+    for i, text in rows:
+        raw_counts.update(grams(text))
+        if i in half and i % 4 and half[i] == 0:
+            good.update(grams(text))
+    llr = lambda b: math.log((good[b] + 1) / (good.total() + quality.BUCKETS)) - math.log((raw_counts[b] + 1) / (raw_counts.total() + quality.BUCKETS))
+    score = {i: sum(map(llr, grams(text))) / len(grams(text)) for i, text in rows}
+    out = {r.doc_id: r for r in quality_rules(docs, labels).collect()}
+    assert all(abs(out[i].score - score[i]) < 1e-9 for i in score)
+    failed = {i: base(text)[0] < 50 or 100 * base(text)[4] > 50 * base(text)[0] for i, text in rows}
+    bins = Counter((math.floor(score[i] / 0.005), int(i % 4 != 0)) for i in half if not failed[i] and not (i % 4 and half[i] == 0))
+    bound = threshold([(b, q, n) for (b, q), n in bins.items()]) * 0.005
+    assert all(out[i].kept == (not failed[i] and score[i] >= bound) for i in score)
+    assert len({len(grams(t)) for _, t in rows}) > 1 and {True, False} == {r.kept for r in out.values()}
+
+
 def test_threshold():
     assert threshold([]) < -1e8 and threshold([(3, 1, 5)]) < -1e8
     assert -10 < threshold([(-10, 0, 5), (2, 1, 9)]) <= 2
