@@ -368,6 +368,20 @@ def test_hamming(spark):
     assert hamming_top_k(vectors.limit(4), vectors.where("vec_id = 0"), k=10).count() == 3
 
 
+def test_clashing_columns_and_ties(spark):
+    """Columns named like results or helpers change nothing; equal texts and codes tie by id."""
+    model = public_tokenizer()
+    docs = spark.createDataFrame([(i, "same text " * (1 + i % 2)) for i in range(20)], "doc_id long, text string")
+    extra = {n: F.lit("x") for n in ("piece", "start", "length", "sequence_id", "offset", "_rank", "_b", "ids_crc32")}
+    rows = lambda df: Counter((r.doc_id, r.piece, r.length, r.ids_crc32) for r in df.collect())
+    assert rows(best_fit_packing(docs.withColumns(extra), model, 16)) == rows(best_fit_packing(docs, model, 16))
+    vectors = spark.createDataFrame([(i, [1.0] * 64) for i in range(30)], "vec_id long, embedding array<double>").withColumns({n: F.lit("x") for n in ("code", "query_id", "rank", "distance", "ids", "n", "least")})
+    got = [(r["rank"], r.vec_id, r.distance) for r in hamming_top_k(vectors, vectors.where("vec_id = 5"), k=4).orderBy("rank").collect()]
+    assert got == [(1, 0, 0), (2, 1, 0), (3, 2, 0), (4, 3, 0)]
+    links = jaccard_join(docs.withColumns({n: F.lit("x") for n in ("e", "rep", "class_id", "n_links", "f1", "bands")})).collect()
+    assert {r.n_links for r in links} == {9} and {r.class_id for r in links} == {0, 1}
+
+
 @pytest.fixture(scope="module")
 def labelled(spark):
     rng = random.Random(9)
