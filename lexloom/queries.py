@@ -400,52 +400,51 @@ def heading_dense_rank(spark, d):
     return judgments.heading_depths(rows).select("celex", "seq", "text", "depth")
 
 
-@query()
-def section_paths(spark, d):
-    depths = values(spark, "('a',0,0,'Judgment'),('a',1,1,'Context'),('a',2,2,'EU law'),('a',3,2,'National law'),('a',4,1,'Costs'),('b',0,0,'J'),('b',1,2,'Deep')", "celex, seq, depth, text")
-    return judgments.section_tree(depths)
-
-
-_CITES = "('Article 1 of the Privacy Shield Decision and Article 45(1) of the GDPR, Articles 7, 8 and 47 of the Charter'),('Articles 44 to 50 of the GDPR'),('Articles 56 and 60 of Regulation (EU) 2016/679 and Article 61(8) of that regulation')"
 _CITE_RE = r"(?i)\bArticles?\s+((?:\d+(?:\([^)]{1,16}\))*)(?:\s*(?:,|and)\s*\d+(?:\([^)]{1,16}\))*)*)\s*of\s+(?:(?:the\s+)?Regulation\s*(?:\([A-Z]{2,3}\)\s*)?(?:No\s*)?(?:2016/679)|that\s+Regulation|the\s+GDPR)"
+_CITING = """CASE l_linenumber % 5 WHEN 0 THEN concat('Article ', {0}, ' of the Privacy Shield Decision and Article ', {1}, '(1) of the GDPR, Articles 7, 8 and ', {0}, ' of the Charter')
+    WHEN 1 THEN concat('Articles ', {0}, ' to ', {1}, ' of the GDPR') WHEN 2 THEN concat('Articles ', {0}, ' and ', {1}, ' of Regulation (EU) 2016/679 and Article ', {2}, '(8) of that regulation')
+    WHEN 3 THEN concat('Article ', {0}, ', ', {1}, ' and ', {2}, '(2)(a) of  the Regulation No 2016/679') ELSE concat('nothing of article ', {0}) END""".format("CAST(l_partkey % 99 AS STRING)", "CAST(l_suppkey % 99 AS STRING)", "CAST(l_orderkey % 99 AS STRING)")
 
 
-@query(f"""WITH t(txt) AS (VALUES {_CITES}),
+@query(f"""WITH t AS (SELECT DISTINCT {_CITING} AS txt FROM lineitem),
     n AS (SELECT txt, flatten(list_transform(regexp_extract_all(txt, '{_CITE_RE}', 1), lambda x: regexp_extract_all(regexp_replace(x, '\\([^)]*\\)', '', 'g'), '\\d+'))) AS ns FROM t)
-    SELECT txt AS text, list_transform(ns, lambda x: '32016R0679art_' || CAST(CAST(x AS INT) AS VARCHAR)) AS cited FROM n""".replace("\\\\", "\\"))
+    SELECT txt AS text, list_sort(list_distinct(list_transform(ns, lambda x: '32016R0679art_' || CAST(CAST(x AS INT) AS VARCHAR)))) AS cited FROM n""".replace("\\\\", "\\"))
 def citation_extract(spark, d):
-    rows = values(spark, _CITES, "text").withColumn("celex", F.lit("32016R0679"))
+    rows = t(spark, d, "lineitem").select(F.expr(_CITING).alias("text")).distinct().withColumn("celex", F.lit("32016R0679"))
     forms = spark.createDataFrame([("32016R0679", legal.surface_forms("32016R0679"))], "celex string, forms array<string>")
     joined = rows.join(F.broadcast(forms), "celex")  # one row an act of the catalogue
-    return joined.select("text", legal.cited_articles(F.col("text"), F.col("celex"), F.col("forms")).alias("cited"))
+    return joined.select("text", F.array_sort(legal.cited_articles(F.col("text"), F.col("celex"), F.col("forms"))).alias("cited"))
 
 
-_REFS = "('See Article 5 and article 7, Articles 12 to 15 and Art. 3'),('Articles 5 and 6'),('Articles 9 to 8, Article 9'),('none')"
+_REFS = """concat('See Article ', CAST(o_orderkey % 60 AS STRING), ' and article ', CAST(o_custkey % 60 AS STRING), ', Articles ', CAST(o_custkey % 50 AS STRING), ' to ', CAST(o_orderkey % 55 AS STRING), ' and Art. ', CAST(o_custkey % 7 AS STRING), CASE WHEN o_custkey % 2 = 0 THEN ', Articles 5 and 6' ELSE '' END)"""
 
 
-@query(f"""WITH t(txt) AS (VALUES {_REFS}),
+@query(f"""WITH t AS (SELECT DISTINCT {_REFS} AS txt FROM orders),
     p AS (SELECT txt, list_transform(list_concat(regexp_extract_all(txt, '(?i)\\bArticle\\s+(\\d+)', 1), regexp_extract_all(txt, '(?i)\\bArt\\.\\s+(\\d+)', 1)), lambda x: CAST(x AS INT)) AS ones,
         regexp_extract_all(txt, '(?i)\\bArticles\\s+(\\d+)\\s+to\\s+(\\d+)', 1) AS a, regexp_extract_all(txt, '(?i)\\bArticles\\s+(\\d+)\\s+to\\s+(\\d+)', 2) AS b FROM t)
     SELECT txt AS text, list_sort(list_distinct(list_concat(ones, flatten(list_transform(list_zip(a, b), lambda z: CAST(range(CAST(z[1] AS INT), CAST(z[2] AS INT) + 1) AS INT[])))))) AS refs FROM p""".replace("\\\\", "\\"))
 def article_references(spark, d):
-    return values(spark, _REFS, "text").select("text", legal.article_references(F.col("text")).alias("refs"))
+    return t(spark, d, "orders").select(F.expr(_REFS).alias("text")).distinct().select("text", legal.article_references(F.col("text")).alias("refs"))
 
 
-_CELEX = "('32016R0679'),('31995L0046'),('32000D0520'),('62019CJ0645'),('bad')"
+_CELEX = """concat('3', CAST(1992 + o_orderkey % 31 AS STRING), CASE o_custkey % 5 WHEN 0 THEN 'R' WHEN 1 THEN 'L' WHEN 2 THEN 'D' WHEN 3 THEN 'CJ' ELSE '' END, CASE WHEN o_custkey % 2 = 0 THEN '0' ELSE '' END, CAST(o_orderkey AS STRING))"""
 
 
-@query(f"""WITH t(c) AS (VALUES {_CELEX}), p AS (SELECT c, regexp_extract(c, '^(\\d)(\\d{{4}})([A-Z]+)(\\d+)$', 2) AS y, regexp_extract(c, '^(\\d)(\\d{{4}})([A-Z]+)(\\d+)$', 3) AS i, regexp_extract(c, '^(\\d)(\\d{{4}})([A-Z]+)(\\d+)$', 4) AS n FROM t)
+@query(f"""WITH t AS (SELECT DISTINCT {_CELEX} AS c FROM orders), p AS (SELECT c, regexp_extract(c, '^(\\d)(\\d{{4}})([A-Z]+)(\\d+)$', 2) AS y, regexp_extract(c, '^(\\d)(\\d{{4}})([A-Z]+)(\\d+)$', 3) AS i, regexp_extract(c, '^(\\d)(\\d{{4}})([A-Z]+)(\\d+)$', 4) AS n FROM t)
     SELECT c AS celex, CASE i WHEN 'R' THEN 'Regulation' WHEN 'L' THEN 'Directive' WHEN 'D' THEN 'Decision' END AS instrument,
         CASE WHEN i IN ('R', 'L', 'D') THEN CASE WHEN CAST(y AS INT) < 2000 THEN [y || '/' || ltrim(n, '0'), y[3:4] || '/' || ltrim(n, '0')] ELSE [y || '/' || ltrim(n, '0')] END END AS numbers FROM p""".replace("\\\\", "\\"))
 def celex_decompose(spark, d):
-    rows = values(spark, _CELEX, "celex").withColumn("p", legal.celex_parts(F.col("celex")))
+    rows = t(spark, d, "orders").select(F.expr(_CELEX).alias("celex")).distinct().withColumn("p", legal.celex_parts(F.col("celex")))
     return rows.select("celex", "p.instrument", "p.numbers")
 
 
-@query("""WITH t(c) AS (VALUES ('62019CJ0645'),('62018CJ0311'),('62012TJ0007'),('32016R0679'))
-    SELECT c AS celex, CASE WHEN regexp_matches(c, '^6[0-9]{4}(C|T)[A-Z][0-9]{4}$') THEN c[6:6] || '-' || CAST(CAST(c[8:11] AS INT) AS VARCHAR) || '/' || c[4:5] ELSE c END AS case_number FROM t""")
+_CASE = """concat(CASE WHEN o_custkey % 9 = 0 THEN '3' ELSE '6' END, CAST(1992 + o_orderkey % 31 AS STRING), CASE o_custkey % 4 WHEN 0 THEN 'CJ' WHEN 1 THEN 'TJ' WHEN 2 THEN 'CO' ELSE 'FJ' END, CAST(o_orderkey AS STRING))"""
+
+
+@query(f"""WITH t AS (SELECT DISTINCT {_CASE} AS c FROM orders)
+    SELECT c AS celex, CASE WHEN regexp_matches(c, '^6[0-9]{{4}}(C|T)[A-Z][0-9]{{4}}$') THEN c[6:6] || '-' || CAST(CAST(c[8:11] AS INT) AS VARCHAR) || '/' || c[4:5] ELSE c END AS case_number FROM t""")
 def case_number(spark, d):
-    return values(spark, "('62019CJ0645'),('62018CJ0311'),('62012TJ0007'),('32016R0679')", "celex").select("celex", legal.case_number(F.col("celex")).alias("case_number"))
+    return t(spark, d, "orders").select(F.expr(_CASE).alias("celex")).distinct().select("celex", legal.case_number(F.col("celex")).alias("case_number"))
 
 
 @query("""WITH t AS (SELECT unnest(['A' || lpad(CAST(n_nationkey AS VARCHAR), 2, '0'), 'A' || lpad(CAST(n_nationkey AS VARCHAR), 2, '0') || 'P' || n_regionkey, 'A' || n_nationkey || 'PT' || (n_nationkey * 7), 'CH' || n_regionkey, lower(n_name)]) AS ref FROM nation),
@@ -461,15 +460,15 @@ def ref_normalise(spark, d):
 
 
 _KEYWORDS = ", ".join(f"({i}, '{k}', '{c}')" for i, (k, c) in enumerate(legal.ACT_KEYWORDS))
-_ASKED = "(1,'What does the Data Governance Act say of the GDPR?'),(2,'corporate governance and 2023/2854'),(3,'nothing'),(4,'AI Act or Data Act')"
+_ASKED = """concat(CASE WHEN o_orderkey % 2 = 0 THEN 'What does the Data Governance Act say' ELSE 'corporate' END, CASE o_orderkey % 3 WHEN 0 THEN ' of the GDPR?' WHEN 1 THEN ' governance and 2023/2854' ELSE '' END, CASE o_custkey % 4 WHEN 0 THEN ' AI Act or Data Act' WHEN 1 THEN ' 2024/1689' ELSE '' END)"""
 
 
-@query(f"""WITH q(id, txt) AS (VALUES {_ASKED}), k(o, word, celex) AS (VALUES {_KEYWORDS}),
+@query(f"""WITH q AS (SELECT o_orderkey AS id, {_ASKED} AS txt FROM orders), k(o, word, celex) AS (VALUES {_KEYWORDS}),
     m AS (SELECT id, celex, min(o) AS o FROM q JOIN k ON contains(lower(txt), word) GROUP BY ALL)
     SELECT q.id, (SELECT list(celex ORDER BY o) FROM m WHERE m.id = q.id) AS acts, (SELECT celex FROM m WHERE m.id = q.id ORDER BY o LIMIT 1) AS first_act FROM q""")
 def act_keywords(spark, d):
     acts = legal.acts_in(F.col("text"))
-    return values(spark, _ASKED, "id, text").select("id", F.when(F.size(acts) > 0, acts).alias("acts"), legal.act_of(F.col("text")).alias("first_act"))
+    return t(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.expr(_ASKED).alias("text")).select("id", F.when(F.size(acts) > 0, acts).alias("acts"), legal.act_of(F.col("text")).alias("first_act"))
 
 
 @query(f"""WITH k(o, word, celex) AS (VALUES {_KEYWORDS}),
