@@ -13,11 +13,6 @@ def number_sources(docs: DataFrame, by: str = "answer", pos: str = "pos") -> Dat
     return docs.withColumn("marker", F.concat(F.lit("S"), n.cast("string"))).withColumn("kind", kind)
 
 
-def valid_markers(markers: Column, known: Column) -> Column:
-    """Markers that a source has, once each, in their order."""
-    return F.array_intersect(F.array_distinct(markers), known)
-
-
 def renumber(segments: DataFrame, sources: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(segments, sources) with cited sources alone, renumbered by first use.
 

@@ -129,11 +129,6 @@ def bridge(citations: DataFrame, most: int = 3, by: Sequence[str] = ("query_id",
     return top_k(citations.groupBy(*by, "article").agg(F.max("score").alias("score")), most, by, "score", "article")
 
 
-def ambiguous_instruments(acts: DataFrame) -> DataFrame:
-    """acts with `anaphora`: `that regulation` can be resolved only if one act of its instrument is in play."""
-    return acts.withColumn("anaphora", F.count(F.lit(1)).over(Window.partitionBy("instrument")) == 1)
-
-
 def dedup_queries(queries: DataFrame, most: int) -> DataFrame:
     """The question and at most `most` sub-questions that differ from it and from each other, in order."""
     same = Window.partitionBy("query_id", F.lower(F.trim("text"))).orderBy("pos")
