@@ -470,7 +470,7 @@ def test_mixing_reports(spark):
     assert done.converged and done.gap < 1e-5
 
 
-@pytest.mark.parametrize("n_junk", [0, 1, 2, 3])
+@pytest.mark.parametrize("n_junk", [0, 2])
 def test_mixing_few_labels_of_a_domain(spark, n_junk):
     rng = random.Random(n_junk)
     bad = [f"bad{k}" for k in range(10)]
