@@ -72,6 +72,11 @@ def link_topics(topics: DataFrame, paragraphs: DataFrame) -> DataFrame:
     return rows.join(paragraphs.select(F.col("id").alias("_p")), F.col("paragraph_id") == F.col("_p"), "left_semi").distinct()
 
 
+def topic_nodes(old: DataFrame, links: DataFrame) -> DataFrame:
+    """Topic nodes (label), each label once, with those that links (paragraph_id, label) add."""
+    return old.select("label").unionByName(links.select("label")).where("label is not null").distinct()
+
+
 def exists(nodes: DataFrame, label: str, node_id: str) -> bool:
     return not nodes.where((F.col("label") == label) & (F.col("id") == node_id)).isEmpty()
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lexloom.functions import legal
 from lexloom.functions.text import sentences
-from lexloom.operators.answers import curate, fenced_json, renumber
+from lexloom.operators.answers import backfill, curate, fenced_json, renumber
 from lexloom.prompts import CATALOGUE, Registry, fill
 from lexloom.providers import Generate, generate
 
@@ -148,6 +148,31 @@ def attribute(answers: DataFrame, how: Attribute = overlap_attribution) -> tuple
     return renumber(segments, listed)
 
 
+def backfill_attribution(rows: DataFrame, key: str, how: Attribute = overlap_attribution) -> DataFrame:
+    """rows with `segments` and `cited_sources` as JSON, attributed from their packed sources and contexts.
+
+    rows: a key, answer, sources and contexts packed with pipes.  Where these
+    differ in number nothing can be told: both are null.
+    """
+    paired = backfill(rows)
+    texts = F.transform("pairs", lambda p, i: F.struct(F.concat(F.lit("S"), (i + 1).cast("string")).alias("marker"), p["id"].alias("id"), p["id"].alias("title"), p["context"].alias("text")))
+    made = paired.where("pairs is not null").select(F.col(key).alias("query_id"), F.col("answer"), texts.alias("sources"))
+    segments, sources = attribute(made, how)
+    told = segments.groupBy("answer").agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text", "markers"))), lambda x: F.struct(x["text"].alias("text"), x["markers"].alias("markers")))).alias("segments"))
+    number = F.regexp_extract("marker", r"(\d+)", 1).cast("int")
+    cited = sources.groupBy("answer").agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct(number.alias("n"), "marker", "id"))), lambda x: F.struct(x["marker"].alias("marker"), x["id"].alias("id")))).alias("cited_sources"))
+    rename = lambda df: df.withColumnRenamed("answer", "_k")
+    out = rows.join(rename(told), F.col(key) == F.col("_k"), "left").drop("_k")
+    return out.join(rename(cited), F.col(key) == F.col("_k"), "left").drop("_k")
+
+
+def view(rows: DataFrame, act: str | None = None, metric: str | None = None, least: float | None = None) -> DataFrame:
+    """Rows of one act, and of at least some value of a metric, numbered anew from 0 in their order."""
+    kept = rows if act is None else rows.where(F.col("act") == act)
+    kept = kept if metric is None else kept.where(F.col(metric) >= least)
+    return kept.withColumn("row", F.row_number().over(Window.partitionBy("act").orderBy("question")) - 1)
+
+
 def answer_badges(segments: DataFrame) -> DataFrame:
     """answer, shown: the sentences in order, each followed by its markers in brackets."""
     one = F.trim(F.concat_ws(" ", "text", F.array_join(F.transform("markers", lambda m: F.concat(F.lit("["), m, F.lit("]"))), " ")))

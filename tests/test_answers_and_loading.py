@@ -326,3 +326,16 @@ def test_trailing_sum_against_brute_force(spark):
     df = spark.createDataFrame(rows, "id int, k string, us long, v double").withColumn("ts", F.timestamp_micros("us"))
     got = {r.id: r.in_window for r in trailing_sum(df, ["k"], "ts", "v").collect()}
     assert got == {i: sum(x for _, k2, u2, x in rows if k2 == k and u - 60_000_000 < u2 <= u) for i, k, u, _ in rows}
+
+
+def test_backfill_and_view(spark):
+    rows = spark.createDataFrame([(1, "Consent is free. It rains.", "a|b", "the law|consent is always free"), (2, "x", "a|b", "one")], "k int, answer string, sources string, contexts string")
+    got = {r.k: r for r in answering.backfill_attribution(rows, "k").collect()}
+    assert json.loads(got[1].segments) == [{"text": "Consent is free.", "markers": ["S1"]}, {"text": "It rains.", "markers": []}]
+    assert json.loads(got[1].cited_sources) == [{"marker": "S1", "id": "b"}] and got[2].segments is None and got[2].cited_sources is None
+    report = spark.createDataFrame([("A", "q2", 0.5), ("A", "q1", 0.9), ("B", "q", 1.0)], "act string, question string, f1 double")
+    assert [(r.question, r.row) for r in answering.view(report, "A").orderBy("row").collect()] == [("q1", 0), ("q2", 1)]
+    assert [r.question for r in answering.view(report, "A", "f1", 0.6).collect()] == ["q1"]
+    from lexloom.operators.graph import topic_nodes
+
+    assert {r.label for r in topic_nodes(spark.createDataFrame([("a",)], "label string"), spark.createDataFrame([("p", "a"), ("p", "b"), ("q", None)], "paragraph_id string, label string")).collect()} == {"a", "b"}
