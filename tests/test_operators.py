@@ -204,17 +204,12 @@ def test_aske_generation_offers_every_vector(spark, tmp_path, monkeypatch):
 
 
 def brute_sections(heads):
-    """(path, parent seq) of (seq, depth) headings: counters a level, and the nearest open shallower section."""
-    out, counters, open_ = {}, [], {}
-    for seq, depth in heads:
-        if depth < len(counters):
-            counters = counters[: depth + 1]
-            counters[depth] += 1
-        else:
-            counters += [0] * (depth + 1 - len(counters))
-        parents = [open_[d] for d in sorted(open_) if d < depth]
-        out[seq] = (".".join(map(str, counters)), parents[-1] if parents else None)
-        open_ = {d: s for d, s in open_.items() if d < depth} | {depth: seq}
+    """{seq: (path, parent)}: each path follows from the one before, and the parent is the last shallower heading."""
+    out, path = {}, ()
+    for k, (seq, depth) in enumerate(heads):
+        path = (*path[:depth], path[depth] + 1) if depth < len(path) else path + (0,) * (depth + 1 - len(path))
+        before = [s for s, d in heads[:k] if d < depth]
+        out[seq] = (".".join(str(n) for n in path), before[-1] if before else None)
     return out
 
 
