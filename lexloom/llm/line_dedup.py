@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import BLANKS, apart, ascii_lower, text_of
+from lexloom.llm.common import BLANKS, apart, ascii_lower, checkpoint, text_of
 
 
 def _key(line: Column) -> Column:
@@ -25,16 +25,17 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     count and lose lines only if `min_docs` real ids hold the key.  An empty
     table gives an empty one; columns of docs named like a result are replaced.
 
-    Plan: each document's distinct keys are exploded as two 64-bit hashes (no
-    text), counted over distinct ids with map-side partial sums, and the
-    repeated ones joined back (a hot key meets one row, so AQE splits it).
+    Plan: each document's keys are exploded as two 64-bit hashes (no text),
+    checkpointed, so that texts are split once for both uses, counted over
+    distinct ids with map-side partial sums, and the repeated ones joined back
+    (a hot key meets one row, so AQE splits it).
     Only the numbers of dropped lines travel to the texts.
     """
     docs = docs.drop(*(c for c in ("n_lines", "n_dropped", "kept_text") if c in docs.columns and c not in (id_col, text_col)))
     row = F.xxhash64(text_of(text_col))
     lines = docs.select(F.col(id_col).alias("_d"), row.alias("_t"), F.posexplode(F.split(text_of(text_col), "\n", -1)).alias("_p", "_l"))
     keys = lines.select("_d", "_t", "_p", _key(F.col("_l")).alias("_k")).where(F.length("_k") >= min_chars)
-    keys = keys.select("_d", "_t", "_p", F.xxhash64("_k").alias("_a"), F.xxhash64(F.lit(1), "_k").alias("_b"))
+    keys = checkpoint(keys.select("_d", "_t", "_p", F.xxhash64("_k").alias("_a"), F.xxhash64(F.lit(1), "_k").alias("_b")))
     repeated = keys.groupBy("_a", "_b").agg(F.count_distinct("_d").alias("_n"), F.max("_d").alias("_keep")).where(F.col("_n") >= min_docs)
     repeated = repeated.select(apart("_a").alias("_ra"), F.col("_b").alias("_rb"), "_keep")
     lost = keys.join(repeated, (apart("_a") == F.col("_ra")) & (F.col("_b") == F.col("_rb"))).where(~F.col("_d").eqNullSafe(F.col("_keep")))
