@@ -65,11 +65,13 @@ def bm25_top_k(docs: DataFrame, queries: DataFrame, k: int, id_col: str = "doc",
     own = docs.select(*group, F.col(id_col).alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     asked = queries.select(F.col(query_id).alias("query_id"), F.col(query_text).alias("text"), *(group if set(group) <= set(queries.columns) else ()))
     rows = own.select(*group, F.explode(F.array(tokens(F.col("text")))).alias("_t"))
-    totals = _totals(rows.select(*group, F.size("_t").alias("dl")), group)
-    df = rows.select(*group, F.explode(F.array_distinct("_t")).alias("term")).groupBy(*group, "term").agg(F.count(F.lit(1)).alias("df"))
-    terms = _idf(df, totals, group).drop("avgdl").persist()
+    # One pass: a null term stands for the document itself and carries its length.
+    each = F.explode(F.concat(F.array_distinct("_t"), F.array(F.lit(None).cast("string"))))
+    counted = rows.select(*group, F.size("_t").alias("dl"), each.alias("term")).groupBy(*group, "term").agg(F.count(F.lit(1)).alias("df"), F.sum(F.when(F.col("term").isNull(), F.col("dl"))).alias("words")).persist()
+    totals = counted.where("term is null").select(*group, F.col("df").alias("n_docs"), (F.col("words") / F.col("df")).alias("avgdl"))
+    terms = _idf(counted.where("term is not null").drop("words"), totals, group).drop("avgdl")
     found = bm25_top(own, asked, k, terms, totals, group, K1, B)
-    terms.unpersist()
+    counted.unpersist()
     return top_k(found, k, ("query_id", *group))
 
 
