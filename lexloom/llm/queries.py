@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexloom.llm.change_points import change_points
 from lexloom.llm.common import table
 from lexloom.llm.hamming import hamming_top_k
 from lexloom.llm.html_extract import html_extract
@@ -72,6 +73,11 @@ def op10_mix_to_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_to_targets(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_change_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "sale_lines")
+    return change_points(lines, "vendor_id", "quantity", "shipped_at", least=14, penalty=40000)
+
+
 def license_scan_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What SQL can express of op2: its base columns."""
     return op2_license_scan(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
@@ -89,7 +95,7 @@ def sharding_places(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op1_line_dedup, op2_license_scan, op3_html_extract, op4_sharding, op5_quality_rules, op6_best_fit_packing, op7_hamming_top_k, op8_substring_dedup, op9_ngram_jaccard_join, op10_mix_to_targets, license_scan_base, quality_rules_base, sharding_places)
+    for f in (op1_line_dedup, op2_license_scan, op3_html_extract, op4_sharding, op5_quality_rules, op6_best_fit_packing, op7_hamming_top_k, op8_substring_dedup, op9_ngram_jaccard_join, op10_mix_to_targets, op11_change_points, license_scan_base, quality_rules_base, sharding_places)
 }
 
 _UPPER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ'"
@@ -131,6 +137,36 @@ ORACLE_SQL: dict[str, str] = {
             FROM codes q, codes c WHERE q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id)
         SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS INTEGER) AS rank, vec_id, distance
         FROM pairs QUALIFY rank <= 10""",
+    "op11_change_points": """
+        WITH RECURSIVE taken AS (
+            SELECT vendor_id, CAST(CAST(shipped_at AS DATE) - DATE '1970-01-01' AS BIGINT) AS d, CAST(sum(quantity) AS HUGEINT) AS v
+            FROM sale_lines WHERE quantity IS NOT NULL AND shipped_at IS NOT NULL GROUP BY ALL),
+        days AS (SELECT vendor_id, unnest(range(min(d), max(d) + 1)) AS d FROM taken GROUP BY vendor_id),
+        filled AS (SELECT days.vendor_id, days.d, coalesce(v, 0) AS v FROM days LEFT JOIN taken ON days.vendor_id IS NOT DISTINCT FROM taken.vendor_id AND days.d = taken.d),
+        summed AS (SELECT *, sum(v) OVER w AS s, sum(v * v) OVER w AS q FROM filled WINDOW w AS (PARTITION BY vendor_id ORDER BY d)),
+        series AS (
+            SELECT vendor_id, min(d) AS first, count(*) AS n, list_prepend(0::HUGEINT, list(s::HUGEINT ORDER BY d)) AS s, list_prepend(0::HUGEINT, list(q::HUGEINT ORDER BY d)) AS q
+            FROM summed GROUP BY vendor_id),
+        -- best[i + 1]: a million times the cost of the first i days and penalties, plus the segments; back: the start of their last segment
+        dp AS (
+            SELECT vendor_id, first, n, s, q, 0::BIGINT AS j, [0::HUGEINT] AS best, [0::BIGINT] AS back FROM series
+            UNION ALL
+            SELECT vendor_id, first, n, s, q, j + 1, list_append(best, list_min(c)), list_append(back, CASE WHEN list_min(c) IS NULL THEN NULL ELSE list_position(c, list_min(c)) - 1 END)
+            FROM (
+                SELECT *, list_transform(range(0, j + 1), lambda i: CASE WHEN best[i + 1] IS NOT NULL AND (j + 1 - i >= 14 OR (n < 14 AND j + 1 = n AND i = 0)) THEN
+                    best[i + 1] + 1 + 1000000::HUGEINT * (CASE WHEN i > 0 THEN 40000 ELSE 0 END + (j + 1 - i) * floor(1000 * ln(1 +
+                        ((j + 1 - i) * (q[j + 2] - q[i + 1]) - (s[j + 2] - s[i + 1]) * (s[j + 2] - s[i + 1])) // ((j + 1 - i) * (j + 1 - i))))::BIGINT) END) AS c
+                FROM dp WHERE j < n)),
+        walk AS (
+            SELECT vendor_id, first, s, q, back, best[n + 1] AS total, n AS z, back[n + 1] AS a FROM dp WHERE j = n
+            UNION ALL
+            SELECT vendor_id, first, s, q, back, total, a, back[a + 1] FROM walk WHERE a > 0),
+        cut AS (
+            SELECT vendor_id, first, a, z, total, z - a AS n, s[z + 1] - s[a + 1] AS s, q[z + 1] - q[a + 1] AS q FROM walk),
+        measured AS (SELECT *, 1 + (n * q - s * s) // (n * n) AS v FROM cut)
+        SELECT vendor_id, CAST(row_number() OVER (PARTITION BY vendor_id ORDER BY a) AS INTEGER) AS segment_no, CAST(first + a AS BIGINT) AS first_day, CAST(n AS BIGINT) AS n_days,
+               CAST(s AS BIGINT) AS total, CAST(v AS BIGINT) AS spread, CAST(n * floor(1000 * ln(v)) AS BIGINT) AS cost, count(*) OVER (PARTITION BY vendor_id) AS n_segments, CAST(total // 1000000 AS BIGINT) AS best_cost
+        FROM measured""",
     "license_scan_base": rf"""
         WITH w AS (
             SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {_UPPER}, lower({_UPPER})), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
