@@ -16,6 +16,7 @@ from lexloom.llm.license_scan import license_scan
 from lexloom.llm.line_dedup import line_dedup
 from lexloom.llm.mixing import mix_to_targets
 from lexloom.llm.packing import best_fit_packing, tokenizer
+from lexloom.llm.pii import pii_scan
 from lexloom.llm.quality import quality_rules
 from lexloom.llm.sharding import stratified_shards
 from lexloom.llm.substring_dedup import substring_dedup
@@ -78,6 +79,15 @@ def op11_change_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return change_points(lines, "vendor_id", "quantity", "shipped_at", least=14, penalty=40000)
 
 
+def op13_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_scan(table(spark, sf_dir, "documents"))
+
+
+def pii_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can express of op13: what the rules find."""
+    return op13_pii(spark, sf_dir).select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256")
+
+
 def license_scan_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What SQL can express of op2: its base columns."""
     return op2_license_scan(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
@@ -95,10 +105,11 @@ def sharding_places(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op1_line_dedup, op2_license_scan, op3_html_extract, op4_sharding, op5_quality_rules, op6_best_fit_packing, op7_hamming_top_k, op8_substring_dedup, op9_ngram_jaccard_join, op10_mix_to_targets, op11_change_points, license_scan_base, quality_rules_base, sharding_places)
+    for f in (op1_line_dedup, op2_license_scan, op3_html_extract, op4_sharding, op5_quality_rules, op6_best_fit_packing, op7_hamming_top_k, op8_substring_dedup, op9_ngram_jaccard_join, op10_mix_to_targets, op11_change_points, op13_pii, license_scan_base, quality_rules_base, sharding_places, pii_base)
 }
 
 _UPPER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ'"
+_PII = (("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]"))
 _BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
 ORACLE_SQL: dict[str, str] = {
@@ -167,6 +178,21 @@ ORACLE_SQL: dict[str, str] = {
         SELECT vendor_id, CAST(row_number() OVER (PARTITION BY vendor_id ORDER BY a) AS INTEGER) AS segment_no, CAST(first + a AS BIGINT) AS first_day, CAST(n AS BIGINT) AS n_days,
                CAST(s AS BIGINT) AS total, CAST(v AS BIGINT) AS spread, CAST(n * floor(1000 * ln(v)) AS BIGINT) AS cost, count(*) OVER (PARTITION BY vendor_id) AS n_segments, CAST(total // 1000000 AS BIGINT) AS best_cost
         FROM measured""",
+    "pii_base": rf"""
+        WITH parts AS ({" UNION ALL ".join(f"SELECT doc_id, '{kind}' AS kind, {k} AS o, regexp_extract_all(coalesce(text, ''), '{form}') AS hits, string_split_regex(coalesce(text, ''), '{form}') AS gaps FROM documents" for k, (kind, form) in enumerate(_PII))}),
+        matches AS (SELECT *, unnest(range(1, len(hits) + 1)) AS i FROM parts WHERE len(hits) > 0),
+        placed AS (
+            SELECT doc_id, kind, o, hits[i] AS m, CAST(list_sum(list_transform(gaps[1:i], lambda g: length(g))) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda h: length(h))), 0) AS BIGINT) AS s FROM matches),
+        digits AS (SELECT *, reverse(regexp_replace(m, '[^0-9]', '', 'g')) AS d FROM placed),
+        good AS (
+            SELECT * FROM digits WHERE CASE kind
+                WHEN 'email' THEN true
+                WHEN 'ip' THEN list_max(list_transform(string_split(m, '.'), lambda p: CASE WHEN length(ltrim(p, '0')) > 3 THEN 999 ELSE CAST('0' || ltrim(p, '0') AS INTEGER) END)) <= 255
+                WHEN 'card' THEN length(d) BETWEEN 12 AND 19 AND list_sum(list_transform(range(1, length(d) + 1), lambda i: CASE WHEN i % 2 = 1 THEN CAST(d[i] AS INTEGER) ELSE (2 * CAST(d[i] AS INTEGER)) // 10 + (2 * CAST(d[i] AS INTEGER)) % 10 END)) % 10 = 0
+                ELSE length(d) BETWEEN 9 AND 15 END)
+        SELECT documents.doc_id, count(*) FILTER (kind = 'email') AS n_email, count(*) FILTER (kind = 'ip') AS n_ip, count(*) FILTER (kind = 'card') AS n_card, count(*) FILTER (kind = 'phone') AS n_phone,
+               sha256(coalesce(string_agg(kind || ':' || s || ':' || (s + length(m)), ',' ORDER BY s, o), '')) AS base_sha256
+        FROM documents LEFT JOIN good ON good.doc_id = documents.doc_id GROUP BY documents.doc_id""",
     "license_scan_base": rf"""
         WITH w AS (
             SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {_UPPER}, lower({_UPPER})), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
