@@ -12,6 +12,7 @@ from lexloom.llm.common import table
 from lexloom.llm.hamming import hamming_top_k
 from lexloom.llm.html_extract import html_extract
 from lexloom.llm.jaccard_join import jaccard_join
+from lexloom.llm.lexical_search import ranked_search
 from lexloom.llm.license_scan import license_scan
 from lexloom.llm.line_dedup import line_dedup
 from lexloom.llm.mixing import mix_to_targets
@@ -79,6 +80,10 @@ def op11_change_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return change_points(lines, "vendor_id", "quantity", "shipped_at", least=14, penalty=40000)
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
 def op13_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_scan(table(spark, sf_dir, "documents"))
 
@@ -105,10 +110,11 @@ def sharding_places(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op1_line_dedup, op2_license_scan, op3_html_extract, op4_sharding, op5_quality_rules, op6_best_fit_packing, op7_hamming_top_k, op8_substring_dedup, op9_ngram_jaccard_join, op10_mix_to_targets, op11_change_points, op13_pii, license_scan_base, quality_rules_base, sharding_places, pii_base)
+    for f in (op1_line_dedup, op2_license_scan, op3_html_extract, op4_sharding, op5_quality_rules, op6_best_fit_packing, op7_hamming_top_k, op8_substring_dedup, op9_ngram_jaccard_join, op10_mix_to_targets, op11_change_points, op12_lexical_search, op13_pii, license_scan_base, quality_rules_base, sharding_places, pii_base)
 }
 
 _UPPER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ'"
+_TERMS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _PII = (("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]"))
 _BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
@@ -178,6 +184,19 @@ ORACLE_SQL: dict[str, str] = {
         SELECT vendor_id, CAST(row_number() OVER (PARTITION BY vendor_id ORDER BY a) AS INTEGER) AS segment_no, CAST(first + a AS BIGINT) AS first_day, CAST(n AS BIGINT) AS n_days,
                CAST(s AS BIGINT) AS total, CAST(v AS BIGINT) AS spread, CAST(n * floor(1000 * ln(v)) AS BIGINT) AS cost, count(*) OVER (PARTITION BY vendor_id) AS n_segments, CAST(total // 1000000 AS BIGINT) AS best_cost
         FROM measured""",
+    "op12_lexical_search": rf"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {_UPPER}, lower({_UPPER})), '{_TERMS}') AS ts FROM documents),
+        a AS (SELECT count(*) AS n, sum(len(ts))::BIGINT AS l FROM d WHERE len(ts) > 0),
+        p AS (SELECT doc_id, len(ts) AS n, t, count(*) AS tf FROM (SELECT doc_id, ts, unnest(ts) AS t FROM d) GROUP BY ALL),
+        w AS (SELECT t, CAST(floor(1000 * ln((2 * a.n + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE)) AS BIGINT) AS w FROM p, a GROUP BY t, a.n),
+        q AS (
+            SELECT item_id, t, count(*) AS f FROM (
+                SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), {_UPPER}, lower({_UPPER})), '{_TERMS}')) AS t FROM benchmark) GROUP BY ALL),
+        scored AS (
+            SELECT item_id, doc_id, CAST(sum(f * w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * p.n * a.n) // a.l)))) AS BIGINT) AS score
+            FROM q JOIN p USING (t) JOIN w USING (t), a GROUP BY item_id, doc_id)
+        SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+        FROM scored WHERE score > 0 QUALIFY rank <= 10""",
     "pii_base": rf"""
         WITH parts AS ({" UNION ALL ".join(f"SELECT doc_id, '{kind}' AS kind, {k} AS o, regexp_extract_all(coalesce(text, ''), '{form}') AS hits, string_split_regex(coalesce(text, ''), '{form}') AS gaps FROM documents" for k, (kind, form) in enumerate(_PII))}),
         matches AS (SELECT *, unnest(range(1, len(hits) + 1)) AS i FROM parts WHERE len(hits) > 0),
