@@ -22,8 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Postings of a block; bytes of text and documents of a segment; rows of an Arrow batch given back.
-BLOCK, SEGMENT_BYTES, SEGMENT_DOCS, ROWS = 128, 32 << 20, 1 << 16, 1 << 15
+#: Postings of a block; bytes of text (arrays made of it take some twenty times as much) and documents of a segment; rows of an Arrow batch given back.
+BLOCK, SEGMENT_BYTES, SEGMENT_DOCS, ROWS = 128, 8 << 20, 1 << 16, 1 << 13
 
 _ALL = np.arange(256)
 #: Bytes inside a token: all but white space; and ASCII letters, digits and everything beyond ASCII.
