@@ -336,6 +336,11 @@ def reconcile(text: str, found: list[tuple[int, int, int, float, bool]], base: l
                 grown.append([s, k, e, gain])
     for s, k, e, gain in grown:
         whole.setdefault((s, k, e), gain)
+    tidy: dict[tuple[int, int, int], float] = {}
+    for (s, k, e), g in whole.items():
+        s, e = _tidied(text, s, e)
+        tidy[s, k, e] = max(g, tidy.get((s, k, e), g))
+    whole = tidy
     rest = sorted((e, s, k, g) for (s, k, e), g in whole.items() if g >= least_gain and all(e <= a or z <= s for a, _, z in base) and acceptable(k, text, s, e))
     ends, best, last = [e for e, *_ in rest], [0.0], []
     for i, (e, s, k, g) in enumerate(rest):
@@ -353,6 +358,21 @@ def reconcile(text: str, found: list[tuple[int, int, int, float, bool]], base: l
     return sorted(taken)
 
 
+def _tidied(text: str, start: int, end: int) -> tuple[int, int]:
+    """Without blanks at its ends, and with the bracket that opens or closes one inside it."""
+    while start < end and text[start].isspace():
+        start += 1
+    while start < end and text[end - 1].isspace():
+        end -= 1
+    for a, z in ("()", "[]"):
+        inside = text[start:end]
+        if inside.count(z) > inside.count(a) and start and text[start - 1] == a:
+            start -= 1
+        elif inside.count(a) > inside.count(z) and text[end : end + 1] == z:
+            end += 1
+    return start, end
+
+
 def _before(ends: list[int], start: int, most: int) -> int:
     """How many of the first `most` ends are at most `start`."""
     lo, hi = 0, most

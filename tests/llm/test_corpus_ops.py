@@ -18,7 +18,7 @@ from lexloom.llm import mixing
 from lexloom.llm.common import components, table, union_find
 from lexloom.llm.hamming import hamming_top_k
 from lexloom.llm import html_extract as extraction
-from lexloom.llm.html_extract import above, article, hash_text, html_extract, parse, style_tree
+from lexloom.llm.html_extract import above, article, hash_text, html_extract, parse, sketch, style_tree
 from lexloom.llm.jaccard_join import banding, jaccard_join, shared
 from lexloom.llm.packing import best_fit_packing, encoder, reduce_and_fit
 from lexloom.llm.queries import public_tokenizer
@@ -163,6 +163,7 @@ def test_html_extract(spark):
     assert {out[10 + i][0] for i in range(12)} == {f"{i} is new." for i in range(12)}
     assert out[90] == ("", 0) and out[91] == ("", 0) and out[92][0] == "no end" and out[93][0] == "a < b &"
     assert html_extract(pages).count() == len(rows) and html_extract(pages.limit(0)).count() == 0
+    assert html_extract(pages, carry=("url", "text", "page_id")).columns == ["url", "page_id", "text", "n_chars"]
     nodes, texts = style_tree(pages.select(F.lit(1).cast("long").alias("host"), "html").limit(0))
     assert nodes.count() == 0 and texts.count() == 0
 
@@ -186,7 +187,7 @@ def test_style_tree_decides(spark, monkeypatch, n):
         blocks, _ = parse(h, {})
         assert got[i].split("\n") == [b.text for b in blocks if " " in b.text and b.text not in ("Write to us today.", "All prices in euro")]
     # Without the tree's verdicts, every text stays.
-    bare = spark.createDataFrame([], "host long, low array<long>, kept array<long>, texts array<struct<path:bigint,feature:bigint>>")
+    bare = spark.createDataFrame([], "site long, path long, feature long, state int")
     monkeypatch.setattr(extraction, "verdicts", lambda *args: bare)
     assert all("Home\nNews\nShop" in r.text and "Imprint" in r.text for r in html_extract(pages).collect())
 
@@ -203,42 +204,107 @@ def test_prior_yields_to_the_tree(spark):
         assert r.text == "\n".join(b.text for b in blocks[:-1])
 
 
+def page_rows(sf="sf0.01"):
+    import pyarrow.parquet as pq
+
+    return pq.read_table(f"/root/testdata/{sf}/pages.parquet").to_pylist()
+
+
+def test_tree_decides_on_the_given_pages(spark):
+    """Every page of sf0.01 has an advert that the tree takes away; without the tree all of these would stay."""
+    rows = page_rows()
+    pages = spark.createDataFrame([(r["page_id"], r["url"], r["html"]) for r in rows], "page_id long, url string, html string")
+    host = F.xxhash64(F.regexp_extract("url", "//([^/]+)", 1)).alias("host")
+    states = Counter(r.state for r in extraction.verdicts(pages.select(host, "html")).collect())
+    assert states[extraction.OUT] == 84 and states[extraction.SOLID] == 126
+    got = {r.page_id: r.text for r in html_extract(pages).collect()}
+    bare = {r["page_id"]: "\n".join(b.text for b in article(parse(r["html"], {})[0], set(), set())) for r in rows}
+    want = {r["page_id"]: "\n".join(b.text for b in parse(re.search("<article>.*</article>", r["html"], re.S)[0], {})[0]) for r in rows}
+    assert got == want and all(got[i] != bare[i] for i in got)
+
+
+def test_tree_needs_no_names(spark):
+    """The same with the advert's class and the article element renamed to what says nothing."""
+    rows = page_rows()
+    opaque = lambda h: h.replace('class="ad"', 'class="x7"').replace("<article>", "<div id='q'>").replace("</article>", "</div>")
+    pages = spark.createDataFrame([(r["page_id"], r["url"], opaque(r["html"])) for r in rows], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_extract(pages).collect()}
+    want = {r["page_id"]: "\n".join(b.text for b in parse(re.search("<article>.*</article>", r["html"], re.S)[0], {})[0]) for r in rows}
+    assert sum(got[i] == want[i] for i in want) >= 0.95 * len(want)
+
+
+def test_small_hosts_are_judged_by_template(spark):
+    rows = [(i, f"http://h{i}.example/x", h) for i, h in enumerate(opaque_pages(9))] + [(50, "http://alone.example", "<div class='ad'>One of a kind</div><p>text</p>")]
+    got = {r.page_id: r.text for r in html_extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all("Home" not in got[i] and "Imprint" not in got[i] and got[i] for i in range(9))
+    assert got[50] == "One of a kind\ntext"  # nothing is known of it
+
+
+def test_verdicts_meet_pages_by_host_too(spark, monkeypatch):
+    monkeypatch.setattr(extraction, "PAGES", 7)
+    rows = [(r["page_id"], r["url"], r["html"], "clash", 1) for r in page_rows()] + [(900, None, None, "", 2), (901, "http://z.example", "<p>only", "", 3)] * 2
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string, path int")
+    few, many = (sorted((r.page_id, r.text, r.n_chars) for r in html_extract(pages, broadcast=n).collect()) for n in (extraction.BROADCAST_VERDICTS, 3))
+    assert few == many and len(few) == len(rows)
+
+
+def test_nodes_of_equal_importance_are_judged_alike(spark):
+    rng = random.Random(3)
+    part = lambda: "".join(f"<p>{rng.random()} {rng.random()}</p>" for _ in range(rng.randint(1, 9)))
+    rows = []
+    for i in range(30):
+        same = part()
+        rows.append((i, "http://t.example", f"<div class='a1'>{same}</div><div class='a2'>{same}</div><div class='b1'>Buy</div><div class='b2'>Buy</div>"))
+    for r in html_extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect():
+        lines = r.text.split("\n")
+        assert "Buy" not in r.text and lines[: len(lines) // 2] == lines[len(lines) // 2 :]
+
+
+def test_sketches_share_what_sets_share():
+    words = [f"w{i}" for i in range(400)]
+    near = len(set(sketch(set(words))) & set(sketch(set(words[:360] + ["x", "y"]))))
+    assert 10 <= near <= 16 and len(sketch(set(words))) == 16 and sketch(set()) == []
+    assert set(sketch(set(words))).isdisjoint(sketch({f"v{i}" for i in range(400)}))
+
+
 def test_style_tree_against_brute_force(spark):
-    pages = opaque_pages(7) + [PAGE.format(f"Body {i}") for i in range(5)] + ["<div>a<div>b <i>c</i></div></div>", ""]
+    pages = opaque_pages(7) + [PAGE.format(f"Body {i}") for i in range(5)] + ["<div>a<div>b <i>c</i> <a href='/t'>d</a></div></div>", ""]
     pages += pages[:2]
     parsed, seen = [], set()
     for h in pages:
         blocks, children = parse(h, {})
-        key = tuple(sorted({hash_text(b.text) for b in blocks if b.prior == 1 and not b.node.named}))
+        key = tuple(sorted({hash_text(b.text) for b in blocks if b.prior >= 1} or {hash_text(b.text) for b in blocks}))
         if key not in seen:
             seen.add(key)
             parsed.append((blocks, children))
     entropy = lambda ns, m: -sum(n / sum(ns) * np.log(n / sum(ns)) for n in ns) / np.log(max(m, 2))
-    leaves, layouts, below = defaultdict(Counter), defaultdict(list), defaultdict(set)
+    leaves, layouts, below, words = defaultdict(Counter), defaultdict(list), defaultdict(set), defaultdict(Counter)
     for k, (blocks, children) in enumerate(parsed):
-        inline, nodes = defaultdict(list), set()
+        inline, nodes, own = defaultdict(list), set(), defaultdict(set)
         for b in blocks:
             leaves[b.leaf][hash_text(b.text), k] += 1
-            inline[b.leaf] += b.inline
+            own[b.leaf] |= {*b.text.split(), *("a " + x for x in b.links)}
+            inline[b.leaf] += [*b.inline, "/"]
             below[b.leaf].add(b.leaf)
             nodes |= {b.leaf, *(n.path for n in above(b.node))}
             for n in above(b.node):
                 below[n.path].add(b.leaf)
         for p in nodes:
             layouts[p].append((tuple(children.get(p, ())), tuple(inline.get(p, ()))))
+        for p, ws in own.items():
+            words[p].update(sketch(ws))
     want, text_want = {}, {}
     for p, seen_layouts in layouts.items():
         scores = []
         for leaf in below[p]:
             m, by = len(layouts[leaf]), defaultdict(list)
+            scores += [1 - k / m * np.log(k) / np.log(max(m, 2)) for k in words[leaf].values()]
             for (f, _), n in leaves[leaf].items():
                 by[f].append(n)
             for f, ns in by.items():
-                scores.append(1 - len(ns) / m * entropy(ns, m))
                 if len(ns) > 1:
-                    text_want[leaf, f] = scores[-1]
-        m = len(seen_layouts)
-        layout = min(1, entropy(list(Counter(seen_layouts).values()), max(m, extraction.LEAST_BASE)))
+                    text_want[leaf, f] = 1 - len(ns) / m * entropy(ns, m)
+        layout = entropy(list(Counter(seen_layouts).values()), len(seen_layouts))
         want[p] = (1 - extraction.GAMMA) * layout + extraction.GAMMA * np.mean(scores)
     nodes, texts = style_tree(spark.createDataFrame([(1, h) for h in pages], "host long, html string"))
     got = {r.path: r.measured for r in nodes.collect()}
@@ -253,7 +319,7 @@ def test_parser_is_linear(page):
     blocks, _ = parse(page, {})
     extraction.tree_rows(page, {})
     assert blocks and small >= 0 and time.time() - began < 5
-    assert article(blocks, set(), set(), set()) == blocks
+    assert article(blocks, set(), set()) == blocks
 
 
 def brute_join(texts, width=5, similarity=0.8):
