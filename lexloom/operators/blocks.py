@@ -21,18 +21,16 @@ from pyspark.sql import types as T
 
 #: Bytes of the stated set that are broadcast at once, and of it that meet a batch at once.
 BLOCK_BYTES, SLICE = 64 << 20, 256
-#: Documents scored at once, cells of a matrix of terms and queries, and candidates held before they are cut to the best.
-DOCS, CELLS, KEPT = 128, 4 << 20, 1 << 20
 
 
-def _blocks(side: DataFrame, weigh) -> Iterator[list]:  # noqa: ANN001
-    """Rows of the stated set, as many as weigh BLOCK_BYTES; at least one block, maybe empty."""
+def in_blocks(side: DataFrame, weigh, most: int = BLOCK_BYTES) -> Iterator[list]:  # noqa: ANN001
+    """Rows of the stated set, as many as weigh `most` bytes; at least one block, maybe empty."""
     held: list = []
     size, some = 0, False
     for row in side.toLocalIterator(prefetchPartitions=True):
         held.append(row)
         size += weigh(row)
-        if size >= BLOCK_BYTES:
+        if size >= most:
             yield held
             held, size, some = [], 0, True
     if held or not some:
@@ -62,7 +60,7 @@ def similar(rows: DataFrame, row_cols: Sequence[str], vector: str, side: DataFra
     schema = T.StructType([*rows.select(*row_cols).schema.fields, *side.select(*side_cols).schema.fields, T.StructField("score", T.DoubleType())])
     n_rows, kinds = len(row_cols), [f.dataType for f in side.select(*side_cols).schema.fields]
     parts = []
-    for block in _blocks(side.select(*side_cols, side_vector), weigh):
+    for block in in_blocks(side.select(*side_cols, side_vector), weigh):
         dims = Counter(len(r[-1]) for r in block if r[-1] is not None and all(x is not None for x in r[-1]))
         for dim in sorted(dims) or [0]:
             own = [r for r in block if r[-1] is not None and len(r[-1]) == dim and all(x is not None for x in r[-1])]
@@ -104,34 +102,6 @@ def _similar(shared, n_rows: int, kinds: list, dim: int, least: float | None, k:
     return run
 
 
-def bm25_top(docs: DataFrame, queries: DataFrame, k: int, idf: DataFrame, totals: DataFrame, group: Sequence[str], k1: float, b: float) -> DataFrame:
-    """query_id, group..., doc, score: what can be among a query's k best documents by BM25 (of each group), ties included.
-
-    docs: group..., doc, text; queries: query_id, text (and group..., if each
-    is asked of its own group only); idf: group..., term, idf; totals: group...,
-    avgdl.  A document's terms are counted and scored, to 6 places, where it is
-    read: no posting is shuffled.
-    """
-    spark = docs.sparkSession
-    n = len(group)
-    own = n > 0 and set(group) <= set(queries.columns)
-    schema = T.StructType([queries.schema["query_id"], *docs.select(*group, "doc").schema.fields, T.StructField("score", T.DoubleType())])
-    lengths = {tuple(r[:n]): r["avgdl"] for r in totals.select(*group, "avgdl").collect()}
-    parts = []
-    for block in _blocks(queries.select("query_id", "text", *(group if own else ())), lambda r: 32 * len(r["text"] or "") + 64):
-        number: dict[str, int] = {}
-        asked = [(number.setdefault(t, len(number)), q, c) for q, r in enumerate(block) for t, c in Counter(words(r["text"])).items()]
-        terms = spark.createDataFrame([(t,) for t in number] or [("",)], "term string")
-        weights: dict[tuple, np.ndarray] = {}
-        for r in idf.join(terms, "term", "left_semi").select(*group, "term", "idf").toLocalIterator():
-            if r["term"] in number:
-                weights.setdefault(tuple(r[:n]), np.zeros(len(number)))[number[r["term"]]] = r["idf"]
-        names, homes = [r["query_id"] for r in block], [tuple(r[2:]) for r in block] if own else None
-        shared = spark.sparkContext.broadcast((names, homes, number, np.array(asked, np.int64).reshape(-1, 3).T, weights, lengths))
-        parts.append(docs.select(*group, "doc", "text").mapInArrow(_scorer(shared, n, k, k1, b, schema), schema))
-    return functools.reduce(DataFrame.unionByName, parts)
-
-
 def words(text: str | None) -> list[str]:
     """White-space tokens, as functions.text.tokens gives them."""
     text = text or ""
@@ -140,78 +110,4 @@ def words(text: str | None) -> list[str]:
     return [w for w in text.split(" ") if w]
 
 
-def _scorer(shared, n: int, k: int, k1: float, b: float, schema: T.StructType):  # noqa: ANN001, ANN202
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    arrow = [to_arrow_type(f.dataType) for f in schema.fields]
-
-    def best(found: list[tuple]) -> tuple:
-        """Of (query, group, doc, score) columns what reaches the k-th score of its query and group."""
-        q, g, d, s = (np.concatenate(x) for x in zip(*found))
-        if not len(q):
-            return q, g, d, s
-        order = np.lexsort((-s, q, g))
-        q, g, d, s = q[order], g[order], d[order], s[order]
-        new = np.concatenate(([True], (q[1:] != q[:-1]) | (g[1:] != g[:-1])))
-        start = np.maximum.accumulate(np.where(new, np.arange(len(q)), 0))
-        last = np.minimum(start + k - 1, np.append(np.flatnonzero(new)[1:], len(q))[np.cumsum(new) - 1] - 1)
-        keep = s >= s[last]
-        return q[keep], g[keep], d[keep], s[keep]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, homes, number, (term, query, count), weights, lengths = shared.value
-        # How often each query has each term, a matrix for every slice of queries.
-        step = max(1, CELLS // max(1, len(number)))
-        slices, none = [], np.zeros(len(number))
-        for lo in range(0, len(names), step):
-            often = np.zeros((len(number), min(step, len(names) - lo)))
-            here = (query >= lo) & (query < lo + step)
-            often[term[here], query[here] - lo] = count[here]
-            slices.append((lo, often))
-        for batch in batches:
-            groups = list(zip(*(batch.column(c).to_pylist() for c in range(n)))) if n else [()] * batch.num_rows
-            kinds: dict[tuple, int] = {}
-            group = np.array([kinds.setdefault(g, len(kinds)) for g in groups], np.int64)
-            home = None if homes is None else np.array([kinds.get(h, -1) for h in homes])
-            found: list[tuple] = []
-            for first in range(0, batch.num_rows, DOCS):
-                cols_, counts_, sizes, norms, table = [], [], [], [], []
-                for i, text in enumerate(batch.column(n + 1).slice(first, DOCS)):
-                    own = weights.get(groups[first + i])
-                    tokens = words(text.as_py()) if own is not None else []
-                    seen = Counter(t for t in tokens if t in number)
-                    cols_ += [number[t] for t in seen]
-                    counts_ += seen.values()
-                    sizes.append(len(seen))
-                    norms.append(k1 * (1 - b + b * len(tokens) / lengths[groups[first + i]]) if seen else 0.0)
-                    table.append(own if own is not None else none)
-                if not cols_:
-                    continue
-                cols, tf, rows = np.array(cols_), np.array(counts_, float), np.repeat(np.arange(len(sizes)), sizes)
-                idf = np.concatenate([own[cols[a:z]] for own, a, z in zip(table, np.cumsum([0, *sizes]), np.cumsum(sizes))])
-                value = idf * (tf * (k1 + 1) / (tf + np.array(norms)[rows]))
-                used, at = np.unique(cols, return_inverse=True)
-                share = np.zeros((min(DOCS, batch.num_rows - first), len(used)))
-                share[rows, at] = value
-                has = np.zeros(share.shape, np.float32)
-                has[rows, at] = 1
-                for lo, often in slices:
-                    mine = often[used]
-                    score = np.round(share @ mine, 6) + 0.0
-                    met = has @ (mine > 0).astype(np.float32) > 0
-                    if home is not None:
-                        met &= group[first : first + len(share), None] == home[None, lo : lo + mine.shape[1]]
-                    d, q = np.nonzero(met)
-                    found.append((q + lo, group[first + d], d + first, score[d, q]))
-                if sum(len(f[0]) for f in found) > KEPT:
-                    found = [best(found)]
-            if found:
-                q, g, d, s = best(found)
-                kind = list(kinds)
-                cols = [[names[x] for x in q.tolist()], *([kind[x][c] for x in g.tolist()] for c in range(n))]
-                yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(cols, arrow)), batch.column(n).take(pa.array(d)), pa.array(s)], schema.names)
-
-    return run
-
-
 cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexloom.functions.text import tokens
-from lexloom.operators.blocks import bm25_top, similar
-
-K1, B, EPSILON = 1.5, 0.75, 0.25
+from lexloom.operators.blocks import similar
+from lexloom.operators.lexical_index import B, EPSILON, K1, LexicalIndex, index_of, search
+from lexloom.session import cut
 
 
 def _idf(df: DataFrame, totals: DataFrame, group: Sequence[str]) -> DataFrame:
@@ -53,26 +53,24 @@ def bm25_scores(stats: tuple[DataFrame, DataFrame, DataFrame], query: DataFrame,
     return hits.groupBy("query_id", *group, "doc").agg(F.sum(weight).alias("score"))
 
 
-def bm25_top_k(docs: DataFrame, queries: DataFrame, k: int, id_col: str = "doc", text_col: str = "text", query_id: str = "query_id", query_text: str = "text", group: Sequence[str] = ()) -> DataFrame:
-    """query_id, group..., doc, score (6 places) and rank: the k best documents of every query (and group) by BM25.
-
-    Queries that have the group's columns are asked of their own group only.
+def bm25_top_k(docs: DataFrame, queries: DataFrame, k: int, id_col: str = "doc", text_col: str = "text", query_id: str = "query_id", query_text: str = "text", group: str | Sequence[str] = ()) -> DataFrame:
+    """query_id, [group], doc, score (6 places) and rank: the k best documents of every query (and group) by BM25.
 
-    One pass counts the documents that have each term, another scores every
-    document against a block of queries and keeps k of a batch: what is
-    shuffled is the vocabulary and the candidates.
+    An index of docs is written, asked and removed (see lexical_index; to ask
+    again, keep one).  With a group, each group is a corpus of its own; queries
+    that have the group's column (one at most) are asked of their own group only.
     """
-    own = docs.select(*group, F.col(id_col).alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    asked = queries.select(F.col(query_id).alias("query_id"), F.col(query_text).alias("text"), *(group if set(group) <= set(queries.columns) else ()))
-    rows = own.select(*group, F.explode(F.array(tokens(F.col("text")))).alias("_t"))
-    # One pass: a null term stands for the document itself and carries its length.
-    each = F.explode(F.concat(F.array_distinct("_t"), F.array(F.lit(None).cast("string"))))
-    counted = rows.select(*group, F.size("_t").alias("dl"), each.alias("term")).groupBy(*group, "term").agg(F.count(F.lit(1)).alias("df"), F.sum(F.when(F.col("term").isNull(), F.col("dl"))).alias("words")).persist()
-    totals = counted.where("term is null").select(*group, F.col("df").alias("n_docs"), (F.col("words") / F.col("df")).alias("avgdl"))
-    terms = _idf(counted.where("term is not null").drop("words"), totals, group).drop("avgdl")
-    found = bm25_top(own, asked, k, terms, totals, group, K1, B)
-    counted.unpersist()
-    return top_k(found, k, ("query_id", *group))
+    [group] = ([group] if isinstance(group, str) else list(group)) or [None]
+    asked = queries.select(F.col(query_id).alias("query_id"), F.col(query_text).alias("text"), *([F.col(group).cast("string").alias("scope")] if group and group in queries.columns else []))
+    with index_of(docs, id_col, text_col, group) as index:
+        members = index.segments.select("grp").distinct().withColumn("scope", F.col("grp")) if group else None
+        found = cut(index_top_k(index, asked, k, members, everywhere="scope" not in asked.columns and group is not None))
+    return found.withColumnRenamed("scope", group) if group else found.drop("scope")
+
+
+def index_top_k(index: LexicalIndex, queries: DataFrame, k: int, members: DataFrame | None = None, everywhere: bool = False) -> DataFrame:
+    """query_id, scope, doc, score and rank of the k best documents of every query and scope, over a stored index."""
+    return top_k(search(index, queries, k, members, everywhere), k, ("query_id", "scope"))
 
 
 def top_k(scores: DataFrame, k: int, by: Sequence[str] = ("query_id",), score: str = "score", tie: str = "doc") -> DataFrame:

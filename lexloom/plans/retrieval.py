@@ -7,17 +7,20 @@ scope, the sorted list of its acts.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import asdict, dataclass, fields, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexloom.functions import legal
-from lexloom.operators.retrieval import bm25_scores, bm25_stats, bm25_top_k, bridge, dedup_queries, dense_top_k, fuse, gate, operative_slot, pseudo_scores, top_k
+from lexloom.operators.lexical_index import LexicalIndex, write_index
+from lexloom.operators.retrieval import bm25_scores, bm25_stats, bm25_top_k, bridge, dedup_queries, dense_top_k, fuse, gate, index_top_k, operative_slot, pseudo_scores, top_k
 from lexloom.operators.topics import match_topics
 from lexloom.providers import Embed, Generate, Score, embed_texts, generate, score_pairs
-from lexloom.session import cut
+from lexloom.session import cut, remove_folder, shared_folder
 
 
 @dataclass(frozen=True)
@@ -73,11 +76,39 @@ class Store:
     def cached(self) -> Store:
         return Store(*(getattr(self, f.name).cache() for f in fields(self)))
 
-    def scoped(self, scopes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-        """(articles, recitals, passages) of every scope (scope, act), each with its scope."""
-        own = lambda df: df.join(scopes.withColumnRenamed("act", "_act"), F.col("act") == F.col("_act")).drop("_act")
-        cases = own(self.interprets).select("scope", F.col("celex").alias("_c")).distinct()
-        return own(self.articles), own(self.recitals), self.passages.join(cases, F.col("celex") == F.col("_c")).drop("_c")
+    def keyed_passages(self) -> DataFrame:
+        """Passages of judgments that interpret an act, with `key`: the sorted acts that theirs does."""
+        keys = self.interprets.groupBy(F.col("celex").alias("_c")).agg(F.array_join(F.array_sort(F.collect_set("act")), ",").alias("key"))
+        return self.passages.join(keys, F.col("celex") == F.col("_c")).drop("_c")
+
+    def write_indexes(self, folder: str) -> Indexes:
+        """BM25 indexes of articles and recitals by act, and of passages by the acts that their judgments interpret."""
+        own = {"articles": (self.articles, "act"), "recitals": (self.recitals, "act"), "passages": (self.keyed_passages(), "key")}
+        return Indexes(**{n: write_index(df, f"{folder}/{n}", group=g) for n, (df, g) in own.items()})
+
+    @contextmanager
+    def indexed(self) -> Iterator[Indexes]:
+        """Indexes in the shared folder, for the time being."""
+        spark = self.articles.sparkSession
+        folder = f"{shared_folder(spark)}/store-{uuid.uuid4().hex}"
+        try:
+            yield self.write_indexes(folder)
+        finally:
+            remove_folder(spark, folder)
+
+
+@dataclass(frozen=True)
+class Indexes:
+    """BM25 indexes of a store.  What a question searches is a set of their groups, so that all questions share them."""
+
+    articles: LexicalIndex
+    recitals: LexicalIndex
+    passages: LexicalIndex
+
+    def members(self, scopes: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(scope, grp) of acts, and of passages: of all keys that have one of the scope's acts."""
+        keys = self.passages.segments.select("grp").distinct().select("grp", F.explode(F.split("grp", ",")).alias("_act"))
+        return scopes.select("scope", F.col("act").alias("grp")), scopes.join(keys, F.col("act") == F.col("_act")).select("scope", "grp").distinct()
 
 
 def scope_of(acts: Column) -> Column:
@@ -119,36 +150,42 @@ def _with_text(ranked: DataFrame, texts: DataFrame, questions: DataFrame) -> Dat
     return rows.join(questions.select("query_id", F.col("text").alias("question")), "query_id")
 
 
-def case_law(passages: DataFrame, questions: DataFrame, config: HybridConfig, score: Score | None = None) -> DataFrame:
+def case_law(passages: DataFrame, index: LexicalIndex, members: DataFrame, questions: DataFrame, config: HybridConfig, score: Score | None = None) -> DataFrame:
     """query_id, doc, score, is_operative, celex: the case-law branch.
 
-    passages carry their scope; questions: query_id, scope, text, query_vector.
-    Dense and BM25 lists are fused to three times the slots; the best that
-    reach the threshold bring their neighbours in, all are judged alike, and
-    the best fill the slots.  Where no ruling is among them, the best ruling of
-    the first judgment gets a slot of its own if it reaches the threshold.
+    passages have a key, the index's group; members (scope, grp) says which keys
+    a scope has; questions: query_id, scope, text, query_vector.  Dense and BM25
+    lists are fused to three times the slots; the best that reach the threshold
+    bring their neighbours in, all are judged alike, and the best fill the
+    slots.  Where no ruling is among them, the best ruling of the first judgment
+    gets a slot of its own if it reaches the threshold.
     """
     asked = questions.select("query_id", "scope", "text", "query_vector")
-    own = passages.select("scope", "doc", "celex", "text", "is_operative", "embedding")
-    inside = asked.select("query_id", "scope").join(own.select("scope", "doc"), "scope").select("query_id", "doc")
-    dense = dense_top_k(own.dropDuplicates(["doc"]), asked.where("query_vector is not null"), config.top_k_dense, id_col="doc").join(inside, ["query_id", "doc"], "left_semi")
+    own = passages.select("doc", "celex", "key", "text", "is_operative", "embedding").dropDuplicates(["doc"])
+    allowed = asked.select("query_id", "scope").join(members.withColumnRenamed("scope", "_s"), F.col("scope") == F.col("_s")).select("query_id", F.col("grp").alias("key"))
+
+    def inside(found: DataFrame) -> DataFrame:
+        """Those whose passage is in the question's scope: a few rows a question, looked up by id."""
+        return found.join(own.select("doc", "key"), "doc").join(allowed, ["query_id", "key"], "left_semi").drop("key")
+
+    dense = inside(dense_top_k(own, asked.where("query_vector is not null"), config.top_k_dense, id_col="doc"))
     dense = dense.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("rank")))
-    sparse = bm25_top_k(own, asked, config.top_k_sparse, group=("scope",))
+    sparse = index_top_k(index, asked, config.top_k_sparse, members)
     # A few rows a question, met several times below.
     pool = cut(top_k(fuse([dense, sparse], config.rrf_k), config.max_case_law * 3))
     scored = cut(_judged(_with_text(pool, own, asked), config, score))
     seeds = top_k(scored, config.max_case_law).where(F.col("score") >= config.case_law_threshold)
     near = seeds.select("query_id", F.explode(legal.neighbour_ids(F.col("doc"), config.neighbour_window)).alias("doc")).distinct()
-    near = near.join(inside, ["query_id", "doc"], "left_semi").join(scored.select("query_id", "doc"), ["query_id", "doc"], "left_anti")
+    near = inside(near).join(scored.select("query_id", "doc"), ["query_id", "doc"], "left_anti")
     near = near.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("doc")))
     every = cut(scored.unionByName(_judged(_with_text(near, own, asked), config, score)))
-    about = own.select("doc", "celex", "is_operative").dropDuplicates(["doc"])
+    about = own.select("doc", "celex", "is_operative")
     kept = gate(every, config.case_law_threshold, config.max_case_law).join(about, "doc").select("query_id", "doc", "score", "rank", "is_operative", "celex")
     kept = cut(kept)
     if not config.guarantee_operative:
         return kept.drop("rank")
     first = kept.where("rank = 1").select("query_id", F.col("celex").alias("_c"))
-    rulings = first.join(about.where("is_operative"), F.col("_c") == F.col("celex")).select("query_id", "doc").join(inside, ["query_id", "doc"], "left_semi").join(kept.select("query_id", "doc"), ["query_id", "doc"], "left_anti")
+    rulings = first.join(about.where("is_operative"), F.col("_c") == F.col("celex")).select("query_id", "doc").join(kept.select("query_id", "doc"), ["query_id", "doc"], "left_anti")
     rulings = rulings.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("doc")))
     rulings = _judged(_with_text(rulings, own, asked), config, score).join(about, "doc").select("query_id", "doc", "score", "is_operative", "celex")
     return operative_slot(kept, rulings, config.case_law_threshold)
@@ -172,7 +209,7 @@ def citation_bridge(kept: DataFrame, passages: DataFrame, articles: DataFrame, q
     return bridge(found, most).select("query_id", F.col("article").alias("doc"), "rank")
 
 
-def hybrid(store: Store, questions: DataFrame, config: HybridConfig = HybridConfig(), score: Score | None = None, embed: Embed | None = None, model: Generate | None = None) -> DataFrame:
+def hybrid(store: Store, questions: DataFrame, config: HybridConfig = HybridConfig(), score: Score | None = None, embed: Embed | None = None, model: Generate | None = None, indexes: Indexes | None = None) -> DataFrame:
     """query_id, slot, rank, doc, score, text: articles, recitals and case law for each question.
 
     questions: query_id, text, acts[], intent, query_vector, and sub_questions[]
@@ -180,13 +217,17 @@ def hybrid(store: Store, questions: DataFrame, config: HybridConfig = HybridConf
     INTERPRETIVE also gets case law, and the articles that this cites join the
     articles' fusion as a list of their own.  Articles have top_k_final slots;
     recitals must reach their threshold; neither they nor judgments compete
-    with articles.  text is headed by what it is.
+    with articles.  text is headed by what it is.  Without the store's indexes,
+    they are written for this call, and the result is checkpointed.
     """
+    if indexes is None:
+        with store.indexed() as made:
+            return cut(hybrid(store, questions, config, score, embed, model, made))
     asked = questions.where(F.size("acts") > 0)
     searches = cut(search_queries(asked, config, embed, model))
     asked = asked.withColumn("scope", scope_of(F.col("acts")))
     scopes = asked.select("scope", F.explode("acts").alias("act")).distinct()
-    articles, recitals, passages = store.scoped(scopes)
+    acts_of, keys_of = (cut(m) for m in indexes.members(scopes))
     pool = F.col("n") * config.top_k_final * config.pool_factor
     single = searches.withColumn("query_id", F.struct("query_id", "pos"))
     inside = searches.select("query_id", F.explode("acts").alias("act")).distinct()
@@ -194,19 +235,20 @@ def hybrid(store: Store, questions: DataFrame, config: HybridConfig = HybridConf
     dense = dense.select("query_id.query_id", "query_id.pos", "doc", "rank").join(store.articles.select("doc", "act"), "doc").join(inside, ["query_id", "act"], "left_semi")
     # The filter comes after the top-k, so fewer may be left; places are taken among these.
     dense = dense.withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "pos").orderBy("rank")))
-    sparse = bm25_top_k(articles, single.select("query_id", "scope", "text"), config.top_k_sparse, group=("scope",)).select("query_id.query_id", "doc", "rank")
+    sparse = index_top_k(indexes.articles, single.select("query_id", "scope", "text"), config.top_k_sparse, acts_of).select("query_id.query_id", "doc", "rank")
     lists = [dense, sparse]
     kept = None
     if config.use_case_law:
-        kept = cut(case_law(passages, asked.where("intent = 'INTERPRETIVE'"), config, score))
-        lists.insert(1, citation_bridge(kept, passages, articles, asked, config.max_bridge))
+        passages = store.keyed_passages()
+        kept = cut(case_law(passages, indexes.passages, keys_of, asked.where("intent = 'INTERPRETIVE'"), config, score))
+        lists.insert(1, citation_bridge(kept, passages, store.articles.join(scopes.select("act").distinct(), "act", "left_semi"), asked, config.max_bridge))
     sizes = searches.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
     fused = fuse(lists, config.rrf_k).join(sizes, "query_id").withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc"))).where(F.col("rank") <= pool)
     fused = cut(fused)
     best = top_k(_judged(_with_text(fused, store.articles, asked), config, score), config.top_k_final)
     out = _slot(best, store.articles, "article", article_header())
     if config.use_recitals:
-        found = bm25_top_k(recitals, asked.select("query_id", "scope", "text"), config.max_recitals * 2, group=("scope",))
+        found = index_top_k(indexes.recitals, asked.select("query_id", "scope", "text"), config.max_recitals * 2, acts_of)
         gated = gate(_judged(_with_text(found, store.recitals, asked), config, score), config.recital_threshold, config.max_recitals)
         out = out.unionByName(_slot(gated, store.recitals, "recital", recital_header(), F.regexp_replace("text", r"^\((\d+)\)\s*", "")))
     if kept is not None:

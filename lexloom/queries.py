@@ -179,7 +179,7 @@ def bm25_topk(spark, d):
         FROM qt JOIN post USING (term) JOIN idf USING (source, term) JOIN docs USING (source, doc) JOIN n USING (source) GROUP BY ALL)
     SELECT query_id, source, doc, round(s, 6) AS score, row_number() OVER (PARTITION BY query_id, source ORDER BY round(s, 6) DESC, doc) AS rank FROM bm QUALIFY rank <= 3""")
 def bm25_per_source(spark, d):
-    found = retrieval.bm25_top_k(t(spark, d, "documents"), questions(spark, d), 3, id_col="doc_id", group=("source",))
+    found = retrieval.bm25_top_k(t(spark, d, "documents"), questions(spark, d), 3, id_col="doc_id", group="source")
     return found.select("query_id", "source", "doc", "score", "rank")
 
 

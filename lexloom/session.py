@@ -25,6 +25,18 @@ def ensure_checkpoints(spark: SparkSession) -> None:
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="lexloom-"))
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named in spark.checkpoint.dir; without one, a temporary one, on a local master only."""
+    ensure_checkpoints(spark)
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+
+
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    """Remove a folder of the shared file system, if it is there."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df, materialised in the checkpoint folder, with a plan of its own: for small tables that a plan meets many times."""
     ensure_checkpoints(df.sparkSession)
