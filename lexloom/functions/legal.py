@@ -107,6 +107,7 @@ def chapter_number(c: Column) -> Column:
 
 def article_references(text: Column) -> Column:
     """Article numbers a provision refers to, sorted: single ones, `Art.` forms and ranges `Articles a to b`."""
+    # The three forms that count as a reference.
     single = F.regexp_extract_all(text, F.lit(r"(?i)\bArticle\s+(\d+)"), F.lit(1))
     short = F.regexp_extract_all(text, F.lit(r"(?i)\bArt\.\s+(\d+)"), F.lit(1))
     spans = F.arrays_zip(
@@ -149,7 +150,7 @@ def cited_articles(text: Column, celex: Column, forms: Column) -> Column:
     halves = F.transform(pieces, lambda p: F.split(p, r"(?i)\s*\bof\s+", 2))
 
     def named(half: Column) -> Column:
-        tail = F.regexp_replace(F.lower(F.substring(F.get(half, F.lit(1)), 1, 200)), r"\s+", " ")
+        tail = F.regexp_replace(F.lower(F.get(half, F.lit(1))), r"\s+", " ")
         bare = F.regexp_replace(F.regexp_replace(tail, r"\([a-z]{2,3}\) ?", ""), r"^((?:the |that )?[a-z]+) no ", "$1 ")
         return F.exists(forms, lambda f: F.startswith(bare, f))
 
@@ -164,11 +165,27 @@ def cited_articles(text: Column, celex: Column, forms: Column) -> Column:
 
 
 def expected_ids(text: Column, celex: Column) -> Column:
-    """Provision ids a reference answer cites, without cross-references to other instruments."""
-    tail = r"\s+(\d+)(?!\d)(?![ ,]{0,40}of\s+(?:that\s+|the\s+)?(?:Directive|Regulation\s*(?:\(E[UC]\)|No|\d)))"
-    refs = lambda name: F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(rf"(?i)\b{name}{tail}"), F.lit(1)), lambda n: n.cast("int").cast("string")))
-    made = lambda name, mark: F.transform(refs(name), lambda n: F.concat(celex, F.lit(mark), n))
-    return F.array_sort(F.array_union(made("Articles?", "art_"), made("Recitals?", "rct_")))
+    """Provision ids a reference answer cites, without cross-references to other instruments.
+
+    The text is cut at the words Article and Recital.  What follows a cut's
+    number is read word by word: `of`, an article or demonstrative if any, and
+    then an instrument's name make it a cross-reference.
+    """
+
+    def foreign(rest: Column) -> Column:
+        words = F.filter(F.split(F.lower(rest), r"[\s,]+"), lambda w: w != "")
+        first = F.when(F.get(words, F.lit(1)).isin("that", "the"), F.lit(2)).otherwise(F.lit(1))
+        name, after = F.get(words, first), F.coalesce(F.get(words, first + 1), F.lit(""))
+        bare = F.regexp_replace(name, r"\(.*", "")
+        numbered = (name != bare) | after.rlike(r"^(\(e[uc]\)|no\b|\d)")
+        return F.coalesce(rest.rlike(r"^[\s,]") & (F.get(words, F.lit(0)) == "of") & (F.startswith(name, F.lit("directive")) | ((bare == "regulation") & numbered)), F.lit(False))
+
+    def refs(word: str, mark: str) -> Column:
+        pieces = F.split(text, rf"(?i)\b{word}s?\s+(?=\d)", -1)
+        own = F.filter(F.slice(pieces, 2, F.size(pieces)), lambda p: ~foreign(F.regexp_replace(p, r"^\d+", "")))
+        return F.array_distinct(F.transform(own, lambda p: F.concat(celex, F.lit(mark), F.regexp_extract(p, r"^(\d+)", 1).cast("int").cast("string"))))
+
+    return F.array_sort(F.array_union(refs("article", "art_"), refs("recital", "rct_")))
 
 
 def pretty_id(c: Column) -> Column:

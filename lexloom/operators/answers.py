@@ -5,12 +5,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexloom.session import cut
 
-def number_sources(docs: DataFrame, by: str = "answer", pos: str = "pos") -> DataFrame:
-    """S1, S2, ... in rank order, and the kind of provision each id names."""
-    n = F.row_number().over(Window.partitionBy(by).orderBy(pos))
+
+def number_sources(docs: DataFrame, by: str = "answer", pos: str = "pos", wide: bool = False) -> DataFrame:
+    """S1, S2, ... in rank order, and the kind of provision each id names.
+
+    wide: an answer may have more sources than a task should hold.  They are
+    then sorted over all tasks, numbered within each, and each task's count of
+    an answer is added to the numbers of those behind it.
+    """
+    if wide:
+        own = cut(docs.repartitionByRange(by, pos).withColumn("_part", F.spark_partition_id()))
+        before = Window.partitionBy(by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+        counts = own.groupBy(by, "_part").agg(F.count(F.lit(1)).alias("_n")).select(F.col(by).alias("_by"), F.col("_part").alias("_of"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+        docs = own.join(counts, F.col(by).eqNullSafe(F.col("_by")) & (F.col("_part") == F.col("_of")))
+        n = F.row_number().over(Window.partitionBy(by, "_part").orderBy(pos)) + F.col("_before")
+    else:
+        n = F.row_number().over(Window.partitionBy(by).orderBy(pos))
     kind = F.when(F.contains("id", F.lit("rct_")), "Recital").when(F.col("id").rlike(r"_(par|op)_\d+$"), "Case law").otherwise("Article")
-    return docs.withColumn("marker", F.concat(F.lit("S"), n.cast("string"))).withColumn("kind", kind)
+    return docs.withColumn("marker", F.concat(F.lit("S"), n.cast("string"))).withColumn("kind", kind).drop("_part", "_by", "_of", "_before")
 
 
 def renumber(segments: DataFrame, sources: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -14,14 +14,18 @@ from lexloom.providers import Embed, Generate, Score, embed_texts, generate, sco
 OVERALL = "(all)"
 
 
-def ir_metrics(sources: Column, expected: Column) -> Column:
-    """struct(top1_anchor, recall_at_k, mrr) of a ranked list and the ids it should hold."""
+def ir_metrics(sources: Column, expected: Column, n_expected: Column | None = None) -> Column:
+    """struct(top1_anchor, recall_at_k, mrr) of a ranked list and the ids it should hold.
+
+    Where those are many, `expected` may have just the ones that the list has, and n_expected their number.
+    """
+    n_expected = F.size(F.array_distinct(expected)) if n_expected is None else n_expected
     hits = F.array_intersect(sources, expected)
     first = F.aggregate(F.transform(sources, lambda s, i: F.when(F.array_contains(expected, s), i + 1)), F.lit(None).cast("int"), lambda a, x: F.coalesce(a, x))
     zero = F.lit(0.0)
     return F.struct(
         F.when((F.size(expected) > 0) & F.array_contains(expected, F.get(sources, F.lit(0))), F.lit(1.0)).otherwise(zero).alias("top1_anchor"),
-        F.coalesce(F.try_divide(F.size(hits).cast("double"), F.size(F.array_distinct(expected)).cast("double")), zero).alias("recall_at_k"),
+        F.coalesce(F.try_divide(F.size(hits).cast("double"), n_expected.cast("double")), zero).alias("recall_at_k"),
         F.coalesce(F.lit(1.0) / first, zero).alias("mrr"),
     )
 

@@ -9,16 +9,30 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexloom.session import cut
+
 EDGE = ("src_label", "src", "rel", "dst_label", "dst")
 
 
-def closure(edges: DataFrame, depth: int, src: str = "src", dst: str = "dst") -> DataFrame:
-    """ancestor, descendant and hops of all paths of 1 to `depth` edges.
+def closure(edges: DataFrame, depth: int | None = None, src: str = "src", dst: str = "dst") -> DataFrame:
+    """ancestor, descendant and hops of all paths of 1 to `depth` edges, or without a depth of all pairs that any path joins.
 
-    Unrolled joins: containment depth is a property of the schema, so each hop
-    is planned (and broadcast or shuffled) on its own.
+    With a depth: unrolled joins, a row a path, each hop planned (and broadcast
+    or shuffled) on its own.  Without: the fixpoint, a row a pair with its least
+    hops.  A round joins the longest paths so far to all, which doubles their
+    length, and is checkpointed; it ends when none got longer, on cycles too (a
+    node on one is its own descendant).  Null ends and repeated edges add nothing.
     """
     step = edges.select(F.col(src).alias("ancestor"), F.col(dst).alias("descendant"), F.lit(1).alias("hops"))
+    if depth is None:
+        known, reach = cut(step.where("ancestor is not null and descendant is not null").distinct()), 1
+        while True:
+            longest = known.where(F.col("hops") == reach).select("ancestor", F.col("descendant").alias("_m"))
+            if longest.isEmpty():
+                return known
+            rest = known.select(F.col("ancestor").alias("_n"), "descendant", (F.col("hops") + reach).alias("hops"))
+            longer = longest.join(rest, F.col("_m") == F.col("_n")).select("ancestor", "descendant", "hops")
+            known, reach = cut(known.unionByName(longer).groupBy("ancestor", "descendant").agg(F.min("hops").alias("hops"))), 2 * reach
     one = edges.select(F.col(src).alias("_s"), F.col(dst).alias("_d"))
     out = step
     for k in range(2, depth + 1):
@@ -95,6 +109,13 @@ def article_number(c: Column) -> Column:
     return number_of(F.try_element_at(F.split(c, "art_"), F.lit(-1)))
 
 
+def _among(rows: DataFrame, column: str, ids: Sequence[str] | DataFrame) -> DataFrame:
+    """Rows whose column is one of some ids, or of a table's."""
+    if isinstance(ids, DataFrame):
+        return rows.join(ids.select(F.col("id").alias("_id")), F.col(column) == F.col("_id"), "left_semi")
+    return rows.where(F.col(column).isin(*ids))
+
+
 @dataclass(frozen=True)
 class Corpus:
     """Node tables and the edges between them; each method is one of the corpus's graph queries."""
@@ -138,12 +159,12 @@ class Corpus:
     def chapters_by_acts(self, acts: Sequence[str] | None = None) -> DataFrame:
         return self._scoped(self.chapters, acts).select("act_id", "id", "number", "title").orderBy("act_id", "number")
 
-    def chapter_paragraphs(self, chapters: Sequence[str]) -> DataFrame:
-        """Paragraphs one or two hops below the chapters: directly, or in their sections."""
+    def chapter_paragraphs(self, chapters: Sequence[str] | DataFrame) -> DataFrame:
+        """Paragraphs one or two hops below the chapters (ids, or a table of id): directly, or in their sections."""
         direct = self._paragraphs().where(F.col("section_id").isNull())
         by = self.sections.select(F.col("id").alias("_s"), F.col("chapter_id").alias("_c"))
         nested = self._paragraphs().join(by, F.col("section_id") == F.col("_s")).withColumn("chapter_id", F.col("_c")).drop("_s", "_c")
-        return direct.unionByName(nested).where(F.col("chapter_id").isin(*chapters)).orderBy(article_number(F.col("article_id")).asc_nulls_last(), "paragraph_id")
+        return _among(direct.unionByName(nested), "chapter_id", chapters).orderBy(article_number(F.col("article_id")).asc_nulls_last(), "paragraph_id")
 
     def chapters_without_summary(self) -> DataFrame:
         rows = self.articles.join(self.sections.select(F.col("id").alias("_s"), F.col("chapter_id").alias("_c")), F.col("section_id") == F.col("_s"), "left")
@@ -160,8 +181,8 @@ class Corpus:
     def article_titles(self, acts: Sequence[str] | None = None) -> DataFrame:
         return self._scoped(self.articles, acts).select("act_id", "id", "title").orderBy("act_id", "id")
 
-    def paragraphs_by_articles(self, articles: Sequence[str]) -> DataFrame:
-        return self._paragraphs().where(F.col("article_id").isin(*articles)).orderBy("article_id", "paragraph_id")
+    def paragraphs_by_articles(self, articles: Sequence[str] | DataFrame) -> DataFrame:
+        return _among(self._paragraphs(), "article_id", articles).orderBy("article_id", "paragraph_id")
 
     def articles_by_acts(self, acts: Sequence[str] | None = None) -> DataFrame:
         """Articles with their chapter, if they have one."""

@@ -25,12 +25,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexloom.operators.blocks import in_blocks, words
-from lexloom.operators.postings import Postings, best_documents, segments, unpacked
+from lexloom.operators.postings import Postings, best_by_lists, segments, unpacked
 from lexloom.session import cut, remove_folder, shared_folder
 
 K1, B, EPSILON, PLACES = 1.5, 0.75, 0.25, 6
 #: Bytes of questions that are broadcast at once; term lists short enough to be pushed down to the files.
 BLOCK_BYTES, PUSHED = 16 << 20, 500
+#: Rows (of some 30 bytes) that are broadcast, once counted to be so few.
+FEW = 500_000
 #: Parts that the terms are dealt into, and files that a part's terms may be spread over.
 BUCKETS, SPREAD = 16, 4
 
@@ -58,18 +60,23 @@ def write_index(docs: DataFrame, folder: str, id_col: str = "doc", text_col: str
     Null ids, repeated rows and null texts are documents like any; a frequent
     term's postings are spread over SPREAD files of its bucket.
     """
-    spark = docs.sparkSession
+    raw = _write_raw(docs, f"{folder}/raw", id_col, text_col, group)
+    raw.segments.write.parquet(f"{folder}/segments")
+    dealt = raw.postings.repartition("bucket", F.pmod(F.xxhash64("shard"), F.lit(SPREAD))).sortWithinPartitions("bucket", "term")
+    dealt.write.partitionBy("bucket").parquet(f"{folder}/postings")
+    raw.terms.write.parquet(f"{folder}/terms")
+    remove_folder(docs.sparkSession, f"{folder}/raw")
+    return read_index(docs.sparkSession, folder)
+
+
+def _write_raw(docs: DataFrame, folder: str, id_col: str, text_col: str, group: str | None) -> LexicalIndex:
+    """The segments as they are made, a file a task: an index that is asked once needs no more."""
     rows = docs.withColumn("_grp", F.col(group).cast("string") if group else F.lit(""))
-    segments(rows, id_col, text_col, group="_grp").write.parquet(f"{folder}/raw")
-    raw = spark.read.parquet(f"{folder}/raw")
-    own = raw.where("term is null")
-    own.select("shard", "grp", "ids", F.col("postings").alias("lengths"), "words").write.parquet(f"{folder}/segments")
+    segments(rows, id_col, text_col, group="_grp").write.parquet(folder)
+    raw = docs.sparkSession.read.parquet(folder)
     terms = raw.where("term is not null").select(_bucket(F.col("term")).alias("bucket"), "shard", "grp", "term", "df", "postings")
-    dealt = terms.repartition("bucket", F.pmod(F.xxhash64("shard"), F.lit(SPREAD))).sortWithinPartitions("bucket", "term")
-    dealt.write.partitionBy("bucket").parquet(f"{folder}/postings")
-    terms.groupBy("grp", "term").agg(F.sum("df").alias("df")).write.parquet(f"{folder}/terms")
-    remove_folder(spark, f"{folder}/raw")
-    return read_index(spark, folder)
+    own = raw.where("term is null").select("shard", "grp", "ids", F.col("postings").alias("lengths"), "words")
+    return LexicalIndex(terms, own, terms.groupBy("grp", "term").agg(F.sum("df").alias("df")))
 
 
 def read_index(spark: SparkSession, folder: str) -> LexicalIndex:
@@ -82,7 +89,7 @@ def index_of(docs: DataFrame, id_col: str = "doc", text_col: str = "text", group
     spark = docs.sparkSession
     folder = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
     try:
-        yield write_index(docs, folder, id_col, text_col, group)
+        yield _write_raw(docs, folder, id_col, text_col, group)
     finally:
         remove_folder(spark, folder)
 
@@ -129,7 +136,8 @@ def search(index: LexicalIndex, queries: DataFrame, k: int, members: DataFrame |
     schema = T.StructType([queries.schema["query_id"], T.StructField("doc", kind), T.StructField("score", T.DoubleType()), T.StructField("_s", T.LongType())])
     schema.fields[0].nullable = True
     asked = queries.select("query_id", "text", F.xxhash64("scope").alias("_s") if own_scope else F.lit(None).cast("long").alias("_s"))
-    parts = []
+    pairs, parts = members.count(), []  # of scopes and their groups
+    few = lambda df, rows: F.broadcast(df) if rows <= FEW else df
     for block in in_blocks(asked, lambda r: 8 * len(r["text"] or "") + 64, BLOCK_BYTES):
         counts = [Counter(words(r["text"])) for r in block]
         number = {t: i for i, t in enumerate(dict.fromkeys(t for c in counts for t in c))}
@@ -141,19 +149,19 @@ def search(index: LexicalIndex, queries: DataFrame, k: int, members: DataFrame |
         if own_scope:  # only scopes that the block asks of
             wanted = spark.createDataFrame([(s,) for s in {r["_s"] for r in block}] or [(0,)], "_w long")
             here = here.join(F.broadcast(wanted), F.col("_s") == F.col("_w"), "left_semi")
-        stats = numbered.select("_s", "n_docs", "avgdl", "mean_idf")
+        stats = few(numbered.select("_s", "n_docs", "avgdl", "mean_idf"), pairs)
         df = _frequencies(index.terms.join(names, "term").select("grp", F.col("number").alias("term"), "df"), here.select(F.col("_s").alias("scope"), "grp"))
         idf = df.join(stats, F.col("scope") == F.col("_s")).withColumn("raw", _raw_idf())
         idf = idf.select("scope", F.col("term").alias("number"), F.when(F.col("raw") < 0, EPSILON * F.col("mean_idf")).otherwise(F.col("raw")).alias("idf"))
         # What a group's segments need: for each term its weight in every scope that has the group, and these scopes' mean lengths.
         weights = here.select("_s", F.col("grp").alias("_g")).join(idf, F.col("_s") == F.col("scope")).groupBy("_g", "number").agg(F.collect_list(F.struct("_s", "idf")).alias("weights"))
-        scopes = here.select("_s", F.col("grp").alias("_g")).join(stats.select(F.col("_s").alias("_t"), "avgdl"), F.col("_s") == F.col("_t")).groupBy("_g").agg(F.collect_list(F.struct("_s", "avgdl")).alias("scopes"))
-        met = _postings_of(index.postings, names, number).withColumnRenamed("number", "_n").join(weights, F.col("grp").eqNullSafe(F.col("_g")) & (F.col("_n") == F.col("number")))
-        own = index.segments.join(scopes, F.col("grp").eqNullSafe(F.col("_g"))).select(F.col("shard").alias("home"), "ids", "lengths", "scopes")
+        scopes = here.select("_s", F.col("grp").alias("_g")).join(few(numbered.select(F.col("_s").alias("_t"), "avgdl"), pairs), F.col("_s") == F.col("_t")).groupBy("_g").agg(F.collect_list(F.struct("_s", "avgdl")).alias("scopes"))
+        met = _postings_of(index.postings, names, number).withColumnRenamed("number", "_n").join(few(weights, pairs * len(number)), F.col("grp").eqNullSafe(F.col("_g")) & (F.col("_n") == F.col("number")))
+        own = index.segments.join(few(scopes, pairs), F.col("grp").eqNullSafe(F.col("_g"))).select(F.col("shard").alias("home"), "ids", "lengths", "scopes")
         run = _merged(shared, k, schema)
         parts.append(met.select("shard", "number", "df", "postings", "weights").groupBy("shard").cogroup(own.groupBy("home")).applyInArrow(run, schema))
     found = functools.reduce(DataFrame.unionByName, parts)
-    return found.join(numbered.select(F.col("_s").alias("_t"), "scope"), F.col("_s") == F.col("_t")).select("query_id", "scope", "doc", "score")
+    return found.join(few(numbered.select(F.col("_s").alias("_t"), "scope"), pairs), F.col("_s") == F.col("_t")).select("query_id", "scope", "doc", "score")
 
 
 def _postings_of(postings: DataFrame, names: DataFrame, number: dict[str, int]) -> DataFrame:
@@ -185,7 +193,7 @@ def _merged(shared, k: int, schema: T.StructType):  # noqa: ANN001, ANN202
         for q, (name, home) in enumerate(zip(names, asked)):
             wanted = flat[sizes[q] : sizes[q + 1]].tolist()
             for s in scopes if home is None else (home,) if home in scopes else ():
-                for value, d in best_documents([(lists[s, n], f) for n, f in wanted if (s, n) in lists], k, -np.inf, slack=2 * 10.0**-PLACES, places=PLACES):
+                for value, d in best_by_lists([(lists[s, n], f) for n, f in wanted if (s, n) in lists], k, len(lengths), 2 * 10.0**-PLACES, PLACES):
                     query.append(name)
                     doc.append(d)
                     score.append(value)

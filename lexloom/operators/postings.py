@@ -230,6 +230,34 @@ class Postings:
         self.tops = np.maximum(top, 0).tolist()
         self.top = max(self.tops)
         self.blocks: dict[int, tuple[list[int], list]] = {}
+        self.whole: tuple[np.ndarray, np.ndarray] | None = None
+        self.falls = bool((top < 0).any())
+
+    def arrays(self) -> tuple[np.ndarray, np.ndarray]:
+        """(documents, impacts) of all postings."""
+        if self.whole is None:
+            pairs = unpacked(self.raw[self.edges[0] : self.edges[-1]]).reshape(-1, 2)
+            gaps = pairs[:, 0]
+            gaps[BLOCK::BLOCK] -= np.array(self.last[:-1], np.int64)
+            docs = np.cumsum(gaps)
+            self.whole = docs, self.impact(pairs[:, 1], self.lengths[docs])
+        return self.whole
+
+    def at(self, docs: np.ndarray) -> np.ndarray:
+        """Impacts at these documents (ascending), 0 where there is no posting; only blocks that can hold one are decoded."""
+        out = np.zeros(len(docs))
+        number = np.searchsorted(self.last, docs)
+        needed = np.unique(number)
+        if self.whole is not None or 2 * len(needed) > len(self.last):
+            there, worth = self.arrays()
+            at = np.minimum(np.searchsorted(there, docs), len(there) - 1)
+            return np.where(there[at] == docs, worth[at], 0)
+        for i in needed[needed < len(self.last)].tolist():
+            lo, hi = np.searchsorted(number, (i, i + 1))
+            there, worth = (np.array(x) for x in self.block(i))
+            at = np.minimum(np.searchsorted(there, docs[lo:hi]), len(there) - 1)
+            out[lo:hi] = np.where(there[at] == docs[lo:hi], worth[at], 0)
+        return out
 
     def block(self, i: int) -> tuple[list[int], list]:
         """(documents, impacts) of block i."""
@@ -320,4 +348,37 @@ def best_documents(lists: list[tuple[Postings, int]], k: int, least: float, slac
     return sorted(((s, -d) for s, d in best), key=lambda x: (-x[0], x[1]))
 
 
+def best_by_lists(lists: list[tuple[Postings, int]], k: int, n_docs: int, slack: float, places: int) -> list[tuple[float, int]]:
+    """The same as best_documents (without a least score), for impacts that leave little to prune document by document.
+
+    Lists are added up one after the other, those of the largest bounds first,
+    until what is left can't bring a new document among the k best; the others
+    are only looked up for the documents that still can be.
+    """
+    lists = sorted(lists, key=lambda x: -x[0].top * x[1])
+    left = sum(p.top * f for p, f in lists)
+    sums, met = np.zeros(n_docs), np.zeros(n_docs, bool)
+    falls, at = any(p.falls for p, _ in lists), 0
+    bar = -np.inf
+    for p, f in lists:
+        docs, worth = p.arrays()
+        sums[docs] += worth * f
+        met[docs] = True
+        left -= p.top * f
+        at += 1
+        if not falls and at < len(lists) and n_docs > k and left < sums.max():
+            bar = np.partition(sums, n_docs - k)[n_docs - k]
+            if left < bar - slack:
+                break
+    found = np.flatnonzero(met if bar == -np.inf else met & (sums + left >= bar - slack))
+    for p, f in lists[at:]:
+        sums[found] += p.at(found) * f
+    score = np.round(sums[found], places) + 0.0
+    if len(found) > k:
+        keep = score >= np.partition(score, len(score) - k)[len(score) - k]
+        found, score = found[keep], score[keep]
+    order = np.lexsort((found, -score))[:k]
+    return list(zip(score[order].tolist(), found[order].tolist()))
+
+
 cloudpickle.register_pickle_by_value(sys.modules[__name__])

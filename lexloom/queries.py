@@ -9,6 +9,7 @@ Legal operators run over inline tables.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -18,7 +19,9 @@ from lexloom.functions import legal
 from lexloom.functions.text import candidate_terms
 from lexloom.functions.vectors import dot, mean_vector
 from lexloom.operators import answers, evaluation, graph, judgments, retrieval, topics
+from lexloom.operators.lexical_index import write_index
 from lexloom.plans.retrieval import HybridConfig, fused_search
+from lexloom.session import cut, remove_folder, shared_folder
 from lexloom.streaming import windows
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -64,9 +67,10 @@ _CLOSURE = f"""WITH RECURSIVE {_EDGES}, paths AS (
     UNION ALL SELECT p.ancestor, e.dst, p.hops + 1 FROM paths p JOIN edges e ON p.descendant = e.src WHERE p.hops < 3)"""
 
 
-@query(f"{_CLOSURE} SELECT ancestor, hops, count(*) AS n FROM paths WHERE ancestor LIKE 'r%' GROUP BY ALL")
+@query(f"{_CLOSURE} SELECT ancestor, hops, count(*) AS n FROM paths WHERE ancestor LIKE 'r%' GROUP BY ALL".replace(" WHERE p.hops < 3", ""))
 def contains_closure(spark, d):
-    paths = graph.closure(contains(spark, d), 3)
+    """All descendants at any depth."""
+    paths = graph.closure(contains(spark, d))
     return paths.where(F.col("ancestor").startswith("r")).groupBy("ancestor", "hops").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -169,6 +173,17 @@ def bm25_topk(spark, d):
     return sparse(spark, d)
 
 
+@query(f"WITH {_BM25_ALL} SELECT query_id, doc, score, rank FROM sparse")
+def bm25_indexed(spark, d):
+    """bm25_topk over an index dealt by term, as it would be kept: no text is read to answer."""
+    folder = f"{shared_folder(spark)}/kept-{uuid.uuid4().hex}"
+    try:
+        index = write_index(t(spark, d, "documents"), folder, id_col="doc_id")
+        return cut(retrieval.index_top_k(index, questions(spark, d), 10)).select("query_id", "doc", "score", "rank")
+    finally:
+        remove_folder(spark, folder)
+
+
 @query(f"""WITH {_BM25},
     post AS (SELECT source, doc, term, count(*) AS tf FROM (SELECT source, doc, unnest(ts) AS term FROM docs) GROUP BY ALL),
     n AS (SELECT source, count(*) AS n_docs, avg(len(ts)) AS avgdl FROM docs GROUP BY source),
@@ -219,14 +234,13 @@ _CENTROIDS = """cent AS (SELECT label, list(m ORDER BY i) AS c FROM (
     SELECT label, i, avg(x::DOUBLE) AS m FROM (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings) GROUP BY ALL) GROUP BY label)"""
 
 
-@query(f"""WITH {_CENTROIDS} SELECT label AS query_id, vec_id AS doc, round(list_inner_product(embedding::DOUBLE[], c), 6) AS score,
-    row_number() OVER (PARTITION BY label ORDER BY round(list_inner_product(embedding::DOUBLE[], c), 9) DESC, vec_id) AS rank FROM embeddings e JOIN cent USING (label) QUALIFY rank <= 5""")
+@query(f"""WITH {_CENTROIDS}, scored AS (SELECT cent.label AS query_id, vec_id AS doc, round(list_inner_product(embedding::DOUBLE[], c), 9) AS s FROM embeddings e CROSS JOIN cent)
+    SELECT query_id, doc, round(s, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, doc) AS rank FROM scored QUALIFY rank <= 5""")
 def hyde_mean_search(spark, d):
+    """The mean vector of each label's texts asks all vectors."""
     v = t(spark, d, "embeddings")
-    means = mean_vector(v, ["label"], "embedding").select(F.col("label").alias("query_id"), "centroid")
-    pairs = v.join(means.withColumnRenamed("centroid", "_c"), F.col("label") == F.col("query_id"))
-    scored = pairs.select("query_id", F.col("vec_id").alias("doc"), F.round(dot(F.col("embedding"), F.col("_c")), 9).alias("score"))
-    return _rounded(retrieval.top_k(scored, 5)).select("query_id", "doc", "score", "rank")
+    means = mean_vector(v, ["label"], "embedding").select(F.col("label").alias("query_id"), F.col("centroid").alias("query_vector"))
+    return _rounded(retrieval.dense_top_k(v, means, 5)).select("query_id", "doc", "score", "rank")
 
 
 _FUSED = """fused AS (SELECT query_id, doc, sum(1.0 / (60.0 + rank)) AS s FROM (SELECT query_id, doc, rank FROM dense UNION ALL SELECT query_id, doc, rank FROM sparse) GROUP BY ALL)"""
@@ -372,43 +386,49 @@ def aske_generation(spark, d):
 
 # --- judgments and legal text -----------------------------------------------------
 
-_ISLANDS = "(1,0,'Introductory words'),(1,1,'1 First paragraph'),(1,2,'goes on'),(1,3,'2 Second'),(1,4,'On those grounds, the Court hereby rules:'),(1,5,'1. Article 5 must be read so.'),(1,6,'and so on'),(1,7,'[Signatures]'),(2,0,'10 Only one'),(2,1,'hereby declares'),(2,2,'The single ruling')"
+#: Turns of a conversation as a judgment's lines: numbered ones, continuations, the formula of the ruling, signatures.
+_LINE = """CASE WHEN turn % 9 = 4 THEN concat('On those grounds, the Court hereby ', CASE WHEN conv_id % 2 = 0 THEN 'rules' ELSE 'orders' END, ':') WHEN turn % 9 = 8 THEN '[Signatures]'
+    WHEN turn % 3 = 0 THEN concat(CAST(turn + 1 AS STRING), CASE WHEN turn % 2 = 0 THEN ' ' ELSE '. ' END, role, ' said so') ELSE concat('and ', role, ' went on') END"""
 
 
-@query(f"""WITH t(celex, seq, txt) AS (VALUES {_ISLANDS}),
+@query(f"""WITH t AS (SELECT conv_id AS celex, turn AS seq, {_LINE} AS txt FROM conversations),
     a AS (SELECT *, regexp_matches(txt, '(?i)hereby (rules|orders|declares)') AS anc FROM t WHERE NOT regexp_matches(txt, '(?i)^\\[?\\s*signatures?\\s*\\]?\\.?$')),
     o AS (SELECT *, bool_or(anc) OVER (PARTITION BY celex ORDER BY seq) AS op FROM a),
     s AS (SELECT *, CASE WHEN op THEN regexp_matches(txt, '^\\d+[.)]\\s+') ELSE regexp_matches(txt, '^\\d+\\s+') END AS st FROM o WHERE NOT anc),
     g AS (SELECT *, sum(st::INT) OVER (PARTITION BY celex, op ORDER BY seq) AS g FROM s)
     SELECT celex, coalesce(max(CASE WHEN st THEN CAST(regexp_extract(txt, '^(\\d+)', 1) AS INT) END), 1) AS number,
         string_agg(CASE WHEN st THEN regexp_replace(txt, '^\\d+[.)]?\\s+', '') ELSE txt END, chr(10) ORDER BY seq) AS text, op AS is_operative
-    FROM g WHERE g > 0 OR op GROUP BY celex, op, g""".replace("\\\\", "\\"))
+    FROM g WHERE g > 0 OR op GROUP BY celex, op, g""".replace("\\\\", "\\").replace("AS STRING", "AS VARCHAR"))
 def para_islands(spark, d):
-    body = values(spark, _ISLANDS, "celex, seq, text").withColumn("section_seq", F.lit(0))
+    body = t(spark, d, "conversations").select(F.col("conv_id").alias("celex"), F.col("turn").alias("seq"), F.expr(_LINE).alias("text"), F.lit(0).alias("section_seq"))
     return judgments.paragraphs(body).select("celex", "number", "text", "is_operative")
 
 
-_HEADS = "('a',0,'coj-sum-title-1','Judgment'),('a',1,'coj-title-grseq-2','Legal context'),('a',2,'coj-normal','1 x'),('a',3,'coj-title-grseq-3','EU law'),('a',4,'coj-title-grseq-2','Costs'),('b',0,'title-grseq-4','Early'),('b',1,'sum-title-1','Judgment'),('b',2,'title-grseq-4','Deep'),('b',3,'title-grseq-9','Deeper')"
+_CSS = "CASE WHEN turn = 1 THEN 'coj-sum-title-1' WHEN turn % 4 = 3 THEN 'coj-normal' ELSE concat(CASE WHEN conv_id % 2 = 0 THEN 'coj-' ELSE '' END, 'title-grseq-', CAST((conv_id + turn * turn) % 10 AS STRING)) END"
+_HEAD = "CASE WHEN turn = 1 AND conv_id % 3 <> 0 THEN 'Judgment' ELSE concat('Part ', CAST(turn AS STRING)) END"
 
 
-@query(f"""WITH t(celex, seq, css, txt) AS (VALUES {_HEADS}),
+@query(f"""WITH t AS (SELECT conv_id AS celex, turn AS seq, {_CSS} AS css, {_HEAD} AS txt FROM conversations),
     h AS (SELECT *, min(CASE WHEN lower(txt) = 'judgment' THEN seq END) OVER (PARTITION BY celex) AS anchor FROM t WHERE regexp_full_match(css, '(coj-)?(sum-title-1|title-grseq-[0-9])'))
     SELECT celex, seq, txt AS text, CAST(dense_rank() OVER (PARTITION BY celex ORDER BY CASE WHEN css LIKE '%sum-title-1' THEN 0 ELSE CAST(right(css, 1) AS INT) END, css) - 1 AS INT) AS depth
-    FROM h WHERE anchor IS NULL OR seq >= anchor""")
+    FROM h WHERE anchor IS NULL OR seq >= anchor""".replace("AS STRING", "AS VARCHAR"))
 def heading_dense_rank(spark, d):
-    rows = values(spark, _HEADS, "celex, seq, css, text")
+    rows = t(spark, d, "conversations").select(F.col("conv_id").alias("celex"), F.col("turn").alias("seq"), F.expr(_CSS).alias("css"), F.expr(_HEAD).alias("text"))
     return judgments.heading_depths(rows).select("celex", "seq", "text", "depth")
 
 
-_CITE_RE = r"(?i)\bArticles?\s+((?:\d+(?:\([^)]{1,16}\))*)(?:\s*(?:,|and)\s*\d+(?:\([^)]{1,16}\))*)*)\s*of\s+(?:(?:the\s+)?Regulation\s*(?:\([A-Z]{2,3}\)\s*)?(?:No\s*)?(?:2016/679)|that\s+Regulation|the\s+GDPR)"
 _CITING = """CASE l_linenumber % 5 WHEN 0 THEN concat('Article ', {0}, ' of the Privacy Shield Decision and Article ', {1}, '(1) of the GDPR, Articles 7, 8 and ', {0}, ' of the Charter')
     WHEN 1 THEN concat('Articles ', {0}, ' to ', {1}, ' of the GDPR') WHEN 2 THEN concat('Articles ', {0}, ' and ', {1}, ' of Regulation (EU) 2016/679 and Article ', {2}, '(8) of that regulation')
     WHEN 3 THEN concat('Article ', {0}, ', ', {1}, ' and ', {2}, '(2)(a) of  the Regulation No 2016/679') ELSE concat('nothing of article ', {0}) END""".format("CAST(l_partkey % 99 AS STRING)", "CAST(l_suppkey % 99 AS STRING)", "CAST(l_orderkey % 99 AS STRING)")
 
 
-@query(f"""WITH t AS (SELECT DISTINCT {_CITING} AS txt FROM lineitem),
-    n AS (SELECT txt, flatten(list_transform(regexp_extract_all(txt, '{_CITE_RE}', 1), lambda x: regexp_extract_all(regexp_replace(x, '\\([^)]*\\)', '', 'g'), '\\d+'))) AS ns FROM t)
-    SELECT txt AS text, list_sort(list_distinct(list_transform(ns, lambda x: '32016R0679art_' || CAST(CAST(x AS INT) AS VARCHAR)))) AS cited FROM n""".replace("\\\\", "\\"))
+@query(rf"""WITH t AS (SELECT DISTINCT {_CITING} AS txt FROM lineitem),
+    p AS (SELECT txt, unnest(string_split_regex(lower(txt), '\barticles?\s+')[2:]) AS p FROM t),
+    h AS (SELECT txt, trim(split_part(p, ' of ', 1)) AS listed, replace(replace(regexp_replace(substr(p, strpos(p, ' of ') + 4), '\s+', ' ', 'g'), '(eu) ', ''), ' no ', ' ') AS owner FROM p WHERE contains(p, ' of ')),
+    own AS (SELECT txt, list_transform(string_split(replace(regexp_replace(listed, '\([^)]*\)', '', 'g'), ' and ', ','), ','), lambda x: trim(x)) AS ns FROM h
+        JOIN (VALUES ('the gdpr'), ('that regulation'), ('regulation 2016/679'), ('the regulation 2016/679')) f(form) ON starts_with(owner, form)),
+    n AS (SELECT txt, unnest(ns) AS n FROM own WHERE len(list_filter(ns, lambda x: NOT regexp_full_match(x, '\d+'))) = 0)
+    SELECT txt AS text, coalesce(list(DISTINCT '32016R0679art_' || CAST(n AS INT) ORDER BY '32016R0679art_' || CAST(n AS INT)) FILTER (n IS NOT NULL), []) AS cited FROM t LEFT JOIN n USING (txt) GROUP BY txt""")
 def citation_extract(spark, d):
     rows = t(spark, d, "lineitem").select(F.expr(_CITING).alias("text")).distinct().withColumn("celex", F.lit("32016R0679"))
     forms = spark.createDataFrame([("32016R0679", legal.surface_forms("32016R0679"))], "celex string, forms array<string>")
@@ -501,13 +521,18 @@ def id_display(spark, d):
 
 
 def _ranked(spark: SparkSession, d: str) -> DataFrame:
-    """Per source: its documents by length as the ranked list, its labelled good ones as expected."""
+    """source and its metrics: its ten longest labelled documents as the ranked list, its good ones as expected.
+
+    The ten are the best of each task's ten; how many are expected is counted,
+    and only what was found of them is met.
+    """
     rows = t(spark, d, "documents").select("doc_id", "source", "n_chars").join(t(spark, d, "labels").select("doc_id", "quality"), "doc_id")
-    place = F.row_number().over(Window.partitionBy("source").orderBy(F.desc("n_chars"), "doc_id"))
-    top = rows.withColumn("r", place)
-    sources = F.transform(F.array_sort(F.collect_list(F.when(F.col("r") <= 10, F.struct("r", "doc_id")))), lambda x: x["doc_id"])
-    expected = F.array_sort(F.collect_list(F.when(F.col("quality") == 1, F.col("doc_id"))))
-    return top.groupBy("source").agg(sources.alias("sources"), expected.alias("expected"))
+    top = retrieval.top_k(rows, 10, ("source",), "n_chars", "doc_id").select(F.col("source").alias("_s"), F.col("rank").alias("r"), "doc_id", "quality")
+    found = top.groupBy("_s").agg(F.array_sort(F.collect_list(F.struct("r", "doc_id", "quality"))).alias("_top"))
+    n = rows.groupBy("source").agg(F.count_if(F.col("quality") == 1).alias("n_expected"))
+    good = F.transform(F.filter("_top", lambda x: x["quality"] == 1), lambda x: x["doc_id"])
+    met = n.join(found, F.col("source").eqNullSafe(F.col("_s"))).select("source", evaluation.ir_metrics(F.transform("_top", lambda x: x["doc_id"]), good, F.col("n_expected")).alias("m"))
+    return met.select("source", "m.*")
 
 
 _RANKED = """r AS (SELECT source, doc_id, quality, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS r FROM documents JOIN labels USING (doc_id)),
@@ -519,15 +544,13 @@ _RANKED = """r AS (SELECT source, doc_id, quality, row_number() OVER (PARTITION
 
 @query(f"WITH {_RANKED} SELECT source, CAST(top1_anchor AS DOUBLE) AS top1_anchor, round(recall_at_k, 6) AS recall_at_k, round(mrr, 6) AS mrr FROM ir")
 def ir_metrics(spark, d):
-    rows = _ranked(spark, d).select("source", evaluation.ir_metrics(F.col("sources"), F.col("expected")).alias("m"))
-    return rows.select("source", "m.top1_anchor", F.round("m.recall_at_k", 6).alias("recall_at_k"), F.round("m.mrr", 6).alias("mrr"))
+    return _ranked(spark, d).select("source", "top1_anchor", F.round("recall_at_k", 6).alias("recall_at_k"), F.round("mrr", 6).alias("mrr"))
 
 
 @query(f"""WITH {_RANKED} SELECT CASE WHEN grouping(source) = 1 THEN '(all)' ELSE source END AS source, count(*) AS n, round(avg(top1_anchor), 6) AS top1_anchor, round(avg(recall_at_k), 6) AS recall_at_k, round(avg(mrr), 6) AS mrr
     FROM ir GROUP BY ROLLUP (source)""")
 def metric_rollup(spark, d):
-    rows = _ranked(spark, d).select("source", evaluation.ir_metrics(F.col("sources"), F.col("expected")).alias("m")).select("source", "m.*")
-    return evaluation.averages(rows, ["top1_anchor", "recall_at_k", "mrr"], "source")
+    return evaluation.averages(_ranked(spark, d), ["top1_anchor", "recall_at_k", "mrr"], "source")
 
 
 @query("""WITH c AS (SELECT source, count(*) FILTER (quality = 1 AND n_chars > 1000) AS tp, count(*) FILTER (quality = 0 AND n_chars > 1000) AS fp, count(*) FILTER (quality = 1 AND n_chars <= 1000) AS fn
@@ -564,7 +587,7 @@ def attribution_renumber(spark, d):
 @query("SELECT source AS answer, doc_id AS id, 'S' || row_number() OVER (PARTITION BY source ORDER BY doc_id) AS marker FROM documents")
 def source_numbering(spark, d):
     rows = t(spark, d, "documents").select(F.col("source").alias("answer"), F.col("doc_id").cast("string").alias("id"), F.col("doc_id").alias("pos"))
-    return answers.number_sources(rows).select("answer", F.col("pos").alias("id"), "marker")
+    return answers.number_sources(rows, wide=True).select("answer", F.col("pos").alias("id"), "marker")
 
 
 @query("""WITH p AS (SELECT p_brand AS name, p_type AS version, p_size > 45 AS active FROM part)

@@ -42,7 +42,7 @@ TABLES = {
     "topics": """SELECT concat('R', CAST(n_regionkey AS STRING), '_', CAST(c_custkey AS STRING), '.', CAST(o_orderkey AS STRING)) AS paragraph_id, o_orderpriority AS label
         FROM {orders} JOIN {customer} ON o_custkey = c_custkey JOIN {nation} ON c_nationkey = n_nationkey""",
     "interprets": """SELECT DISTINCT concat('C', CAST(l_suppkey AS STRING)) AS src, concat('R', CAST(n_regionkey AS STRING), '_', CAST(c_custkey AS STRING), '.', CAST(o_orderkey AS STRING)) AS dst
-        FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey JOIN {customer} ON o_custkey = c_custkey JOIN {nation} ON c_nationkey = n_nationkey WHERE l_linenumber = 1""",
+        FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey JOIN {customer} ON o_custkey = c_custkey JOIN {nation} ON c_nationkey = n_nationkey""",
     "case_paragraphs": """SELECT DISTINCT concat('C', CAST(l_suppkey AS STRING), '_par_', CAST(l_partkey AS STRING)) AS id, concat('C', CAST(l_suppkey AS STRING)) AS celex,
         CAST(l_partkey AS INT) AS number, concat('part ', CAST(l_partkey AS STRING)) AS text FROM {lineitem}""",
 }
@@ -112,7 +112,7 @@ def graph_chapters_by_acts(spark, d):
     SELECT paragraph_id, text, article_id, act_id, chapter_id, section_id, article_title FROM home WHERE chapter_id IN (SELECT id FROM chapters WHERE id LIKE '%cpt_1%')""")
 def graph_chapter_paragraphs(spark, d):
     c = corpus(spark, d)
-    wanted = [r.id for r in c.chapters.where("id like '%cpt_1%'").select("id").collect()]  # chapters chosen by a caller
+    wanted = c.chapters.where("id like '%cpt_1%'").select("id")
     return c.chapter_paragraphs(wanted).select("paragraph_id", "text", "article_id", "act_id", "chapter_id", "section_id", "article_title")
 
 
@@ -137,7 +137,7 @@ def graph_article_titles(spark, d):
 @query(f"{_CTE}, {_PAR} SELECT * FROM par WHERE article_id IN (SELECT id FROM articles WHERE title = 'Customer#000000007' OR id LIKE '%art_1_')")
 def graph_paragraphs_by_articles(spark, d):
     c = corpus(spark, d)
-    wanted = [r.id for r in c.articles.where("title = 'Customer#000000007' or id like '%art_1_'").select("id").collect()]
+    wanted = c.articles.where("title = 'Customer#000000007' or id like '%art_1_'").select("id")
     return c.paragraphs_by_articles(wanted).select("paragraph_id", "text", "article_id", "act_id", "chapter_id", "section_id", "article_title")
 
 
