@@ -20,6 +20,7 @@ from lexloom.functions.text import candidate_terms
 from lexloom.functions.vectors import dot, mean_vector
 from lexloom.operators import answers, evaluation, graph, judgments, retrieval, topics
 from lexloom.operators.lexical_index import write_index
+from lexloom.operators.tables import node_table
 from lexloom.plans.retrieval import HybridConfig, fused_search
 from lexloom.session import cut, remove_folder, shared_folder
 from lexloom.streaming import windows
@@ -117,6 +118,22 @@ def upsert_merge(spark, d):
     return graph.upsert_nodes(old, changed.unionByName(added), "c_custkey")
 
 
+@query("""WITH b AS (SELECT o_custkey AS id, o_orderkey % 3 AS k, max(o_totalprice) AS price, CASE WHEN count(*) > 1 THEN max(o_orderpriority) END AS note FROM orders GROUP BY ALL)
+    SELECT id, coalesce(max(price) FILTER (k = 2), max(price) FILTER (k = 1), max(price)) AS price, coalesce(max(note) FILTER (k = 2), max(note) FILTER (k = 1), max(note)) AS note FROM b GROUP BY id""")
+def upsert_buckets(spark, d):
+    """Three upserts into a bucket table, the customers of every third order in each."""
+    folder = f"{shared_folder(spark)}/nodes-{uuid.uuid4().hex}"
+    table = node_table(spark, folder, "id long, price double, note string", buckets=16)
+    rows = t(spark, d, "orders").groupBy(F.col("o_custkey").alias("id"), (F.col("o_orderkey") % 3).alias("k"))
+    rows = cut(rows.agg(F.max("o_totalprice").alias("price"), F.when(F.count(F.lit(1)) > 1, F.max("o_orderpriority")).alias("note")))
+    try:
+        for k in range(3):
+            table.upsert(rows.where(F.col("k") == k).drop("k"), "orders", k)
+        return cut(table.read())
+    finally:
+        remove_folder(spark, folder)
+
+
 @query("""SELECT DISTINCT 'part' AS src_label, CAST(l_partkey AS VARCHAR) AS src, 'CITES' AS rel, 'supplier' AS dst_label, CAST(l_suppkey AS VARCHAR) AS dst
     FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_size < 25) AND l_suppkey IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0)""")
 def edge_upsert(spark, d):
@@ -424,7 +441,7 @@ _CITING = """CASE l_linenumber % 5 WHEN 0 THEN concat('Article ', {0}, ' of the
 
 @query(rf"""WITH t AS (SELECT DISTINCT {_CITING} AS txt FROM lineitem),
     p AS (SELECT txt, unnest(string_split_regex(lower(txt), '\barticles?\s+')[2:]) AS p FROM t),
-    h AS (SELECT txt, trim(split_part(p, ' of ', 1)) AS listed, replace(replace(regexp_replace(substr(p, strpos(p, ' of ') + 4), '\s+', ' ', 'g'), '(eu) ', ''), ' no ', ' ') AS owner FROM p WHERE contains(p, ' of ')),
+    h AS (SELECT txt, trim(split_part(p, ' of ', 1)) AS listed, ltrim(replace(replace(regexp_replace(substr(p, strpos(p, ' of ') + 4), '\s+', ' ', 'g'), '(eu) ', ''), ' no ', ' ')) AS owner FROM p WHERE contains(p, ' of ')),
     own AS (SELECT txt, list_transform(string_split(replace(regexp_replace(listed, '\([^)]*\)', '', 'g'), ' and ', ','), ','), lambda x: trim(x)) AS ns FROM h
         JOIN (VALUES ('the gdpr'), ('that regulation'), ('regulation 2016/679'), ('the regulation 2016/679')) f(form) ON starts_with(owner, form)),
     n AS (SELECT txt, unnest(ns) AS n FROM own WHERE len(list_filter(ns, lambda x: NOT regexp_full_match(x, '\d+'))) = 0)
