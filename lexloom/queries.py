@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from lexloom.functions import legal
 from lexloom.functions.text import candidate_terms
 from lexloom.functions.vectors import dot, mean_vector
-from lexloom.operators import answers, evaluation, graph, judgments, retrieval, topics
+from lexloom.operators import answers, evaluation, graph, judgments, retrieval, topics, vector_index
 from lexloom.operators.lexical_index import write_index
 from lexloom.operators.tables import node_table
 from lexloom.plans.retrieval import HybridConfig, fused_search
@@ -233,6 +233,34 @@ def dense_topk(spark, d):
     return _rounded(dense(spark, d)).select("query_id", "doc", "score", "rank")
 
 
+def _vector_index(spark: SparkSession, d: str, answer: Callable[[vector_index.VectorIndex, DataFrame], DataFrame]) -> DataFrame:
+    """What `answer` makes of an index of all embeddings, in 64 cells, and the questions' vectors."""
+    folder = f"{shared_folder(spark)}/vectors-{uuid.uuid4().hex}"
+    v = t(spark, d, "embeddings").select("vec_id", "embedding")
+    asked = v.join(t(spark, d, "benchmark").select(F.col("item_id").alias("query_id")), F.col("vec_id") == F.col("query_id")).select("query_id", F.col("embedding").alias("query_vector"))
+    try:
+        return cut(answer(vector_index.write_vector_index(v, folder, dim=64, cells=64), asked))
+    finally:
+        remove_folder(spark, folder)
+
+
+@query(f"WITH {_DENSE} SELECT query_id, doc, round(score, 6) AS score, rank FROM dense")
+def vector_index_exact(spark, d):
+    return _rounded(_vector_index(spark, d, lambda index, asked: vector_index.exact_top_k(index, asked, 10))).select("query_id", "doc", "score", "rank")
+
+
+@query("SELECT count(*) > 0 AS enough FROM benchmark JOIN embeddings ON item_id = vec_id")
+def vector_index_recall(spark, d):
+    """Whether the cells chosen on a sample give nine in ten of all questions' true nearest, on the mean."""
+
+    def measured(index, asked):  # noqa: ANN001, ANN202
+        found = vector_index.vector_top_k(index, asked, 10, vector_index.choose_probes(index, 10))
+        each = vector_index.recall(found, vector_index.exact_top_k(index, asked, 10))
+        return each.agg(F.avg("recall").alias("mean_recall")).select((F.col("mean_recall") >= 0.9).alias("enough"))
+
+    return _vector_index(spark, d, measured)
+
+
 @query(f"WITH {_DENSE} SELECT query_id, doc, round(score, 6) AS score, rank FROM dense JOIN documents ON doc = doc_id WHERE source IN ('src0', 'src1', 'src2')")
 def dense_postfilter(spark, d):
     sources = t(spark, d, "documents").select("doc_id", "source")

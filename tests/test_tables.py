@@ -137,3 +137,33 @@ def test_many_questions_stay_small(spark, tmp_path):
     found = retrieval.bm25_top_k(docs, asked, 3)
     assert found.select("query_id").distinct().count() > 19000
     assert resource.getrusage(resource.RUSAGE_CHILDREN).ru_maxrss < 2 << 20  # KB: no worker came near 2 GB
+
+
+def test_vector_index(spark, tmp_path):
+    import numpy as np
+
+    from lexloom.operators import vector_index as vi
+
+    rng = np.random.default_rng(4)
+    centres = rng.standard_normal((20, 32))
+    x = centres[rng.integers(0, 20, 1500)] + 0.25 * rng.standard_normal((1500, 32))
+    kind = "vec_id long, embedding array<double>"
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    odd = [(9000, None), (9001, [1.0]), (9002, [None] * 32), (9003, [float("nan")] * 32)]
+    index = vi.write_vector_index(spark.createDataFrame(rows + odd, kind).repartition(4), str(tmp_path / "v"), 32, 20)
+    again = vi.read_vector_index(spark, str(tmp_path / "v"))
+    assert again.rows.count() == 1500 and np.allclose(again.centres, index.centres)
+    asked = spark.createDataFrame([(i, x[i].tolist()) for i in range(0, 1500, 30)] + [(7777, [1.0])], "query_id long, query_vector array<double>")
+    truth = vi.exact_top_k(index, asked, 10)
+    dots = np.round(x @ x[30], 9)
+    assert [r.doc for r in truth.where("query_id = 30").orderBy("rank").collect()] == sorted(range(1500), key=lambda i: (-dots[i], i))[:10]
+    probes = vi.choose_probes(index, 10)
+    found = vi.vector_top_k(index, asked, 10, probes)
+    assert vi.recall(found, truth).agg(F.avg("recall")).first()[0] >= 0.9 and probes <= 8
+    every = vi.vector_top_k(index, asked, 10, 20, rescore=200)
+    key = lambda df: sorted((r.query_id, r["rank"], r.doc) for r in df.collect())
+    assert key(every) == key(truth)
+    plan = vi.vector_top_k(index, asked.limit(1), 10, 2)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(cell" in plan or "PartitionFilters: [cell" in plan
+    empty = vi.write_vector_index(spark.createDataFrame([], kind), str(tmp_path / "e"), 32, 4)
+    assert vi.vector_top_k(empty, asked, 3, 2).collect() == []
