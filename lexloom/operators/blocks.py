@@ -102,6 +102,67 @@ def _similar(shared, n_rows: int, kinds: list, dim: int, least: float | None, k:
     return run
 
 
+def best_senses(terms: DataFrame, side: DataFrame, least: float, k: int) -> DataFrame:
+    """term, definition, label, score: what can be among a label's k best terms of at least that score.
+
+    terms: term, definition, embedding, a row a sense (a dictionary's few for
+    each term); side: label, embedding, centroid.  A term counts for a label by
+    the sense most like its embedding (ties: the least definition); score is
+    that likeness plus the sense's to the centroid, each to 9 places.
+    """
+    spark = terms.sparkSession
+    packed = terms.where(F.col("embedding").isNotNull()).groupBy("term").agg(F.array_sort(F.collect_list(F.struct("definition", "embedding"))).alias("senses"))
+    schema = T.StructType([*terms.select("term", "definition").schema.fields, side.schema["label"], T.StructField("score", T.DoubleType())])
+    parts = []
+    for block in in_blocks(side.select("label", "embedding", "centroid"), lambda r: 8 * len(r[1] or ()) + 8 * len(r[2] or ()) + 64):
+        whole = [r for r in block if all(v is not None and all(x is not None for x in v) for v in r[1:]) and len(r[1]) == len(r[2])]
+        for dim in sorted({len(r[1]) for r in whole}) or [0]:
+            own = [r for r in whole if len(r[1]) == dim]
+            shared = spark.sparkContext.broadcast(([r[0] for r in own], *(np.array([r[c] for r in own], float).reshape(len(own), dim) for c in (1, 2))))
+            parts.append(packed.mapInArrow(_senses(shared, dim, least, k, schema), schema))
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
+def _senses(shared, dim: int, least: float, k: int, schema: T.StructType):  # noqa: ANN001, ANN202
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    def unit(x: np.ndarray) -> np.ndarray:
+        with np.errstate(divide="ignore", invalid="ignore"):
+            return x / np.sqrt((x * x).sum(1, keepdims=True))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, embedding, centroid = shared.value
+        embedding, centroid = unit(embedding), unit(centroid)
+        kinds = [to_arrow_type(f.dataType) for f in schema.fields]
+        for batch in batches:
+            senses = batch.column(1)
+            of = np.repeat(np.arange(len(senses)), senses.value_lengths().to_numpy(zero_copy_only=False))
+            flat = senses.flatten()
+            x, at = _matrix(flat.field("embedding"), dim)
+            x = unit(x)
+            if not len(x):
+                continue
+            of, definition = of[at], flat.field("definition").take(pa.array(at))
+            first = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
+            size = np.diff(np.append(first, len(of)))
+            for lo in range(0, len(names), SLICE):
+                sense, like = np.round(x @ embedding[lo : lo + SLICE].T, 9) + 0.0, np.round(x @ centroid[lo : lo + SLICE].T, 9) + 0.0
+                sense[np.isnan(sense)] = -np.inf
+                best = np.repeat(np.maximum.reduceat(sense, first, axis=0), size, axis=0)
+                row = np.minimum.reduceat(np.where(sense == best, np.arange(len(x))[:, None], len(x)), first, axis=0)
+                score = np.round(np.take_along_axis(sense, row, 0) + np.take_along_axis(like, row, 0), 9) + 0.0
+                good = np.isfinite(score) & (score >= least)
+                if len(score) > k:
+                    good &= score >= -np.partition(np.where(good, -score, np.inf), k - 1, axis=0)[k - 1]
+                i, j = np.nonzero(good)
+                if len(i):
+                    picked = row[i, j]
+                    cols = [batch.column(0).take(pa.array(of[picked])), definition.take(pa.array(picked)), pa.array([names[lo + c] for c in j.tolist()], kinds[2]), pa.array(score[i, j])]
+                    yield pa.RecordBatch.from_arrays(cols, schema.names)
+
+    return run
+
+
 def words(text: str | None) -> list[str]:
     """White-space tokens, as functions.text.tokens gives them."""
     text = text or ""

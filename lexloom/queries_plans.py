@@ -9,13 +9,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexloom.functions import legal
 from lexloom.plans import answering
 from lexloom.plans.retrieval import HybridConfig, Store, hybrid
-from lexloom.providers import overlap_scorer, score_pairs
+from lexloom.session import cut
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -104,6 +104,44 @@ def hybrid_full(spark, d):
     return found.select("query_id", "slot", "rank", "doc", "score", F.substring_index("text", "\n", 1).alias("header"))
 
 
+def ruled_store(spark: SparkSession, d: str) -> Store:
+    """The store with a ruling at the end of every judgment, and a vector for each passage."""
+    plain = store(spark, d)
+    case = F.concat(F.lit("V"), F.col("conv_id").cast("string"))
+    last = F.col("turn") == F.max("turn").over(Window.partitionBy("conv_id"))
+    turns = spark.read.parquet(f"{d}/conversations.parquet").withColumn("is_operative", last).withColumn("_n", (F.col("conv_id") * 13 + F.col("turn") * 7) % 500)
+    turns = turns.join(spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", "embedding"), F.col("_n") == F.col("vec_id"), "left")
+    number = F.when(F.col("is_operative"), 1).otherwise((F.col("turn") + 1).cast("int"))
+    doc = F.concat(case, F.when(F.col("is_operative"), "_op_").otherwise("_par_"), number.cast("string"))
+    passages = turns.select(doc.alias("doc"), case.alias("celex"), number.alias("number"), "text", F.col("role").alias("section_heading"), F.lit(None).cast("string").alias("case_number"), "is_operative", "embedding")
+    return Store(plain.articles, plain.recitals, passages, plain.interprets)
+
+
+@query(f"""WITH q AS (SELECT item_id AS query_id, text, list_sort(list_distinct(['src' || item_id % 20, 'src' || (item_id + 7) % 20])) AS sc FROM benchmark),
+    inter AS (SELECT * FROM q WHERE query_id % 2 = 0),
+    own AS (SELECT *, turn = max(turn) OVER (PARTITION BY conv_id) AS op FROM conversations),
+    p AS (SELECT conv_id, role, text, op, 'V' || conv_id || CASE WHEN op THEN '_op_1' ELSE '_par_' || (turn + 1) END AS doc, turn + 1 AS number, (conv_id * 13 + turn * 7) % 500 AS v FROM own),
+    pas AS (SELECT sc, doc, {_TOKENS.format('text')} AS ts FROM p JOIN (SELECT DISTINCT sc FROM q) ON list_contains(sc, 'src' || conv_id % 20)),
+    {_bm25('passage', 'pas', 'inter', 10)},
+    near AS (SELECT query_id, sc, doc, conv_id, row_number() OVER (PARTITION BY query_id ORDER BY round(list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) DESC, doc) AS r
+        FROM inter JOIN embeddings a ON a.vec_id = query_id, p JOIN embeddings b ON b.vec_id = v QUALIFY r <= 10),
+    dense AS (SELECT query_id, doc, row_number() OVER (PARTITION BY query_id ORDER BY r) AS rank FROM near WHERE list_contains(sc, 'src' || conv_id % 20)),
+    fused AS (SELECT query_id, doc, sum(1.0::DOUBLE / (60.0 + rank)) AS s FROM (SELECT * FROM dense UNION ALL SELECT query_id, doc, rank FROM passage) GROUP BY ALL),
+    pool AS (SELECT query_id, doc, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, doc) AS r FROM fused QUALIFY r <= 9),
+    scored AS (SELECT query_id, doc, CAST(count(*) OVER (PARTITION BY query_id) - r + 1 AS DOUBLE) AS score, r FROM pool),
+    beside AS (SELECT DISTINCT c.query_id, split_part(c.doc, '_par_', 1) || '_par_' || n AS doc FROM scored c, LATERAL (SELECT CAST(split_part(c.doc, '_par_', 2) AS INT) + unnest([-1, 1, 2]) AS n) WHERE c.r <= 3 AND contains(c.doc, '_par_')),
+    more AS (SELECT query_id, doc FROM beside SEMI JOIN p USING (doc) ANTI JOIN scored USING (query_id, doc)),
+    extra AS (SELECT query_id, doc, CAST(count(*) OVER (PARTITION BY query_id) - row_number() OVER (PARTITION BY query_id ORDER BY doc) + 1 AS DOUBLE) AS score FROM more),
+    kept AS (SELECT query_id, doc, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc) AS r, op, conv_id FROM (SELECT query_id, doc, score FROM scored UNION ALL SELECT * FROM extra) JOIN p USING (doc) QUALIFY r <= 3),
+    slot AS (SELECT query_id, 'V' || conv_id || '_op_1' AS doc, 1.0::DOUBLE AS score FROM kept WHERE r = 1 AND query_id NOT IN (SELECT query_id FROM kept WHERE op))
+    SELECT query_id, doc, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc) AS INTEGER) AS rank, '[V' || conv_id || ', ' || role || ', ' || CASE WHEN op THEN 'operative ruling 1' ELSE 'para. ' || number END || ']' AS header
+    FROM (SELECT query_id, doc, score FROM kept UNION ALL SELECT * FROM slot) JOIN p USING (doc)""")
+def hybrid_case_law(spark, d):
+    """The case-law slots where passages have vectors and judgments end in a ruling."""
+    found = hybrid(ruled_store(spark, d), questions(spark, d), HybridConfig(use_recitals=False)).where("slot = 'case law'")
+    return found.select("query_id", "doc", "score", "rank", F.substring_index("text", "\n", 1).alias("header"))
+
+
 _KEYWORDS = ", ".join(f"({i}, '{k}', '{c}')" for i, (k, c) in enumerate(legal.ACT_KEYWORDS))
 
 
@@ -123,10 +161,13 @@ def question_classify(spark, d):
     p AS (SELECT a.conv_id, a.turn, b.turn AS other, CASE WHEN len(a.ws) = 0 THEN 0 ELSE len(list_intersect(a.ws, b.ws)) / len(a.ws) END AS score FROM w a JOIN w b ON a.conv_id = b.conv_id AND a.turn <> b.turn)
     SELECT conv_id, turn, other, round(score, 6) AS score FROM p""")
 def overlap_score(spark, d):
-    rows = spark.read.parquet(f"{d}/conversations.parquet").select("conv_id", "turn", "text")
-    other = rows.select(F.col("conv_id").alias("_c"), F.col("turn").alias("other"), F.col("text").alias("_t"))
+    """Each turn's words are made once; pairs of a conversation's turns meet as word sets."""
+    words = F.array_distinct(F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), r"\s+"), lambda x: x != ""))
+    rows = cut(spark.read.parquet(f"{d}/conversations.parquet").select("conv_id", "turn", words.alias("w")))
+    other = rows.select(F.col("conv_id").alias("_c"), F.col("turn").alias("other"), F.col("w").alias("_w"))
     pairs = rows.join(other, (F.col("conv_id") == F.col("_c")) & (F.col("turn") != F.col("other")))
-    return pairs.select("conv_id", "turn", "other", F.round(score_pairs(F.col("text"), F.col("_t"), overlap_scorer), 6).alias("score"))
+    score = F.coalesce(F.try_divide(F.size(F.array_intersect("w", "_w")).cast("double"), F.size("w")), F.lit(0.0))
+    return pairs.select("conv_id", "turn", "other", F.round(score, 6).alias("score"))
 
 
 @query("""WITH s AS (SELECT source AS query_id, doc_id, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS rank FROM documents),
@@ -134,8 +175,6 @@ def overlap_score(spark, d):
     SELECT query_id, 'Question: what of ' || query_id || '?' AS answer, list('d' || doc_id ORDER BY rank) AS ids, list('S' || rank ORDER BY rank) AS markers FROM kept GROUP BY query_id
     UNION ALL SELECT 'nobody', 'No passage was found for this question.', [], []""")
 def answer_synthesis(spark, d):
-    from pyspark.sql import Window
-
     from lexloom.providers import extractive_model
 
     docs = spark.read.parquet(f"{d}/documents.parquet").select(F.col("source").alias("query_id"), F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("doc"), "text", F.row_number().over(Window.partitionBy("source").orderBy(F.desc("n_chars"), "doc_id")).alias("rank"))

@@ -47,3 +47,27 @@ def test_merging_nothing(spark):
     assert topics.merge_and_dedup(spark.createDataFrame([], kind)).collect() == []
     one = [("a", [1.0, 0.0], [], 0, 1), ("b", None, ["x"], 0, 2), ("c", [0.0, 1.0], [], 1, 3)]
     assert sorted(x.label for x in topics.merge_and_dedup(spark.createDataFrame(one, kind)).collect()) == ["a", "b"]
+
+
+def test_best_senses_equal_all_pairs(spark):
+    from lexloom.operators import blocks
+
+    rng = np.random.default_rng(8)
+    terms = [(f"t{i}", f"d{s}", rng.standard_normal(5).tolist()) for i in range(40) for s in range(1 + i % 3)] + [("none", "d", None), ("short", "d", [1.0]), ("t1", "a", None)]
+    side = [(f"l{k}", rng.standard_normal(5).tolist(), rng.standard_normal(5).tolist()) for k in range(7)] + [("bad", None, [1.0] * 5)]
+    kind = "term string, definition string, embedding array<double>"
+    unit = lambda v: np.array(v) / np.linalg.norm(v)
+    want = {}
+    for label, e, c in side[:7]:
+        best = {}
+        for t, d, v in terms:
+            if v is not None and len(v) == 5:
+                best[t] = min(best.get(t, (9, "")), (-round(float(unit(v) @ unit(e)), 9), d, round(float(unit(v) @ unit(c)), 9)))
+        scored = sorted((-round(lk - s, 9), t, d) for t, (s, d, lk) in best.items())
+        want |= {(label, t): (d, -s) for s, t, d in scored[:4] if -s >= 0.1}
+    found = blocks.best_senses(spark.createDataFrame(terms, kind).repartition(3), spark.createDataFrame(side, "label string, embedding array<double>, centroid array<double>"), 0.1, 4)
+    got = {}
+    for label in {r.label for r in found.collect()}:
+        for r in sorted(found.where(found.label == label).collect(), key=lambda r: (-r.score, r.term))[:4]:
+            got[label, r.term] = (r.definition, r.score)
+    assert set(got) == set(want) and all(got[k][0] == want[k][0] and abs(got[k][1] - want[k][1]) < 1e-8 for k in want)
