@@ -136,6 +136,16 @@ def surface_forms(celex: str, anaphora: bool = True) -> list[str]:
     return forms + [f"that {word}"] * anaphora
 
 
+def surface_forms_of(celex: Column, anaphora: Column) -> Column:
+    """surface_forms as a column: of any number of acts, none of them on the driver."""
+    parts = celex_parts(celex)
+    word = F.lower(parts["instrument"])
+    numbered = F.flatten(F.transform(parts["numbers"], lambda n: F.array(F.concat(word, F.lit(" "), n), F.concat(F.lit("the "), word, F.lit(" "), n))))
+    names = F.create_map(*(F.lit(x) for c, name in ACT_NAMES.items() for x in (c, f"the {name.lower()}")))
+    others = F.array_compact(F.array(F.try_element_at(names, celex), F.when(anaphora, F.concat(F.lit("that "), word))))
+    return F.when(word.isNotNull(), F.concat(numbered, others)).otherwise(F.array().cast("array<string>"))
+
+
 def cited_articles(text: Column, celex: Column, forms: Column) -> Column:
     """Article ids of the act that the text cites, in order of first mention.
 

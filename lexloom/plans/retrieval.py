@@ -199,11 +199,8 @@ def citation_bridge(kept: DataFrame, passages: DataFrame, articles: DataFrame, q
     acts = questions.select("query_id", F.explode("acts").alias("celex_")).distinct()
     word = legal.celex_parts(F.col("celex_"))["instrument"]
     acts = acts.withColumn("_word", word).withColumn("_one", F.count(F.lit(1)).over(Window.partitionBy("query_id", "_word")) == 1)
-    catalogue = acts.select("celex_").distinct().collect()  # the acts in play: a handful
-    spark = kept.sparkSession
-    rows = [(c, one, legal.surface_forms(c, one)) for (c,) in catalogue for one in (True, False)]
-    forms = spark.createDataFrame(rows, "celex_ string, _one boolean, forms array<string>")
-    cites = kept.select("query_id", "doc", "score").join(passages.select("doc", "text").dropDuplicates(["doc"]), "doc").join(acts.join(forms, ["celex_", "_one"]), "query_id")
+    forms = acts.withColumn("forms", legal.surface_forms_of(F.col("celex_"), F.col("_one")))
+    cites = kept.select("query_id", "doc", "score").join(passages.select("doc", "text").dropDuplicates(["doc"]), "doc").join(forms, "query_id")
     found = cites.select("query_id", "score", F.explode(legal.cited_articles(F.col("text"), F.col("celex_"), F.col("forms"))).alias("article"))
     found = found.join(articles.select(F.col("doc").alias("_d")).distinct(), F.col("article") == F.col("_d"), "left_semi")
     return bridge(found, most).select("query_id", F.col("article").alias("doc"), "rank")

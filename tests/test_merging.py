@@ -71,3 +71,15 @@ def test_best_senses_equal_all_pairs(spark):
         for r in sorted(found.where(found.label == label).collect(), key=lambda r: (-r.score, r.term))[:4]:
             got[label, r.term] = (r.definition, r.score)
     assert set(got) == set(want) and all(got[k][0] == want[k][0] and abs(got[k][1] - want[k][1]) < 1e-8 for k in want)
+
+
+def test_surface_forms_as_a_column(spark):
+    from pyspark.sql import functions as F
+
+    from lexloom.functions import legal
+
+    acts = [*legal.ACT_NAMES, "31995L0046", "32016R0679", "62018CJ0311", "none", "32001D0002"]
+    rows = [(c, one) for c in acts for one in (True, False)]
+    got = spark.createDataFrame(rows, "c string, one boolean").select("c", "one", legal.surface_forms_of(F.col("c"), F.col("one")).alias("f")).collect()
+    for r in got:
+        assert sorted(r.f) == sorted(legal.surface_forms(r.c, r.one)), r
