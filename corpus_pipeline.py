@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import shared_folder, table
+from lexloom.llm.common import delete_folder, shared_folder, table
 from lexloom.llm.jaccard_join import jaccard_join
 from lexloom.llm.line_dedup import line_dedup
 from lexloom.llm.mixing import mix_to_targets
@@ -100,19 +100,18 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over documents; each stage's rows are written to the shared checkpoint folder and reread."""
+    """The stages over documents; each stage's rows are written to the shared checkpoint folder and reread.
+
+    The folder goes when the last stage, which checkpoints what it still needs, is done, and on an error.
+    """
     base = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES[:-1]):
-        stage(spark, docs, sf_dir).write.parquet(f"{base}/{k}")
-        docs = spark.read.parquet(f"{base}/{k}")
-        if k:
-            _delete(spark, f"{base}/{k - 1}")
-    packed = STAGES[-1][1](spark, docs, sf_dir)  # what it still reads is checkpointed
-    _delete(spark, base)
-    return packed
-
-
-def _delete(spark: SparkSession, folder: str) -> None:
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    try:
+        for k, (_, stage) in enumerate(STAGES[:-1]):
+            stage(spark, docs, sf_dir).write.parquet(f"{base}/{k}")
+            docs = spark.read.parquet(f"{base}/{k}")
+            if k:
+                delete_folder(spark, f"{base}/{k - 1}")
+        return STAGES[-1][1](spark, docs, sf_dir)
+    finally:
+        delete_folder(spark, base)

@@ -21,7 +21,9 @@ def stratified_shards(docs: DataFrame, shards: int = 8, seed: str = "lexloom", s
     differ by one at most (law `rows`; grown_shard is therefore null).
 
     Equal texts are no group under this law: they would have to share a shard,
-    which counts that differ by one don't allow.  Each copy is placed by its own
+    which counts that differ by one don't allow.  Where more than n / shards + 1
+    of n rows are copies of one text (five of eight rows, say, in eight shards
+    of one row each), no placement could do both.  Each copy is placed by its own
     id and source.  Null texts have no bytes (size 1), very long ones only their
     size counts; a null source is a source of its own and a null id shuffles as
     'null'.  Ties end by source, id, checksum, then size; rows equal in all of
