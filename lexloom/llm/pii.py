@@ -139,16 +139,22 @@ def _distractor(rng: np.random.Generator) -> str:
     return ways[rng.integers(len(ways))]
 
 
-def examples(labelled: list[tuple[str, list[tuple[int, int, int]]]], copies: int = 3, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
-    """(classes, tags) of windows from labelled texts: as they are, with a span respelt, and with other figures put in.
+def examples(labelled: list[tuple[str, list[tuple[int, int, int]]]], copies: int = 4, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
+    """(classes, tags) of windows from labelled texts: as they are, with spans respelt or other figures put in, and two in a row.
 
     Where a window begins is random, so that spans also lie at its edges and
     are cut by them.
     """
     rng = np.random.default_rng(seed)
     x, y = [], []
-    for text, spans in labelled:
+    for first, first_spans in labelled:
         for turn in range(copies):
+            text, spans = first, first_spans
+            if turn == copies - 1 and turn:  # spans also stand close together
+                other, more = labelled[rng.integers(len(labelled))]
+                cut = int(rng.integers(0, 30))
+                start = max(0, min((s for s, _, _ in more), default=0) - cut)
+                text, spans = f"{first} {other[start:]}", [*first_spans, *((s + len(first) + 1 - start, k, e + len(first) + 1 - start) for s, k, e in more)]
             parts, own, at = [], [], 0
             for s, k, e in spans:
                 value = text[s:e] if turn == 0 or rng.integers(4) == 0 else _respelt(k, text[s:e], rng)
@@ -238,7 +244,7 @@ class Tagger:
     least_gain: float = 4.0
 
 
-def fit(labelled: list[tuple[str, list[tuple[int, int, int]]]], epochs: int = 6, seed: int = 7) -> Tagger | None:
+def fit(labelled: list[tuple[str, list[tuple[int, int, int]]]], epochs: int = 8, seed: int = 7) -> Tagger | None:
     """A tagger fitted on the labelled passages; none without a span to learn from."""
     if not any(spans for _, spans in labelled):
         return None
