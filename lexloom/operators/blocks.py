@@ -102,8 +102,8 @@ def _similar(shared, n_rows: int, kinds: list, dim: int, least: float | None, k:
     return run
 
 
-def best_senses(terms: DataFrame, side: DataFrame, least: float, k: int) -> DataFrame:
-    """term, definition, label, score: what can be among a label's k best terms of at least that score.
+def best_senses(terms: DataFrame, side: DataFrame, least: float, k: int | None) -> DataFrame:
+    """term, definition, label, score: what can be among a label's k best terms (None: all) of at least that score.
 
     terms: term, definition, embedding, a row a sense (a dictionary's few for
     each term); side: label, embedding, centroid.  A term counts for a label by
@@ -123,7 +123,7 @@ def best_senses(terms: DataFrame, side: DataFrame, least: float, k: int) -> Data
     return functools.reduce(DataFrame.unionByName, parts)
 
 
-def _senses(shared, dim: int, least: float, k: int, schema: T.StructType):  # noqa: ANN001, ANN202
+def _senses(shared, dim: int, least: float, k: int | None, schema: T.StructType):  # noqa: ANN001, ANN202
     from pyspark.sql.pandas.types import to_arrow_type
 
     def unit(x: np.ndarray) -> np.ndarray:
@@ -152,7 +152,7 @@ def _senses(shared, dim: int, least: float, k: int, schema: T.StructType):  # no
                 row = np.minimum.reduceat(np.where(sense == best, np.arange(len(x))[:, None], len(x)), first, axis=0)
                 score = np.round(np.take_along_axis(sense, row, 0) + np.take_along_axis(like, row, 0), 9) + 0.0
                 good = np.isfinite(score) & (score >= least)
-                if len(score) > k:
+                if k is not None and len(score) > k:
                     good &= score >= -np.partition(np.where(good, -score, np.inf), k - 1, axis=0)[k - 1]
                 i, j = np.nonzero(good)
                 if len(i):

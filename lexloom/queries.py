@@ -410,10 +410,10 @@ def term_freq(spark, d):
 
 @query()
 def affinity_cluster(spark, d):
-    """Every vector is offered as a term; each concept's 40 best are clustered."""
+    """Every vector is offered as a term; all that are alike to a concept are clustered."""
     own = concepts(spark, d)
     terms = t(spark, d, "embeddings").select(F.format_string("term %d", "vec_id").alias("term"), F.lit("").alias("definition"), F.transform("embedding", lambda x: x.cast("double")).alias("embedding"))
-    kept = topics.enrich(terms, own, own.select("label", F.col("embedding").alias("centroid")), 0.0, 40)
+    kept = topics.enrich(terms, own, own.select("label", F.col("embedding").alias("centroid")), 0.0)
     return topics.derive(kept.select("label", "term", "embedding")).select("parent", "label", F.size("terms").alias("n_terms"))
 
 
