@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 from lexloom.functions.text import chunks
 from lexloom.operators import graph, judgments, loading
+from lexloom.operators.sentences import learn
+from lexloom.operators.sentences import sentences as learnt_sentences
 from lexloom.schemas import NODES
 from lexloom.sources.html import parse_pages
 
@@ -282,3 +284,44 @@ def page_facts(spark, d):
     SELECT doc_id AS paragraph_id, CAST(generate_subscripts(ks, 1) - 1 AS INTEGER) AS chunk_index, lower(unnest(ks)) AS text FROM k""")
 def sentence_chunks(spark, d):
     return chunks(spark.read.parquet(f"{d}/documents.parquet"), "doc_id", "text")
+
+
+# --- sentence ends learnt from the texts ------------------------------------------------
+
+_WORDS = r"""tk AS (SELECT doc_id, list_filter(string_split_regex(text, '[ \t\n\x0B\f\r]+'), lambda t: t <> '') AS ts FROM documents WHERE text IS NOT NULL),
+    tok AS (SELECT doc_id, ts, unnest(ts) AS token, generate_subscripts(ts, 1) AS i FROM tk),
+    b AS (SELECT doc_id, i, token, ts[i + 1] AS nt, regexp_replace(regexp_replace(lower(token), '^["''“‘(\[]+', ''), '["''”’)\]]+$', '') AS b,
+        regexp_replace(regexp_replace(lower(ts[i + 1]), '^["''“‘(\[]+', ''), '["''”’)\]]+$', '') AS nb FROM tok),
+    w AS (SELECT doc_id, i, token, nt, CASE WHEN b LIKE '%.' THEN b[:-2] ELSE b END AS word, b LIKE '%.' AS dot, CASE WHEN nb LIKE '%.' THEN nb[:-2] ELSE nb END AS next FROM b),
+    cnt AS (SELECT word, count(*) AS n, CAST(sum(dot::INT) AS BIGINT) AS n_dot, length(word) - length(replace(word, '.', '')) AS inn FROM w WHERE regexp_matches(word, '\p{L}') GROUP BY word),
+    tot AS (SELECT sum(n) AS nn, sum(n_dot)::DOUBLE / (sum(n) + 1) AS p FROM cnt),
+    words AS (SELECT word, n, n_dot, CASE WHEN n_dot = 0 THEN 0.0::DOUBLE ELSE round(-2 * ((n_dot * ln(p) + (n - n_dot) * ln(1 - p)) - (n_dot * ln(0.99::DOUBLE) + (n - n_dot) * ln(1 - 0.99::DOUBLE)))
+        * exp(-(length(word) - inn)) * (inn + 1) * pow((length(word) - inn)::DOUBLE, -(n - n_dot)::DOUBLE), 6) END AS score FROM cnt, tot),
+    ab AS (SELECT word FROM words WHERE score >= 0.3),
+    fol AS (SELECT next AS word, count(*) AS a FROM w WHERE dot AND next IS NOT NULL AND word NOT IN (SELECT word FROM ab) GROUP BY next),
+    st AS (SELECT word, n, a, greatest((SELECT nn FROM tot), 1)::DOUBLE AS nn, (sum(a) OVER ())::DOUBLE AS e FROM fol JOIN words USING (word)),
+    st2 AS (SELECT *, greatest(nn - e, 1)::DOUBLE AS r FROM st),
+    starters AS (SELECT word, n, a AS n_after, CASE WHEN a / e > n / nn THEN round(2 * (a * ln(a / e) + CASE WHEN a = e THEN 0 ELSE (e - a) * ln(1 - a / e) END
+        + CASE WHEN n = a THEN 0 ELSE (n - a) * ln((n - a) / r) END + CASE WHEN n - a = r THEN 0 ELSE (r - (n - a)) * ln(1 - (n - a) / r) END
+        - (a * ln(n / nn) + (e - a) * ln(1 - n / nn)) - ((n - a) * ln(n / nn) + (r - (n - a)) * ln(1 - n / nn))), 6) ELSE 0.0 END AS ratio FROM st2)"""
+
+
+@query(f"WITH {_WORDS} SELECT word, n, n_dot, round(score, 4) + 0.0 AS score, score >= 0.3 AS abbreviation FROM words WHERE n_dot > 0")
+def abbreviations_learnt(spark, d):
+    words = learn(spark.read.parquet(f"{d}/documents.parquet"), "text").words
+    return words.where("n_dot > 0").withColumn("score", F.round("score", 4) + 0.0)
+
+
+@query(f"WITH {_WORDS} SELECT word, n, n_after, round(ratio, 3) AS ratio, ratio >= 30 AS starter FROM starters")
+def starters_learnt(spark, d):
+    return learn(spark.read.parquet(f"{d}/documents.parquet"), "text").starters.withColumn("ratio", F.round("ratio", 3))
+
+
+@query(rf"""WITH {_WORDS}, kept AS (SELECT doc_id, i, token, regexp_matches(token, '[.;!?]["''”’)\]]*$') AND coalesce(regexp_matches(nt, '^["''“‘(\[]*\p{{Lu}}|^["“‘(]'), false)
+        AND NOT (regexp_matches(token, '\.["''”’)\]]*$') AND word IN (SELECT word FROM ab) AND (next IS NULL OR next NOT IN (SELECT word FROM starters WHERE ratio >= 30))) AS e FROM w),
+    g AS (SELECT *, coalesce(sum(e::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM kept)
+    SELECT doc_id AS paragraph_id, CAST(s AS INT) AS chunk_index, string_agg(token, ' ' ORDER BY i) AS text FROM g GROUP BY doc_id, s""")
+def sentences_learnt(spark, d):
+    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text")
+    found = learnt_sentences(docs, "doc_id", "text", learn(docs, "text"))
+    return found.select(F.col("doc_id").alias("paragraph_id"), F.posexplode("sentences").alias("chunk_index", "text"))
