@@ -351,3 +351,10 @@ def test_celex_of_zeros_alone(spark):
     """Numbers lose all leading zeros, as celex_decompose's SQL has it."""
     assert tuple(one(spark, legal.celex_parts(F.col("c")), c="31992L00")) == ("Directive", ["1992/", "92/"])
     assert "directive 1992/" in legal.surface_forms("31992L00")
+
+
+def test_means_below_zero_keep_their_sign(spark):
+    from lexloom.functions.vectors import rounded
+
+    got = [one(spark, rounded(F.col("x"), 4), x=x) for x in (-0.00003, 0.00003, -0.00005, 0.12345, -1.0)]
+    assert [repr(x) for x in got] == ["-0.0", "0.0", "-0.0001", "0.1235", "-1.0"]
