@@ -23,6 +23,7 @@ from pyspark.sql import types as T
 
 from lexloom.operators.blocks import _matrix, in_blocks, similar
 from lexloom.operators.retrieval import dense_top_k, top_k
+from lexloom.session import cut
 
 #: Vectors that cells and code books are fitted on; parts of a vector that are coded, and codes of a part.
 SAMPLE, PARTS, CODES = 20_000, 16, 64
@@ -169,11 +170,38 @@ def exact_top_k(index: VectorIndex, queries: DataFrame, k: int) -> DataFrame:
     return dense_top_k(index.rows, queries, k, id_col="id")
 
 
+def _own_questions(index: VectorIndex, asked: int) -> DataFrame:
+    return index.rows.withColumn("_h", F.xxhash64("id", "embedding")).orderBy("_h").limit(asked).select(F.col("id").alias("query_id"), F.col("embedding").alias("query_vector"))
+
+
+def _own_nearest(index: VectorIndex, some: DataFrame, k: int) -> DataFrame:
+    """cell, doc, query_id, score, rank of each question's true nearest, not itself."""
+    near = similar(index.rows, ["id", "cell"], "embedding", some, ["query_id"], "query_vector", k=k + 1, cosine=False).withColumnRenamed("id", "doc").where(~F.col("doc").eqNullSafe(F.col("query_id")))
+    return top_k(near, k)
+
+
+def choose_search(index: VectorIndex, k: int, least: float = 0.95, asked: int = 200) -> tuple[int, int]:
+    """(probes, rescore) with which `asked` of the index's own vectors find `least` of their true nearest, on the mean.
+
+    How many candidates the codes need grows with the index, so their number is
+    doubled until enough is found; all of the cells' rows are exact, and the
+    cells hold more than that.
+    """
+    probes = choose_probes(index, k, (1 + least) / 2, asked)
+    some = cut(_own_questions(index, asked))
+    truth, n, rescore = cut(_own_nearest(index, some, k).select("query_id", "doc")), index.rows.count(), 8
+    while True:
+        found = vector_top_k(index, some, k + 1, probes, rescore).where(~F.col("doc").eqNullSafe(F.col("query_id")))
+        mean = recall(found, truth).agg(F.avg("recall")).first()[0]
+        if mean is None or mean >= least or k * rescore >= n:
+            return probes, rescore
+        rescore *= 2
+
+
 def choose_probes(index: VectorIndex, k: int, least: float = 0.95, asked: int = 200) -> int:
     """The least number of cells that hold `least` of the true nearest of `asked` of the index's own vectors, those of the least hashes."""
-    some = index.rows.withColumn("_h", F.xxhash64("id", "embedding")).orderBy("_h").limit(asked).select(F.col("id").alias("query_id"), F.col("embedding").alias("query_vector"))
-    near = similar(index.rows, ["id", "cell"], "embedding", some, ["query_id"], "query_vector", k=k + 1, cosine=False).withColumnRenamed("id", "doc").where(~F.col("doc").eqNullSafe(F.col("query_id")))
-    found = top_k(near, k).select("query_id", "cell").collect()  # at most asked x k
+    some = _own_questions(index, asked)
+    found = _own_nearest(index, some, k).select("query_id", "cell").collect()  # at most asked x k
     vectors = {r["query_id"]: np.array(r["query_vector"], float) for r in some.collect()}
     order = {q: np.argsort(np.argsort(-(index.centres @ v), kind="stable")) for q, v in vectors.items()}
     places = sorted(int(order[r["query_id"]][r["cell"]]) for r in found)
