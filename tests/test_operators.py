@@ -365,3 +365,17 @@ def test_page_titles_as_written(spark):
     rows = parse_pages(spark.createDataFrame(pages, "celex string, html string"), "page").collect()
     assert {r.celex: r.written for r in rows} == {"a": "R&D &amp;&amp", "b": "", "c": "one"}
     assert {r.celex: r.title for r in rows} == {"a": "R&D &&", "b": "", "c": "one"}
+
+
+def test_ids_are_made_of_distinct_keys(spark, tmp_path):
+    from lexloom.queries import id_display
+
+    keys = [(1, 3), (1, 3), (1001, 3), (7, 0), (None, 2), (8, None)]
+    spark.createDataFrame(keys, "c_custkey long, c_nationkey int").write.parquet(f"{tmp_path}/customer.parquet")
+    found = id_display(spark, str(tmp_path))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("Aggregate")  # what is made of a key isn't counted again
+    ids = [r.id for r in found.collect()]
+    whole = [k for k in (1, 1001, 7, 8)]
+    assert len(ids) == len(set(ids)) == 11 * len(whole) + 5 * 2 + 1 and None in ids
+    assert {r.shown for r in found.collect()} >= {"GDPR, Article 1(3)", "AI Act, Article 7", "62019CJ0645_par_8"}
