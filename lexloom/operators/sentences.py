@@ -17,14 +17,19 @@ from lexloom.session import cut
 #: From which score a word is an abbreviation, and from which ratio it begins sentences.
 ABBREVIATION, STARTER = 0.3, 30.0
 #: White space, what may stand about a word, what ends a sentence, and what the next one may begin with.
-SPACE, OPEN, CLOSE = r"[ \t\n\x0B\f\r]+", r"^[\"'“‘(\[]+", r"[\"'”’)\]]+$"
-ENDS, BEGINS = r"[.;!?][\"'”’)\]]*$", r"^[\"'“‘(\[]*\p{Lu}|^[\"“‘(]"
+SPACE, OPEN, CLOSE = r"[ \t\n\x0B\f\r]+", r"^[\"'“‘(\[]+", r"[\"'”’)\]]+\z"
+ENDS, BEGINS = r"[.;!?][\"'”’)\]]*", r"(?:[\"'“‘(\[]*\p{Lu}|[\"“‘(])"
 
 
 def _tokens(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda t: t != "")
 
 
+def _zipped(tokens: Column) -> Column:
+    """Array of (token, next): every token and the one behind it, the last one's null."""
+    return F.arrays_zip(tokens.alias("token"), F.slice(tokens, 2, F.greatest(F.size(tokens), F.lit(1))).alias("next"))
+
+
 def _bare(token: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(token), OPEN, ""), CLOSE, "")
 
@@ -55,10 +60,12 @@ def learn(texts: DataFrame, text: str) -> Boundaries:
     which at least one character is a letter.  Numbers of tokens, two, come to
     the driver.
     """
-    own = texts.select(_tokens(F.col(text)).alias("_t"))
-    pairs = own.select(F.inline(F.arrays_zip(F.col("_t").alias("token"), F.slice("_t", 2, F.greatest(F.size("_t"), F.lit(1))).alias("next")))).select(_bare(F.col("token")).alias("b"), "token", "next")
-    rows = pairs.select(_kind(F.col("b")).alias("word"), F.endswith("b", F.lit(".")).cast("long").alias("dot"), F.rlike("token", F.lit(ENDS)).alias("ends"), "next")
-    counted = cut(rows.where(F.rlike("word", F.lit(r"\p{L}"))).groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.sum("dot").alias("n_dot")))
+    pairs = texts.select(F.explode(F.array(_tokens(F.col(text)))).alias("_t")).select(F.inline(_zipped(F.col("_t"))))
+    # Tokens are counted as they stand, with what follows where that matters; only different ones are looked into.
+    once = cut(pairs.groupBy("token", F.when(F.contains("token", F.lit(".")), F.col("next")).alias("next")).agg(F.count(F.lit(1)).alias("m")))
+    bare = once.select(_bare(F.col("token")).alias("b"), "next", "m")
+    rows = bare.select(_kind(F.col("b")).alias("word"), F.endswith("b", F.lit(".")).cast("long").alias("dot"), "next", "m")
+    counted = cut(rows.where(F.rlike("word", F.lit(r"\p{L}"))).groupBy("word").agg(F.sum("m").alias("n"), F.sum(F.col("m") * F.col("dot")).alias("n_dot")))
     total = counted.agg(F.sum("n").alias("n"), F.sum("n_dot").alias("d")).first()
     n, d = total.n or 0, total.d or 0
     inner = F.length("word") - F.length(F.replace("word", F.lit("."), F.lit("")))
@@ -68,7 +75,7 @@ def learn(texts: DataFrame, text: str) -> Boundaries:
     score = F.when(F.col("n_dot") == 0, 0.0).otherwise(F.round(ratio * F.exp(-size) * (inner + 1) * F.pow(size, -(c - k)), 6))
     words = cut(counted.withColumn("score", score).withColumn("abbreviation", F.col("score") >= ABBREVIATION))
     # Words after full stops that surely end a sentence; counted by pair before they meet anything.
-    begun = rows.where((F.col("dot") == 1) & F.col("next").isNotNull()).groupBy("word", _kind(_bare(F.col("next"))).alias("next")).agg(F.count(F.lit(1)).alias("m"))
+    begun = rows.where((F.col("dot") == 1) & F.col("next").isNotNull()).groupBy("word", _kind(_bare(F.col("next"))).alias("next")).agg(F.sum("m").alias("m"))
     begun = begun.join(words.where("abbreviation").select("word"), "word", "left_anti").groupBy(F.col("next").alias("word")).agg(F.sum("m").alias("n_after"))
     begun = cut(begun.join(words.select("word", "n"), "word"))
     ends = begun.agg(F.sum("n_after")).first()[0] or 0
@@ -88,15 +95,15 @@ def sentences(texts: DataFrame, key: str, text: str, learnt: Boundaries) -> Data
     only where the next word begins sentences.  key is unique; a null text has
     no sentence.
     """
-    own = texts.select(F.col(key).alias("_k"), _tokens(F.col(text)).alias("_t"))
-    at = lambda i: F.get("_t", i)
-    dotted = own.select("_k", F.posexplode("_t").alias("_i", "_x"), "_t").where(F.rlike("_x", F.lit(r"\.[\"'”’)\]]*$")))
-    places = dotted.select("_k", "_i", _kind(_bare(F.col("_x"))).alias("word"), _kind(_bare(at(F.col("_i") + 1))).alias("next"))
+    own = texts.select(F.col(key).alias("_k"), F.explode(F.array(_tokens(F.col(text)))).alias("_t"))
+    dotted = own.select("_k", F.posexplode(_zipped(F.col("_t"))).alias("_i", "_x")).select("_k", "_i", "_x.token", "_x.next").where(F.rlike("token", F.lit(r"\.[\"'”’)\]]*\z")))
+    places = dotted.select("_k", "_i", _kind(_bare(F.col("token"))).alias("word"), _kind(_bare(F.col("next"))).alias("next"))
     places = places.join(learnt.words.where("abbreviation").select("word"), "word", "left_semi")
     places = places.join(learnt.starters.where("starter").select(F.col("word").alias("next")), "next", "left_anti")
     held = places.groupBy("_k").agg(F.collect_list("_i").alias("_held"))
     joined = texts.join(held, F.col(key) == F.col("_k"), "left").withColumn("_t", _tokens(F.col(text)))
-    ends = lambda x, i: F.rlike(x, F.lit(ENDS)) & F.coalesce(F.rlike(at(i + 1), F.lit(BEGINS)), F.lit(False)) & ~F.array_contains(F.coalesce("_held", F.array().cast("array<int>")), i)
-    marked = F.array_join(F.transform("_t", lambda x, i: F.concat(x, F.when(ends(x, i), F.lit("\n")).otherwise(F.lit(" ")))), "")
-    cuts = F.transform(F.split(marked, "\n"), lambda s: F.rtrim(s))
-    return joined.withColumn("sentences", F.filter(cuts, lambda s: s != "")).drop("_k", "_t", "_held")
+    # No token has white space in it: a newline marks one that is held, a tab an end.
+    told = F.transform("_t", lambda x, i: F.when(F.array_contains("_held", i), F.concat(x, F.lit("\n"))).otherwise(x))
+    whole = F.array_join(F.when(F.col("_held").isNull(), F.col("_t")).otherwise(told), " ")
+    marked = F.replace(F.regexp_replace(whole, f"({ENDS}) (?={BEGINS})", "$1\t"), F.lit("\n"), F.lit(""))
+    return joined.withColumn("sentences", F.filter(F.split(marked, "\t"), lambda s: s != "")).drop("_k", "_t", "_held")

@@ -55,3 +55,10 @@ def test_nothing_to_learn(spark):
     learnt = learn(none, "text")
     assert learnt.words.collect() == learnt.starters.collect() == []
     assert sentences(none, "id", "text", learnt).first().sentences == []
+
+
+def test_only_the_very_end_of_a_token_counts(spark):
+    """A line terminator that is no white space (U+0085, U+2028) is part of its token."""
+    texts = spark.createDataFrame([(1, "It ended.\u0085 They met. \u2028They left.")], "id int, text string")
+    got = sentences(texts, "id", "text", learn(texts, "text")).first().sentences
+    assert got == ["It ended.\u0085 They met. \u2028They left."]
