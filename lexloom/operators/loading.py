@@ -11,6 +11,7 @@ from lexloom.functions import legal
 from lexloom.operators import judgments
 from lexloom.operators.graph import EDGE, Corpus, link_topics
 from lexloom.schemas import NODES
+from lexloom.session import cut
 
 
 @dataclass(frozen=True)
@@ -49,7 +50,7 @@ def act_graph(rows: DataFrame, urls: DataFrame | None = None, cases: DataFrame |
     paragraphs), INTERPRETS the references of judgments.  Edges that lack an
     end are left out; pages that failed to parse have no rows.
     """
-    ok = rows.where("error is null")
+    ok = cut(rows.where("error is null"))  # parsed once: every node and edge table reads it
     of = {k: ok.where(F.col("kind") == k) for k in ("Act", "Chapter", "Section", "Article", "Paragraph", "Recital")}
     section = F.col("parent").contains(".sct_")
     chapter = F.when(section, F.regexp_extract("parent", r"^(.*)\.sct_", 1)).otherwise(F.col("parent"))

@@ -339,3 +339,15 @@ def test_backfill_and_view(spark):
     from lexloom.operators.graph import topic_nodes
 
     assert {r.label for r in topic_nodes(spark.createDataFrame([("a",)], "label string"), spark.createDataFrame([("p", "a"), ("p", "b"), ("q", None)], "paragraph_id string, label string")).collect()} == {"a", "b"}
+
+
+def test_acts_in_parts(spark):
+    """Parts of an act, cut between its elements, give the rows of the whole page."""
+    head = '<div class="eli-main-title"><p>Act</p></div>'
+    title = '<div id="cpt_I.tit_1"><p>Chapter I</p></div>'
+    articles = [f'<div id="art_{k}"><p class="oj-normal">Article {k}</p><div id="00{k}.1"><p class="oj-normal">One {k}.</p></div></div>' for k in (1, 2)]
+    recital = '<div id="rct_1"><p>Whereas.</p></div>'
+    whole = [("X", None, f'<html><body>{head}{recital}<div id="cpt_I">{title}{"".join(articles)}</div></body></html>')]
+    parts = [("X", "", head), ("X", "", recital), ("X", "", f'<div id="cpt_I">{title}</div>'), *(("X", "cpt_I", a) for a in articles)]
+    rows = lambda x: sorted(map(str, parse_pages(spark.createDataFrame(x, "celex string, within string, html string"), "act", within="within").collect()))
+    assert rows(parts) == rows(whole) and len(rows(whole)) == 7
