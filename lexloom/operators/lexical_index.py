@@ -24,8 +24,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lexloom.functions.text import tokens
 from lexloom.operators.blocks import in_blocks, words
-from lexloom.operators.postings import Postings, best_by_lists, segments, unpacked
+from lexloom.operators.postings import all_postings, best_by_cells, segments, unpacked
 from lexloom.session import cut, remove_folder, shared_folder
 
 K1, B, EPSILON, PLACES = 1.5, 0.75, 0.25, 6
@@ -35,6 +36,8 @@ BLOCK_BYTES, PUSHED = 16 << 20, 500
 FEW = 500_000
 #: Parts that the terms are dealt into, and files that a part's terms may be spread over.
 BUCKETS, SPREAD = 16, 4
+#: Bytes of the terms that an index for certain texts is made for; beyond them it is made for all.
+ASKED_BYTES = 64 << 20
 
 
 @dataclass(frozen=True)
@@ -64,19 +67,30 @@ def write_index(docs: DataFrame, folder: str, id_col: str = "doc", text_col: str
     raw.segments.write.parquet(f"{folder}/segments")
     dealt = raw.postings.repartition("bucket", F.pmod(F.xxhash64("shard"), F.lit(SPREAD))).sortWithinPartitions("bucket", "term")
     dealt.write.partitionBy("bucket").parquet(f"{folder}/postings")
-    raw.terms.write.parquet(f"{folder}/terms")
+    raw.terms.groupBy("grp", "term").agg(F.sum("df").alias("df")).write.parquet(f"{folder}/terms")
     remove_folder(docs.sparkSession, f"{folder}/raw")
     return read_index(docs.sparkSession, folder)
 
 
-def _write_raw(docs: DataFrame, folder: str, id_col: str, text_col: str, group: str | None) -> LexicalIndex:
-    """The segments as they are made, a file a task: an index that is asked once needs no more."""
+def _write_raw(docs: DataFrame, folder: str, id_col: str, text_col: str, group: str | None, asked=None) -> LexicalIndex:  # noqa: ANN001
+    """The segments as they are made, a file a task, their terms not yet summed: an index that is asked once needs no more."""
     rows = docs.withColumn("_grp", F.col(group).cast("string") if group else F.lit(""))
-    segments(rows, id_col, text_col, group="_grp").write.parquet(folder)
+    segments(rows, id_col, text_col, group="_grp", asked=asked).write.parquet(folder)
     raw = docs.sparkSession.read.parquet(folder)
-    terms = raw.where("term is not null").select(_bucket(F.col("term")).alias("bucket"), "shard", "grp", "term", "df", "postings")
+    terms = raw.where("term is not null")
     own = raw.where("term is null").select("shard", "grp", "ids", F.col("postings").alias("lengths"), "words")
-    return LexicalIndex(terms, own, terms.groupBy("grp", "term").agg(F.sum("df").alias("df")))
+    return LexicalIndex(terms.where("postings is not null").select(_bucket(F.col("term")).alias("bucket"), "shard", "grp", "term", "df", "postings"), own, terms.select("grp", "term", "df"))
+
+
+def write_once(docs: DataFrame, folder: str, asked: DataFrame, id_col: str = "doc", text_col: str = "text", group: str | None = None) -> LexicalIndex:
+    """An index that answers these texts (asked: text) alone: other terms are counted and have no postings.
+
+    Where the texts have more than ASKED_BYTES of terms, all terms have postings.
+    """
+    terms = asked.select(F.explode(tokens(F.coalesce("text", F.lit("")))).alias("term")).distinct()
+    size = terms.agg(F.coalesce(F.sum(F.octet_length("term") + 16), F.lit(0))).first()[0]
+    shared = docs.sparkSession.sparkContext.broadcast(terms.toArrow()["term"].combine_chunks().cast(pa.large_string())) if size <= ASKED_BYTES else None
+    return _write_raw(docs, folder, id_col, text_col, group, shared)
 
 
 def read_index(spark: SparkSession, folder: str) -> LexicalIndex:
@@ -84,24 +98,31 @@ def read_index(spark: SparkSession, folder: str) -> LexicalIndex:
 
 
 @contextmanager
-def index_of(docs: DataFrame, id_col: str = "doc", text_col: str = "text", group: str | None = None) -> Iterator[LexicalIndex]:
-    """An index in the shared folder, for the time being; results must be materialised before it goes."""
+def index_of(docs: DataFrame, asked: DataFrame, id_col: str = "doc", text_col: str = "text", group: str | None = None) -> Iterator[LexicalIndex]:
+    """An index for the texts asked, in the shared folder, for the time being; results must be materialised before it goes."""
     spark = docs.sparkSession
     folder = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
     try:
-        yield _write_raw(docs, folder, id_col, text_col, group)
+        yield write_once(docs, folder, asked, id_col, text_col, group)
     finally:
         remove_folder(spark, folder)
 
 
-def scope_statistics(index: LexicalIndex, members: DataFrame) -> DataFrame:
-    """scope, n_docs, avgdl, mean_idf of members (scope, grp): sums of their groups' counts, and the mean over all their terms."""
+def scope_statistics(index: LexicalIndex, members: DataFrame, pairs: int) -> DataFrame:
+    """scope, n_docs, avgdl, mean_idf of members (scope, grp; so many rows): sums of their groups' counts, and the mean over all their terms.
+
+    Terms are dealt once, by themselves alone, and summed where they meet.
+    """
     totals = members.join(index.groups().withColumnRenamed("grp", "_g"), F.col("grp").eqNullSafe(F.col("_g")))
-    totals = totals.groupBy("scope").agg(F.sum("n_docs").alias("n_docs"), (F.sum("words") / F.sum("n_docs")).alias("avgdl"))
-    raw = _frequencies(index.terms, members).join(totals, "scope").groupBy("scope").agg(F.avg(_raw_idf()).alias("mean_idf"))
+    totals = cut(totals.groupBy("scope").agg(F.sum("n_docs").alias("n_docs"), (F.sum("words") / F.sum("n_docs")).alias("avgdl")))
+    raw = _frequencies(index.terms.repartition("term"), _few(members, pairs)).join(_few(totals, pairs), "scope").groupBy("scope").agg(F.avg(_raw_idf()).alias("mean_idf"))
     return totals.join(raw, "scope", "left")
 
 
+def _few(df: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(df) if rows <= FEW else df
+
+
 def _frequencies(terms: DataFrame, members: DataFrame) -> DataFrame:
     """scope, term, df."""
     own = terms.withColumnRenamed("grp", "_g")
@@ -112,8 +133,8 @@ def _raw_idf() -> Column:
     return F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
 
 
-def _impact(idf: float, avgdl: float):  # noqa: ANN202
-    return lambda count, length: idf * (count * (K1 + 1) / (count + K1 * (1 - B + B * length / avgdl)))
+def _local(spark: SparkSession, **columns: pa.Array) -> DataFrame:
+    return spark.createDataFrame(pa.table(columns))
 
 
 def search(index: LexicalIndex, queries: DataFrame, k: int, members: DataFrame | None = None, everywhere: bool = False) -> DataFrame:
@@ -131,37 +152,37 @@ def search(index: LexicalIndex, queries: DataFrame, k: int, members: DataFrame |
         queries = queries.withColumn("scope", F.lit(""))
     own_scope = not everywhere
     members = cut(members.select("scope", "grp").distinct())
-    numbered = cut(scope_statistics(index, members).withColumn("_s", F.xxhash64("scope")))  # a row a scope
+    pairs, parts = members.count(), []  # of scopes and their groups
+    numbered = cut(scope_statistics(index, members, pairs).withColumn("_s", F.xxhash64("scope")))  # a row a scope
     kind = index.segments.schema["ids"].dataType.elementType
     schema = T.StructType([queries.schema["query_id"], T.StructField("doc", kind), T.StructField("score", T.DoubleType()), T.StructField("_s", T.LongType())])
     schema.fields[0].nullable = True
     asked = queries.select("query_id", "text", F.xxhash64("scope").alias("_s") if own_scope else F.lit(None).cast("long").alias("_s"))
-    pairs, parts = members.count(), []  # of scopes and their groups
-    few = lambda df, rows: F.broadcast(df) if rows <= FEW else df
     for block in in_blocks(asked, lambda r: 8 * len(r["text"] or "") + 64, BLOCK_BYTES):
         counts = [Counter(words(r["text"])) for r in block]
         number = {t: i for i, t in enumerate(dict.fromkeys(t for c in counts for t in c))}
         sizes = np.cumsum([0, *(len(c) for c in counts)])
         flat = np.array([(number[t], f) for c in counts for t, f in c.items()], np.int32).reshape(-1, 2)
-        shared = spark.sparkContext.broadcast(([r["query_id"] for r in block], [r["_s"] for r in block], sizes, flat))
-        names = F.broadcast(spark.createDataFrame(list(number.items()) or [("", -1)], "term string, number int"))
+        homes = np.array([r["_s"] for r in block], np.int64) if own_scope and len(block) else None
+        shared = spark.sparkContext.broadcast(([r["query_id"] for r in block], homes, sizes, flat))
+        names = F.broadcast(_local(spark, term=pa.array(list(number), pa.string()), number=pa.array(list(number.values()), pa.int32())))
         here = members.withColumn("_s", F.xxhash64("scope"))
         if own_scope:  # only scopes that the block asks of
-            wanted = spark.createDataFrame([(s,) for s in {r["_s"] for r in block}] or [(0,)], "_w long")
+            wanted = _local(spark, _w=pa.array(list({r["_s"] for r in block}), pa.int64()))
             here = here.join(F.broadcast(wanted), F.col("_s") == F.col("_w"), "left_semi")
-        stats = few(numbered.select("_s", "n_docs", "avgdl", "mean_idf"), pairs)
-        df = _frequencies(index.terms.join(names, "term").select("grp", F.col("number").alias("term"), "df"), here.select(F.col("_s").alias("scope"), "grp"))
+        stats = _few(numbered.select("_s", "n_docs", "avgdl", "mean_idf"), pairs)
+        df = _frequencies(index.terms.join(names, "term").select("grp", F.col("number").alias("term"), "df"), _few(here.select(F.col("_s").alias("scope"), "grp"), pairs))
         idf = df.join(stats, F.col("scope") == F.col("_s")).withColumn("raw", _raw_idf())
         idf = idf.select("scope", F.col("term").alias("number"), F.when(F.col("raw") < 0, EPSILON * F.col("mean_idf")).otherwise(F.col("raw")).alias("idf"))
         # What a group's segments need: for each term its weight in every scope that has the group, and these scopes' mean lengths.
         weights = here.select("_s", F.col("grp").alias("_g")).join(idf, F.col("_s") == F.col("scope")).groupBy("_g", "number").agg(F.collect_list(F.struct("_s", "idf")).alias("weights"))
-        scopes = here.select("_s", F.col("grp").alias("_g")).join(few(numbered.select(F.col("_s").alias("_t"), "avgdl"), pairs), F.col("_s") == F.col("_t")).groupBy("_g").agg(F.collect_list(F.struct("_s", "avgdl")).alias("scopes"))
-        met = _postings_of(index.postings, names, number).withColumnRenamed("number", "_n").join(few(weights, pairs * len(number)), F.col("grp").eqNullSafe(F.col("_g")) & (F.col("_n") == F.col("number")))
-        own = index.segments.join(few(scopes, pairs), F.col("grp").eqNullSafe(F.col("_g"))).select(F.col("shard").alias("home"), "ids", "lengths", "scopes")
+        scopes = here.select("_s", F.col("grp").alias("_g")).join(_few(numbered.select(F.col("_s").alias("_t"), "avgdl"), pairs), F.col("_s") == F.col("_t")).groupBy("_g").agg(F.collect_list(F.struct("_s", "avgdl")).alias("scopes"))
+        met = _postings_of(index.postings, names, number).withColumnRenamed("number", "_n").join(_few(weights, pairs * len(number)), F.col("grp").eqNullSafe(F.col("_g")) & (F.col("_n") == F.col("number")))
+        own = index.segments.join(_few(scopes, pairs), F.col("grp").eqNullSafe(F.col("_g"))).select(F.col("shard").alias("home"), "ids", "lengths", "scopes")
         run = _merged(shared, k, schema)
         parts.append(met.select("shard", "number", "df", "postings", "weights").groupBy("shard").cogroup(own.groupBy("home")).applyInArrow(run, schema))
     found = functools.reduce(DataFrame.unionByName, parts)
-    return found.join(few(numbered.select(F.col("_s").alias("_t"), "scope"), pairs), F.col("_s") == F.col("_t")).select("query_id", "scope", "doc", "score")
+    return found.join(_few(numbered.select(F.col("_s").alias("_t"), "scope"), pairs), F.col("_s") == F.col("_t")).select("query_id", "scope", "doc", "score")
 
 
 def _postings_of(postings: DataFrame, names: DataFrame, number: dict[str, int]) -> DataFrame:
@@ -184,21 +205,32 @@ def _merged(shared, k: int, schema: T.StructType):  # noqa: ANN001, ANN202
         names, asked, sizes, flat = shared.value
         lengths = unpacked(np.frombuffer(own["lengths"][0].as_py(), np.uint8))
         ids = own["ids"].combine_chunks().flatten()
-        scopes = {s["_s"]: s["avgdl"] for s in own["scopes"][0].as_py()}
-        lists: dict[tuple[int, int], Postings] = {}
-        for number, df, data, weights in zip(*(terms[c].to_pylist() for c in ("number", "df", "postings", "weights"))):
-            for w in weights:
-                lists[w["_s"], number] = Postings(data, df, lengths, _impact(w["idf"], scopes[w["_s"]]))
-        query, doc, score, scope = [], [], [], []
-        for q, (name, home) in enumerate(zip(names, asked)):
-            wanted = flat[sizes[q] : sizes[q + 1]].tolist()
-            for s in scopes if home is None else (home,) if home in scopes else ():
-                for value, d in best_by_lists([(lists[s, n], f) for n, f in wanted if (s, n) in lists], k, len(lengths), 2 * 10.0**-PLACES, PLACES):
-                    query.append(name)
-                    doc.append(d)
-                    score.append(value)
-                    scope.append(s)
-        return pa.table([pa.array(query, out.field(0).type), ids.take(pa.array(doc, pa.int64())).cast(out.field(1).type), pa.array(score, pa.float64()), pa.array(scope, pa.int64())], schema=out)
+        df = terms["df"].to_numpy().astype(np.int64)
+        docs, counts = all_postings(terms["postings"].combine_chunks().cast(pa.large_binary()), df)
+        first, length = np.cumsum(df) - df, lengths[docs]
+        # The questions' terms that the segment has, and their scopes' weights of them.
+        place = np.full(int(flat[:, 0].max()) + 1, -1)
+        place[terms["number"].to_numpy()] = np.arange(len(df))
+        there = np.flatnonzero(place[flat[:, 0]] >= 0)
+        question = np.searchsorted(sizes, there, "right") - 1
+        term, factor = place[flat[there, 0]], flat[there, 1]
+        weights = terms["weights"].combine_chunks()
+        owner = np.repeat(np.arange(len(df)), weights.value_lengths().to_numpy())
+        of, idf = (weights.flatten().field(c).to_numpy() for c in ("_s", "idf"))
+        homes = None if asked is None else asked[question]
+        parts = []
+        for s in own["scopes"][0].as_py():
+            weight = np.full(len(df), np.nan)
+            weight[owner[of == s["_s"]]] = idf[of == s["_s"]]
+            mine = ~np.isnan(weight[term]) if homes is None else ~np.isnan(weight[term]) & (homes == s["_s"])
+            if mine.any():
+                worth = np.repeat(weight, df) * (counts * (K1 + 1) / (counts + K1 * (1 - B + B * length / s["avgdl"])))
+                parts.append((s["_s"], *best_by_cells(docs, worth, first, df, question[mine], term[mine], factor[mine], k, len(lengths), PLACES)))
+        if not parts:
+            return out.empty_table()
+        scope = np.concatenate([np.full(len(q), s) for s, q, _, _ in parts])
+        query, doc, score = (np.concatenate([p[c] for p in parts]) for c in (1, 2, 3))
+        return pa.table([pa.array([names[q] for q in query.tolist()], out.field(0).type), ids.take(pa.array(doc)).cast(out.field(1).type), pa.array(score), pa.array(scope)], schema=out)
 
     return run
 

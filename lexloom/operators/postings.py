@@ -24,6 +24,8 @@ from pyspark.sql import types as T
 
 #: Postings of a block; bytes of text (arrays made of it take some twenty times as much) and documents of a segment; rows of an Arrow batch given back.
 BLOCK, SEGMENT_BYTES, SEGMENT_DOCS, ROWS = 128, 8 << 20, 1 << 16, 1 << 13
+#: Cells of questions and documents that are summed at once.
+CELLS = 1 << 19
 
 _ALL = np.arange(256)
 #: Bytes inside a token: all but white space; and ASCII letters, digits and everything beyond ASCII.
@@ -90,8 +92,11 @@ def token_lists(texts: pa.Array, inside: np.ndarray, lower: bool) -> tuple[pa.Ar
     return coded.dictionary.cast(pa.large_string()), coded.indices.to_numpy(), np.searchsorted(offsets, starts, "right") - 1
 
 
-def segment_postings(texts: pa.Array, inside: np.ndarray, lower: bool) -> tuple[np.ndarray, pa.Array, np.ndarray, pa.Array]:
-    """(lengths, terms, document frequencies, packed postings) of documents in their order."""
+def segment_postings(texts: pa.Array, inside: np.ndarray, lower: bool, asked: pa.Array | None = None) -> tuple[np.ndarray, pa.Array, np.ndarray, pa.Array]:
+    """(lengths, terms, document frequencies, packed postings) of documents in their order.
+
+    With asked, its terms come first, and they alone have postings.
+    """
     terms, token, row = token_lists(texts, inside, lower)
     n = max(1, len(texts))
     lengths = np.bincount(row, minlength=len(texts))
@@ -104,6 +109,15 @@ def segment_postings(texts: pa.Array, inside: np.ndarray, lower: bool) -> tuple[
     df = np.bincount(term, minlength=len(terms))
     if not len(key):
         return lengths, terms, df, pa.array([], pa.large_binary())
+    n_terms, every = len(terms), df
+    if asked is not None:
+        wanted = pa.compute.is_in(terms, value_set=asked).to_numpy(zero_copy_only=False)
+        order = np.argsort(~wanted, kind="stable")
+        n_terms, every = int(wanted.sum()), df[order]
+        terms, own = terms.take(pa.array(order)), wanted[term]
+        doc, count, term, df = doc[own], count[own], (np.cumsum(wanted) - 1)[term[own]], every[:n_terms]
+        if not n_terms:
+            return lengths, terms, every, pa.array([], pa.large_binary())
     before = np.cumsum(df) - df
     place = np.arange(len(doc)) - before[term]
     opens = np.flatnonzero(place % BLOCK == 0)
@@ -122,7 +136,7 @@ def segment_postings(texts: pa.Array, inside: np.ndarray, lower: bool) -> tuple[
     stream[rest] = pairs
     data, end = packed(stream)
     edges = np.concatenate(([0], end[np.cumsum(4 * blocks + 2 * df) - 1]))
-    return lengths, terms, df, pa.Array.from_buffers(pa.large_binary(), len(terms), [None, pa.py_buffer(edges), pa.py_buffer(data)])
+    return lengths, terms, every, pa.Array.from_buffers(pa.large_binary(), n_terms, [None, pa.py_buffer(edges), pa.py_buffer(data)])
 
 
 def index_schema(docs: DataFrame, id_col: str, group: str | None) -> T.StructType:
@@ -130,12 +144,13 @@ def index_schema(docs: DataFrame, id_col: str, group: str | None) -> T.StructTyp
     return T.StructType([T.StructField("shard", T.LongType()), *own, *T.StructType.fromDDL("term string, df int, postings binary, words long").fields, T.StructField("ids", T.ArrayType(docs.schema[id_col].dataType))])
 
 
-def segments(docs: DataFrame, id_col: str, text_col: str, inside: np.ndarray = NO_BLANK, lower: bool = False, group: str | None = None) -> DataFrame:
+def segments(docs: DataFrame, id_col: str, text_col: str, inside: np.ndarray = NO_BLANK, lower: bool = False, group: str | None = None, asked=None) -> DataFrame:  # noqa: ANN001
     """The index's rows (see above): shard, [grp], term, df, postings, words, ids.
 
     A segment's documents have one group and are sorted by id, nulls last; rows
     that share an id are documents of their own.  In a segment's own row df
     counts its documents that have a term, and words all terms with repeats.
+    With asked (a broadcast array of terms) the other terms have null postings.
     """
     schema = index_schema(docs, id_col, group)
     out = pa.schema([(f.name, _arrow(f.dataType)) for f in schema.fields])
@@ -143,14 +158,16 @@ def segments(docs: DataFrame, id_col: str, text_col: str, inside: np.ndarray = N
 
     def rows(table: pa.Table, shard: int) -> Iterator[pa.RecordBatch]:
         ids, texts = table["d"].combine_chunks(), table["t"].combine_chunks()
-        lengths, terms, df, postings = segment_postings(texts.cast(pa.large_string()), inside, lower)
+        lengths, terms, df, postings = segment_postings(texts.cast(pa.large_string()), inside, lower, asked and asked.value)
         own = table["g"][:1].combine_chunks() if group else None
         for at in (-1, *range(0, len(terms), ROWS)):  # the segment's own row, then its terms
             n = 1 if at < 0 else min(ROWS, len(terms) - at)
             if at < 0:
                 cols = {"term": pa.nulls(1, pa.string()), "df": pa.array([int((lengths > 0).sum())], pa.int32()), "postings": pa.array([packed(lengths)[0].tobytes()], pa.binary()), "words": pa.array([int(lengths.sum())], pa.int64()), "ids": pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)}
             else:
-                cols = {"term": terms.slice(at, n).cast(pa.string()), "df": pa.array(df[at : at + n], pa.int32()), "postings": postings.slice(at, n).cast(pa.binary()), "words": pa.nulls(n, pa.int64()), "ids": pa.nulls(n, out.field("ids").type)}
+                held = max(0, min(n, len(postings) - at))  # those without postings come last
+                data = pa.concat_arrays([postings.slice(at, held).cast(pa.binary()), pa.nulls(n - held, pa.binary())])
+                cols = {"term": terms.slice(at, n).cast(pa.string()), "df": pa.array(df[at : at + n], pa.int32()), "postings": data, "words": pa.nulls(n, pa.int64()), "ids": pa.nulls(n, out.field("ids").type)}
             cols["shard"] = pa.array(np.full(n, shard))
             if group:
                 cols["grp"] = own.take(pa.array(np.zeros(n, np.int64)))
@@ -230,35 +247,6 @@ class Postings:
         self.tops = np.maximum(top, 0).tolist()
         self.top = max(self.tops)
         self.blocks: dict[int, tuple[list[int], list]] = {}
-        self.whole: tuple[np.ndarray, np.ndarray] | None = None
-        self.falls = bool((top < 0).any())
-
-    def arrays(self) -> tuple[np.ndarray, np.ndarray]:
-        """(documents, impacts) of all postings."""
-        if self.whole is None:
-            pairs = unpacked(self.raw[self.edges[0] : self.edges[-1]]).reshape(-1, 2)
-            gaps = pairs[:, 0]
-            gaps[BLOCK::BLOCK] -= np.array(self.last[:-1], np.int64)
-            docs = np.cumsum(gaps)
-            self.whole = docs, self.impact(pairs[:, 1], self.lengths[docs])
-        return self.whole
-
-    def at(self, docs: np.ndarray) -> np.ndarray:
-        """Impacts at these documents (ascending), 0 where there is no posting; only blocks that can hold one are decoded."""
-        out = np.zeros(len(docs))
-        number = np.searchsorted(self.last, docs)
-        needed = np.unique(number)
-        if self.whole is not None or 2 * len(needed) > len(self.last):
-            there, worth = self.arrays()
-            at = np.minimum(np.searchsorted(there, docs), len(there) - 1)
-            return np.where(there[at] == docs, worth[at], 0)
-        for i in needed[needed < len(self.last)].tolist():
-            lo, hi = np.searchsorted(number, (i, i + 1))
-            there, worth = (np.array(x) for x in self.block(i))
-            at = np.minimum(np.searchsorted(there, docs[lo:hi]), len(there) - 1)
-            out[lo:hi] = np.where(there[at] == docs[lo:hi], worth[at], 0)
-        return out
-
     def block(self, i: int) -> tuple[list[int], list]:
         """(documents, impacts) of block i."""
         if i not in self.blocks:
@@ -348,37 +336,58 @@ def best_documents(lists: list[tuple[Postings, int]], k: int, least: float, slac
     return sorted(((s, -d) for s, d in best), key=lambda x: (-x[0], x[1]))
 
 
-def best_by_lists(lists: list[tuple[Postings, int]], k: int, n_docs: int, slack: float, places: int) -> list[tuple[float, int]]:
-    """The same as best_documents (without a least score), for impacts that leave little to prune document by document.
-
-    Lists are added up one after the other, those of the largest bounds first,
-    until what is left can't bring a new document among the k best; the others
-    are only looked up for the documents that still can be.
+def all_postings(data: pa.Array, df: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(documents, counts) of the postings of several terms, one term's after the other's, all decoded at once."""
+    edges = np.frombuffer(data.buffers()[1], np.int64)[data.offset : data.offset + len(data) + 1]
+    held = data.buffers()[2]
+    stream = unpacked(np.frombuffer(held, np.uint8)[edges[0] : edges[-1]] if held is not None and len(df) else np.zeros(0, np.uint8))
+    blocks = -(-df // BLOCK)
+    before = np.cumsum(4 * blocks + 2 * df) - 2 * df  # where each term's pairs begin
+    first = np.cumsum(df) - df
+    at = np.repeat(before - 2 * first, df) + 2 * np.arange(int(df.sum()))
+    gap, count = stream[at], stream[at + 1]
+    docs = np.cumsum(gap)
+    opens = np.repeat(first - BLOCK * (np.cumsum(blocks) - blocks), blocks) + BLOCK * np.arange(int(blocks.sum()))
+    sizes = np.diff(np.append(opens, len(gap)))
+    return docs - np.repeat(docs[opens] - gap[opens], sizes), count
+
+
+def best_by_cells(docs: np.ndarray, worth: np.ndarray, first: np.ndarray, df: np.ndarray, question: np.ndarray, term: np.ndarray, factor: np.ndarray, k: int, n_docs: int, places: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(question, document, score) of the k best of a segment's documents for each question, equal ones by document.
+
+    docs and worth are the segment's postings by term, from first[term] on,
+    df[term] of them; question (ascending), term and factor are the questions'
+    terms that it has.  A document is found if it has a term of the question.
+    Cells of a question and a document are summed a bounded number at once,
+    which a question alone can exceed by the segment's postings.
     """
-    lists = sorted(lists, key=lambda x: -x[0].top * x[1])
-    left = sum(p.top * f for p, f in lists)
-    sums, met = np.zeros(n_docs), np.zeros(n_docs, bool)
-    falls, at = any(p.falls for p, _ in lists), 0
-    bar = -np.inf
-    for p, f in lists:
-        docs, worth = p.arrays()
-        sums[docs] += worth * f
-        met[docs] = True
-        left -= p.top * f
-        at += 1
-        if not falls and at < len(lists) and n_docs > k and left < sums.max():
-            bar = np.partition(sums, n_docs - k)[n_docs - k]
-            if left < bar - slack:
-                break
-    found = np.flatnonzero(met if bar == -np.inf else met & (sums + left >= bar - slack))
-    for p, f in lists[at:]:
-        sums[found] += p.at(found) * f
-    score = np.round(sums[found], places) + 0.0
-    if len(found) > k:
-        keep = score >= np.partition(score, len(score) - k)[len(score) - k]
-        found, score = found[keep], score[keep]
-    order = np.lexsort((found, -score))[:k]
-    return list(zip(score[order].tolist(), found[order].tolist()))
+    found = []
+    starts = np.flatnonzero(np.concatenate(([True], question[1:] != question[:-1]))) if len(question) else np.zeros(0, np.int64)
+    cost = np.maximum(np.add.reduceat(df[term], starts), n_docs) if len(starts) else starts
+    stops, lo = np.append(starts[1:], len(question)), 0
+    while lo < len(starts):
+        hi = lo + max(1, int(np.searchsorted(np.cumsum(cost[lo:]), CELLS, "right")))
+        some = slice(starts[lo], stops[hi - 1])
+        own, n = term[some], df[term[some]]
+        row = np.repeat(np.arange(hi - lo), stops[lo:hi] - starts[lo:hi])
+        at = np.repeat(first[own] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        cell = np.repeat(row * n_docs, n) + docs[at]
+        score = np.bincount(cell, worth[at] * np.repeat(factor[some], n), (hi - lo) * n_docs)
+        score = np.round(score, places) + 0.0
+        met = np.zeros(len(score), bool)
+        met[cell] = True
+        score[~met] = -np.inf
+        score = score.reshape(hi - lo, n_docs)
+        bar = np.partition(score, n_docs - k, 1)[:, n_docs - k, None] if n_docs > k else -np.inf
+        i, j = np.nonzero((score >= bar) & met.reshape(score.shape))
+        value = score[i, j]
+        order = np.lexsort((j, -value, i))
+        i, j, value = i[order], j[order], value[order]
+        place = np.arange(len(i)) - np.searchsorted(i, i)
+        best = place < k
+        found.append((question[starts[lo:hi]][i[best]], j[best], value[best]))
+        lo = hi
+    return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
 
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -62,7 +62,7 @@ def bm25_top_k(docs: DataFrame, queries: DataFrame, k: int, id_col: str = "doc",
     """
     [group] = ([group] if isinstance(group, str) else list(group)) or [None]
     asked = queries.select(F.col(query_id).alias("query_id"), F.col(query_text).alias("text"), *([F.col(group).cast("string").alias("scope")] if group and group in queries.columns else []))
-    with index_of(docs, id_col, text_col, group) as index:
+    with index_of(docs, asked, id_col, text_col, group) as index:
         members = index.segments.select("grp").distinct().withColumn("scope", F.col("grp")) if group else None
         found = cut(index_top_k(index, asked, k, members, everywhere="scope" not in asked.columns and group is not None))
     return found.withColumnRenamed("scope", group) if group else found.drop("scope")

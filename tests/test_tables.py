@@ -183,3 +183,42 @@ def test_candidates_grow_with_the_index(spark, tmp_path):
     mean = lambda p, r: vi.recall(vi.vector_top_k(index, asked, 10, p, r), truth).agg(F.avg("recall")).first()[0]
     probes, rescore = vi.choose_search(index, 10, asked=100)
     assert mean(vi.choose_probes(index, 10), 8) < 0.9 <= mean(probes, rescore) and rescore > 8
+
+
+def test_an_index_asked_once_has_postings_of_its_terms_alone(spark):
+    """The other terms are counted, for the mean weight; all of them are in an index where the texts have too many."""
+    docs = spark.createDataFrame([(i, f"g{i % 2}", f"a w{i} w{i} b" if i else None) for i in range(9)], "doc long, grp string, text string")
+    asked = spark.createDataFrame([("a w3 nowhere",), (None,)], "text string")
+    counted = {("g0", "a"): 4, ("g0", "b"): 4, ("g1", "a"): 4, ("g1", "b"): 4} | {(f"g{i % 2}", f"w{i}"): 1 for i in range(1, 9)}
+    with lexical_index.index_of(docs, asked, group="grp") as index:
+        assert {r.term for r in index.postings.collect()} == {"a", "w3"}
+        assert {(r.grp, r.term): r.n for r in index.terms.groupBy("grp", "term").agg(F.sum("df").alias("n")).collect()} == counted
+
+
+def test_best_by_cells_equals_every_sum(monkeypatch):
+    """Postings of several terms are decoded at once, and summed in small parts or in one."""
+    import numpy as np
+    import pyarrow as pa
+
+    from lexloom.operators import postings
+
+    rng = random.Random(8)
+    voc = [f"w{i}" for i in range(30)]
+    texts = [" ".join(rng.choices(voc, [1 / (i + 1) for i in range(30)], k=rng.randint(0, 12))) for _ in range(700)]
+    lengths, terms, df, data = postings.segment_postings(pa.array(texts, pa.large_string()), postings.NO_BLANK, False)
+    docs, counts = postings.all_postings(data.slice(2), df[2:])
+    found = [(t, d, c) for t, n, e in zip(terms.to_pylist()[2:], df[2:], np.cumsum(df[2:])) for d, c in zip(docs[e - n : e].tolist(), counts[e - n : e].tolist())]
+    assert found == [(t, d, x.split().count(t)) for t in terms.to_pylist()[2:] for d, x in enumerate(texts) if t in x.split()]
+    docs, counts = postings.all_postings(data, df)
+    worth = counts * np.repeat([(-1) ** i * (1 + i / 8) for i in range(len(df))], df)  # some lists take away
+    asked = [(q, t, rng.randint(1, 3)) for q in (0, 2, 3, 7) for t in sorted(rng.sample(range(len(df)), 5))]
+    sums = {}
+    first = np.cumsum(df) - df
+    for q, t, f in asked:
+        for p in range(first[t], first[t] + df[t]):
+            sums[q, docs[p]] = sums.get((q, docs[p]), 0) + f * worth[p]
+    want = [(q, d, s) for q in (0, 2, 3, 7) for s, d in sorted(((s, d) for (x, d), s in sums.items() if x == q), key=lambda y: (-y[0], y[1]))[:6]]
+    for cells in (1, 1 << 19):
+        monkeypatch.setattr(postings, "CELLS", cells)
+        got = postings.best_by_cells(docs, worth, first, df, *(np.array(c) for c in zip(*asked)), 6, len(texts), 6)
+        assert list(zip(*(x.tolist() for x in got))) == want
