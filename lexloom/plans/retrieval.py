@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexloom.functions import legal
-from lexloom.operators.lexical_index import LexicalIndex, write_index
+from lexloom.operators.lexical_index import LexicalIndex, write_index, write_once
 from lexloom.operators.retrieval import bm25_scores, bm25_stats, bm25_top_k, bridge, dedup_queries, dense_top_k, fuse, gate, index_top_k, operative_slot, pseudo_scores, top_k
 from lexloom.operators.topics import match_topics
 from lexloom.providers import Embed, Generate, Score, embed_texts, generate, score_pairs
@@ -81,18 +81,19 @@ class Store:
         keys = self.interprets.groupBy(F.col("celex").alias("_c")).agg(F.array_join(F.array_sort(F.collect_set("act")), ",").alias("key"))
         return self.passages.join(keys, F.col("celex") == F.col("_c")).drop("_c")
 
-    def write_indexes(self, folder: str) -> Indexes:
-        """BM25 indexes of articles and recitals by act, and of passages by the acts that their judgments interpret."""
-        own = {"articles": (self.articles, "act"), "recitals": (self.recitals, "act"), "passages": (self.keyed_passages(), "key")}
-        return Indexes(**{n: write_index(df, f"{folder}/{n}", group=g) for n, (df, g) in own.items()})
+    def write_indexes(self, folder: str, asked: DataFrame | None = None) -> Indexes:
+        """BM25 indexes of articles and recitals by act, and of passages by the acts that their judgments interpret; for the texts asked alone, if any are given."""
+        own = {"articles": (self.articles.select("doc", "act", "text"), "act"), "recitals": (self.recitals, "act"), "passages": (self.keyed_passages(), "key")}
+        write = write_index if asked is None else lambda df, to, group: write_once(df, to, asked, group=group)
+        return Indexes(**{n: write(df, f"{folder}/{n}", group=g) for n, (df, g) in own.items()})
 
     @contextmanager
-    def indexed(self) -> Iterator[Indexes]:
+    def indexed(self, asked: DataFrame | None = None) -> Iterator[Indexes]:
         """Indexes in the shared folder, for the time being."""
         spark = self.articles.sparkSession
         folder = f"{shared_folder(spark)}/store-{uuid.uuid4().hex}"
         try:
-            yield self.write_indexes(folder)
+            yield self.write_indexes(folder, asked)
         finally:
             remove_folder(spark, folder)
 
@@ -218,7 +219,10 @@ def hybrid(store: Store, questions: DataFrame, config: HybridConfig = HybridConf
     they are written for this call, and the result is checkpointed.
     """
     if indexes is None:
-        with store.indexed() as made:
+        texts = questions.select("text")
+        if "sub_questions" in questions.columns:
+            texts = texts.unionByName(questions.select(F.explode("sub_questions").alias("text")))
+        with store.indexed(texts) as made:
             return cut(hybrid(store, questions, config, score, embed, model, made))
     asked = questions.where(F.size("acts") > 0)
     searches = cut(search_queries(asked, config, embed, model))

@@ -222,3 +222,14 @@ def test_best_by_cells_equals_every_sum(monkeypatch):
         monkeypatch.setattr(postings, "CELLS", cells)
         got = postings.best_by_cells(docs, worth, first, df, *(np.array(c) for c in zip(*asked)), 6, len(texts), 6)
         assert list(zip(*(x.tolist() for x in got))) == want
+
+
+def test_a_store_asked_once_has_postings_of_the_questions_alone(spark):
+    from lexloom.plans.retrieval import Store
+
+    own = spark.createDataFrame([("x1", "a1", "one two"), ("x2", "a2", "two three")], "doc string, act string, text string")
+    passages = spark.createDataFrame([("V1_par_1", "V1", "four five")], "doc string, celex string, text string")
+    store = Store(own, own, passages, spark.createDataFrame([("V1", "a1")], "celex string, act string"))
+    with store.indexed(spark.createDataFrame([("two four",)], "text string")) as made:
+        assert [{r.term for r in i.postings.collect()} for i in (made.articles, made.recitals, made.passages)] == [{"two"}, {"two"}, {"four"}]
+        assert {(r.grp, r.term) for r in made.articles.terms.collect()} == {("a1", "one"), ("a1", "two"), ("a2", "two"), ("a2", "three")}
