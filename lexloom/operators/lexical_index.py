@@ -36,6 +36,8 @@ BLOCK_BYTES, PUSHED = 16 << 20, 500
 FEW = 500_000
 #: Parts that the terms are dealt into, and files that a part's terms may be spread over.
 BUCKETS, SPREAD = 16, 4
+#: Words of the documents for each part that the terms are summed in: a part's sums take some 100 bytes for each term.
+PART_WORDS = 1 << 21
 #: Bytes of the terms that an index for certain texts is made for; beyond them it is made for all.
 ASKED_BYTES = 64 << 20
 
@@ -67,7 +69,7 @@ def write_index(docs: DataFrame, folder: str, id_col: str = "doc", text_col: str
     raw.segments.write.parquet(f"{folder}/segments")
     dealt = raw.postings.repartition("bucket", F.pmod(F.xxhash64("shard"), F.lit(SPREAD))).sortWithinPartitions("bucket", "term")
     dealt.write.partitionBy("bucket").parquet(f"{folder}/postings")
-    raw.terms.groupBy("grp", "term").agg(F.sum("df").alias("df")).write.parquet(f"{folder}/terms")
+    _dealt(raw, raw.terms).groupBy("grp", "term").agg(F.sum("df").alias("df")).write.parquet(f"{folder}/terms")
     remove_folder(docs.sparkSession, f"{folder}/raw")
     return read_index(docs.sparkSession, folder)
 
@@ -111,14 +113,20 @@ def index_of(docs: DataFrame, asked: DataFrame, id_col: str = "doc", text_col: s
 def scope_statistics(index: LexicalIndex, members: DataFrame, pairs: int) -> DataFrame:
     """scope, n_docs, avgdl, mean_idf of members (scope, grp; so many rows): sums of their groups' counts, and the mean over all their terms.
 
-    Terms are dealt once, by themselves alone, and summed where they meet.
+    Terms are dealt once, by themselves alone, and summed where they meet, in parts that grow in number, not in size.
     """
     totals = members.join(index.groups().withColumnRenamed("grp", "_g"), F.col("grp").eqNullSafe(F.col("_g")))
     totals = cut(totals.groupBy("scope").agg(F.sum("n_docs").alias("n_docs"), (F.sum("words") / F.sum("n_docs")).alias("avgdl")))
-    raw = _frequencies(index.terms.repartition("term"), _few(members, pairs)).join(_few(totals, pairs), "scope").groupBy("scope").agg(F.avg(_raw_idf()).alias("mean_idf"))
+    raw = _frequencies(_dealt(index, index.terms), _few(members, pairs)).join(_few(totals, pairs), "scope").groupBy("scope").agg(F.avg(_raw_idf()).alias("mean_idf"))
     return totals.join(raw, "scope", "left")
 
 
+def _dealt(index: LexicalIndex, terms: DataFrame) -> DataFrame:
+    """The terms by themselves, in a part for every PART_WORDS words of the index."""
+    words = index.segments.agg(F.sum("words")).first()[0] or 0
+    return terms.repartition(max(1, -(-words // PART_WORDS)), "term")
+
+
 def _few(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= FEW else df
 

@@ -233,3 +233,12 @@ def test_a_store_asked_once_has_postings_of_the_questions_alone(spark):
     with store.indexed(spark.createDataFrame([("two four",)], "text string")) as made:
         assert [{r.term for r in i.postings.collect()} for i in (made.articles, made.recitals, made.passages)] == [{"two"}, {"two"}, {"four"}]
         assert {(r.grp, r.term) for r in made.articles.terms.collect()} == {("a1", "one"), ("a1", "two"), ("a2", "two"), ("a2", "three")}
+
+
+def test_terms_are_summed_in_parts_that_grow_in_number(spark, monkeypatch):
+    monkeypatch.setattr(lexical_index, "PART_WORDS", 10)
+    docs = spark.createDataFrame([(i, "a b c d e") for i in range(21)], "doc long, text string")
+    with lexical_index.index_of(docs, docs.select("text")) as index:
+        assert lexical_index._dealt(index, index.terms).rdd.getNumPartitions() == 11
+        found = lexical_index.search(index, spark.createDataFrame([(1, "a")], "query_id int, text string"), 2).collect()
+        assert {r.doc for r in found} >= {0, 1} and len({r.score for r in found}) == 1
