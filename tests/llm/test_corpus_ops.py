@@ -267,6 +267,20 @@ def test_sketches_share_what_sets_share():
     assert set(sketch(set(words))).isdisjoint(sketch({f"v{i}" for i in range(400)}))
 
 
+def test_every_word_counts(spark):
+    """Two branches of the same size: in one all words but the sketched are alike on all pages, in the other only those."""
+    words = [f"w{i}" for i in range(400)]
+    kept = {h for h in sketch(set(words))}
+    head = [w for w in words if hash_text(w) in kept]
+    rest = [w for w in words if w not in head]
+    assert len(head) == len(extraction.hashed(set(head))) == 16 and len(set(extraction.hashed(set(words)))) == 400
+    pages = spark.createDataFrame([(1, f"<div class='a'><p>{' '.join(rest[:100])} {' '.join(w + str(i) for w in head)}</p></div>") for i in range(5)], "host long, html string")
+    leaf = parse("<div class='a'><p>x</p></div>", {})[0][0].leaf
+    content = lambda whole: {r.path: r.content for r in style_tree(pages, whole=whole)[0].collect()}[leaf]
+    # 100 words are on all pages and say nothing; 16 of each page are its own.
+    assert abs(content(True) - 80 / 180) < 1e-9 and abs(content(False) - 80 / 180) > 0.05
+
+
 def test_style_tree_against_brute_force(spark):
     pages = opaque_pages(7) + [PAGE.format(f"Body {i}") for i in range(5)] + ["<div>a<div>b <i>c</i> <a href='/t'>d</a></div></div>", ""]
     pages += pages[:2]
