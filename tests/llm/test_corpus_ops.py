@@ -281,6 +281,36 @@ def test_every_word_counts(spark):
     assert abs(content(True) - 80 / 180) < 1e-9 and abs(content(False) - 80 / 180) > 0.05
 
 
+def test_tree_parts_are_smaller_than_their_pages(spark):
+    """A word that many pages of a task have travels once, with their places; a hash of each page's words took 8 bytes for each."""
+    rows = [(1, r["html"]) for r in page_rows() for r in (r, r | {"html": r["html"].replace("</p>", " more</p>")}) if r["html"]]
+    parts = extraction.tree_parts(spark.createDataFrame(rows, "host long, html string").coalesce(1), whole=True).toArrow()
+    words = sum(len({w for b in parse(h, {})[0] for w in b.text.split()}) for _, h in rows)
+    assert parts.nbytes < 5 * words and parts.nbytes < 0.5 * sum(len(h) for _, h in rows)
+    row, kind, feature, entry, copy, n = extraction.unpack(parts)
+    got = Counter((parts["path"][int(row[e])].as_py(), int(kind[e]), int(feature[e]), int(c), int(m)) for e, c, m in zip(entry, copy, n))
+    want = set()
+    for _, h in rows:
+        _, c, nodes = extraction.tree_rows(h, {})
+        for p, (_, texts, layout, up, words) in nodes.items():
+            want |= {(p, 0, f, c, m) for f, m in texts.items()} | {(p, 1, layout, c, 1)} | {(p, 2, a, 0, 1) for a in up} | {(p, 3, f, c, 1) for f in extraction.hashed(words)}
+    assert set(got) == want and max(got.values()) == 1
+
+
+def test_trees_are_the_same_however_they_are_dealt(spark, monkeypatch):
+    """Copies that meet only after tasks have given their parts count once, also where a site is counted in many parts."""
+    pages = opaque_pages(9) + [PAGE.format(f"Body {i} of {i % 3}") for i in range(9)] + ["", "<p>a b a</p><p>a b a</p>"]
+    rows = [(1, h) for h in pages + pages[:7]] + [(2, h) for h in pages[:5]] + [(3 + i % 5, h) for i, h in enumerate(pages[3:11])]
+    trees = []
+    for held, part, tasks in ((extraction.HELD, extraction.PART, 1), (1, 300, 3)):
+        monkeypatch.setattr(extraction, "HELD", held)
+        monkeypatch.setattr(extraction, "PART", part)
+        nodes, texts = style_tree(spark.createDataFrame(rows, "host long, html string").repartition(tasks), whole=True)
+        near = lambda rows: sorted(tuple(tuple(sorted(v)) if isinstance(v, list) else round(v, 9) for v in r) for r in rows.collect())
+        trees.append((near(nodes), near(texts)))
+    assert trees[0] == trees[1] and len(trees[0][0]) > 20 and trees[0][1]
+
+
 def test_style_tree_against_brute_force(spark):
     pages = opaque_pages(7) + [PAGE.format(f"Body {i}") for i in range(5)] + ["<div>a<div>b <i>c</i> <a href='/t'>d</a></div></div>", ""]
     pages += pages[:2]
