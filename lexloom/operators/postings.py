@@ -24,8 +24,8 @@ from pyspark.sql import types as T
 
 #: Postings of a block; bytes of text (arrays made of it take some twenty times as much) and documents of a segment; rows of an Arrow batch given back.
 BLOCK, SEGMENT_BYTES, SEGMENT_DOCS, ROWS = 128, 8 << 20, 1 << 16, 1 << 13
-#: Cells of questions and documents that are summed at once.
-CELLS = 1 << 19
+#: Cells of questions and documents that are summed at once; postings that are packed at once, a term's own excepted.
+CELLS, PIECE = 1 << 19, 1 << 16
 
 _ALL = np.arange(256)
 #: Bytes inside a token: all but white space; and ASCII letters, digits and everything beyond ASCII.
@@ -85,11 +85,13 @@ def token_lists(texts: pa.Array, inside: np.ndarray, lower: bool) -> tuple[pa.Ar
     cut = np.zeros(len(data) + 1, bool)
     cut[offsets] = True
     starts = np.flatnonzero(own[1:] & (~own[:-1] | cut))
-    ends = np.flatnonzero(own[:-1] & (~own[1:] | cut))
-    places = np.concatenate(([0], np.cumsum(ends - starts)))
+    places = np.flatnonzero(own[:-1] & (~own[1:] | cut))  # where they end
+    places -= starts
+    places = np.concatenate(([0], np.cumsum(places)))
     flat = data[own[1:-1]]
+    del own, cut
     coded = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(places), pa.py_buffer(flat)]).dictionary_encode()
-    return coded.dictionary.cast(pa.large_string()), coded.indices.to_numpy(), np.searchsorted(offsets, starts, "right") - 1
+    return coded.dictionary.cast(pa.large_string()), coded.indices.to_numpy(), np.repeat(np.arange(len(offsets) - 1, dtype=np.int32), np.diff(np.searchsorted(starts, offsets)))
 
 
 def segment_postings(texts: pa.Array, inside: np.ndarray, lower: bool, asked: pa.Array | None = None) -> tuple[np.ndarray, pa.Array, np.ndarray, pa.Array]:
@@ -100,26 +102,48 @@ def segment_postings(texts: pa.Array, inside: np.ndarray, lower: bool, asked: pa
     terms, token, row = token_lists(texts, inside, lower)
     n = max(1, len(texts))
     lengths = np.bincount(row, minlength=len(texts))
-    key = token.astype(np.int64) * n + row
+    key = token.astype(np.int64)
+    key *= n
+    key += row
+    del token, row
     key.sort()
-    first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
-    count = np.diff(np.concatenate((first, [len(key)])))
+    new = np.append(True, key[1:] != key[:-1]) if len(key) else np.zeros(0, bool)
+    first = np.flatnonzero(new)
+    count = np.diff(first, append=len(key)).astype(np.int32)
     key = key[first]
-    term, doc = key // n, key % n
+    del new, first
+    term, doc = (key // n).astype(np.int32), (key % n).astype(np.int32)
     df = np.bincount(term, minlength=len(terms))
     if not len(key):
         return lengths, terms, df, pa.array([], pa.large_binary())
+    del key
     n_terms, every = len(terms), df
     if asked is not None:
         wanted = pa.compute.is_in(terms, value_set=asked).to_numpy(zero_copy_only=False)
         order = np.argsort(~wanted, kind="stable")
         n_terms, every = int(wanted.sum()), df[order]
         terms, own = terms.take(pa.array(order)), wanted[term]
-        doc, count, term, df = doc[own], count[own], (np.cumsum(wanted) - 1)[term[own]], every[:n_terms]
+        doc, count, df = doc[own], count[own], every[:n_terms]
         if not n_terms:
             return lengths, terms, every, pa.array([], pa.large_binary())
+    del term
+    # Terms are packed a piece at a time: what is made of their postings takes some twenty times as much as these.
+    stop, parts, ends, lo = np.cumsum(df), [], [np.zeros(1, np.int64)], 0
+    while lo < n_terms:
+        start = int(stop[lo] - df[lo])
+        hi = max(lo + 1, int(np.searchsorted(stop, start + PIECE, "right")))
+        some = slice(start, int(stop[hi - 1]))
+        data, end = _packed_terms(doc[some].astype(np.int64), count[some].astype(np.int64), df[lo:hi], lengths)
+        parts.append(data)
+        ends.append(end + ends[-1][-1])
+        lo = hi
+    return lengths, terms, every, pa.Array.from_buffers(pa.large_binary(), n_terms, [None, pa.py_buffer(np.concatenate(ends)), pa.py_buffer(np.concatenate(parts))])
+
+
+def _packed_terms(doc: np.ndarray, count: np.ndarray, df: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of terms' postings, df of each, and where each term's end."""
     before = np.cumsum(df) - df
-    place = np.arange(len(doc)) - before[term]
+    place = np.arange(len(doc)) - np.repeat(before, df)
     opens = np.flatnonzero(place % BLOCK == 0)
     gap = np.diff(doc, prepend=0)
     gap[opens] = doc[opens]
@@ -135,8 +159,7 @@ def segment_postings(texts: pa.Array, inside: np.ndarray, lower: bool, asked: pa
     rest[heads] = False
     stream[rest] = pairs
     data, end = packed(stream)
-    edges = np.concatenate(([0], end[np.cumsum(4 * blocks + 2 * df) - 1]))
-    return lengths, terms, every, pa.Array.from_buffers(pa.large_binary(), n_terms, [None, pa.py_buffer(edges), pa.py_buffer(data)])
+    return data, end[np.cumsum(4 * blocks + 2 * df) - 1]
 
 
 def index_schema(docs: DataFrame, id_col: str, group: str | None) -> T.StructType:

@@ -224,6 +224,29 @@ def test_best_by_cells_equals_every_sum(monkeypatch):
         assert list(zip(*(x.tolist() for x in got))) == want
 
 
+def test_postings_are_packed_in_pieces(monkeypatch):
+    """What is made of a segment stays within twelve times its text, and the pieces change nothing."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from lexloom.operators import postings
+
+    rng = random.Random(9)
+    texts = pa.array([" ".join(f"w{int(rng.paretovariate(0.4)) % 50_000}" for _ in range(400)) for _ in range(1_500)], pa.large_string())
+    tracemalloc.start()
+    found = postings.segment_postings(texts, postings.NO_BLANK, False)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 12 * texts.nbytes
+    asked = found[1].slice(3, 500)
+    some = postings.segment_postings(texts, postings.NO_BLANK, False, asked)
+    assert some[1].slice(0, 500).equals(asked) and some[3].equals(found[3].slice(3, 500))
+    monkeypatch.setattr(postings, "PIECE", 7)
+    again = postings.segment_postings(texts, postings.NO_BLANK, False)
+    assert all((a == b).all() for a, b in zip(found[::2], again[::2])) and found[1].equals(again[1]) and found[3].equals(again[3])
+
+
 def test_a_store_asked_once_has_postings_of_the_questions_alone(spark):
     from lexloom.plans.retrieval import Store
 
